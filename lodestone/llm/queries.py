@@ -6,15 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import packing, simhash, token_files
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op10_simhash": op10_simhash}
+QUERIES: dict[str, Query] = {
+    "op4_token_files": op4_token_files,
+    "op5_packing": op5_packing,
+    "op10_simhash": op10_simhash,
+}
 ORACLES: dict[str, str] = {}
