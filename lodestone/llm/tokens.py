@@ -2,8 +2,11 @@
 
 The tokenizer's rules never look across ASCII white space (lower-casing, NFC and the word
 pattern all stop there), so the ids of a text are those of its white-space-separated chunks
-in a row. New chunks of a slice go to the tokenizers library in one call; known ones come
-from the memo. A text that holds a special token's string goes to the library whole.
+in a row. Known chunks come from the memo. New ones of letters alone go to the library many to
+a line and are told apart by the tokens that end a word; a new chunk of letters before marks
+is the ids of both; all others go to the library one by one. A text that holds a special
+token's string goes to the library whole. A-Z are lower-cased first unless a combining mark
+(U+0300 to U+036F) is near, which could compose with one case only.
 """
 
 from __future__ import annotations
@@ -12,9 +15,12 @@ import os
 
 import numpy as np
 
+#: Words on a line for the library.
+LINE = 256
 #: Chunks kept by one worker; the memo starts anew when it is full.
-MEMO_CHUNKS = 700_000
+MEMO_CHUNKS = 1_000_000
 END_ID = 2
+MARKS = b".,;:!?%$&*#|"
 
 
 def default_path() -> str:
@@ -33,21 +39,56 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, many to a line; one by one where a line's word ends don't match."""
+        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
+        out: list[bytes] = []
+        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(line) or cuts[-1] != 4 * len(ids):
+                out += self._whole([w.encode() for w in line])
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        memo = self.memo
+        plain: dict[bytes, str] = {}
+        marked, rest = [], []
+        for chunk in new:
+            head = chunk.rstrip(MARKS)
+            word = head.decode()
+            if not word.isalpha():
+                rest.append(chunk)
+                continue
+            if len(head) < len(chunk):
+                marked.append((chunk, head, chunk[len(head) :]))
+            if head not in memo:
+                plain[head] = word
+        rest += {tail for *_, tail in marked}.difference(memo, rest)
+        memo.update(zip(plain, self._letters(list(plain.values())), strict=True))
+        memo.update(zip(rest, self._whole(rest), strict=True))
+        memo.update((chunk, memo[head] + memo[tail]) for chunk, head, tail in marked)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         odd = {i for i, t in enumerate(texts) if b"<|" in t and any(s in t for s in self.special)}
-        chunks = [[] if i in odd else (t.lower() if t.isascii() else t).split() for i, t in enumerate(texts)]
+        chunks = [[] if i in odd else (t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for i, t in enumerate(texts)]
         new = set().union(*chunks).difference(self.memo)
         if len(self.memo) + len(new) > MEMO_CHUNKS:
             self.memo.clear()
             new = set().union(*chunks)
         if new:
-            listed = list(new)
-            self.memo.update(zip(listed, self._whole(listed), strict=True))
+            self._learn(new)
         get = self.memo.__getitem__
         out = [b"".join(map(get, c)) for c in chunks]
         for i in odd:
