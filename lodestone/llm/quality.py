@@ -147,8 +147,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     share = F.lit(0.0)
     for y, n in of.items():
         share = F.when(F.col("y") == y, 1e6 * min(1.0, sample / n)).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = docs.where("text is not null").select("doc_id", "text").join(picked, "doc_id").collect()
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).distinct()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
     return fit([(r.y, r.text.encode()) for r in rows])
 
 
