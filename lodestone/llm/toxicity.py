@@ -183,8 +183,8 @@ def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = Non
     part = F.lit(0.0)
     for y, n in of.items():
         part = F.when(F.col("y") == y, 1e6 * min(1.0, sample[y] / n)).otherwise(part)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id").collect()
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part).distinct()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").collect()
     got = Counter(r.y for r in rows)
     return fit([(r.doc_id, r.y, r.text) for r in rows], {y: of[y] / got[y] for y in got})
 
