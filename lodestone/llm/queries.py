@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, pieces, pii, quality, simhash, substring_dedup, token_files, toxicity
+from . import embedding_dedup, language, packing, pieces, pii, quality, simhash, substring_dedup, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
     "op7_language": op7_language,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
