@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, record, slices, texts, utf8
 
@@ -118,29 +119,35 @@ def has_letter(text: bytes) -> bool:
     return any(map(str.isalpha, text.decode()))
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """(kept columns.., lang_pred, score) for each row of ``docs``; keep: doc_id unless given."""
-    keep = ["doc_id"] if keep is None else keep
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    names = docs.columns if not keep else keep
-    out_kind = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names) + ", lang_pred string, score double"
+def score(docs: DataFrame, model: Model | None, keep: str = "doc_id") -> DataFrame:
+    """(kept column, lang_pred, score) for each row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(keep).alias("kept"), F.col("text").cast("string").alias("text"))
+    kind = T.StructType([rows.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "__text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             n = batch.num_rows
             pred, sure = np.full(n, UNKNOWN, object), np.zeros(n)
-            some = np.fromiter((has_letter(t) for t in texts(batch, "__text")), bool, n)
+            some = np.fromiter((has_letter(t) for t in texts(batch)), bool, n)
             if model is not None and some.any():
-                p = model.probabilities(presence(*utf8(batch.column("__text"))))
+                p = model.probabilities(presence(*utf8(batch.column("text"))))
                 best = p.argmax(1)
                 pred[some] = np.array(model.languages, object)[best[some]]
                 sure[some] = p[np.arange(n), best][some]
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(sure)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(pred, pa.string()), pa.array(sure)], names=["kept", "lang_pred", "score"])
 
-    return docs.select(*names, F.col("text").cast("string").alias("__text")).mapInArrow(run, out_kind)
+    return rows.mapInArrow(run, kind).withColumnRenamed("kept", keep)
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.35) -> DataFrame:
+    """The rows of ``docs`` whose language is told with some confidence; a null lang becomes the one told."""
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns])
+    found = score(docs.select(whole.alias("row"), "text"), model, keep="row")
+    lang = F.coalesce("row.lang", "lang_pred").alias("lang")
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[lang if n == "lang" else F.col(f"row.`{n}`") for n in docs.columns])
 
 
 def identify(docs: DataFrame) -> DataFrame:

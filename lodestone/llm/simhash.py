@@ -76,17 +76,17 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, tag, fp): a hash and the fingerprint of each row's whole text, the latter as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             hashes = [shingle_hashes(t, width) for t in texts(batch)]
             counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
             flat = np.fromiter((h for x in hashes for h in x), np.uint64, int(counts.sum()))
-            yield record(schema, [batch.column("doc_id"), majority(flat, counts).view(np.int64)])
+            yield record(schema, [batch.column("doc_id"), batch.column("tag"), majority(flat, counts).view(np.int64)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 class BKForest:
@@ -184,13 +184,31 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS)
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _grouped(marked: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints with their least (null flag, doc_id, tag), and (fp, root) of those that link."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    distinct = marked.groupBy("fp").agg(first.alias("least"))
+    return distinct, written(components(links(distinct, radius)).withColumnRenamed("node", "fp"), "roots")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text)."""
     marked = written(fingerprints(docs, width), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = written(components(links(distinct, radius)).withColumnRenamed("node", "fp"), "roots")
-    least = distinct.join(root, "fp").groupBy("root").agg(F.min("least").alias("component"))
+    distinct, root = _grouped(marked, radius)
     # only fingerprints whose component is not their own smallest id need a join
-    moved = root.join(least, "root").select("fp", "component")
-    own = distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    least = distinct.join(root, "fp").groupBy("root").agg(F.min("least").alias("first"))
+    moved = root.join(least, "root").select("fp", "first")
+    own = distinct.join(moved, "fp", "left").select("fp", F.coalesce("first.doc_id", "least.doc_id").alias("component_id"))
     return marked.join(own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def kept_documents(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` for each component, with the same columns: that of the smallest id."""
+    marked = written(fingerprints(docs, width), "fingerprints")
+    distinct, root = _grouped(marked, radius)
+    first = distinct.join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("first"))
+    first = first.select(F.col("first.none").alias("__none"), F.coalesce("first.doc_id", F.lit(0)).alias("__doc"), F.col("first.tag").alias("__tag"))
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__doc"), F.xxhash64("text").alias("__tag"))
+    # the join has dealt the rows by this key already; repeated rows are all that is left to drop
+    return rows.join(first, ["__none", "__doc", "__tag"], "left_semi").dropDuplicates(["__none", "__doc", "__tag"]).select("row.*")
