@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from .plans import queries, session_queries
 
 FLAGSHIP = "RNK03_score"
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = queries.QUERIES | session_queries.QUERIES
+ORACLES = queries.ORACLES | session_queries.ORACLES
