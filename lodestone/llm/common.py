@@ -7,6 +7,7 @@ every joined, grouped or deduplicated set stays a DataFrame.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows in an Arrow batch at most: whole texts pass through both the JVM's and the worker's buffers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -81,6 +87,16 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), ends
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Gives what a worker has freed back to the machine; workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``limit`` bytes, one row at least."""
     for batch in batches:
@@ -92,6 +108,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        release_memory()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

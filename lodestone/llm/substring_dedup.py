@@ -10,7 +10,7 @@ document with the same least hash form one fragment (some 280 bytes), keyed by t
    (``BLOOM_BYTES``), which lets most other fragments go before they are written; past that size
    it lets more through, and the exact join with the keys drops them.
 3. A key with very many different contents (a common line in many contexts) is cut up further:
-   its windows are keyed one by one by their whole hash.
+   its windows are keyed by longer grams, at last by all their bytes.
 4. Equal fragments become one with a count. One text of each is fetched from its document, the
    fragments of a key come together in a shard, and the shard's suffix array (induced sorting)
    and permuted common prefixes show which windows occur twice. Counted copies repeat whole.
@@ -38,13 +38,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand, record, slices, texts, utf8, written
+from .common import bounded_batches, expand, record, release_memory, slices, texts, utf8, written
 from .suffix import common_prefixes, suffix_array
 
-LENGTH, GRAM = 200, 32
-SHARD_BYTES = 6 << 20
+LENGTH = 200
+#: Bytes of the grams that key windows, level by level; the last is a whole window.
+GRAMS = (32, 128, 200)
+SHARD_BYTES = 3 << 19
 BLOOM_BYTES = 32 << 20
-#: Different contents of a key, estimated, from which its windows are keyed one by one.
+#: Different contents of a key, estimated, above which its windows are keyed by longer grams.
 HOT = 2048
 _NO_ID = -(1 << 63)
 _SEPARATOR = 255  # in no UTF-8 text, and stays 255 when 1 is added to the others
@@ -80,7 +82,7 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def least_hashes(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, both: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def least_hashes(data: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0], both: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """The hash of the chosen gram of each window (least 40 bits, then leftmost), and (both) whether it occurs twice in there."""
     h, width = _grams(data, gram), length - gram + 1
     at = np.arange(len(h), dtype=np.uint64)
@@ -109,24 +111,33 @@ def _contents(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
-def fragments_of(data: np.ndarray, length: int = LENGTH, both: bool = False) -> tuple[np.ndarray, ...]:
+def fragments_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0], both: bool = False, within: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(key, start, windows, twice) of the fragments of one text: windows in a row with the same chosen gram.
 
     No fragment has more windows than a single gram can serve, so a longer run, in which the
     gram occurs again, is several fragments. twice (with both): the gram occurs again in one of
-    the windows, so that the fragment may repeat itself.
+    the windows, so that the fragment may repeat itself. within: only these windows.
     """
     if len(data) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    chosen, again = least_hashes(data, length, both=both)
-    most = length - GRAM + 1
-    start = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
+    chosen, again = least_hashes(data, length, gram, both)
+    most = length - gram + 1
+    cut = chosen[1:] != chosen[:-1]
+    if within is not None:
+        cut |= within[1:] != within[:-1]
+    start = np.flatnonzero(np.append(True, cut))
     size = np.diff(np.append(start, len(chosen)))
+    if within is not None:
+        start, size = start[within[start]], size[within[start]]
+        if not len(start):
+            return np.zeros(0, np.uint64), start, size, np.zeros(0, bool)
     if size.max() > most:
         owner, nth = expand(-(-size // most))
         start, size = start[owner] + nth * most, np.minimum(size[owner] - nth * most, most)
-    twice = np.logical_or.reduceat(again, start) if both else np.zeros(len(start), bool)
-    return chosen[start], start, size, twice
+    if not both:
+        return chosen[start], start, size, np.zeros(len(start), bool)
+    found = np.append(0, np.cumsum(again))
+    return chosen[start], start, size, found[start + size] > found[start]
 
 
 def _identified(docs: DataFrame, *more: str) -> DataFrame:
@@ -168,7 +179,7 @@ def _fragments(docs: DataFrame, length: int, full: bool, bloom: tuple[int, bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, raw = shared.value
         bits = np.frombuffer(raw, np.uint8) if raw else None
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             data, ends = utf8(batch.column("text"))
             keys, starts, sizes, twices, owners = [], [], [], [], []
             for i in range(batch.num_rows):
@@ -203,20 +214,43 @@ def _fragments(docs: DataFrame, length: int, full: bool, bloom: tuple[int, bytes
     return rows.mapInArrow(run, "key long, content long, doc long, tag long, pos long" if full else "key long, sketch long")
 
 
-def _windows_apart(hot: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Each window of hot fragments as a fragment of its own, keyed by all its bytes."""
+def _sketched(rows: DataFrame) -> DataFrame:
+    """(key, seen, sketch) of fragments (key, content, twice)."""
+    low, high = F.col("content").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("content", 32)
+    lowest = lambda x: x.bitwiseOR(F.lit(1 << 31)).bitwiseAND(-x.bitwiseOR(F.lit(1 << 31)))
+    sketch = lowest(low).bitwiseOR(F.shiftleft(lowest(high), 32))
+    return rows.groupBy("key").agg(F.sum(1 + F.col("twice").cast("int")).alias("seen"), F.bit_or(sketch).alias("sketch"))
+
+
+def _repeated_keys(keys: DataFrame) -> DataFrame:
+    """(key, hot) of the keys seen twice: hot if its sketch tells of very many different contents."""
+    sketch = F.col("sketch")
+    level = lambda x: F.bit_count(x.bitwiseAND(F.bitwise_not(x + 1)))  # noqa: E731  ones below the lowest zero
+    estimate = F.pow(2.0, (level(sketch.bitwiseAND(F.lit(0xFFFFFFFF))) + level(F.shiftrightunsigned(sketch, 32))) / 2) / 0.77351
+    return keys.where("seen > 1").select("key", (estimate > HOT).alias("hot"))
+
+
+def _refined(hot: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """The windows of hot fragments as fragments keyed by longer grams."""
     places = hot.groupBy("doc", "tag").agg(F.collect_set("pos").alias("places"))
-    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("twice", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 19):
+            parts = []
             for text, doc, tag, places in zip(texts(batch), batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                h = _grams(np.frombuffer(text, np.uint8), length)
-                at = np.unique(np.concatenate([np.arange(p >> 16, (p >> 16) + (p & 0xFFFF)) for p in places]))
-                key = h[at]
-                yield record(schema, [key.view(np.int64), _mix(key * _M1 + np.uint64(1)).view(np.int64), np.full(len(at), doc), np.full(len(at), tag), at << 16 | 1])
+                data = np.frombuffer(text, np.uint8)
+                within = np.zeros(len(data) - length + 1, bool)
+                for p in places:
+                    within[p >> 16 : (p >> 16) + (p & 0xFFFF)] = True
+                key, start, size, twice = fragments_of(data, length, gram, True, within)
+                if len(key):
+                    content = _contents(data, start, size + length - 1)
+                    parts.append((key.view(np.int64), content.view(np.int64), np.full(len(key), doc), np.full(len(key), tag), start << 16 | size, twice))
+            if parts:
+                yield record(schema, [np.concatenate(x) for x in zip(*parts, strict=True)])
 
-    return _identified(docs).join(places, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(run, "key long, content long, doc long, tag long, pos long")
+    return _identified(docs).join(places, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(run, "key long, content long, doc long, tag long, pos long, twice boolean")
 
 
 def _cut_out(kinds: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -262,6 +296,7 @@ def _ranges(shards: DataFrame, length: int) -> DataFrame:
         a, b = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
         start = np.cumsum([0] + [len(p) + 1 for p in pieces])
         owner = np.searchsorted(start, a, side="right") - 1
+        release_memory()
         return record(schema, [np.asarray(whole["key"])[owner], np.asarray(whole["content"])[owner], (a - start[owner]).astype(np.int32), (b - start[owner]).astype(np.int32)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,19 +326,20 @@ def _ranges(shards: DataFrame, length: int) -> DataFrame:
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, tag, spans): for each text with repeated windows their ranges of window starts."""
-    sketch = F.col("sketch")
-    level = lambda x: F.bit_count(x.bitwiseAND(F.bitwise_not(x + 1)))  # noqa: E731  ones below the lowest zero
-    keys = _fragments(docs, length, full=False).groupBy("key").agg(F.count("*").alias("seen"), F.bit_or("sketch").alias("sketch")).where("seen > 1")
-    estimate = F.pow(2.0, (level(sketch.bitwiseAND(F.lit(0xFFFFFFFF))) + level(F.shiftrightunsigned(sketch, 32))) / 2) / 0.77351
-    keys = written(keys.select("key", (estimate > HOT).alias("hot")), "keys")
-    found = written(_fragments(docs, length, full=True, bloom=_bloom(keys)), "fragments")
-    found = found.join(keys, "key")
+    bounded_batches(docs.sparkSession)
+    keys = _fragments(docs, length, full=False).groupBy("key").agg(F.count("*").alias("seen"), F.bit_or("sketch").alias("sketch"))
+    keys = written(_repeated_keys(keys), "keys")
+    found = written(_fragments(docs, length, full=True, bloom=_bloom(keys)), "fragments").join(keys, "key")
     cold = found.where("not hot").drop("hot")
-    if keys.where("hot").limit(1).count():
-        apart = written(_windows_apart(found.where("hot"), docs, length), "windows")
-        # a window's key is of all its bytes: it repeats only where the key is seen twice
-        twice = apart.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        cold = written(cold.unionByName(apart.join(twice, "key")), "fragments")
+    for gram in GRAMS[1:]:
+        if not keys.where("hot").limit(1).count():
+            break
+        rows = written(_refined(found.where("hot"), docs, length, gram), "refined")
+        keys = written(_repeated_keys(_sketched(rows)), "keys")
+        found = rows.drop("twice").join(keys, "key")
+        # equal windows are all that a key of the last level holds
+        cold = cold.unionByName(found.where("not hot or pos % 65536 = 1" if gram == length else "not hot").drop("hot"))
+    cold = written(cold, "fragments")
     kinds = cold.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "pos")).alias("rep"))
     ranges = written(_ranges(_cut_out(kinds, docs, length), length), "ranges")
     start = F.shiftright("pos", 16)

@@ -5,7 +5,7 @@ pass, names them, solves the string of names by recursion where names repeat, an
 order of all suffixes from that of the LMS suffixes. A bucket of equal first characters is one
 array step (and one more for each character of a run), so the work is linear in the text. Names
 of the recursion are written as two digits, which keeps the number of buckets near the root of
-the number of names.
+the number of names; its last levels, of at most ``SMALL`` names, are ranked by doubling.
 
 ``common_prefixes`` computes the permuted array: the common prefix of each suffix, in text order,
 with the suffix before it in the array. Only irreducible entries (those whose preceding
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import expand
+#: Strings of names up to this length are ranked by doubling; a bucket scan costs more there.
+SMALL = 1 << 18
+_ZERO = np.zeros(1, np.int64)
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -44,34 +46,36 @@ class _Buckets:
         self.lms = np.flatnonzero(lms)
 
     def _groups(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions by first character, in the given order inside each; the characters, their counts and ranks."""
+        """Positions by first character, in the given order inside each; the characters, where each begins, and counts."""
         first = self.text[at]
         order = np.argsort(first, kind="stable")
         at, first = at[order], first[order]
-        cuts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-        n = np.diff(np.append(cuts, len(at)))
-        return at, first[cuts], n, expand(n)[1]
+        cuts = np.concatenate((_ZERO, np.flatnonzero(first[1:] != first[:-1]) + 1))
+        n = np.empty_like(cuts)
+        n[:-1] = cuts[1:] - cuts[:-1]
+        n[-1] = len(at) - cuts[-1]
+        return at, first[cuts], cuts, n
 
     def induce(self, lms: np.ndarray) -> np.ndarray:
         """All suffixes, given the LMS suffixes in order (or in any order, to sort LMS substrings)."""
         text, small = self.text, self.small
         out = np.full(len(text), -1, np.int64)
-        at, chars, n, rank = self._groups(lms)
-        head, tail = self.start.copy(), self.end.copy()
-        sown = dict(zip(chars.tolist(), np.split(at, np.cumsum(n)[:-1]), strict=True))
+        at, chars, cuts, n = self._groups(lms)
+        head, tail, steps = self.start.copy(), self.end.copy(), np.arange(len(text))
+        sown = dict(zip(chars.tolist(), np.split(at, cuts[1:]), strict=True))
 
         def put(source: np.ndarray, larger: bool) -> None:
             """Places the suffixes one before ``source`` that are of the wanted type."""
             prior = source - 1
-            prior = prior[(prior >= 0) & (small[prior] != larger)]
+            prior = prior[(small[prior] != larger) & (prior >= 0)]
             if not len(prior):
                 return
-            at, chars, n, rank = self._groups(prior)
+            at, chars, cuts, n = self._groups(prior)
             if larger:
-                out[np.repeat(head[chars], n) + rank] = at
+                out[np.repeat(head[chars] - cuts, n) + steps[: len(at)]] = at
                 head[chars] += n
             else:
-                out[np.repeat(tail[chars], n) - 1 - rank] = at
+                out[np.repeat(tail[chars] - 1 + cuts, n) - steps[: len(at)]] = at
                 tail[chars] -= n
 
         for c in self.chars.tolist():
@@ -106,6 +110,26 @@ def _same_substring(text: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.n
     return same
 
 
+def _by_doubling(names: np.ndarray) -> np.ndarray:
+    """The suffix array of a short string of names by ranks of doubling lengths, from two or three names at once."""
+    n, top = len(names), int(names.max()) + 2
+    k = 3 if top < 1 << 21 else 2
+    key = names + 1
+    for i in range(1, k):
+        key = key * top
+        key[: n - i] += names[i:] + 1
+    while True:
+        order = np.argsort(key)
+        ranked = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate((_ZERO, ranked[1:] != ranked[:-1])))
+        if rank[order[-1]] == n - 1:
+            return order
+        key = rank * (n + 1)
+        key[: max(n - k, 0)] += rank[k:] + 1
+        k *= 2
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of ``text``, whose last entry is 0 and all others are larger."""
     if len(text) == 1:
@@ -125,7 +149,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         of[ranked] = name
         names = of[lms]
         top = int(name[-1]) + 1
-        if top <= 512:
+        if len(names) <= SMALL:
+            ranked = lms[_by_doubling(names)]
+        elif top <= 512:
             ranked = lms[suffix_array(names.astype(np.int32))]
         else:
             base = int(np.ceil(np.sqrt(top)))
