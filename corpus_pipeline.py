@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import language, packing, pii, simhash, substring_dedup
-from lodestone.llm.common import table, written
+from lodestone.llm.common import bounded_batches, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters or told with little confidence go."""
+    bounded_batches(spark)
     return language.accepted(docs, language.learn(docs))
 
 
@@ -34,8 +35,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return packing.pack(docs)
+    """Pieces of token sequences; the workers also hold other stages' state, so the word memo is small."""
+    return packing.pack(docs, memo=200_000)
 
 
 STAGES = [

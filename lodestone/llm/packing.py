@@ -43,7 +43,7 @@ def cuts(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = tokens.END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = tokens.END_ID, memo: int = tokens.MEMO_CHUNKS) -> DataFrame:
     """Every piece, with its worker and its number among that worker's pieces of the same length."""
     if capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("worker", pa.int32()), ("nth", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, worker = tokens.encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, worker = tokens.encoder(tokenizer, memo).encode, TaskContext.get().partitionId()
         counts = dict.fromkeys((1 << i for i in range(capacity.bit_length())), 0)
         plan: dict[int, list[tuple[int, int]]] = {}
         for batch in slices(batches, "text"):
@@ -71,9 +71,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, memo: int = tokens.MEMO_CHUNKS) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for every piece."""
-    cut = written(pieces(docs, tokenizer, capacity), "pieces")
+    cut = written(pieces(docs, tokenizer, capacity, memo=memo), "pieces")
     counts = cut.groupBy("length", "worker").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("worker")) - F.col("n")
     offsets = counts.withColumn("before", before).drop("n")

@@ -32,7 +32,8 @@ def default_path() -> str:
 class ChunkEncoder:
     """Encodes texts as little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMO_CHUNKS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,7 +85,7 @@ class ChunkEncoder:
         odd = {i for i, t in enumerate(texts) if b"<|" in t and any(s in t for s in self.special)}
         chunks = [[] if i in odd else (t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for i, t in enumerate(texts)]
         new = set().union(*chunks).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_CHUNKS:
+        if len(self.memo) + len(new) > self.most:
             self.memo.clear()
             new = set().union(*chunks)
         if new:
@@ -99,8 +100,9 @@ class ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder of a file, kept between tasks."""
+def encoder(path: str, most: int = MEMO_CHUNKS) -> ChunkEncoder:
+    """This worker's encoder of a file, kept between tasks, with a memo of at most so many chunks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path, most)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
