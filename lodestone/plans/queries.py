@@ -123,9 +123,9 @@ def rnk07(spark, d):
     return ranking.top(ranking.score_memories(_mem(spark, d), ASKED)).select("id", "score", "place")
 
 
-COLD = ranking.Query("onre", "src2", NOW)
-_COLD = with_views("MEM").rstrip() + f""", hit AS (SELECT *, length(list_intersect(['onre'], {_TOK.format(x=_BODY)})) AS k,
-  CAST(5 * length(list_intersect(['onre'], {_TOK.format(x=_BODY)})) + CASE WHEN scope = 'project:src2' THEN 4 WHEN scope IN ('global', 'user') THEN 2 ELSE 0 END + CASE WHEN status = 'pinned' THEN 3 ELSE 0 END + {_REC} + least(importance, 3) + 0.5 * least(access_count, 5) AS DOUBLE) AS score FROM mem)
+COLD = ranking.Query("anst", "src2", NOW)
+_COLD = with_views("MEM").rstrip() + f""", hit AS (SELECT *, length(list_intersect(['anst'], {_TOK.format(x=_BODY)})) AS k,
+  CAST(5 * length(list_intersect(['anst'], {_TOK.format(x=_BODY)})) + CASE WHEN scope = 'project:src2' THEN 4 WHEN scope IN ('global', 'user') THEN 2 ELSE 0 END + CASE WHEN status = 'pinned' THEN 3 ELSE 0 END + {_REC} + least(importance, 3) + 0.5 * least(access_count, 5) AS DOUBLE) AS score FROM mem)
 SELECT id, score, place FROM (SELECT id, score, row_number() OVER (ORDER BY score DESC, id COLLATE en) AS place FROM hit WHERE status = 'archived' AND {_SCOPE} AND k > 0 AND score >= 2 AND coalesce(archived_reason, '') <> 'superseded-cleanup') WHERE place <= 3 AND (SELECT count(*) FROM hit WHERE {_ELIG} AND k > 0 AND score >= 2) < 3"""
 
 
