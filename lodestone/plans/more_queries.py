@@ -1,0 +1,218 @@
+"""Registered queries of pages, commands and the smaller functions, each beside its SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import api
+from ..functions import text as fn
+from ..operators import archive, lint, merge, pages, ranking
+from ..sources import stores, transcripts
+from .proxies import NOW, view, with_views
+from .queries import _EXPIRED, ASKED, Query, _lambdas
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, *views: str):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = (with_views(*views) if views else "") + _lambdas(sql)
+        return f
+
+    return add
+
+
+def _mem(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "MEM")
+
+
+@query("FN02_finite", "SELECT id, CASE seq % 4 WHEN 0 THEN importance WHEN 1 THEN 7.0 WHEN 2 THEN 7.0 ELSE 7.0 END AS n FROM mem", "MEM")
+def fn02(spark, d):
+    r = F.col("seq") % 4
+    x = F.when(r == 0, F.col("importance")).when(r == 1, F.lit(float("nan"))).when(r == 2, F.lit(float("inf")))
+    return _mem(spark, d).select("id", fn.finite(x, 7.0).alias("n"))
+
+
+@query("FN03_arrays", "SELECT id, CASE WHEN seq % 2 = 0 THEN len(entities) ELSE 0 END AS n FROM mem", "MEM")
+def fn03(spark, d):
+    return _mem(spark, d).select("id", F.size(fn.as_array(F.when(F.col("seq") % 2 == 0, F.col("entities")))).cast("long").alias("n"))
+
+
+@query("FN04_archived", "SELECT id FROM mem WHERE status = 'archived'", "MEM")
+def fn04(spark, d):
+    return ranking.score_archived(_mem(spark, d), ASKED).select("id")
+
+
+@query("FN05_eligible_types", f"SELECT id FROM mem WHERE status NOT IN ('superseded', 'archived') AND NOT {_EXPIRED} AND (scope IN ('global', 'user') OR scope = 'project:src5') AND type = 'semantic'", "MEM")
+def fn05(spark, d):
+    return ranking.eligible(_mem(spark, d), ranking.Query("", "src5", NOW, type="semantic")).select("id")
+
+
+@query("FN20_content_hits", "SELECT count(*) AS n FROM mem WHERE list_contains(source_files, 'src/f1.py')", "MEM")
+def fn20(spark, d):
+    return ranking.rank(_mem(spark, d), ranking.Query("", None, NOW, ["src/f1.py"])).where(ranking.is_content_hit()).agg(F.count("*").alias("n"))
+
+
+@query("FN23_list_fields", "SELECT id, len(entities) AS n, CASE WHEN seq % 3 = 0 THEN 0 ELSE 2 END AS fixed FROM (SELECT id, seq, list_filter(list_transform(string_split(replace(array_to_string(entities, ','), ';', ''), ','), e -> trim(e)), e -> e <> '') AS entities FROM mem)", "MEM")
+def fn23(spark, d):
+    written = F.concat(F.lit("["), F.replace(F.array_join("entities", ", "), F.lit(";"), F.lit("")), F.lit("]"))
+    fixed = F.when(F.col("seq") % 3 == 0, F.lit("null")).otherwise(F.lit('["a", "b"]'))
+    return _mem(spark, d).select("id", F.size(stores.list_field(written)).cast("long").alias("n"), F.size(stores.json_list_field(fixed)).cast("long").alias("fixed"))
+
+
+@query("FN24_legacy_trust", "SELECT id, CASE WHEN len(source_sessions) + len(source_commits) > 0 AND (scope IN ('global', 'user') OR project IS NOT NULL) THEN 'trusted' ELSE 'unknown' END AS trust FROM mem", "MEM")
+def fn24(spark, d):
+    from .session_queries import _documents
+
+    docs = stores.memory_markdown(_documents(spark, d)).select(F.col("id").alias("path"), F.regexp_replace("md", r"\ntrust: [a-z]+", "").alias("md"))
+    return stores.memory_documents(docs).select("id", "trust")
+
+
+@query("FN38_command_texts", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'ls -l' WHEN 1 THEN 'git \"a b\"' ELSE 'echo ' || turn END AS command FROM conversations WHERE role = 'assistant'")
+def fn38(spark, d):
+    t = F.col("turn")
+    given = F.when(t % 3 == 0, F.lit('{"command":["bash","-lc","ls -l"]}')).when(t % 3 == 1, F.lit('{"cmd":["git","a b"]}')).otherwise(F.concat(F.lit('{"command":"echo '), t.cast("string"), F.lit('"}')))
+    body = F.concat(F.lit('{"type":"response_item","payload":{"type":"function_call","name":"exec_command","call_id":"c'), t.cast("string"), F.lit('","arguments":'), F.substr(F.to_json(F.array(given)), F.lit(2), F.length(F.to_json(F.array(given))) - 2), F.lit("}}"))
+    rows = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'assistant'")
+    meta = rows.select("conv_id").distinct().select(F.concat(F.lit("/l/"), F.col("conv_id").cast("string")).alias("path"), F.lit(-1).alias("line_no"), F.lit('{"type":"session_meta","payload":{"id":"s"}}').alias("value"))
+    lines = rows.select(F.concat(F.lit("/l/"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("line_no"), body.alias("value")).unionByName(meta.withColumn("line_no", F.col("line_no").cast("int")), allowMissingColumns=True)
+    got = transcripts.parse_rollouts(lines)
+    return got.select(F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("conv_id"), F.substr(F.element_at("blocks", 1)["id"], F.lit(2)).cast("long").alias("turn"), F.element_at("blocks", 1)["command"].alias("command"))
+
+
+@query("FN45_changed_fields", "SELECT id, CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END AS n FROM mem", "MEM")
+def fn45(spark, d):
+    mem = _mem(spark, d)
+    new = mem.withColumn("target_key", F.col("id")).withColumn("importance", F.when(F.col("seq") % 2 == 0, F.lit(99.0)).otherwise(F.col("importance")))
+    return archive.changed_fields(new, mem, ["importance", "title"]).select("id", F.size("changes").cast("long").alias("n"))
+
+
+@query("FN46_unchanged", "SELECT session_id, conv_id % 3 <> 0 AS same FROM sessions", "SESSIONS")
+def fn46(spark, d):
+    rows = view(spark, d, "SESSIONS")
+    fresh = merge.changed_sessions(rows, rows.where("conv_id % 3 <> 0")).select("session_id", F.lit(False).alias("same"))
+    return rows.select("session_id").join(fresh, "session_id", "left").select("session_id", F.coalesce("same", F.lit(True)).alias("same"))
+
+
+@query("FN48_clean_pages", "SELECT id, regexp_replace(question, '[\\x00-\\x1F\\x{7F}-\\x{9F}]', ' ', 'g') AS question, len(tags) AS n FROM qa", "QA")
+def fn48(spark, d):
+    return pages.clean(view(spark, d, "QA"), ["tags"]).select("id", "question", F.size("tags").cast("long").alias("n"))
+
+
+@query("JN14_resolve_project", "SELECT 'src3' AS project")
+def jn14(spark, d):
+    return merge.resolve_project(view(spark, d, "SESSIONS"), "nowhere", "/work/src3")
+
+
+@query("JN15_proposals", "SELECT m.id, CASE WHEN t.id IS NULL THEN 'null' ELSE t.status END AS before FROM mem m LEFT JOIN mem t ON t.id = m.supersedes WHERE m.supersedes IS NOT NULL AND CASE WHEN t.id IS NULL THEN 'null' ELSE t.status END <> m.status", "MEM")
+def jn15(spark, d):
+    mem = _mem(spark, d)
+    rows = archive.changed_fields(mem.where("supersedes is not null").withColumn("target_key", F.col("supersedes")), mem, ["status"])
+    return rows.where("size(changes) > 0").select("id", F.element_at("changes", 1)["before"].alias("before"))
+
+
+@query("RNK13_hints", "SELECT id, '  ' || id || '  (' || archived_reason || ')  — ' || CASE WHEN length(c) > 120 THEN substr(c, 1, 119) || '…' ELSE c END || CASE WHEN coalesce(trust, 'unknown') = 'trusted' THEN '' ELSE ' (untrusted)' END || '  — memory-unarchive ''' || id || ''' to restore' AS line FROM (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS c FROM mem WHERE status = 'archived')", "MEM")
+def rnk13(spark, d):
+    return pages.hints(_mem(spark, d).where("status = 'archived'").withColumn("source", F.lit("local")))
+
+
+@query("RNK13_next_step", "SELECT 'No ACTIVE memory matched, but archived entries did — see coldStorage — archived on device dev1; restore it there (memory-unarchive is local-only).' AS step")
+def rnk13b(spark, d):
+    return pages.next_step(_mem(spark, d).where("status = 'archived' and seq % 3 = 1").withColumn("source", F.lit("overlay")))
+
+
+@query("RNK09_unresolved", "SELECT count(*) AS n FROM (SELECT 1 WHERE false)")
+def rnk09(spark, d):
+    q = ranking.Query("onre", None, NOW)
+    return api.recall(_mem(spark, d), view(spark, d, "USAGE"), q, resolved=False)[1].agg(F.count("*").alias("n"))
+
+
+@query("LNT17_human", f"SELECT '[warning] expired ' || id || ': active memory expired at validTo=' || valid_to || ' (now {NOW})' AS line FROM mem WHERE status = 'active' AND {_EXPIRED}", "MEM")
+def lnt17(spark, d):
+    return lint.human(lint.expired(_mem(spark, d), NOW)).select("line")
+
+
+@query("LNT15_corrupt_index", "SELECT 'corrupt-index' AS \"check\", 'qa' AS layer, 'not JSON' AS detail")
+def lnt15(spark, d):
+    states = spark.createDataFrame([("memory", '{"version":1,"entries":{}}'), ("qa", "{"), ("entity", None)], "layer string, value string")
+    rows = states.select("layer", stores.load_state(F.col("value")).alias("s")).select("layer", "s.*")
+    return lint.corrupt(rows).select("check", "layer", "detail")
+
+
+@query("LCY06_07_review", "SELECT count(*) FILTER (gated) AS proposed, count(*) FILTER (NOT gated) AS written FROM (SELECT m.type IN ('core', 'procedural') OR m.status = 'pinned' OR coalesce(t.type IN ('core', 'procedural') OR t.status = 'pinned', false) AS gated FROM mem m LEFT JOIN mem t ON t.id = m.supersedes)", "MEM")
+def lcy06(spark, d):
+    mem = _mem(spark, d)
+    return archive.gate(mem, mem).agg(F.count_if("gated").alias("proposed"), F.count_if(~F.col("gated")).alias("written"))
+
+
+@query("LCY09_approve", "SELECT id, CASE WHEN seq = 7 THEN 'approved' ELSE title END AS title FROM mem", "MEM")
+def lcy09(spark, d):
+    mem = _mem(spark, d)
+    queue = mem.where("seq in (7, 8)").withColumn("title", F.lit("approved")).withColumn("order", F.col("seq")).withColumn("supersedes", F.lit(None).cast("string")).withColumn("target_key", F.col("seq").cast("string"))
+    return api.memory_approve(mem, queue, "7", NOW)[0].select("id", "title")
+
+
+@query("LCY11_qa_write", "SELECT count(*) AS n, count(DISTINCT id) AS ids, count(*) FILTER (scope = 'global' AND project IS NULL) AS global FROM (SELECT 'qa/' || CASE WHEN starts_with(scope, 'project:') THEN substr(scope, 9) ELSE '_global' END || lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS id, scope, CASE WHEN starts_with(scope, 'project:') THEN substr(scope, 9) END AS project FROM qa)", "QA")
+def lcy11(spark, d):
+    rows = pages.qa_writes(view(spark, d, "QA"), NOW).where("defect is null")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if((F.col("scope") == "global") & F.col("project").isNull()).alias("global"))
+
+
+@query("LCY11_entity_write", "SELECT id, CASE WHEN p % 2 = 0 THEN 'new' ELSE title END AS title FROM (SELECT *, CAST(string_split(id, '/')[-1] AS BIGINT) AS p FROM entity)", "ENTITY")
+def lcy11b(spark, d):
+    rows = view(spark, d, "ENTITY")
+    items = rows.withColumn("order", F.substring_index("id", "/", -1).cast("long")).where("order % 2 = 0").withColumn("title", F.lit("new"))
+    return api.entity_write(rows, items, NOW).select("id", "title")
+
+
+@query("SNK06_07_pages", "SELECT id, scope, project, lower(kind) AS kind, len(tags) AS n_tags, related_entities[1] AS first_entity FROM qa", "QA")
+def snk07(spark, d):
+    plain, quoted, lists = ["id", "scope", "kind", "updated_at"], ["project", "question", "answer_summary"], ["tags", "source_memory_ids", "related_entities"]
+    rows = view(spark, d, "QA").withColumns({c: fn.collapsed(F.col(c)) for c in ("question", "answer_summary")}).withColumn("body", F.lit("b"))
+    docs = pages.markdown(rows, plain, quoted, lists, "question").select(F.col("id").alias("path"), "md")
+    return pages.parse(docs, plain, quoted, lists).select("id", "scope", "project", "kind", F.size("tags").cast("long").alias("n_tags"), F.element_at("related_entities", 1).alias("first_entity"))
+
+
+@query("SNK10_payload", "SELECT count(*) AS n FROM mem WHERE status = 'archived'", "MEM")
+def snk10(spark, d):
+    lines = api.payload(_mem(spark, d).where("status = 'archived'").select("id", "title"))
+    return lines.where(F.get_json_object("value", "$.id").isNotNull()).agg(F.count("*").alias("n"))
+
+
+@query("SRC06_prefer_state_logs", "SELECT session_id, conv_id % 3 = 0 AS state FROM sessions", "SESSIONS")
+def src06(spark, d):
+    rows = view(spark, d, "SESSIONS").withColumn("workspace", F.col("project"))
+    pick = lambda of, state: of.select("workspace", "session_id", F.lit(state).alias("state"))
+    return transcripts.prefer_state_logs(pick(rows.where("conv_id % 3 = 0"), True), pick(rows, False)).select("session_id", "state")
+
+
+@query("SRC07_workspaces", "SELECT session_id, '/work/a b+c/' || conv_id AS folder FROM sessions", "SESSIONS")
+def src07(spark, d):
+    doc = F.concat(F.lit('{"folder":"file:///work/a%20b+c/'), F.col("conv_id").cast("string"), F.lit('"}'))
+    return view(spark, d, "SESSIONS").select("session_id", transcripts.workspace_path(doc).alias("folder"))
+
+
+@query("SRC35_proposals", "SELECT 'p' || seq AS proposal_id, id AS target_key FROM mem WHERE seq % 2 = 0", "MEM")
+def src35(spark, d):
+    doc = F.when(F.col("seq") % 2 == 0, F.concat(F.lit('{"proposalId":"p'), F.col("seq").cast("string"), F.lit('","targetKey":"'), "id", F.lit('"}'))).otherwise("{")
+    return stores.proposals(_mem(spark, d).select(F.col("id").alias("name"), doc.alias("value"))).select("proposal_id", "target_key")
+
+
+@query("API_memory_query", "SELECT count(*) AS n FROM mem WHERE status <> 'archived' AND (status = 'superseded' OR supersedes IS NOT NULL OR valid_to IS NOT NULL)", "MEM")
+def api_query(spark, d):
+    return api.memory_query(_mem(spark, d), view(spark, d, "USAGE"), ASKED)[1].agg(F.count("*").alias("n"))
+
+
+@query("API_prepare", "SELECT session_id, 0.1 AS insight FROM sessions WHERE project = 'src3' AND conv_id % 7 <> 0 AND NOT list_contains((SELECT list(DISTINCT s) FROM (SELECT unnest(source_sessions) AS s FROM mem WHERE type = 'episodic')), session_id)", "SESSIONS", "MEM")
+def api_prepare(spark, d):
+    rows = view(spark, d, "SESSIONS").withColumn("body", F.lit("## User\n\nfix it\n"))
+    return api.prepare(rows, _mem(spark, d), view(spark, d, "SKIPS"), "src3").select("session_id", "signals.insight")
+
+
+@query("API_memory_archive")
+def api_archive(spark, d):
+    return api.memory_archive(_mem(spark, d), view(spark, d, "OVERLAY"), view(spark, d, "USAGE"), view(spark, d, "SESSIONS"), NOW, ["status", "title"])
