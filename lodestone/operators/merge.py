@@ -101,3 +101,19 @@ def superseded_renders(index: DataFrame, written: DataFrame) -> DataFrame:
     old = index.alias("o").join(written.alias("n"), "session_id").where("o.path <> n.path").select(F.col("o.path").alias("path"))
     current = index.join(written.select("session_id"), "session_id", "left_anti").select("path").union(written.select("path"))
     return old.distinct().join(current.distinct(), "path", "left_anti")
+
+
+def projects_of_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, slug): of the longest root (root) above each absolute path, else of its folder; system folders and homes have none.
+
+    A path's folders are exploded and joined to the roots, so that the prefix match is a hash join.
+    """
+    rows = paths.where(F.startswith("path", F.lit("/"))).select("path").distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    best = rows.select("path", F.explode(above).alias("root")).join(roots.select("root").distinct(), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    system = folder.rlike("^(/tmp/|/private/tmp/|/etc|/usr|/var|/System|/opt)") | (folder == "")
+    own = fn.project_slug_of_path(folder)
+    slug = F.when(F.col("root").isNotNull(), fn.project_slug_of_path(F.col("root"))).when(~system & ~own.isin("home", "root"), own)
+    return rows.join(best, "path", "left").select("path", slug.alias("slug"))

@@ -216,3 +216,46 @@ def api_prepare(spark, d):
 @query("API_memory_archive")
 def api_archive(spark, d):
     return api.memory_archive(_mem(spark, d), view(spark, d, "OVERLAY"), view(spark, d, "USAGE"), view(spark, d, "SESSIONS"), NOW, ["status", "title"])
+
+
+@query("FN40_paths_to_projects", "SELECT path, CASE k WHEN 0 THEN 'work-src' || c WHEN 1 THEN 'lib-x' ELSE NULL END AS slug FROM (SELECT DISTINCT conv_id AS c, conv_id % 4 AS k, CASE conv_id % 4 WHEN 0 THEN '/work/src' || conv_id || '/a/b.py' WHEN 1 THEN '/w/lib/x/f' || conv_id WHEN 2 THEN '/usr/lib/f' || conv_id ELSE '/home/ann/f' || conv_id END AS path FROM conversations)")
+def fn40(spark, d):
+    c = F.col("conv_id").cast("string")
+    k = F.col("conv_id") % 4
+    path = F.when(k == 0, F.concat(F.lit("/work/src"), c, F.lit("/a/b.py"))).when(k == 1, F.concat(F.lit("/w/lib/x/f"), c)).when(k == 2, F.concat(F.lit("/usr/lib/f"), c)).otherwise(F.concat(F.lit("/home/ann/f"), c))
+    talk = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id").distinct()
+    roots = talk.where(k == 0).select(F.concat(F.lit("/work/src"), c).alias("root")).union(talk.limit(1).select(F.lit("/work")))
+    return merge.projects_of_paths(talk.select(path.alias("path")), roots)
+
+
+@query("FN44_snapshots", "SELECT id, substr('{\"id\":\"' || id || '\",\"type\":\"' || type || '\"}', 1, 120) AS shot FROM mem", "MEM")
+def fn44(spark, d):
+    return _mem(spark, d).select("id", stores.snapshot(F.struct("id", "type")).alias("shot"))
+
+
+@query("SRC32_session_index", "SELECT 'claude:' || session_id AS key, 'raw/' || project || '/x.md' AS \"relativePath\", mtime_ms AS \"sourceMtimeMs\" FROM sessions WHERE conv_id % 5 <> 0", "SESSIONS")
+def src32(spark, d):
+    version = F.when(F.col("conv_id") % 5 == 0, "2").otherwise("1")
+    doc = F.concat(F.lit('{"version":'), version, F.lit(',"entries":{"claude:'), "session_id", F.lit('":{"sessionId":"'), "session_id", F.lit('","relativePath":"raw\\\\'), "project", F.lit('\\\\x.md","sourceMtimeMs":'), F.col("mtime_ms").cast("string"), F.lit("}}}"))
+    return stores.session_rows(view(spark, d, "SESSIONS").select(doc.alias("value"))).select("key", "relativePath", "sourceMtimeMs")
+
+
+@query("SRC33_skip_ledger", "SELECT session_id, reason, \"at\" FROM skips", "SKIPS")
+def src33(spark, d):
+    doc = F.concat(F.lit('{"version":1,"sessions":{"'), "session_id", F.lit('":{"reason":"'), "reason", F.lit('","at":"'), "at", F.lit('"}}}'))
+    rows = view(spark, d, "SKIPS").select(doc.alias("value"))
+    return stores.skip_rows(rows.union(rows.limit(1).select(F.lit('{"version":1,"sessions":[]}'))))
+
+
+@query("AGG14_gate_count", f"SELECT count(*) AS n FROM mem WHERE status NOT IN ('superseded', 'archived') AND NOT {_EXPIRED} AND (scope IN ('global', 'user') OR scope = 'project:src2') AND list_contains(source_files, 'src/f1.py')", "MEM")
+def agg14(spark, d):
+    return ranking.score_memories(_mem(spark, d), ranking.Query("", "src2", NOW, ["src/f1.py"])).agg(F.count_if(ranking.is_content_hit()).alias("n"))
+
+
+@query("AGG08_tools", "SELECT 'Edit' AS name, count(*) FILTER (role = 'assistant' AND turn % 2 = 1) AS n FROM conversations UNION ALL SELECT 'Bash', count(*) FILTER (role = 'assistant' AND turn % 4 = 1) FROM conversations")
+def agg08(spark, d):
+    from ..operators import digest
+    from .session_queries import messages
+
+    rows = digest.manifest(messages(spark, d)).select(F.explode("tools_used").alias("name", "n"))
+    return rows.groupBy("name").agg(F.sum("n").alias("n"))

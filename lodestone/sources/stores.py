@@ -164,3 +164,21 @@ def proposals(documents: DataFrame) -> DataFrame:
     """Queued proposals (name, value) in the order of their names; corrupt ones go."""
     v = F.try_parse_json("value")
     return documents.select("name", _text(v, "proposalId").alias("proposal_id"), _text(v, "targetKey").alias("target_key"), _text(v, "action").alias("action"), _text(v, "createdAt").alias("created_at")).where("target_key is not null").orderBy("name")
+
+
+def session_rows(documents: DataFrame) -> DataFrame:
+    """Rows of session indexes (value), paths with forward slashes; a bad version or shape gives none."""
+    v = F.col("entry")
+    names = ["sessionId", "shortId", "tool", "project", "projectRaw", "startedAt", "endedAt", "nameSlug", "displayName", "sourcePath", "sourceSha256"]
+    number = F.when(_kind(v, "$.sourceMtimeMs").rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$.sourceMtimeMs", "double"))
+    return entries(documents).select("key", *[_text(v, n).alias(n) for n in names], F.replace(_text(v, "relativePath"), F.lit("\\"), F.lit("/")).alias("relativePath"), number.alias("sourceMtimeMs"))
+
+
+def skip_rows(documents: DataFrame) -> DataFrame:
+    """(session_id, reason, at) of skip ledgers; a ledger whose sessions are no object gives none."""
+    return entries(documents, "sessions").select(F.col("key").alias("session_id"), _text(F.col("entry"), "reason").alias("reason"), _text(F.col("entry"), "at").alias("at"))
+
+
+def snapshot(entry: Column) -> Column:
+    """The first 120 characters of an entry's JSON, for messages."""
+    return F.substring(F.to_json(entry), 1, 120)
