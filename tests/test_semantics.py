@@ -150,6 +150,18 @@ def test_shell_evidence_limits():
     assert evidence.analyse("set -euo pipefail; git commit -m x", True) == (True, [])
 
 
+def test_gate_wants_a_whole_receipt(spark):
+    kind = "session_id string, idx int, kind string, call_id string, name string, command string, skill string, error boolean, interrupted boolean, denied boolean, output string, committed boolean, exit_code int, background boolean"
+    good = '{"paths":["p"],"written":1,"superseded":0}'
+    rows = []
+    for session, out in (("full", good), ("empty", '{"paths":[],"written":1,"superseded":0}'), ("none", "ok"), ("kind", '{"paths":["p"],"proposed":1,"targetKeys":["k"],"proposedEntryIds":["i"]}')):
+        rows += [(session, 0, "user", None, None, None, None, None, None, None, None, None, None, None)]
+        for i, (name, command, output) in enumerate((("Edit", None, ""), ("Bash", "lodestone memory-write --input x", out))):
+            rows += [(session, 1 + 2 * i, "call", f"c{i}", name, command, None, None, None, None, None, None, None, None), (session, 2 + 2 * i, "result", f"c{i}", None, None, None, False, False, None, output, None, 0, None)]
+    got = {r.session_id: r.block for r in evidence.decide(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {"full": False, "empty": True, "none": True, "kind": True}
+
+
 def test_streamed_ingest_equals_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
