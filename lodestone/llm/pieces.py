@@ -143,19 +143,28 @@ class Vocabulary:
 
     def best(self, part: bytes) -> list[int]:
         """Ids of the best run of pieces for a part whose blanks are markers."""
-        n, scores, least, prefixes = len(part), self.scores, self.least, self.trie.prefixes
+        n, scores, least = len(part), self.scores, self.least
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
         top, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
         top[0] = 0.0
         at = 0
         while at < n:
             head = part[at]
             step = at + (1 if head < 0x80 else 2 if head < 0xE0 else 3 if head < 0xF0 else 4)
-            here, single = top[at], False
-            for end, i in prefixes(part, at):
-                value = here + scores[i]
-                if value > top[end]:
-                    top[end], back[end] = value, (at, i)
-                single |= end == step
+            here, single, node, end = top[at], False, 0, at
+            while end < n:  # the trie's prefixes, shortest first
+                child = base[node] + part[end] + 1
+                if check[child] != node:
+                    break
+                node = child
+                end += 1
+                i = value[node]
+                if i >= 0:
+                    total = here + scores[i]
+                    if total > top[end]:
+                        top[end], back[end] = total, (at, i)
+                    if end == step:
+                        single = True
             if not single and here + least > top[step]:
                 top[step], back[step] = here + least, (at, -1)
             at = step
