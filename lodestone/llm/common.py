@@ -108,7 +108,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
-        release_memory()
+    release_memory()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

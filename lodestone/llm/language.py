@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, record, slices, texts, utf8
+from .common import crc_mod, slices, texts, utf8
 
 #: Most texts of a language that are learned from, and the landmarks among them.
 PER_LANGUAGE, LANDMARKS = 240, 40

@@ -44,7 +44,7 @@ from .suffix import common_prefixes, suffix_array
 LENGTH = 200
 #: Bytes of the grams that key windows, level by level; the last is a whole window.
 GRAMS = (32, 128, 200)
-SHARD_BYTES = 3 << 19
+SHARD_BYTES = 3 << 20
 BLOOM_BYTES = 32 << 20
 #: Different contents of a key, estimated, above which its windows are keyed by longer grams.
 HOT = 2048
@@ -96,19 +96,23 @@ def least_hashes(data: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0], b
     return chosen, first != last
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64; kept for the next call."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        inverse = np.uint64(pow(int(_M1), -1, 1 << 64))
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (_M1, inverse)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def _contents(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of bytes, from a running sum of keyed words."""
-    power = np.multiply.accumulate(np.full(int(size.max()) if len(size) else 1, _M1)) if len(size) else None
-    out = np.zeros(len(start), np.uint64)
-    for a in range(0, len(start), 4096):
-        s, z = start[a : a + 4096], size[a : a + 4096]
-        cuts = np.cumsum(z) - z
-        owner = np.repeat(np.arange(len(z)), z)
-        at = np.arange(int(z.sum())) - cuts[owner]
-        value = (data[s[owner] + at].astype(np.uint64) + np.uint64(1)) * power[at]
-        value ^= value >> np.uint64(29)
-        out[a : a + 4096] = _mix(np.add.reduceat(value * _M2, cuts) ^ z.astype(np.uint64))
-    return out
+    """A 64-bit hash of each range of at least 8 bytes: differences of a running polynomial of mixed 8-byte words."""
+    digits = _mix(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel() * _M1)
+    power, inverse = _powers(len(digits))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digits * power, dtype=np.uint64)))
+    return _mix((total[start + size - 7] - total[start]) * inverse[start] ^ size.astype(np.uint64) * _M2)
 
 
 def fragments_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0], both: bool = False, within: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -179,28 +183,26 @@ def _fragments(docs: DataFrame, length: int, full: bool, bloom: tuple[int, bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, raw = shared.value
         bits = np.frombuffer(raw, np.uint8) if raw else None
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 17):  # whose arrays stay in a core's cache
             data, ends = utf8(batch.column("text"))
-            keys, starts, sizes, twices, owners = [], [], [], [], []
-            for i in range(batch.num_rows):
-                key, start, size, twice = fragments_of(data[ends[i] : ends[i + 1]], length, both=not full)
-                if not len(key):
-                    continue
-                keys.append(key)
-                starts.append(start)
-                sizes.append(size)
-                twices.append(twice)
-                owners.append(np.full(len(key), i))
-            if not keys:
+            raw, ends = data[ends[0] : ends[-1]], ends - ends[0]
+            if len(raw) < length:
                 continue
-            key, start, size, twice, owner = (np.concatenate(x) for x in (keys, starts, sizes, twices, owners))
+            # all texts of a slice at once: windows that end in their own text
+            fits = np.flatnonzero(np.diff(ends) >= length)
+            change = np.zeros(len(raw) + 1, np.int8)
+            change[ends[fits]] += 1
+            change[ends[fits + 1] - length + 1] -= 1
+            within = np.cumsum(change[: len(raw) - length + 1]) > 0
+            key, start, size, twice = fragments_of(raw, length, GRAMS[0], not full, within)
+            owner = np.searchsorted(ends, start, side="right") - 1
             if full and bits is not None:
                 kept = np.ones(len(key), bool)
                 for i in range(3):
                     bit = (key >> np.uint64(18 * i)) & np.uint64((1 << log) - 1)
                     kept &= (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 key, start, size, owner = key[kept], start[kept], size[kept], owner[kept]
-            content = _contents(data, start + ends[owner], size + length - 1)
+            content = _contents(raw, start, size + length - 1)
             if not full:  # two Flajolet-Martin sketches of 32 bits in one number
                 low, high = content & np.uint64(0xFFFFFFFF) | np.uint64(1 << 31), content >> np.uint64(32) | np.uint64(1 << 31)
                 sketch = (low & (~low + np.uint64(1))) | (high & (~high + np.uint64(1))) << np.uint64(32)
@@ -208,7 +210,7 @@ def _fragments(docs: DataFrame, length: int, full: bool, bloom: tuple[int, bytes
                 yield record(short, [key.view(np.int64), sketch.view(np.int64)])
             elif len(key):
                 doc, tag = np.asarray(batch.column("doc")), np.asarray(batch.column("tag"))
-                yield record(long, [key.view(np.int64), content.view(np.int64), doc[owner], tag[owner], start << 16 | size])
+                yield record(long, [key.view(np.int64), content.view(np.int64), doc[owner], tag[owner], start - ends[owner] << 16 | size])
 
     rows = _identified(docs)
     return rows.mapInArrow(run, "key long, content long, doc long, tag long, pos long" if full else "key long, sketch long")
@@ -296,7 +298,6 @@ def _ranges(shards: DataFrame, length: int) -> DataFrame:
         a, b = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
         start = np.cumsum([0] + [len(p) + 1 for p in pieces])
         owner = np.searchsorted(start, a, side="right") - 1
-        release_memory()
         return record(schema, [np.asarray(whole["key"])[owner], np.asarray(whole["content"])[owner], (a - start[owner]).astype(np.int32), (b - start[owner]).astype(np.int32)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,6 +321,7 @@ def _ranges(shards: DataFrame, length: int) -> DataFrame:
             last = key[-1]
         if kept:
             yield solve(kept)
+        release_memory()
 
     return rows.mapInArrow(run, "key long, content long, a int, b int")
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Strings of names up to this length are ranked by doubling; a bucket scan costs more there.
-SMALL = 1 << 18
+SMALL = 1 << 19
 _ZERO = np.zeros(1, np.int64)
 
 
