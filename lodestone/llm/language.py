@@ -109,7 +109,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     counts = known.groupBy("lang").agg(F.count("*").alias("of"))
     order = F.xxhash64("doc_id", "text")
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.least(F.lit(1_000_000.0), 3e6 * per_language / F.col("of"))
-    thin = known.join(counts, "lang").where(share).select("lang", "text", order.alias("h"))
+    # one row a language, of which the model holds weights too
+    thin = known.join(F.broadcast(counts), "lang").where(share).select("lang", "text", order.alias("h"))
     first = thin.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("nth") <= per_language)
     sample = [(r.lang, r.text.encode()) for r in first.select("lang", "text").collect()]
     return fit(sample) if sample else None
