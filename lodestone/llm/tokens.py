@@ -45,14 +45,14 @@ class ChunkEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, many to a line; one by one where a line's word ends don't match."""
         lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
         out: list[bytes] = []
-        for line, e in zip(lines, self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(line) or cuts[-1] != 4 * len(ids):
