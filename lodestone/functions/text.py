@@ -156,6 +156,7 @@ def preview(x: Column, most: int) -> Column:
 def for_display(x: Column) -> Column:
     """Terminal sequences and control characters out, blanks collapsed, at most 120 characters."""
     s = x
+    # fixed values: terminal sequences
     for pattern in (r"(?s)\x1b\].*?(?:\x07|\x1b\\|$)", r"(?s)\x1b[P^_X].*?(?:\x1b\\|$)", r"\x1b\[[0-9;:<=>?]*[ -/]*[@-~]", r"\x1b[ -/]*[0-~]", r"\x1b"):
         s = F.regexp_replace(s, pattern, "")
     s = preview(control_free(s), 120)
@@ -282,6 +283,7 @@ def flat_key(x: Column) -> Column:
     return F.replace(x, F.lit("/"), F.lit("__"))
 
 
+# Commit and tag commands of a shell text
 _HEREDOC = r"""\bgit\s+commit\b[^\n]*?-m\s+"\$\(cat\s+<<\s*'?(\w+)'?[\r\n]+([\s\S]*?)[\r\n]+\1\s*\)\""""
 _MESSAGE = r"""\bgit\s+commit\b[^\n]*?-m\s+(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|(\S+))"""
 _TAG = r"""\bgit\s+tag\b(?:[^\n]*?-(?:a|s)\s+)?\s*(v[\w.\-+]+)(?:[^\n]*?-m\s+(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'))?"""
