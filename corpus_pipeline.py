@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import language, packing, pii, simhash, substring_dedup
+from lodestone.llm import language, near_copies, packing, pii, substring_dedup
 from lodestone.llm.common import bounded_batches, table, written
 
 
@@ -20,8 +20,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by fingerprint."""
-    return simhash.kept_documents(docs)
+    """One document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more, verified exactly."""
+    return near_copies.kept_documents(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -191,6 +191,15 @@ def _grouped(marked: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     return distinct, written(components(links(distinct, radius)).withColumnRenamed("node", "fp"), "roots")
 
 
+def first_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the ``first`` (null flag, doc_id, tag) of a group, each once."""
+    first = first.select(F.col("first.none").alias("__none"), F.coalesce("first.doc_id", F.lit(0)).alias("__doc"), F.col("first.tag").alias("__tag"))
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+    rows = docs.select(whole, F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__doc"), F.xxhash64("text").alias("__tag"))
+    # the join has dealt the rows by this key already; repeated rows are all that is left to drop
+    return rows.join(first, ["__none", "__doc", "__tag"], "left_semi").dropDuplicates(["__none", "__doc", "__tag"]).select("row.*")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text)."""
     marked = written(fingerprints(docs, width), "fingerprints")
@@ -207,8 +216,4 @@ def kept_documents(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) ->
     marked = written(fingerprints(docs, width), "fingerprints")
     distinct, root = _grouped(marked, radius)
     first = distinct.join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("first"))
-    first = first.select(F.col("first.none").alias("__none"), F.coalesce("first.doc_id", F.lit(0)).alias("__doc"), F.col("first.tag").alias("__tag"))
-    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
-    rows = docs.select(whole, F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__doc"), F.xxhash64("text").alias("__tag"))
-    # the join has dealt the rows by this key already; repeated rows are all that is left to drop
-    return rows.join(first, ["__none", "__doc", "__tag"], "left_semi").dropDuplicates(["__none", "__doc", "__tag"]).select("row.*")
+    return first_rows(docs, first)

@@ -1,7 +1,11 @@
 """The corpus pipeline on small tables, stage by stage."""
 
+import random
+
+import pytest
+
 import corpus_pipeline
-from lodestone.llm import pii
+from lodestone.llm import near_copies, pii
 from lodestone.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +39,51 @@ def test_odd_rows_and_empty_tables(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def plain_groups(rows):
+    """Components of all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    label = list(range(len(rows)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = sets[i], sets[j]
+            if x == y or (min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and 10 * len(x & y) >= 8 * len(x | y)):
+                label[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("common", [4, 1])
+def test_near_copies_are_all_found(spark, common, monkeypatch):
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    monkeypatch.setattr(near_copies, "SAMPLED", 8 if common > 1 else 1)
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(r.choices(words, k=r.choice((3, 5, 9, 60, 300))))) for i in range(60)]
+    for i in range(120):
+        copy = r.choice(rows)[1].split()
+        for _ in range(r.choice((0, 1, 2, 4, 6))):
+            copy[r.randrange(len(copy))] = r.choice(words)
+        rows.append((100 + i, " ".join(copy[r.choice((0, 0, 5)) if len(copy) > 9 else 0 :])))
+    rows += [(900, ""), (901, None), (902, " \n"), (None, rows[70][1]), (7, rows[7][1])]
+    least = {}
+    for (i, _), g in zip(rows, plain_groups(rows), strict=True):
+        least[g] = min((x for x in (least.get(g), i) if x is not None), default=None)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.one_of_each(spark, df, SF).collect()) == sorted(least.values())
+
+
+def test_planted_near_copies_go(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [tuple(x) for x in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    kept = {x.doc_id for x in corpus_pipeline.one_of_each(spark, docs, SF).collect()}
+    assert kept == {rows[g][0] for g in plain_groups(rows)} and len({643, 770} & kept) < 2
