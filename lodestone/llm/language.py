@@ -6,6 +6,10 @@ the product of how many occur in each. Landmark texts (Nystroem) stand for the k
 feature space, and one-versus-rest kernel ridge regression is solved there. A batch is scored
 by two matrix products: presence rows by landmarks, kernel rows by weights.
 
+Presence saturates as a text grows, so a text is cut into equal windows of ``WINDOW`` bytes at
+most, which cover it whole (an n-gram belongs to the window it begins in); its kernel with a
+landmark, the first window of a text, is the mean over its windows.
+
 The model is fitted on a bounded sample, ``PER_LANGUAGE`` texts of each language at most, taken
 by hash over all learnable rows; its size doesn't depend on the input. Every text is scored
 whole.
@@ -27,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, slices, texts, utf8
+from .common import crc_mod, expand, slices, texts, utf8
 
 #: Most texts of a language that are learned from, and the landmarks among them.
 PER_LANGUAGE, LANDMARKS = 240, 40
 FEATURES = 8192
+#: Bytes in a window at most, and windows held as presence rows at once.
+WINDOW, WINDOWS = 8192, 512
 ORDERS = (1, 2, 3, 4)
 RIDGE, SHARPNESS = 1e-2, 4.0
 UNKNOWN = "und"
@@ -39,17 +45,27 @@ UNKNOWN = "und"
 _MIX = np.uint32(2_654_435_761)
 
 
-def presence(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One float32 row for each text: 1 where an n-gram that hashes there occurs."""
+def windows(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of texts begin and end (n + 1 places), and how many each text has."""
+    size = np.diff(ends)
+    counts = np.maximum(1, -(-size // WINDOW))
+    own, nth = expand(counts)
+    return np.append(ends[:-1][own] + size[own] * nth // counts[own], ends[-1]), counts
+
+
+def presence(data: np.ndarray, ends: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """One float32 row for each text or window: 1 where an n-gram that begins in it hashes; after: where the text of each ends."""
     n = len(ends) - 1
     out = np.zeros((n, FEATURES), np.float32)
-    raw = data[ends[0] : ends[-1]]
+    after = ends[1:] if after is None else after
+    most = max(ORDERS) - 1
+    raw = data[ends[0] : min(ends[-1] + most, after[-1])] if n else data[:0]
     lower = raw | (((raw >= 65) & (raw <= 90)).view(np.uint8) << 5)
-    after = np.append(False, raw[:-1] == 0xC3) if len(raw) else np.zeros(0, bool)
-    lower |= (after & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)).view(np.uint8) << 5
+    led = np.append(ends[0] > 0 and data[ends[0] - 1] == 0xC3, raw[:-1] == 0xC3) if len(raw) else np.zeros(0, bool)
+    lower |= (led & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)).view(np.uint8) << 5
     size = np.diff(ends)
     row = np.repeat(np.arange(n, dtype=np.int64) * FEATURES, size)
-    left = np.repeat(ends[1:] - ends[0], size) - np.arange(len(raw))
+    left = np.repeat(after - ends[0], size) - np.arange(len(row))
     code, flat = np.zeros(len(raw), np.uint32), out.ravel()
     wide = lower.astype(np.uint32)
     shift = np.uint32(32 - (FEATURES.bit_length() - 1))
@@ -57,8 +73,9 @@ def presence(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         step = wide[order - 1 :]
         code = (code[: len(step)] << np.uint32(8)) | step
         if order in ORDERS:
-            at = row[: len(step)] + (((code ^ np.uint32(order * 0x9E37)) * _MIX) >> shift)
-            flat[at[left[: len(step)] >= order]] = 1
+            m = min(len(step), len(row))
+            at = row[:m] + (((code[:m] ^ np.uint32(order * 0x9E37)) * _MIX) >> shift)
+            flat[at[left[:m] >= order]] = 1
     return out
 
 
@@ -73,8 +90,19 @@ class Model:
         size = np.sqrt(np.maximum(rows.sum(1), 1))[:, None] * np.sqrt(np.maximum(self.landmarks.sum(1), 1))[None]
         return (rows @ self.landmarks.T) / size
 
-    def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        raw = SHARPNESS * (self.kernel(rows) @ self.weights + self.bias)
+    def of_texts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The kernel of each text with the landmarks: the mean over its windows."""
+        at, counts = windows(ends)
+        after = np.repeat(ends[1:], counts)
+        out = np.zeros((len(counts), len(self.landmarks)))
+        own = np.repeat(np.arange(len(counts)), counts)
+        for a in range(0, len(own), WINDOWS):
+            b = min(a + WINDOWS, len(own))
+            np.add.at(out, own[a:b], self.kernel(presence(data, at[a : b + 1], after[a:b])))
+        return (out / counts[:, None]).astype(np.float32)
+
+    def probabilities(self, kernel: np.ndarray) -> np.ndarray:
+        raw = SHARPNESS * (kernel @ self.weights + self.bias)
         e = np.exp(raw - raw.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
@@ -85,15 +113,17 @@ def fit(sample: list[tuple[str, bytes]]) -> Model:
     languages = sorted({x for x, _ in sample})
     ends = np.concatenate(([0], np.cumsum([len(t) for _, t in sample])))
     data = np.frombuffer(b"".join(t for _, t in sample), np.uint8)
-    rows = np.concatenate([presence(data, ends[a : a + 257]) for a in range(0, len(sample), 256)])
     of = np.array([languages.index(x) for x, _ in sample])
     marks = np.concatenate([np.flatnonzero(of == i)[:LANDMARKS] for i in range(len(languages))])
-    model = Model(languages, rows[marks], np.zeros(0), np.zeros(0))
-    among = model.kernel(rows[marks]).astype(float)
+    at, counts = windows(ends)
+    first = np.cumsum(counts) - counts
+    landmarks = np.concatenate([presence(data, at[first[i] : first[i] + 2], ends[i + 1 : i + 2]) for i in marks])
+    model = Model(languages, landmarks, np.zeros(0), np.zeros(0))
+    among = model.kernel(landmarks).astype(float)
     value, vector = np.linalg.eigh(among)
     some = value > 1e-6 * value.max()
     root = vector[:, some] / np.sqrt(value[some])
-    phi = model.kernel(rows).astype(float) @ root
+    phi = model.of_texts(data, ends).astype(float) @ root
     target = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = 1 / np.bincount(of, minlength=len(languages))[of] * len(of) / len(languages)
     bias = (weight[:, None] * target).sum(0) / weight.sum()
@@ -133,7 +163,7 @@ def score(docs: DataFrame, model: Model | None, keep: str = "doc_id") -> DataFra
             pred, sure = np.full(n, UNKNOWN, object), np.zeros(n)
             some = np.fromiter((has_letter(t) for t in texts(batch)), bool, n)
             if model is not None and some.any():
-                p = model.probabilities(presence(*utf8(batch.column("text"))))
+                p = model.probabilities(model.of_texts(*utf8(batch.column("text"))))
                 best = p.argmax(1)
                 pred[some] = np.array(model.languages, object)[best[some]]
                 sure[some] = p[np.arange(n), best][some]

@@ -351,6 +351,31 @@ def test_language(spark, odd):
     assert kept.columns == odd.columns and kept.where("text is null or trim(text) = ''").count() == 0
 
 
+def test_language_of_very_long_texts(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    model = language.learn(docs)
+    for lang in model.languages:
+        texts = sorted(r.text for r in docs.where(f"lang = '{lang}' and text is not null").select("text").collect())
+        for seed in (0, 1):
+            random.Random(seed).shuffle(texts)
+            whole = " ".join(texts)
+            whole = whole * (3_000_000 // len(whole) + 1)
+            df = spark.createDataFrame([(1, whole[:1_500_000]), (2, whole[:3_000_000])], "doc_id long, text string")
+            assert [(r.lang_pred, r.score > 0.6) for r in language.score(df, model).collect()] == [(lang, True)] * 2
+
+
+def test_windows_hold_every_gram(monkeypatch):
+    monkeypatch.setattr(language, "WINDOW", 5)
+    data = np.frombuffer("abcdefÉghijklmno".encode() + b"xyz", np.uint8)
+    ends = np.array([0, 17, 20])
+    at, counts = language.windows(ends)
+    rows = language.presence(data, at, np.repeat(ends[1:], counts))
+    whole = language.presence(data, ends)
+    assert counts.tolist() == [4, 1] and (rows[:4].max(0) == whole[0]).all() and (rows[4] == whole[1]).all()
+    parts = [language.presence(data, at[a : a + 2], np.repeat(ends[1:], counts)[a : a + 1])[0] for a in range(5)]
+    assert (np.array(parts) == rows).all()
+
+
 def test_presence_is_the_set_of_grams():
     texts = ["abcA", "", "É", "aé"]
     data = "".join(texts).encode()
