@@ -5,7 +5,7 @@ pattern all stop there), so the ids of a text are those of its white-space-separ
 in a row. Known chunks come from the memo. New ones of letters alone go to the library many to
 a line and are told apart by the tokens that end a word; a new chunk of letters before marks
 is the ids of both; all others go to the library one by one. A text that holds a special
-token's string goes to the library whole. A-Z are lower-cased first unless a combining mark
+token's string, in whatever case, goes to the library whole and as it is. A-Z are lower-cased first unless a combining mark
 (U+0300 to U+036F) is near, which could compose with one case only.
 """
 
@@ -38,7 +38,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -82,7 +82,7 @@ class ChunkEncoder:
         memo.update((chunk, memo[head] + memo[tail]) for chunk, head, tail in marked)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if b"<|" in t and any(s in t for s in self.special)}
+        odd = {i for i, t in enumerate(texts) if b"<|" in t and any(s in t.lower() for s in self.special)}
         chunks = [[] if i in odd else (t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for i, t in enumerate(texts)]
         new = set().union(*chunks).difference(self.memo)
         if len(self.memo) + len(new) > self.most:

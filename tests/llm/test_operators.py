@@ -146,6 +146,13 @@ def test_chunk_encoder_equals_the_library(rows, ids):
     assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])] == [x[:-1].tolist() for x in ids(texts)]
 
 
+def test_special_strings_of_any_case(ids):
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|StartOfText|>y J\u030c", "<|endoftext|> and <|ENDOFTEXT|>"]
+    encode = tokens.ChunkEncoder(tokens.default_path()).encode
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])] == [x[:-1].tolist() for x in ids(texts)]
+    assert 49407 not in np.frombuffer(encode([b"<|EndOfText|>"])[0], "<u4")
+
+
 def test_token_files(spark, docs, rows, odd, ids):
     for df, texts in ((docs, rows), (odd, [(r[0], r[1]) for r in ODD])):
         want, start = collections.Counter(), 0
