@@ -1,9 +1,10 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the first 4 and 5 letters of longer words, lower-cased. From a bounded,
-class-stratified sample of labelled rows the terms associated with the label (chi-squared over
-``MIN_CHI``) are kept; examples are TF-IDF vectors of unit length over them. The examples form
-an inverted index whose postings are cut into blocks of ``BLOCK`` consecutive examples, with
+Terms are words and the first 4 and 5 letters of longer words, lower-cased. All terms of a
+bounded, class-stratified sample of labelled rows count, by IDF times the cube of how far the
+share of toxic rows among those with the term (``PRIOR`` rows of the sample's share added) is
+from the sample's share, which doesn't depend on the sample's size; examples are vectors of unit
+length over them. The examples form an inverted index whose postings are cut into blocks of ``BLOCK`` consecutive examples, with
 the largest weight of each term in each block. A query bounds each block by those maxima,
 scores the most promising blocks exactly, and then only the blocks whose bound still exceeds
 the k-th best cosine: the k nearest examples are exact. Neighbours vote with their cosine
@@ -34,10 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, expand, record, slices
 
-#: Labelled rows of each class in the index, at most; learned terms at most.
+#: Labelled rows of each class in the index, at most; rows added to a term's own.
 SAMPLE = {1: 1500, 0: 3000}
-TERMS = 4096
-MIN_CHI = 40.0
+PRIOR = 4.0
 BLOCK = 64
 NEIGHBOURS = 15
 THRESHOLD = 0.3
@@ -85,30 +85,38 @@ class Index:
         order = np.lexsort((owner, term))
         self.owner, self.weight = owner[order], weight[order]
         cell = term[order] * self.blocks + self.owner // BLOCK
-        self.start = np.searchsorted(cell, np.arange(t * self.blocks + 1))
-        self.most = np.zeros(t * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(t, self.blocks)
+        # cells (term, block) that hold postings, by term, and where each begins
+        self.cell, first = np.unique(cell, return_index=True)
+        self.begin = np.append(first, len(cell))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(self.cell, np.arange(t + 1) * self.blocks)
         self.empty = np.array([not r for r in rows])
         self.cuts, self.values = np.zeros(0), np.zeros(1)
 
     def unit(self, row: Counter) -> tuple[np.ndarray, np.ndarray]:
         term = np.fromiter(row, np.int64, len(row))
         w = (1 + np.log(np.fromiter(row.values(), float, len(row)))) * self.idf[term]
-        return term, w / math.sqrt(float(w @ w)) if len(w) else w
+        return term, w / math.sqrt(float(w @ w)) if w.any() else w
 
-    def _exact(self, term: np.ndarray, q: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = (term[:, None] * self.blocks + blocks).ravel()
-        own, nth = expand(self.start[cell + 1] - self.start[cell])
-        at = self.start[cell[own]] + nth
-        dot = np.bincount(self.owner[at], weights=self.weight[at] * np.repeat(q, len(blocks))[own], minlength=len(self.ids))
+    @property
+    def start(self) -> np.ndarray:
+        """Where the postings of each (term, block) begin."""
+        return self.begin[np.searchsorted(self.cell, np.arange(len(self.number) * self.blocks + 1))]
+
+    def _exact(self, cell: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, nth = expand(self.begin[cell + 1] - self.begin[cell])
+        at = self.begin[cell[own]] + nth
+        dot = np.bincount(self.owner[at], weights=self.weight[at] * q[own], minlength=len(self.ids))
         found = np.flatnonzero(dot)
         return found, dot[found]
 
     def nearest(self, row: Counter, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (over 0), best first, and the cosines."""
         term, q = self.unit(row)
-        bound = q @ self.most[term]
+        own, nth = expand(self.cells[term + 1] - self.cells[term])
+        cell, q = self.cells[term[own]] + nth, q[own]
+        block = self.cell[cell] % self.blocks
+        bound = np.bincount(block, weights=q * self.most[cell], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
@@ -117,7 +125,10 @@ class Index:
                 part = part[bound[part] >= cosine[k - 1] - 1e-12]
             if not len(part):
                 continue
-            found, dot = self._exact(term, q, part)
+            asked = np.zeros(self.blocks, bool)
+            asked[part] = True
+            asked = asked[block]
+            found, dot = self._exact(cell[asked], q[asked])
             if without is not None:
                 dot, found = dot[found != without], found[found != without]
             best, cosine = np.append(best, found), np.append(cosine, dot)
@@ -127,7 +138,7 @@ class Index:
 
     def votes(self, best: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine**2 * self.vote[best]
-        return float(w @ self.label[best] / w.sum()) if len(best) else -1.0
+        return float(w @ self.label[best] / w.sum()) if w.any() else -1.0
 
     def calibrate(self, raw: np.ndarray) -> None:
         """Pools raw votes of the examples until the share of the label rises with the vote."""
@@ -155,16 +166,11 @@ def fit(sample: list[tuple[int, int, str]], share: dict[int, float]) -> Index |
     for _, y, text in sample:
         chunks = set(text.lower().split())
         seen[y].update({t for c in chunks for t in chunk_terms(c)})
-    n, chi = len(sample), {}
-    for t, a in seen[1].items():
-        b = seen[0][t]
-        if a + b >= 4:
-            c, d = size[1] - a, size[0] - b
-            top = (a * d - b * c) ** 2 * n / max(1, (a + b) * (c + d) * size[1] * size[0])
-            if top >= MIN_CHI and a * d > b * c:
-                chi[t] = top
-    number = {t: i for i, t in enumerate(sorted(sorted(chi), key=chi.get, reverse=True)[:TERMS])}
-    idf = np.array([math.log(1 + n / (seen[0][t] + seen[1][t])) for t in number])
+    n, base = len(sample), size[1] / len(sample)
+    number = {t: i for i, t in enumerate(sorted(seen[0] | seen[1]))}
+    toxic, clean = (np.fromiter((seen[y][t] for t in number), float, len(number)) for y in (1, 0))
+    lean = (toxic + PRIOR * base) / (toxic + clean + PRIOR) - base
+    idf = np.log(1 + n / (toxic + clean)) * np.abs(lean) ** 3
     seen.clear()
     counter = Terms(number)
     rows = [counter.count(text) for _, _, text in sample]
@@ -198,15 +204,12 @@ def score(docs: DataFrame, index: Index | None, threshold: float = THRESHOLD, ev
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         counter = Terms(index.number if index else {})
-        known: dict[tuple, tuple] = {}
         for batch in slices(batches, "text"):
-            rows = []
+            rows, known = [], {}
             for text in batch.column("text").to_pylist():
-                found = counter.count(text or "") if index else Counter()
-                key = tuple(sorted(found.items()))
+                key = text or ""
                 if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
+                    found = counter.count(key) if index else Counter()
                     best, cosine = index.nearest(found) if found else (np.zeros(0, np.int64), np.zeros(0))
                     value = index.score(index.votes(best, cosine)) if index else 0.0
                     known[key] = value, int(value >= threshold), [{"doc_id": int(index.ids[b]), "toxic": int(index.label[b]), "cosine": float(c)} for b, c in zip(best[:evidence], cosine[:evidence], strict=True)]

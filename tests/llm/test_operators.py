@@ -346,6 +346,21 @@ def test_toxicity(spark, odd):
     assert toxicity.scored(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_small_tables_and_rare_words(spark, docs):
+    labels = table(spark, SF, "labels")
+    index = toxicity.learn(docs, labels, (4, 2))
+    assert {"scum", "moron", "trash"} <= set(index.number)
+    df = spark.createDataFrame([(1, "you scum you moron trash"), (2, "the report of the year")], "doc_id long, text string")
+    assert [r.predicted for r in sorted(toxicity.score(df, index).collect())] == [1, 0]
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    sample = [(i, int(i % 3 == 0), " ".join(r.choices(words, k=80) + ["slur"] * (i % 3 == 0) + ["vilest"] * (i in (3, 300, 600, 900)))) for i in range(1200)]
+    sample = [(i, y, t.replace("slur ", "").replace("slur", "") if "vilest" in t else t) for i, y, t in sample]
+    index = toxicity.fit(sample, {0: 1.0, 1: 1.0})
+    df = spark.createDataFrame([(1, " ".join(r.choices(words, k=80)) + " vilest"), (2, " ".join(r.choices(words, k=80)))], "doc_id long, text string")
+    assert [r.predicted for r in sorted(toxicity.score(df, index).collect())] == [1, 0]
+
+
 def test_language(spark, odd):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
