@@ -46,7 +46,7 @@ FROM (MEM) WHERE seq % 3 = 0
 UNION ALL SELECT id || '-sib', title, status, importance, origin_device, updated_at FROM (MEM) WHERE seq % 50 = 7
 """
 
-_USAGE = "SELECT m.id, CAST(count(*) AS double) AS n, max('2026-06-' || lpad(CAST(1 + e.event_id % 28 AS string), 2, '0')) AS last_access FROM (MEM) m JOIN events e ON e.event_id % 1000 = m.seq WHERE m.seq < 1000 GROUP BY m.id"
+_USAGE = "SELECT m.id, CAST(count(*) AS double) AS n, max('2026-06-' || lpad(CAST(1 + e.event_id % 28 AS string), 2, '0')) AS last_access FROM (MEM) m JOIN (SELECT event_id, event_id % (SELECT count(*) FROM documents) AS seq FROM events) e ON e.seq = m.seq GROUP BY m.id"
 
 _SESSIONS = """
 SELECT 'session-' || lpad(CAST(conv_id % 300 AS string), 4, '0') || '-' || CAST(conv_id AS string) AS session_id,
