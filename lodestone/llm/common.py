@@ -10,7 +10,8 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -26,29 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder all machines share: ``spark.checkpoint.dir``; where it is unset, in local mode only, a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        app = spark.sparkContext.applicationId
+        at = _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
     return at.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows in an Arrow batch at most: whole texts pass through both the JVM's and the worker's buffers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
+def _at_exit(spark: SparkSession, work: Callable[[], object]) -> None:
     def run() -> None:
         if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
+            work()
 
     atexit.register(run)
 
@@ -56,16 +57,37 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    _delete_at_exit(spark, path)
+    _at_exit(spark, lambda: _delete(spark, path))
     return path
 
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``written`` tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, _PATHS.pop(t))
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder in buckets of ``key``, as many as shuffle partitions: joins by the key don't deal it out again."""
+    spark = df.sparkSession
+    path, n = fresh_path(spark, name), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    view = f"lodestone_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(view)
+    _at_exit(spark, lambda: spark.sql(f"drop table if exists {view}"))
+    return spark.table(view)
 
 
 def crc_mod(column: str, n: int) -> F.Column:
@@ -161,7 +183,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -5,50 +5,56 @@ document. Sharding: every string of that length has a least hash among its ``GRA
 which depends on its bytes alone, so equal strings share it. The consecutive windows of a
 document with the same least hash form one fragment (some 280 bytes), keyed by that hash.
 
-1. Fragments by key: a count, and a small sketch of how many different contents there are.
-2. Keys seen once hold no repeat (a fragment in which its gram occurs again counts twice). The others go into a Bloom filter of bounded size
-   (``BLOOM_BYTES``), which lets most other fragments go before they are written; past that size
-   it lets more through, and the exact join with the keys drops them.
-3. A key with very many different contents (a common line in many contexts) is cut up further:
-   its windows are keyed by longer grams, at last by all their bytes.
-4. Equal fragments become one with a count. One text of each is fetched from its document, the
-   fragments of a key come together in a shard, and the shard's suffix array (induced sorting)
-   and permuted common prefixes show which windows occur twice. Counted copies repeat whole.
-5. The windows' ranges go back to every document that holds the fragment, and their union is
-   removed.
-
-Counts are combined before each shuffle; the joins by key can be split when a key is hot; no
-text is held by more than one key's shard at a time, and shards are cut at keys once they hold
-``SHARD_BYTES``.
+1. The rows get numbers and are written once, in buckets of that number, so that no later step
+   shuffles texts. Fragments are counted by key.
+2. Keys seen once hold no repeat (a fragment in which its gram occurs again counts twice). The
+   others go into a Bloom filter of bounded size (``BLOOM_BYTES``), which lets most other
+   fragments go before they are written; past that size it lets more through, and exact counts
+   drop them.
+3. Equal fragments become one kind with a count. Where a key has one kind, all its windows repeat
+   if it is counted twice. A key with more than ``HOT`` kinds (a common line in many contexts) is
+   cut up further: its windows are keyed by longer grams, at last by all their bytes.
+4. One text of each other kind is cut from its row, the kinds of a key come together in a shard,
+   and the shard's suffix array (induced sorting) and permuted common prefixes show which windows
+   occur twice. Counted copies repeat whole.
+5. The windows' ranges go back to every row that holds the fragment, and their union is removed.
+
+Counts are combined before each shuffle; the joins by key can be split when a key is hot; shards
+are cut at keys once they hold ``SHARD_BYTES``, and a key holds ``HOT`` kinds at most. Kinds are
+told apart by 128 bits of two independent hashes.
 
 Defined results: null and empty texts keep no byte and lose none; texts shorter than ``length``
 lose none; rows with the same id are separate documents, so that repeated rows repeat each
-other; null ids are kept; other columns are ignored by ``digests`` and kept by ``cleaned``; an
-empty table gives an empty result.
+other; null ids are kept; other columns are ignored by ``digests`` and kept by ``cleaned``,
+whatever their names but ``text``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, expand, record, release_memory, slices, texts, utf8, written
+from .common import bucketed, discard, expand, record, release_memory, slices, texts, utf8, written
 from .suffix import common_prefixes, suffix_array
 
 LENGTH = 200
 #: Bytes of the grams that key windows, level by level; the last is a whole window.
 GRAMS = (32, 128, 200)
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 BLOOM_BYTES = 32 << 20
-#: Different contents of a key, estimated, above which its windows are keyed by longer grams.
+#: Different contents of a key above which its windows are keyed by longer grams.
 HOT = 2048
-_NO_ID = -(1 << 63)
+#: The number of a row, and the columns of placed fragments: pos is start << 16 | windows.
+RID = "__rid"
+_PLACED = pa.schema([("key", pa.int64()), ("content", pa.int64()), (RID, pa.int64()), ("pos", pa.int64()), ("twice", pa.bool_())])
+_KIND = f"key long, content long, {RID} long, pos long, twice boolean"
 _SEPARATOR = 255  # in no UTF-8 text, and stays 255 when 1 is added to the others
 
 #: Bits of a position in its gram's order.
@@ -144,12 +150,6 @@ def fragments_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0], b
     return chosen[start], start, size, found[start + size] > found[start]
 
 
-def _identified(docs: DataFrame, *more: str) -> DataFrame:
-    """doc and tag name a text: rows that share both have the same id and text."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc")
-    return docs.select(doc, F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"), *more)
-
-
 def _bloom(keys: DataFrame) -> tuple[int, bytes | None]:
     """(log2 of the bits, a bitmap with three bits for each key); without a key no bitmap."""
     n = keys.count()
@@ -174,14 +174,14 @@ def _bloom(keys: DataFrame) -> tuple[int, bytes | None]:
     return log, b"".join(found.get(p, empty) for p in range(parts))
 
 
-def _fragments(docs: DataFrame, length: int, full: bool, bloom: tuple[int, bytes | None] = (0, None)) -> DataFrame:
-    """The fragments of all texts: keys and sketches, or (full) those in the filter with their places."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
-    short = pa.schema([("key", pa.int64()), ("sketch", pa.int64())])
-    long = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64())])
+def _fragments(dealt: DataFrame, length: int, bloom: tuple[int, bytes | None] | None = None) -> DataFrame:
+    """The fragments of all texts: their keys (twice that of one that may repeat itself), or, with a filter, those in it with their places."""
+    full = bloom is not None
+    shared = dealt.sparkSession.sparkContext.broadcast(bloom)
+    kind = _PLACED if full else pa.schema([("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log, raw = shared.value
+        log, raw = shared.value or (0, None)
         bits = np.frombuffer(raw, np.uint8) if raw else None
         for batch in slices(batches, "text", 1 << 17):  # whose arrays stay in a core's cache
             data, ends = utf8(batch.column("text"))
@@ -194,53 +194,33 @@ def _fragments(docs: DataFrame, length: int, full: bool, bloom: tuple[int, bytes
             change[ends[fits]] += 1
             change[ends[fits + 1] - length + 1] -= 1
             within = np.cumsum(change[: len(raw) - length + 1]) > 0
-            key, start, size, twice = fragments_of(raw, length, GRAMS[0], not full, within)
-            owner = np.searchsorted(ends, start, side="right") - 1
-            if full and bits is not None:
-                kept = np.ones(len(key), bool)
-                for i in range(3):
-                    bit = (key >> np.uint64(18 * i)) & np.uint64((1 << log) - 1)
-                    kept &= (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                key, start, size, owner = key[kept], start[kept], size[kept], owner[kept]
-            content = _contents(raw, start, size + length - 1)
-            if not full:  # two Flajolet-Martin sketches of 32 bits in one number
-                low, high = content & np.uint64(0xFFFFFFFF) | np.uint64(1 << 31), content >> np.uint64(32) | np.uint64(1 << 31)
-                sketch = (low & (~low + np.uint64(1))) | (high & (~high + np.uint64(1))) << np.uint64(32)
-                key, sketch = np.append(key, key[twice]), np.append(sketch, sketch[twice])
-                yield record(short, [key.view(np.int64), sketch.view(np.int64)])
-            elif len(key):
-                doc, tag = np.asarray(batch.column("doc")), np.asarray(batch.column("tag"))
-                yield record(long, [key.view(np.int64), content.view(np.int64), doc[owner], tag[owner], start - ends[owner] << 16 | size])
-
-    rows = _identified(docs)
-    return rows.mapInArrow(run, "key long, content long, doc long, tag long, pos long" if full else "key long, sketch long")
-
-
-def _sketched(rows: DataFrame) -> DataFrame:
-    """(key, seen, sketch) of fragments (key, content, twice)."""
-    low, high = F.col("content").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("content", 32)
-    lowest = lambda x: x.bitwiseOR(F.lit(1 << 31)).bitwiseAND(-x.bitwiseOR(F.lit(1 << 31)))
-    sketch = lowest(low).bitwiseOR(F.shiftleft(lowest(high), 32))
-    return rows.groupBy("key").agg(F.sum(1 + F.col("twice").cast("int")).alias("seen"), F.bit_or(sketch).alias("sketch"))
-
-
-def _repeated_keys(keys: DataFrame) -> DataFrame:
-    """(key, hot) of the keys seen twice: hot if its sketch tells of very many different contents."""
-    sketch = F.col("sketch")
-    level = lambda x: F.bit_count(x.bitwiseAND(F.bitwise_not(x + 1)))  # noqa: E731  ones below the lowest zero
-    estimate = F.pow(2.0, (level(sketch.bitwiseAND(F.lit(0xFFFFFFFF))) + level(F.shiftrightunsigned(sketch, 32))) / 2) / 0.77351
-    return keys.where("seen > 1").select("key", (estimate > HOT).alias("hot"))
-
-
-def _refined(hot: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The windows of hot fragments as fragments keyed by longer grams."""
-    places = hot.groupBy("doc", "tag").agg(F.collect_set("pos").alias("places"))
-    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("pos", pa.int64()), ("twice", pa.bool_())])
+            key, start, size, twice = fragments_of(raw, length, GRAMS[0], True, within)
+            if not full:
+                yield record(kind, [np.append(key, key[twice]).view(np.int64)])
+                continue
+            if bits is None:
+                continue
+            kept = np.ones(len(key), bool)
+            for i in range(3):
+                bit = (key >> np.uint64(18 * i)) & np.uint64((1 << log) - 1)
+                kept &= (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            key, start, size, twice = key[kept], start[kept], size[kept], twice[kept]
+            if len(key):
+                owner = np.searchsorted(ends, start, side="right") - 1
+                content = _contents(raw, start, size + length - 1)
+                yield record(kind, [key.view(np.int64), content.view(np.int64), np.asarray(batch.column(RID))[owner], start - ends[owner] << 16 | size, twice])
+
+    return dealt.select(RID, "text").mapInArrow(run, _KIND if full else "key long")
+
+
+def _refined(places: DataFrame, dealt: DataFrame, length: int, gram: int) -> DataFrame:
+    """The windows of fragments (rid, pos) as fragments keyed by longer grams."""
+    places = places.groupBy(RID).agg(F.collect_list("pos").alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 19):
             parts = []
-            for text, doc, tag, places in zip(texts(batch), batch.column("doc").to_pylist(), batch.column("tag").to_pylist(), batch.column("places").to_pylist(), strict=True):
+            for text, rid, places in zip(texts(batch), batch.column(RID).to_pylist(), batch.column("places").to_pylist(), strict=True):
                 data = np.frombuffer(text, np.uint8)
                 within = np.zeros(len(data) - length + 1, bool)
                 for p in places:
@@ -248,24 +228,41 @@ def _refined(hot: DataFrame, docs: DataFrame, length: int, gram: int) -> DataFra
                 key, start, size, twice = fragments_of(data, length, gram, True, within)
                 if len(key):
                     content = _contents(data, start, size + length - 1)
-                    parts.append((key.view(np.int64), content.view(np.int64), np.full(len(key), doc), np.full(len(key), tag), start << 16 | size, twice))
+                    parts.append((key.view(np.int64), content.view(np.int64), np.full(len(key), rid), start << 16 | size, twice))
             if parts:
-                yield record(schema, [np.concatenate(x) for x in zip(*parts, strict=True)])
+                yield record(_PLACED, [np.concatenate(x) for x in zip(*parts, strict=True)])
+
+    return dealt.select(RID, "text").join(places, RID).select(RID, "text", "places").mapInArrow(run, _KIND)
 
-    return _identified(docs).join(places, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(run, "key long, content long, doc long, tag long, pos long, twice boolean")
 
+def _kinds(found: DataFrame) -> DataFrame:
+    """Each different fragment whose key is seen twice: how often it occurs, a place of it, and how many kinds its key has."""
+    kinds = found.groupBy("key", "content").agg(F.count("*").alias("n"), F.max(F.col("twice").cast("int")).alias("twice"), F.min(F.struct(RID, "pos")).alias("rep"))
+    kinds = written(kinds, "kinds")
+    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), (F.sum("n") + F.max("twice")).alias("seen")).where("seen > 1")
+    out = written(kinds.join(keys, "key").select("key", "content", "n", "rep", "kinds"), "kinds")
+    discard(kinds)
+    return out
 
-def _cut_out(kinds: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+
+def _cut_out(kinds: DataFrame, dealt: DataFrame, length: int) -> DataFrame:
     """(key, content, n, size, bytes): one text of each kind of fragment, from the document that stands for it."""
-    wanted = kinds.groupBy("rep.doc", "rep.tag").agg(F.collect_list(F.struct("key", "content", "n", F.col("rep.pos").alias("pos"))).alias("cuts"))
+    wanted = kinds.groupBy(F.col(f"rep.{RID}").alias(RID)).agg(F.collect_list(F.struct("key", "content", "n", F.col("rep.pos").alias("pos"))).alias("cuts"))
     schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("size", pa.int32()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            rows = [(c["key"], c["content"], c["n"], c["pos"] & 0xFFFF, text[c["pos"] >> 16 : (c["pos"] >> 16) + (c["pos"] & 0xFFFF) + length - 1]) for text, cuts in zip(texts(batch), batch.column("cuts").to_pylist(), strict=True) for c in cuts]
-            yield record(schema, list(map(list, zip(*rows, strict=True))))
+            cuts = batch.column("cuts")
+            cut, owner = cuts.flatten(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(cuts))
+            data, ends = utf8(batch.column("text"))
+            pos = np.asarray(cut.field("pos"))
+            size = pos & 0xFFFF
+            at = (ends[owner] + (pos >> 16)).tolist()
+            to = (ends[owner] + (pos >> 16) + size + length - 1).tolist()
+            raw = data.tobytes()
+            yield record(schema, [cut.field("key"), cut.field("content"), cut.field("n"), size.astype(np.int32), pa.array([raw[a:b] for a, b in zip(at, to, strict=True)], pa.binary())])
 
-    return _identified(docs).join(wanted, ["doc", "tag"]).select("text", "cuts").mapInArrow(run, "key long, content long, n long, size int, bytes binary")
+    return dealt.select(RID, "text").join(wanted, RID).select("text", "cuts").mapInArrow(run, "key long, content long, n long, size int, bytes binary")
 
 
 def repeated_windows(fragments: list[bytes], counts: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -285,10 +282,10 @@ def repeated_windows(fragments: list[bytes], counts: np.ndarray, sizes: np.ndarr
 
 
 def _ranges(shards: DataFrame, length: int) -> DataFrame:
-    """(key, content, a, b): the ranges of repeated windows of each kind of fragment."""
+    """(key, content, ranges): the ranges of repeated windows of each kind of fragment, start << 16 | length."""
     n = max(int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = shards.repartition(n, "key").sortWithinPartitions("key")
-    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("ranges", pa.list_(pa.int32()))])
 
     def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         whole = pa.Table.from_batches(parts).combine_chunks()
@@ -298,7 +295,11 @@ def _ranges(shards: DataFrame, length: int) -> DataFrame:
         a, b = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
         start = np.cumsum([0] + [len(p) + 1 for p in pieces])
         owner = np.searchsorted(start, a, side="right") - 1
-        return record(schema, [np.asarray(whole["key"])[owner], np.asarray(whole["content"])[owner], (a - start[owner]).astype(np.int32), (b - start[owner]).astype(np.int32)])
+        some, first = np.unique(owner, return_index=True)
+        found = pa.ListArray.from_arrays(np.append(first, len(a)).astype(np.int32), ((a - start[owner]) << 16 | (b - a)).astype(np.int32))
+        out = record(schema, [np.asarray(whole["key"])[some], np.asarray(whole["content"])[some], found])
+        release_memory()
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -321,32 +322,34 @@ def _ranges(shards: DataFrame, length: int) -> DataFrame:
             last = key[-1]
         if kept:
             yield solve(kept)
-        release_memory()
-
-    return rows.mapInArrow(run, "key long, content long, a int, b int")
 
-
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, tag, spans): for each text with repeated windows their ranges of window starts."""
-    bounded_batches(docs.sparkSession)
-    keys = _fragments(docs, length, full=False).groupBy("key").agg(F.count("*").alias("seen"), F.bit_or("sketch").alias("sketch"))
-    keys = written(_repeated_keys(keys), "keys")
-    found = written(_fragments(docs, length, full=True, bloom=_bloom(keys)), "fragments").join(keys, "key")
-    cold = found.where("not hot").drop("hot")
-    for gram in GRAMS[1:]:
-        if not keys.where("hot").limit(1).count():
+    return rows.mapInArrow(run, "key long, content long, ranges array<int>")
+
+
+def removals(dealt: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(rid, spans): for each row with repeated windows their ranges of window starts, start << 16 | length, in order."""
+    keys = written(_fragments(dealt, length).groupBy("key").agg(F.count("*").alias("seen")).where("seen > 1").select("key"), "keys")
+    found = written(_fragments(dealt, length, _bloom(keys)), "fragments")
+    discard(keys)
+    places, solved = [], []
+    for gram in [*GRAMS[1:], None]:
+        kinds = _kinds(found)
+        # all windows of an only kind repeat as it does
+        only = F.col("kinds") == 1
+        hot = (F.col("kinds") > HOT) if gram else F.lit(False)
+        size = F.col("rep.pos").bitwiseAND(F.lit(0xFFFF)).cast("int")
+        solved.append(kinds.where(only & (F.col("n") > 1)).select("key", "content", F.array(size).alias("ranges")))
+        solved.append(_ranges(_cut_out(kinds.where(~hot & ~(only & (F.col("n") > 1))), dealt, length), length))
+        places.append(found.select("key", "content", RID, "pos"))
+        hot_keys = kinds.where(hot).select("key").distinct()
+        if not gram or hot_keys.isEmpty():
             break
-        rows = written(_refined(found.where("hot"), docs, length, gram), "refined")
-        keys = written(_repeated_keys(_sketched(rows)), "keys")
-        found = rows.drop("twice").join(keys, "key")
-        # equal windows are all that a key of the last level holds
-        cold = cold.unionByName(found.where("not hot or pos % 65536 = 1" if gram == length else "not hot").drop("hot"))
-    cold = written(cold, "fragments")
-    kinds = cold.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "tag", "pos")).alias("rep"))
-    ranges = written(_ranges(_cut_out(kinds, docs, length), length), "ranges")
-    start = F.shiftright("pos", 16)
-    spans = cold.join(ranges.distinct(), ["key", "content"]).select("doc", "tag", F.struct((start + F.col("a")).alias("a"), (start + F.col("b")).alias("b")).alias("span"))
-    return spans.groupBy("doc", "tag").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+        found = written(_refined(found.join(hot_keys, "key").select(RID, "pos"), dealt, length, gram), "fragments")
+    ranges = written(reduce(DataFrame.unionByName, solved), "ranges")
+    start, r = F.shiftright("pos", 16), F.explode("ranges")
+    spans = reduce(DataFrame.unionByName, places).join(ranges, ["key", "content"]).select(RID, start.alias("start"), r.alias("r"))
+    span = F.shiftleft(F.col("start") + F.shiftright("r", 16), 16).bitwiseOR(F.col("r").bitwiseAND(F.lit(0xFFFF)))
+    return spans.groupBy(RID).agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,17 +360,23 @@ def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[first], top[np.append(first[1:], len(a)) - 1]
 
 
-def keep(text: bytes, spans: list[dict] | None, length: int = LENGTH) -> tuple[list[bytes], int, int]:
+def keep(text: bytes, spans: list[int] | None, length: int = LENGTH) -> tuple[list[bytes], int, int]:
     """The remaining stretches of a text, the bytes removed and the maximal removed runs."""
     if not spans:
         return [text], 0, 0
-    a = np.fromiter((s["a"] for s in spans), np.int64, len(spans))
-    b = np.fromiter((s["b"] for s in spans), np.int64, len(spans)) + length - 1
-    a, b = _union(a, b)
+    found = np.array(spans, np.int64)
+    a = found >> 16
+    a, b = _union(a, a + (found & 0xFFFF) + length - 1)
     stays = [text[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)]
     return stays, int((b - a).sum()), len(a)
 
 
+def _dealt(docs: DataFrame, *more: Column) -> DataFrame:
+    """Every row under a number of its own: a table in buckets of that number, which later joins read without a shuffle of texts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return bucketed(docs.select(F.monotonically_increasing_id().alias(RID), text, *more), RID, "texts")
+
+
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -380,24 +389,38 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((len(text), removed, runs, hashlib.sha256(b"".join(stays)).hexdigest()))
             yield record(schema, [batch.column("doc_id"), *map(list, zip(*rows, strict=True))])
 
-    rows = _identified(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").join(removals(docs, length), ["doc", "tag"], "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    dealt = _dealt(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    rows = dealt.join(removals(dealt, length), RID, "left").select("doc_id", "text", "spans")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with the same columns, repeated bytes removed from its texts; a character that loses a byte goes whole."""
-    names = docs.columns
-    kept = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), "doc_id", "text")
-    rows = _identified(kept, "row").join(removals(docs, length), ["doc", "tag"], "left").select("row", "spans")
+    """``docs`` with the same columns, repeated bytes removed from its texts; a character that loses a byte goes whole.
+
+    A null text stays null; ``n_chars``, where there is one, is the new text's.
+    """
+    rest = [n for n in docs.columns if n != "text"]
+    null = F.col("text").isNull().alias("__null")
+    dealt = _dealt(docs, null, *([F.struct(*[F.col(f"`{n}`") for n in rest]).alias("__rest")] if rest else []))
+    rows = dealt.join(removals(dealt, length), RID, "left").drop(RID)
+    kind = rows.drop("spans").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = batch.column("row")
-            found = row.field("text").to_pylist()
-            spans = batch.column("spans").to_pylist()
-            new = [t if not s else b"".join(x.decode(errors="ignore").encode() for x in keep(t.encode(), s, length)[0]).decode() for t, s in zip(found, spans, strict=True)]
-            columns = [pa.array(new, row.type.field("text").type) if n == "text" else row.field(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    out = rows.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+        for batch in slices(batches, "text"):
+            new = batch.column("text")
+            spans = batch.column("spans")
+            at = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                found = new.to_pylist()
+                for i in at.tolist():
+                    stays, _, _ = keep(found[i].encode(), spans[i].as_py(), length)
+                    found[i] = b"".join(x.decode(errors="ignore").encode() for x in stays).decode()
+                new = pa.array(found, new.type)
+            yield pa.RecordBatch.from_arrays([new if n == "text" else batch.column(n) for n in kind.names], names=kind.names)
+
+    out = rows.mapInArrow(run, kind)
+    text = F.when(~F.col("__null"), F.col("text")).alias("text")
+    columns = {"text": text} | {n: F.col(f"__rest.`{n}`") for n in rest}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[columns[n] for n in docs.columns])

@@ -5,7 +5,8 @@ pass, names them, solves the string of names by recursion where names repeat, an
 order of all suffixes from that of the LMS suffixes. A bucket of equal first characters is one
 array step (and one more for each character of a run), so the work is linear in the text. Names
 of the recursion are written as two digits, which keeps the number of buckets near the root of
-the number of names; its last levels, of at most ``SMALL`` names, are ranked by doubling.
+the number of names; it ends where all names differ. Positions are 32-bit: a text must be
+shorter than 2^31.
 
 ``common_prefixes`` computes the permuted array: the common prefix of each suffix, in text order,
 with the suffix before it in the array. Only irreducible entries (those whose preceding
@@ -16,8 +17,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Strings of names up to this length are ranked by doubling; a bucket scan costs more there.
-SMALL = 1 << 19
 _ZERO = np.zeros(1, np.int64)
 
 
@@ -25,8 +24,8 @@ def _types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one."""
     step = text[1:].astype(np.int32) - text[:-1]
     known = np.append(step != 0, True)
-    at = np.arange(len(text))
-    nearest = np.minimum.accumulate(np.where(known, at, len(text))[::-1])[::-1]
+    at = np.arange(len(text), dtype=np.int32)
+    nearest = np.minimum.accumulate(np.where(known, at, np.int32(len(text)))[::-1])[::-1]
     return np.append(step > 0, True)[nearest]
 
 
@@ -43,7 +42,7 @@ class _Buckets:
         lms = self.small.copy()
         lms[0] = False
         lms[1:] &= ~self.small[:-1]
-        self.lms = np.flatnonzero(lms)
+        self.lms = np.flatnonzero(lms).astype(np.int32)
 
     def _groups(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions by first character, in the given order inside each; the characters, where each begins, and counts."""
@@ -59,9 +58,9 @@ class _Buckets:
     def induce(self, lms: np.ndarray) -> np.ndarray:
         """All suffixes, given the LMS suffixes in order (or in any order, to sort LMS substrings)."""
         text, small = self.text, self.small
-        out = np.full(len(text), -1, np.int64)
+        out = np.full(len(text), -1, np.int32)
         at, chars, cuts, n = self._groups(lms)
-        head, tail, steps = self.start.copy(), self.end.copy(), np.arange(len(text))
+        head, tail, steps = self.start.copy(), self.end.copy(), np.arange(len(text), dtype=np.int32)
         sown = dict(zip(chars.tolist(), np.split(at, cuts[1:]), strict=True))
 
         def put(source: np.ndarray, larger: bool) -> None:
@@ -110,53 +109,32 @@ def _same_substring(text: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.n
     return same
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a short string of names by ranks of doubling lengths, from two or three names at once."""
-    n, top = len(names), int(names.max()) + 2
-    k = 3 if top < 1 << 21 else 2
-    key = names + 1
-    for i in range(1, k):
-        key = key * top
-        key[: n - i] += names[i:] + 1
-    while True:
-        order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate((_ZERO, ranked[1:] != ranked[:-1])))
-        if rank[order[-1]] == n - 1:
-            return order
-        key = rank * (n + 1)
-        key[: max(n - k, 0)] += rank[k:] + 1
-        k *= 2
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffix array of ``text``, whose last entry is 0 and all others are larger."""
     if len(text) == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     buckets = _Buckets(text)
     lms = buckets.lms
     order = buckets.induce(lms)
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
-    ranked = order[is_lms[order]].astype(np.int64)
-    size = np.ones(len(text), np.int64)
+    ranked = order[is_lms[order]]
+    size = np.ones(len(text), np.int32)
     size[lms] = np.append(np.diff(lms) + 1, 1)
     new = np.append(True, ~_same_substring(text, ranked[1:], ranked[:-1], size[ranked[1:]], size[ranked[:-1]]))
     name = np.cumsum(new) - 1
     if name[-1] + 1 < len(lms):
-        of = np.zeros(len(text), np.int64)
+        of = np.zeros(len(text), np.int32)
         of[ranked] = name
         names = of[lms]
         top = int(name[-1]) + 1
-        if len(names) <= SMALL:
-            ranked = lms[_by_doubling(names)]
-        elif top <= 512:
-            ranked = lms[suffix_array(names.astype(np.int32))]
+        del of, order, size
+        if top <= 512:
+            ranked = lms[suffix_array(names.astype(np.uint16))]
         else:
             base = int(np.ceil(np.sqrt(top)))
             pairs = np.stack((names // base + 1, names % base + 1), 1).ravel()
-            deeper = suffix_array(np.append(pairs, 0).astype(np.int32))
+            deeper = suffix_array(np.append(pairs, 0).astype(np.uint16))
             deeper = deeper[1:]
             ranked = lms[deeper[deeper % 2 == 0] // 2]
     return buckets.induce(ranked)
@@ -165,14 +143,14 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each suffix in text order, its common prefix with the suffix before it in the array (0 for the first); ``text`` is bytes."""
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     eight = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(16, np.uint8)), 8)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     irreducible = np.append(True, text[:-1] != text[before[1:] - 1]) | (before <= 0)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     live = np.flatnonzero(irreducible & (before >= 0))
-    reach = np.zeros(len(live), np.int64)
+    reach = np.zeros(len(live), np.int32)
     a, b, slot = live, before[live], np.arange(len(live))
     done = 0
     while len(a):

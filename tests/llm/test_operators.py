@@ -113,9 +113,15 @@ def test_substring_dedup(spark, docs, rows, odd, hot, monkeypatch):
     assert substring_dedup.digests(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("small", [0, 1 << 18])
-def test_suffix_arrays(small, monkeypatch):
-    monkeypatch.setattr(suffix, "SMALL", small)
+def test_repeated_rows_have_spans_of_their_own(spark):
+    base = "".join(random.Random(4).choice("abcdef ") for _ in range(700))
+    docs = spark.createDataFrame([(1, base)] * 1000 + [(2, base[:400])], "doc_id long, text string")
+    dealt = substring_dedup._dealt(docs)
+    assert max(len(r.spans) for r in substring_dedup.removals(dealt).collect()) <= 501
+    assert all(r.n_removed == r.n_bytes and r.n_spans == 1 for r in substring_dedup.digests(docs).collect())
+
+
+def test_suffix_arrays():
     r = random.Random(3)
     words = [bytes(r.randint(1, 250) for _ in range(r.randint(9, 200))) for _ in range(50)]
     cases = [bytes(r.randint(1, a) for _ in range(n)) + b"\0" for a in (1, 2, 5, 200) for n in (0, 1, 2, 7, 60, 300)]
