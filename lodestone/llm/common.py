@@ -16,7 +16,7 @@ from weakref import WeakKeyDictionary
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes, so that a worker's arrays stay small.
@@ -90,6 +90,26 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(view)
 
 
+#: The number of a row in a ``numbered`` table.
+RID = "__rid"
+
+
+def numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """Every row of ``docs`` under a number of its own, in buckets of that number: joins by it shuffle no texts.
+
+    Columns: the number, the text (null as empty), whether it was null, the other columns as one, and ``more``.
+    """
+    rest = [F.col(f"`{n}`") for n in docs.columns if n != "text"]
+    text, null = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("text").isNull().alias("__null")
+    return bucketed(docs.select(F.monotonically_increasing_id().alias(RID), text, null, *([F.struct(*rest).alias("__rest")] if rest else []), *more), RID, "texts")
+
+
+def restored(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """``numbered`` rows with the columns of ``docs`` again; changed: columns with new values."""
+    of = {n: F.when(~F.col("__null"), F.col("text")).alias("text") if n == "text" else F.col(f"__rest.`{n}`") for n in docs.columns}
+    return rows.select(*[changed[n].cast(docs.schema[n].dataType).alias(n) if n in changed else c for n, c in of.items()])
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of an id as text, modulo ``n``; null ids count as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(0))

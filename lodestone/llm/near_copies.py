@@ -1,19 +1,27 @@
-"""Near-duplicate texts by the exact similarity of their word shingles.
-
-Two texts link if the sets of their shingles (``WIDTH`` lower-cased words, XXH64) have a Jaccard
-similarity of at least 4/5; groups are the connected components. No link is left to chance:
-
-Shingles have one order, that of their hashes with the common ones last. Sets of similarity 4/5
-share a shingle among the first n - ceil(4n/5) + 1 of each, so these prefixes are dealt out by
-shingle and the sets that meet are candidates. Where a shingle is not common, all pairs are
-counted, and a pair goes on if its count can still make up the overlap that 4/5 asks for. A common
-shingle stands in a prefix only if nearly the whole text is common, as in a large group of
-copies: there each set is paired with two others first, and all pairs still in different groups
-follow when those links are known. Which shingles are common is learned from a hash sample of
-texts; it decides the cost, not the result. Candidates are verified on their whole sets.
+"""Near-duplicate texts by SimHash fingerprints and BK-trees, verified by exact shingle similarity.
+
+The SimHash operator's form for a stage that drops near copies. Two texts link if the
+fingerprints of their shingle sets (``WIDTH`` lower-cased words, XXH64) differ in at most
+``RADIUS`` of 64 bits and the sets have a Jaccard similarity of at least 4/5; groups are the
+connected components. (At that similarity about ten bits are expected to differ; fewer than one
+pair in 10^5 differs in more than the radius.)
+
+A radius that wide prunes nothing in one tree over all texts, so trees stand in buckets. Shingles
+have one order, that of their hashes with the common ones last; sets of similarity 4/5 share a
+shingle among the first n - ceil(4n/5) + 1 of each, so each of those is a bucket. In a small
+bucket all pairs that its BK-tree finds are candidates. In a large one (a common shingle: a
+group of copies, a shared line) each set is first paired with two centres; when those links are
+known, the buckets that are one group by then are done, and of the others only the sets outside
+the largest group search the shard trees for sets of other groups. Candidates are verified on
+their whole sets.
+
+Which shingles are common is learned from a hash sample of texts and bounded; it decides the
+cost, not the result. Copies of a set are one row. Rows are numbered and written once in buckets
+of that number, so no later step shuffles texts. Sets are told apart by 64 bits of their hash.
 
 Defined results: equal sets are one group, those of null, empty and blank texts too; null ids
-count as larger than any id; repeated rows are one; an empty table gives an empty result.
+count as larger than any id; of repeated rows one stays; other columns are kept, whatever their
+names but ``text``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,19 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, expand, record, slices, texts, written
-from .simhash import SEED, first_rows, shingle_hashes
+from .common import RID, components, discard, expand, numbered, record, restored, slices, texts, written
+from .simhash import SEED, TREE_ROWS, BKForest, majority, shingle_hashes
 
-WIDTH = 5
+WIDTH, RADIUS = 5, 24
 #: One of so many texts is looked at for common shingles; a shingle in so many of those is common; at most so many are kept.
 SAMPLED, COMMON, MOST_COMMON = 8, 4, 200_000
-#: Rows taken at once by a task, and pairs made at once.
-ROWS, PAIRS = 100_000, 1 << 20
-#: A candidate that needs no count.
-SURE = 1 << 30
+#: Sets in a bucket whose pairs are all searched at once, at most; tasks that a common shingle's sets are dealt to.
+SMALL, SALTS = 32, 64
+#: Pairs made at once, and set keys that a task remembers to skip copies.
+PAIRS, MEMO = 1 << 20, 1 << 20
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -53,18 +61,18 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, key): a hash of each row's text and of its shingle set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("key", pa.int64())])
+def _keyed(dealt: DataFrame) -> DataFrame:
+    """(rid, doc, key): a hash of each row's shingle set."""
+    schema = pa.schema([(RID, pa.int64()), ("__doc", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield record(schema, [batch.column("doc_id"), batch.column("tag"), [set_key(shingle_set(t)) for t in texts(batch)]])
+            yield record(schema, [batch.column(RID), batch.column("__doc"), [set_key(shingle_set(t)) for t in texts(batch)]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tag long, key long")
+    return dealt.select(RID, "__doc", "text").mapInArrow(run, f"{RID} long, __doc long, key long")
 
 
-def _common(docs: DataFrame) -> np.ndarray:
+def _common(dealt: DataFrame) -> np.ndarray:
     """Shingles of many sampled texts, sorted."""
     schema = pa.schema([("shingle", pa.int64())])
 
@@ -72,140 +80,192 @@ def _common(docs: DataFrame) -> np.ndarray:
         for batch in slices(batches, "text", 1 << 20):
             yield record(schema, [np.concatenate([shingle_set(t) for t in texts(batch)]).view(np.int64)])
 
-    thin = docs.select("text").where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SAMPLED)) == 0)
+    thin = dealt.select("text").where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SAMPLED)) == 0)
     counts = thin.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     found = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()
     return np.sort(np.asarray(found.column("shingle").combine_chunks()).view(np.uint64))
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(shingle, key, n, pos, rare): the first shingles of each set, its size, the place, and how many of the first aren't common."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
-    schema = pa.schema([("shingle", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("rare", pa.int32())])
+def _prefixes(dealt: DataFrame, common: np.ndarray) -> DataFrame:
+    """(shingle, salt, key, fp, n, pos): the buckets of each set, its fingerprint and size, and the shingle's place; salt 0 if not common."""
+    shared = dealt.sparkSession.sparkContext.broadcast(common)
+    schema = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
+        seen: set[int] = set()
         for batch in slices(batches, "text", 2 << 20):
-            first, rows = [np.zeros(0, np.uint64)], []
+            if len(seen) > MEMO:
+                seen.clear()
+            sets, keys = [], []
             for s in map(shingle_set, texts(batch)):
-                n = len(s)
-                if not n:
-                    continue
-                p = n - (4 * n + 4) // 5 + 1
-                key = set_key(s)
-                if len(common):
+                if len(s) and (key := set_key(s)) not in seen:
+                    seen.add(key)
+                    sets.append(s)
+                    keys.append(key)
+            if not sets:
+                continue
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            first, rare = n - (4 * n + 4) // 5 + 1, n.copy()
+            fp = majority(np.concatenate(sets), n).view(np.int64)
+            if len(common):
+                for i, s in enumerate(sets):
                     often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-                    s = np.concatenate((s[~often], s[often]))
-                    rows.append((key, n, p, min(p, n - int(often.sum()))))
-                else:
-                    rows.append((key, n, p, p))
-                first.append(s[:p])
-            key, n, p, rare = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 4
-            own, pos = expand(p)
-            yield record(schema, [np.concatenate(first).view(np.int64), key[own], n[own].astype(np.int32), pos.astype(np.int32), rare[own].astype(np.int32)])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, key long, n int, pos int, rare int")
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of about ``ROWS`` rows sorted by the first column, whose groups are whole."""
-    kept: list[list[np.ndarray]] = []
-    size = 0
-    for batch in batches:
-        part = [np.asarray(c) for c in batch.columns]
-        if size >= ROWS and len(part[0]) and part[0][-1] != kept[-1][0][-1]:
-            cut = int(np.argmax(part[0] != kept[-1][0][-1]))
-            kept.append([x[:cut] for x in part])
-            yield [np.concatenate(x) for x in zip(*kept, strict=True)]
-            kept, size, part = [], 0, [x[cut:] for x in part]
-        if len(part[0]):
-            kept.append(part)
-            size += len(part[0])
-    if size:
-        yield [np.concatenate(x) for x in zip(*kept, strict=True)]
-
-
-def _ends(group: np.ndarray) -> np.ndarray:
-    """For each row of sorted groups the end of its group."""
-    last = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
-    return np.repeat(last, np.diff(np.append(0, last)))
-
-
-def _later(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of the same group, in parts."""
-    counts = end - np.arange(len(end)) - 1
-    total, a = np.cumsum(counts), 0
-    while a < len(counts):
-        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right")))
-        own, nth = expand(counts[a:b])
-        yield own + a, own + a + 1 + nth
-        a = b
+                    rare[i] -= often.sum()
+                    sets[i] = np.concatenate((s[~often], s[often]))
+            own, pos = expand(first)
+            key = np.array(keys, np.int64)
+            salt = np.where(pos < rare[own], 0, 1 + key[own] % SALTS)
+            yield record(schema, [np.concatenate([s[:p] for s, p in zip(sets, first, strict=True)]).view(np.int64), salt.astype(np.int32), key[own], fp[own], n[own].astype(np.int32), pos.astype(np.int32)])
+
+    return dealt.select("text").mapInArrow(run, "shingle long, salt int, key long, fp long, n int, pos int")
 
 
 def _can(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether the sizes and places of a shared shingle leave room for a similarity of 4/5."""
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
     most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
     return 9 * most >= 4 * (n[i] + n[j])
 
 
-def _met(prefixes: DataFrame) -> DataFrame:
-    """Counted candidates (kind 0: u, v, count, room) and the rows of common shingles (kind 1: shingle, key, n, pos)."""
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("d", pa.int32())])
+def searched(group: np.ndarray, fp: np.ndarray, asks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius in the same group, in parts: each i < j, or (asks) each row that asks with each other row that doesn't."""
+    fp = fp.view(np.uint64)
+    asks = np.ones(len(fp), bool) if (every := asks is None) else asks
+    nodes = np.arange(len(fp)) if every else np.flatnonzero(~asks)
+    if not len(nodes):
+        return
+
+    def packed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in order of (group, fingerprint), where each different one begins, and counts."""
+        rows = rows[np.lexsort((fp[rows], group[rows]))]
+        cut = np.flatnonzero(np.append(True, (group[rows][1:] != group[rows][:-1]) | (fp[rows][1:] != fp[rows][:-1])))
+        return rows, cut, np.diff(np.append(cut, len(rows)))
+
+    tree, tree_at, tree_n = packed(nodes)
+    ask, ask_at, ask_n = (tree, tree_at, tree_n) if every else packed(np.flatnonzero(asks))
+    if not len(ask):
+        return
+    forest = BKForest(group[tree[tree_at]], fp[tree[tree_at]])
+    for q, v in forest.links(group[ask[ask_at]], fp[ask[ask_at]], RADIUS):
+        if every:
+            q, v = q[q <= v], v[q <= v]
+        counts = ask_n[q] * tree_n[v]
+        total, a = np.cumsum(counts), 0
+        while a < len(q):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, side="right")))
+            own, nth = expand(counts[a:b])
+            x, y = q[a:b][own], v[a:b][own]
+            i, j = ask[ask_at[x] + nth // tree_n[y]], tree[tree_at[y] + nth % tree_n[y]]
+            if every:
+                i, j = i[(x < y) | (i < j)], j[(x < y) | (i < j)]
+            yield i, j
+            a = b
+
+
+def _pair(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack((np.minimum(key[i], key[j]), np.maximum(key[i], key[j]))), axis=1)
+
 
-    def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-        a, b, c, d = columns
-        return record(schema, [np.full(len(a), kind, np.int32), a, b, np.broadcast_to(np.int32(c) if np.isscalar(c) else c.astype(np.int32), len(a)).copy(), d.astype(np.int32)])
+def _met(prefixes: DataFrame) -> DataFrame:
+    """Candidates of small buckets (kind 0: a and b) and the rows of large ones (kind 1: shingle, key, fp, n, pos)."""
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+
+    def told(columns: list[np.ndarray], large: np.ndarray) -> Iterator[pa.RecordBatch]:
+        shingle, _, key, fp, n, pos = (c[large] for c in columns)
+        if len(key):
+            yield record(schema, [np.ones(len(key), np.int32), shingle, key, fp, n, pos])
+        shingle, _, key, fp, n, pos = (c[~large] for c in columns)
+        for i, j in searched(shingle, fp) if len(key) else ():
+            good = _can(n, pos, i, j)
+            u, v = _pair(key, i[good], j[good])
+            none = np.zeros(len(u), np.int32)
+            yield record(schema, [none, u, v, np.zeros(len(u), np.int64), none, none])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, key, n, pos, rare in _whole_groups(batches):
-            # sorted by shingle and key: equal sets meet as neighbours, one is enough
-            one = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
-            shingle, key, n, pos, rare = shingle[one], key[one], n[one].astype(np.int64), pos[one].astype(np.int64), rare[one].astype(np.int64)
-            met = np.append(False, shingle[1:] == shingle[:-1])
-            met[:-1] |= met[1:].copy()
-            shingle, key, n, pos, rare = shingle[met], key[met], n[met], pos[met], rare[met]
-            often = pos >= rare
-            if often.any():
-                s, k, m, at = shingle[often], key[often], n[often], pos[often]
-                yield out(1, s, k, m, at)
-                order = np.lexsort((k, m, s))
-                for i, j in ((order[:-1], order[1:]), (np.arange(len(s)), np.searchsorted(s, s))):
-                    good = (s[i] == s[j]) & (k[i] != k[j]) & _can(m, at, i, j)
-                    i, j = i[good], j[good]
-                    pair = np.unique(np.stack((np.minimum(k[i], k[j]), np.maximum(k[i], k[j]))), axis=1)
-                    yield out(0, pair[0], pair[1], SURE, np.zeros(pair.shape[1]))
-            shingle, key, n, pos, rare = shingle[~often], key[~often], n[~often], pos[~often], rare[~often]
-            if not len(key):
+        # rows of the bucket that the last batch ended in; of one known to be large the last row only
+        rest: list[np.ndarray] | None = None
+        is_large = False
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            # of an overlap, what no rare shingle of both prefixes counts
-            first = n - (4 * n + 4) // 5 + 1
-            for i, j in _later(_ends(shingle)):
-                good = _can(n, pos, i, j)
-                i, j = i[good], j[good]
-                rest = np.maximum(n[i] - first[i], n[j] - first[j]) + np.minimum(first[i] - rare[i], first[j] - rare[j])
-                yield out(0, key[i], key[j], 1, rest - (4 * (n[i] + n[j]) + 8) // 9)
+            columns = [np.asarray(c) for c in batch.columns]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            shingle, salt, key = columns[:3]
+            # sorted by bucket and key: equal sets meet as neighbours, one is enough
+            one = np.append(True, (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]))
+            columns = [c[one] for c in columns]
+            shingle, salt, key = columns[:3]
+            bucket = np.cumsum(np.append(0, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])))
+            large = (salt > 0) | (np.bincount(bucket)[bucket] > SMALL) | (is_large & (bucket == 0))
+            is_large = bool(large[-1])
+            last = bucket == bucket[-1]
+            if is_large:
+                last = np.arange(len(bucket)) == len(bucket) - 1
+            rest = [c[last] for c in columns]
+            yield from told([c[~last] for c in columns], large[~last])
+        if rest is not None:
+            yield from told(rest, np.full(len(rest[0]), is_large))
 
     n = max(int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return prefixes.repartition(n, "shingle").sortWithinPartitions("shingle", "key").mapInArrow(run, "kind int, a long, b long, c int, d int")
-
-
-def _apart(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) that share a common shingle, may be similar and have different roots; rows (shingle, key, n, pos, root)."""
+    rows = prefixes.repartition(n, "shingle", "salt").sortWithinPartitions("shingle", "salt", "key")
+    return rows.mapInArrow(run, "kind int, a long, b long, fp long, n int, pos int")
+
+
+def _centred(rows: DataFrame) -> DataFrame:
+    """Candidates (u, v): each set of a large bucket with the bucket's least and largest."""
+    one = F.struct("key", "fp", "n", "pos")
+    centres = rows.groupBy("shingle").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+    both = rows.join(centres, "shingle").select("key", "fp", "n", "pos", F.explode(F.array("low", "high")).alias("c"))
+    most = F.least("pos", "c.pos") + F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos"))
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= RADIUS) & (9 * most >= 4 * (F.col("n") + F.col("c.n")))
+    return both.where(near & (F.col("key") != F.col("c.key"))).select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v")).distinct()
+
+
+def _apart(rows: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Candidates (u, v) of different roots in large buckets; rows (shingle, key, fp, n, pos, root)."""
+    roots = rows.groupBy("shingle", "root").agg(F.count("*").alias("size"))
+    buckets = roots.groupBy("shingle").agg(F.sum("size").alias("all"), F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main"))
+    buckets = buckets.where("roots > 1").select("shingle", "main", F.ceil(F.col("all") / tree_rows).cast("int").alias("parts"))
+    rows = rows.join(buckets, "shingle").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    every: Column = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    columns = ["shingle", "key", "fp", "n", "pos", "root"]
+    # each part of the sets that ask meets each part of the tree's
+    asking = rows.where("root <> main").select(*columns, "own", every, F.lit(True).alias("asks"))
+    asked = rows.select(*columns, F.col("own").alias("__own"), every, F.lit(False).alias("asks")).select(*columns, F.col("other").alias("own"), F.col("__own").alias("other"), "asks")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def solve(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        bucket, key, fp, n, pos, root, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for i, j in searched(bucket, fp, asks):
+            good = (root[i] != root[j]) & _can(n, pos, i, j)
+            u, v = _pair(key, i[good], j[good])
+            yield record(schema, [u, v])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, key, n, pos, root in _whole_groups(batches):
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-            for i, j in _later(_ends(shingle)):
-                good = (root[i] != root[j]) & _can(n, pos, i, j)
-                pair = np.unique(np.stack((key[i[good]], key[j[good]])), axis=1)
-                yield record(schema, [pair[0], pair[1]])
+        kept: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if size >= tree_rows and len(part[0]) and part[0][-1] != kept[-1][0][-1]:
+                cut = int(np.argmax(part[0] != kept[-1][0][-1]))
+                kept.append([x[:cut] for x in part])
+                yield from solve(kept)
+                kept, size, part = [], 0, [x[cut:] for x in part]
+            if len(part[0]):
+                kept.append(part)
+                size += len(part[0])
+        if size:
+            yield from solve(kept)
 
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return rows.repartition(n, "shingle").sortWithinPartitions("shingle", "key").mapInArrow(run, "u long, v long").distinct()
+    bucket = F.xxhash64("shingle", "own", "other").alias("bucket")
+    dealt = asking.unionByName(asked).select(bucket, "key", "fp", "n", "pos", "root", "asks").repartition(n, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def _verified(docs: DataFrame, least: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(dealt: DataFrame, least: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets are similar."""
     kind = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -221,28 +281,30 @@ def _verified(docs: DataFrame, least: DataFrame, pairs: DataFrame) -> DataFrame:
             yield record(schema, [batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("u", "v")])
 
     keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    wanted = least.join(keys, "key").select("key", F.col("least.none").alias("none"), F.coalesce("least.doc_id", F.lit(0)).alias("doc"), F.col("least.tag").alias("tag"))
-    rows = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    found = rows.join(wanted, ["none", "doc", "tag"]).dropDuplicates(["key"]).select("key", "text")
-    sets = written(found.mapInArrow(of_texts, "key long, shingles array<long>"), "shingles")
+    wanted = least.join(keys, "key").select("key", F.col(f"least.{RID}").alias(RID))
+    sets = written(dealt.select(RID, "text").join(wanted, RID).select("key", "text").mapInArrow(of_texts, "key long, shingles array<long>"), "shingles")
     both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    links = written(both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "similar")
+    discard(sets)
+    return links
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group of similar texts, with the same columns: that of the smallest id."""
-    marked = written(_marked(docs), "shingle-sets")
-    least = marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("least"))
-    met = written(_met(_prefixes(docs, _common(docs))), "met")
-    counted = met.where("kind = 0").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("c").alias("n"), F.max("d").alias("room"))
-    pairs = written(counted.where("n + room >= 0").select("u", "v"), "pairs")
-    links = written(_verified(docs, least, pairs), "similar")
+    dealt = numbered(docs, F.col("doc_id").cast("long").alias("__doc"))
+    first = F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", RID)).alias("least")
+    least = written(_keyed(dealt).groupBy("key").agg(first), "shingle-sets")
+    met = written(_met(_prefixes(dealt, _common(dealt))), "met")
+    rows = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("key"), "fp", "n", "pos")
+    pairs = met.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_centred(rows)).distinct()
+    pairs = written(pairs, "pairs")
+    links = _verified(dealt, least, pairs)
     root = written(components(links).withColumnRenamed("node", "key"), "roots")
-    common = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("key"), F.col("c").alias("n"), F.col("d").alias("pos"))
-    labelled = common.join(root, "key", "left").select("shingle", "key", "n", "pos", F.coalesce("root", "key").alias("root"))
+    labelled = rows.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
     more = written(_apart(labelled).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    discard(met, pairs)
     if not more.isEmpty():
-        links = links.unionByName(written(_verified(docs, least, more), "similar"))
+        links = links.unionByName(_verified(dealt, least, more))
         root = written(components(links).withColumnRenamed("node", "key"), "roots")
-    first = least.join(root, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("first"))
-    return first_rows(docs, first)
+    stays = least.join(root, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("least"))
+    return restored(dealt.join(stays.select(F.col(f"least.{RID}").alias(RID)), RID, "left_semi"), docs)

@@ -38,10 +38,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, discard, expand, record, release_memory, slices, texts, utf8, written
+from .common import RID, discard, expand, numbered, record, release_memory, restored, slices, texts, utf8, written
 from .suffix import common_prefixes, suffix_array
 
 LENGTH = 200
@@ -51,8 +51,7 @@ SHARD_BYTES = 2 << 20
 BLOOM_BYTES = 32 << 20
 #: Different contents of a key above which its windows are keyed by longer grams.
 HOT = 2048
-#: The number of a row, and the columns of placed fragments: pos is start << 16 | windows.
-RID = "__rid"
+#: The columns of placed fragments: pos is start << 16 | windows.
 _PLACED = pa.schema([("key", pa.int64()), ("content", pa.int64()), (RID, pa.int64()), ("pos", pa.int64()), ("twice", pa.bool_())])
 _KIND = f"key long, content long, {RID} long, pos long, twice boolean"
 _SEPARATOR = 255  # in no UTF-8 text, and stays 255 when 1 is added to the others
@@ -371,12 +370,6 @@ def keep(text: bytes, spans: list[int] | None, length: int = LENGTH) -> tuple[li
     return stays, int((b - a).sum()), len(a)
 
 
-def _dealt(docs: DataFrame, *more: Column) -> DataFrame:
-    """Every row under a number of its own: a table in buckets of that number, which later joins read without a shuffle of texts."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    return bucketed(docs.select(F.monotonically_increasing_id().alias(RID), text, *more), RID, "texts")
-
-
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -389,8 +382,8 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((len(text), removed, runs, hashlib.sha256(b"".join(stays)).hexdigest()))
             yield record(schema, [batch.column("doc_id"), *map(list, zip(*rows, strict=True))])
 
-    dealt = _dealt(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    rows = dealt.join(removals(dealt, length), RID, "left").select("doc_id", "text", "spans")
+    dealt = numbered(docs.select(F.col("doc_id").cast("long"), "text"))
+    rows = dealt.join(removals(dealt, length), RID, "left").select("__rest.doc_id", "text", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -399,9 +392,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text stays null; ``n_chars``, where there is one, is the new text's.
     """
-    rest = [n for n in docs.columns if n != "text"]
-    null = F.col("text").isNull().alias("__null")
-    dealt = _dealt(docs, null, *([F.struct(*[F.col(f"`{n}`") for n in rest]).alias("__rest")] if rest else []))
+    dealt = numbered(docs)
     rows = dealt.join(removals(dealt, length), RID, "left").drop(RID)
     kind = rows.drop("spans").schema
 
@@ -418,9 +409,5 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 new = pa.array(found, new.type)
             yield pa.RecordBatch.from_arrays([new if n == "text" else batch.column(n) for n in kind.names], names=kind.names)
 
-    out = rows.mapInArrow(run, kind)
-    text = F.when(~F.col("__null"), F.col("text")).alias("text")
-    columns = {"text": text} | {n: F.col(f"__rest.`{n}`") for n in rest}
-    if "n_chars" in rest:
-        columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*[columns[n] for n in docs.columns])
+    changed = {"n_chars": F.when(~F.col("__null"), F.length("text"))} if "n_chars" in docs.columns else {}
+    return restored(rows.mapInArrow(run, kind), docs, **changed)

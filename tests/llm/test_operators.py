@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from lodestone.llm import embedding_dedup, language, packing, pieces, pii, quality, simhash, substring_dedup, suffix, token_files, tokens, toxicity
-from lodestone.llm.common import table
+from lodestone.llm.common import numbered, table
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, "a b c d e f", "en", "x", 1), (1, "a b c d e f", "en", "x", 1), (None, None, None, None, None), (2, "", None, "x", 0), (3, " \n\t ", "en", None, 3), (4, "Zoë said 日本語 <|endoftext|> it's fine" * 40, "fr", "x", 5), (None, "x" * 300, "en", "x", 6), (5, "12345 !!!", "en", "x", 7), (6, "z" * 300, "en", "x", 8)]
@@ -116,7 +116,7 @@ def test_substring_dedup(spark, docs, rows, odd, hot, monkeypatch):
 def test_repeated_rows_have_spans_of_their_own(spark):
     base = "".join(random.Random(4).choice("abcdef ") for _ in range(700))
     docs = spark.createDataFrame([(1, base)] * 1000 + [(2, base[:400])], "doc_id long, text string")
-    dealt = substring_dedup._dealt(docs)
+    dealt = numbered(docs)
     assert max(len(r.spans) for r in substring_dedup.removals(dealt).collect()) <= 501
     assert all(r.n_removed == r.n_bytes and r.n_spans == 1 for r in substring_dedup.digests(docs).collect())
 
