@@ -66,7 +66,7 @@ def memory_lint(memory: DataFrame, entities: DataFrame, qa: DataFrame, sessions:
     return lint.report(memory, entities, qa, sessions, now, project)
 
 
-def memory_archive(memory: DataFrame, overlay: DataFrame, usage: DataFrame, sessions: DataFrame | None, now: str, compared: list[str]) -> DataFrame:
+def memory_archive(memory: DataFrame, overlay: DataFrame, usage: DataFrame, sessions: DataFrame | None, now: str, compared: list[str] | None = None) -> DataFrame:
     """(id, reason) of the rows to archive; those that another device has newer stay."""
     clash = merge.overlay_conflicts(memory, overlay, compared).where("conflict").select("id")
     return archive.plan(memory.join(clash, "id", "left_anti"), now, usage, sessions)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values ---------------------------------------------------------------------------
 LEAK_PATTERNS = [
     ("home-path", "high", r"(?i)(?<![A-Za-z0-9_])(?:/(?:Users|home)/[^/\s'\")]+|[A-Za-z]:\\Users\\)"),
-    ("secret", "high", r"(?<![A-Za-z0-9_])(?:sk-[A-Za-z0-9_-]{16,}|ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[a-z]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9_])|eyJ[A-Za-z0-9_=-]{5,}\.[A-Za-z0-9_=-]{5,}\.[A-Za-z0-9_=-]{5,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("secret", "high", r"(?<![A-Za-z0-9_])(?:sk-[A-Za-z0-9_-]{16,}|ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[a-z]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9_])|eyJ[A-Za-z0-9_=-]{5,}\.[A-Za-z0-9_=-]{5,}\.[A-Za-z0-9_=-]+|-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     ("commit-sha", "warn", r"(?i)(?<![A-Za-z0-9_])[0-9a-f]{40}(?![A-Za-z0-9_])"),
     ("email", "warn", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"),
     ("guid", "warn", r"(?i)(?<![A-Za-z0-9_])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![A-Za-z0-9_])"),

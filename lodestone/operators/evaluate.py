@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as fn
+
+
+def containing(rows: DataFrame, text: Column, queries: DataFrame, q: str = "q") -> DataFrame:
+    """``rows`` (with a ``text``) beside each of ``queries`` whose ``q`` stands in the text, in any case.
+
+    A word inside ``q`` stands whole in every such text, so the longest of them is the join's key;
+    queries without one, of a word or two, are compared with every text.
+    """
+    low = F.lower(text)
+    words = F.split(F.lower(q), "[^a-z0-9_]+")
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 1)
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = queries.withColumn("__word", longest)
+    held = rows.withColumn("__text", low)
+    keyed = held.withColumn("__word", F.explode(fn.tokens(text))).join(asked.where("__word is not null"), "__word")
+    rest = held.join(asked.where("__word is null").drop("__word"), F.contains("__text", F.lower(q)))
+    return keyed.where(F.contains("__text", F.lower(q))).drop("__word", "__text").unionByName(rest.drop("__text"))
+
 
 def case_results(cases: DataFrame, answers: DataFrame, k: int = 5) -> DataFrame:
     """One row for each case (case_id, category, gold, excluded, abstain); answers: (case_id, id, place, content_hit)."""

@@ -42,15 +42,18 @@ def dangling(rows: DataFrame, column: str, targets: DataFrame) -> DataFrame:
 def known_sessions(cited: DataFrame, sessions: DataFrame) -> DataFrame:
     """Distinct cited ids that name a session: the same id, or one the start of the other with eight characters or more.
 
-    Both sides of a prefix match share their first eight characters, which makes it a hash join.
+    The starts of each side's ids are exploded and joined to the other side's whole ids, so that
+    ids which begin alike don't meet under one key.
     """
     ids = cited.select("session_id").distinct()
     known = sessions.select(F.col("session_id").alias("known")).distinct()
+    starts = lambda x: F.explode(F.transform(F.sequence(F.lit(8), F.length(x)), lambda n: F.left(x, n)))
     exact = ids.join(known, ids.session_id == known.known, "left_semi")
-    a = ids.where(F.length("session_id") >= 8).withColumn("start", F.left("session_id", F.lit(8)))
-    b = known.where(F.length("known") >= 8).withColumn("start", F.left("known", F.lit(8)))
-    near = a.join(b, (a["start"] == b["start"]) & (F.startswith("session_id", "known") | F.startswith("known", "session_id")), "left_semi")
-    return exact.union(near.select("session_id")).distinct()
+    longer = ids.where(F.length("session_id") > 8).select("session_id", starts(F.col("session_id")).alias("start"))
+    shorter = known.where(F.length("known") > 8).select(starts(F.col("known")).alias("start")).distinct()
+    near = longer.join(known, longer.start == known.known, "left_semi").select("session_id")
+    far = ids.where(F.length("session_id") >= 8).join(shorter, F.col("session_id") == F.col("start"), "left_semi")
+    return exact.union(near).union(far).distinct()
 
 
 def stale_provenance(memory: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -67,15 +70,32 @@ def changed_sessions(found: DataFrame, index: DataFrame) -> DataFrame:
     return found.join(index, same[0] & same[1] & same[2], "left_anti")
 
 
-def overlay_conflicts(local: DataFrame, other: DataFrame, compared: list[str]) -> DataFrame:
-    """(id, conflict): the other device has a later day, or the same day with other contents."""
-    both = local.alias("a").join(other.alias("b"), "id", "left")
+#: What makes two copies of a memory row the same.
+CONTENT = ["status", "title", "summary", "importance", "confidence", "created_at", "valid_to", "valid_from", "supersedes", "archived_reason", "archived_at", "type", "scope", "project", "trust", "entities", "body"]
+
+
+def overlay_conflicts(local: DataFrame, other: DataFrame, compared: list[str] | None = None) -> DataFrame:
+    """(id, conflict): the other device has a later day, or the same day with other contents.
+
+    A copy that is there but has no readable day, on either side, is a conflict; so is a null body,
+    which could not be compared. compared: columns; all of ``CONTENT`` that a side has by default,
+    null where the other side lacks the column.
+    """
+    compared = compared or [c for c in CONTENT if c in local.columns or c in other.columns]
+    side = lambda df: df.select("id", "updated_at", *[(F.col(c) if c in df.columns else F.lit(None)).alias(c) for c in compared], F.lit(True).alias("there"))
+    both = side(local).alias("a").join(side(other).alias("b"), "id", "left")
     mine, theirs = fn.calendar_date(F.col("a.updated_at")), fn.calendar_date(F.col("b.updated_at"))
-    differs = ~F.lit(True)
+    differs = F.lit(False)
     for c in compared:
-        differs = differs | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    absent = F.col("b.updated_at").isNull()
-    conflict = F.when(absent, False).when(mine.isNull() | theirs.isNull(), True).when(theirs != mine, theirs > mine).otherwise(differs)
+        x, y = F.col(f"a.{c}"), F.col(f"b.{c}")
+        if c == "trust":
+            x, y = (F.coalesce(v, F.lit("unknown")) for v in (x, y))
+        elif c == "entities":
+            x, y = (F.array_sort(F.coalesce(v.cast("array<string>"), F.array().cast("array<string>"))) for v in (x, y))
+        differs = differs | ~x.eqNullSafe(y)
+        if c == "body":
+            differs = differs | x.isNull()
+    conflict = F.when(F.col("b.there").isNull(), False).when(mine.isNull() | theirs.isNull(), True).when(theirs != mine, theirs > mine).otherwise(differs)
     return both.select("id", conflict.alias("conflict"))
 
 

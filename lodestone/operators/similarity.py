@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
@@ -11,30 +11,33 @@ from ..functions import text as fn
 def near_duplicate_pairs(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] = ("active",)) -> DataFrame:
     """(a, b, similarity): pairs of rows of a block with a Jaccard overlap of at least the threshold; a < b by id.
 
-    A pair at the threshold shares one of each set's first ``n - ceil(t n) + 1`` tokens, rarest
-    first in the block, and its sizes are within the threshold: only rows that meet on such a
-    token are compared, and each pair once, at its first common token.
+    Rows of a block with the same tokens are one kind, and kinds are what is compared. A pair at
+    the threshold shares one of each set's first ``n - ceil(t n) + 1`` tokens, rarest first in the
+    block, and its sizes are within the threshold: only kinds that meet on such a token are
+    candidates. Token lists travel once with a kind and once with a candidate, not with each token.
     """
     rows = memory.where(F.col("status").isin(*statuses) & F.col("id").isNotNull())
     block = F.xxhash64("type", "scope", F.coalesce("project", F.lit("_global")), F.col("project").isNull())
-    rows = rows.select("id", "seq", "type", "scope", "project", block.alias("block"), fn.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))).alias("words"))
-    words = rows.select("block", "id", "seq", F.explode("words").alias("word"))
-    rarity = words.groupBy("block", "word").agg(F.count("*").alias("df"))
-    ranked = words.join(rarity, ["block", "word"]).groupBy("block", "id", "seq").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("words"))
-    n = F.size("words")
-    prefix = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
-    ranked = ranked.select("block", "id", "seq", n.alias("n"), F.transform("words", lambda w: w.word).alias("words"), prefix.alias("prefix"))
-    keyed = ranked.select("*", F.posexplode(F.slice("words", F.lit(1), F.col("prefix"))).alias("at", "word"))
+    words = F.array_sort(fn.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))))
+    rows = rows.select("id", "seq", block.alias("block"), words.alias("words"))
+    members = rows.select("id", "seq", "block", F.sha2(F.array_join("words", " ").cast("binary"), 256).alias("kind"), "words")
+    kinds = members.groupBy("block", "kind").agg(F.first("words").alias("words")).where("size(words) > 0")
+    each = kinds.select("block", "kind", F.size("words").alias("n"), F.explode("words").alias("word"))
+    rarity = each.groupBy("block", "word").agg(F.count("*").alias("df"))
+    ranked = each.join(rarity, ["block", "word"]).groupBy("block", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
+    keyed = ranked.select("block", "kind", "n", F.explode(F.slice("ranked", F.lit(1), prefix)).alias("word")).select("block", "kind", "n", "word.word")
     a, b = keyed.alias("a"), keyed.alias("b")
     sized = (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9)
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.seq") < F.col("b.seq")) & sized)
-    common = F.array_intersect("a.words", "b.words")
-    first = F.element_at(F.filter(F.slice(F.col("a.words"), F.lit(1), F.col("a.prefix")), lambda w: F.array_contains(F.slice(F.col("b.words"), F.lit(1), F.col("b.prefix")), w)), 1)
-    similarity = F.size(common) / (F.col("a.n") + F.col("b.n") - F.size(common))
-    met = met.where(F.col("a.word") == first).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), "a.block", similarity.alias("similarity"))
-    return met.where(F.col("similarity") >= threshold)
-
-
-def first_of_block(pairs: DataFrame) -> DataFrame:
-    """Pairs in the order of their rows inside each block."""
-    return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("seq_a", "seq_b")))
+    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.kind") < F.col("b.kind")) & sized)
+    met = met.select("a.block", F.col("a.kind").alias("x"), F.col("b.kind").alias("y")).distinct()
+    side = lambda k, w: kinds.select("block", F.col("kind").alias(k), F.col("words").alias(w))
+    met = met.join(side("x", "wx"), ["block", "x"]).join(side("y", "wy"), ["block", "y"])
+    common = F.size(F.array_intersect("wx", "wy"))
+    met = met.select("block", "x", "y", (common / (F.size("wx") + F.size("wy") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    same = kinds.select("block", F.col("kind").alias("x"), F.col("kind").alias("y"), F.lit(1.0).alias("similarity"))
+    member = lambda k, s: members.select("block", F.col("kind").alias(k), F.struct("id", "seq").alias(s))
+    pairs = met.unionByName(same).join(member("x", "p"), ["block", "x"]).join(member("y", "q"), ["block", "y"])
+    pairs = pairs.where((F.col("x") != F.col("y")) | (F.col("p.seq") < F.col("q.seq")))
+    first, last = (F.when(F.col("p.seq") < F.col("q.seq"), F.col(u)).otherwise(F.col(v)) for u, v in (("p", "q"), ("q", "p")))
+    return pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), first["seq"].alias("seq_a"), last["seq"].alias("seq_b"), "block", "similarity")

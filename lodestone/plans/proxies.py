@@ -22,13 +22,13 @@ SELECT doc_id AS seq, {_type("doc_id")} || '/' || CASE WHEN doc_id % 10 < 2 THEN
   {_type("doc_id")} AS type,
   CASE WHEN doc_id % 10 = 0 THEN 'global' WHEN doc_id % 10 = 1 THEN 'user' ELSE 'project:' || source END AS scope,
   CASE WHEN doc_id % 10 < 2 THEN NULL ELSE source END AS project,
-  substr(text, 1, 80) AS title, substr(text, 81, 200) AS summary,
+  substr(text, 1, 80) AS title, substr(text, 81) AS summary,
   CASE doc_id % 11 WHEN 0 THEN 'archived' WHEN 1 THEN 'superseded' WHEN 2 THEN 'pinned' ELSE 'active' END AS status,
   CAST(doc_id % 6 AS double) AS importance, CAST(doc_id % 10 AS double) / 10 AS confidence,
   '2026-' || lpad(CAST(1 + doc_id % 6 AS string), 2, '0') || '-' || lpad(CAST(1 + doc_id % 28 AS string), 2, '0') AS updated_at,
   CASE WHEN doc_id % 9 = 0 THEN '2026-0' || CAST(1 + doc_id % 8 AS string) || '-15' WHEN doc_id % 101 = 5 THEN 'soon' END AS valid_to,
   CASE WHEN doc_id % 13 = 0 THEN {_type("(doc_id - 1)")} || '/' || CASE WHEN (doc_id - 1) % 10 < 2 THEN '_global' ELSE source END || '/' || lpad(CAST(doc_id - 1 AS string), 9, '0') END AS supersedes,
-  SLICE3(split(lower(substr(text, 1, 60)), ' ')) AS entities,
+  CASE WHEN text IS NOT NULL THEN WORDS(split(lower(text), ' ')) END AS entities,
   CASE WHEN doc_id % 5 = 4 THEN NOTHING ELSE LIST('session-' || lpad(CAST(doc_id % 970 AS string), 4, '0'), 'sess' || CAST(doc_id % 7 AS string)) END AS source_sessions,
   CASE WHEN doc_id % 3 = 0 THEN LIST('src/f' || CAST(doc_id % 17 AS string) || '.py', 'src/f' || CAST(doc_id % 5 AS string) || '.py') ELSE NOTHING END AS source_files,
   CASE WHEN doc_id % 8 = 0 THEN LIST('c' || CAST(doc_id % 29 AS string)) ELSE NOTHING END AS source_commits,
@@ -73,14 +73,14 @@ _QA = """
 SELECT 'qa/' || CASE WHEN conv_id % 4 = 0 THEN '_global' ELSE 'src' || CAST(conv_id % 20 AS string) END || '/' || CAST(conv_id AS string) || '-' || CAST(turn AS string) AS id,
   CASE WHEN conv_id % 4 = 0 THEN 'global' ELSE 'project:src' || CAST(conv_id % 20 AS string) END AS scope,
   CASE WHEN conv_id % 4 = 0 AND conv_id % 8 <> 0 THEN NULL ELSE 'src' || CAST(conv_id % 20 AS string) END AS project,
-  substr(text, 1, 120) AS question, substr(text, 121, 200) AS answer_summary, LIST(role) AS tags,
+  substr(text, 1, 120) AS question, substr(text, 121) AS answer_summary, LIST(role) AS tags,
   LIST('semantic/_global/' || lpad(CAST(conv_id * 20 AS string), 9, '0')) AS source_memory_ids, LIST('entity/_global/' || CAST(conv_id AS string)) AS related_entities,
   CASE conv_id % 4 WHEN 0 THEN 'compound' WHEN 1 THEN 'troubleshooting' WHEN 2 THEN 'decision' ELSE 'operational' END AS kind,
   '2026-0' || CAST(5 + conv_id % 2 AS string) || '-' || lpad(CAST(1 + turn % 28 AS string), 2, '0') AS updated_at
 FROM conversations WHERE role = 'user'
 """
 
-_QUERIES = "SELECT item_id AS query_id, lower(substr(text, 1, 30)) AS q, 'src' || CAST(item_id % 20 AS string) AS project FROM benchmark"
+_QUERIES = "SELECT item_id AS query_id, lower(text) AS q, 'src' || CAST(item_id % 20 AS string) AS project FROM benchmark"
 
 VIEWS = {"MEM": _MEM, "OVERLAY": _OVERLAY, "USAGE": _USAGE, "SESSIONS": _SESSIONS, "SKIPS": _SKIPS, "ENTITY": _ENTITY, "QA": _QA, "QUERIES": _QUERIES}
 TABLES = ("documents", "events", "conversations", "part", "benchmark", "pages")
@@ -93,10 +93,18 @@ def _filled(sql: str) -> str:
     return sql
 
 
+def _words(sql: str, spark: bool) -> str:
+    """The first, middle and last word of a list of words."""
+    words = "split(lower(text), ' ')" if spark else "string_split(lower(text), ' ')"
+    n, at = (f"size({words})", "element_at({w}, {i})") if spark else (f"len({words})", "({w})[{i}]")
+    found = ", ".join(at.format(w=words, i=i) for i in ("1", f"CAST(({n} + 1) {'div' if spark else '//'} 2 AS int)", n))
+    return sql.replace("WORDS(split(lower(text), ' '))", f"LIST({found})")
+
+
 def duck(name: str) -> str:
     """The view as SQL for DuckDB."""
-    sql = _filled(VIEWS[name])
-    return sql.replace("SLICE3(", "list_slice_three(").replace("list_slice_three(split(lower(substr(text, 1, 60)), ' '))", "list_slice(string_split(lower(substr(text, 1, 60)), ' '), 1, 3)").replace("LIST(", "list_value(").replace("NOTHING", "CAST([] AS VARCHAR[])").replace("AS string)", "AS VARCHAR)")
+    sql = _words(_filled(VIEWS[name]), False)
+    return sql.replace("LIST(", "list_value(").replace("NOTHING", "CAST([] AS VARCHAR[])").replace("AS string)", "AS VARCHAR)")
 
 
 def with_views(*names: str) -> str:
@@ -106,7 +114,7 @@ def with_views(*names: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame over the tables of a folder."""
-    sql = _filled(VIEWS[name]).replace("SLICE3(split(lower(substr(text, 1, 60)), ' '))", "slice(split(lower(substr(text, 1, 60)), ' '), 1, 3)").replace("LIST(", "array(").replace("NOTHING", "CAST(array() AS array<string>)")
+    sql = _words(_filled(VIEWS[name]), True).replace("LIST(", "array(").replace("NOTHING", "CAST(array() AS array<string>)")
     used = {}
     for t in TABLES:
         for word in (f"FROM {t}", f"JOIN {t}"):

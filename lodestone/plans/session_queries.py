@@ -284,6 +284,30 @@ def src14(spark, d):
     return transcripts.title_map(_lines(_talk(spark, d), value))
 
 
+@query("SRC26_rollout_texts", f"SELECT 'r' || conv_id AS session_id, {_TEXT} AS text FROM conversations WHERE role = 'user' AND turn % 5 IN (0, 2, 4) AND {_TEXT} <> ''")
+def src26(spark, d):
+    """Injected parts go; a text that still opens with one isn't the user's."""
+    t = F.col("turn") % 5
+    text = F.when(t == 0, F.concat(F.lit("<personality_spec>be kind</personality_spec>\n<token_budget n=\"1\">9</token_budget>"), "text")).when(t == 1, F.concat(F.lit(" <goal_context>left open "), "text")).when(t == 2, F.concat(F.lit("<external_note id=\"1\">x\ny</external_note>"), "text", F.lit("<external_end/>"))).when(t == 3, F.concat(F.lit("<external_open "), "text")).otherwise(F.col("text"))
+    rows = _talk(spark, d).where("role = 'user'")
+    said = F.concat(F.lit('{"type":"event_msg","payload":{"type":"user_message",'), F.to_json(F.struct(text.alias("message"))).substr(F.lit(2), F.lit(1 << 30)), F.lit("}"))
+    meta = rows.select("conv_id").distinct().select("conv_id", F.lit(-1).alias("turn"), F.concat(F.lit('{"type":"session_meta","payload":{"id":"r'), F.col("conv_id").cast("string"), F.lit('","cwd":"/work/x"}}')).alias("value"))
+    return transcripts.parse_rollouts(_lines(rows, said).unionByName(_lines(meta, F.col("value")))).select("session_id", "text")
+
+
+@query("SRC27_sessions", "SELECT conv_id || '-aaaa-' || lpad(CAST(conv_id AS VARCHAR), 9, '0') AS session_id, substr(lpad(CAST(conv_id AS VARCHAR), 9, '0'), 2) AS short_id, CASE conv_id % 4 WHEN 0 THEN 'talk ' || conv_id WHEN 1 THEN 'asked ' || conv_id ELSE 'asked ' || conv_id END AS display_name FROM (SELECT DISTINCT conv_id FROM conversations)")
+def src27(spark, d):
+    """Short ids are the end of the id; titles of the map count once cleaned, else the first text does."""
+    c = F.col("conv_id").cast("string")
+    sid = F.concat(c, F.lit("-aaaa-"), F.lpad(c, 9, "0"))
+    rows = _talk(spark, d).select("conv_id").distinct()
+    row = lambda n, value: rows.select("conv_id", F.lit(n).alias("turn"), value.alias("value"))
+    lines = row(0, F.concat(F.lit('{"type":"session_meta","payload":{"id":"'), sid, F.lit('","cwd":"/work/x"}}'))).unionByName(row(1, F.concat(F.lit('{"type":"event_msg","payload":{"type":"user_message","message":"asked '), c, F.lit('"}}'))))
+    title = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("<skill>s</skill> talk "), c)).when(F.col("conv_id") % 4 == 1, F.lit("<odd tag")).when(F.col("conv_id") % 4 == 2, F.lit("Base directory for this skill: /x")).otherwise(F.lit("<goal_context x"))
+    titles = transcripts.title_map(_lines(row(0, F.to_json(F.struct(sid.alias("id"), title.alias("thread_name")))), F.col("value")))
+    return transcripts.sessions_of(transcripts.parse_rollouts(_lines(lines, F.col("value"))), titles, rollouts=True).select("session_id", "short_id", "display_name")
+
+
 @query("SRC18_one_file", "SELECT session_id, CASE WHEN conv_id % 2 = 0 THEN 'a/' ELSE 'b/' END || session_id AS path FROM sessions", "SESSIONS")
 def src18(spark, d):
     rows = view(spark, d, "SESSIONS")
@@ -304,6 +328,7 @@ _COMMANDS = [
     ("cat > f.txt <<EOF\nhi\nEOF\n", True, True), ("cat > /dev/null", True, False), ("echo hi | cat > f", True, False), ("sed -i s/a/b/ f", True, True), ("sed s/a/b/ f", True, False),
     ("python3 -c \"open('f', 'w').write('x')\"", True, True), ("python3 - <<'E'\nfrom pathlib import Path\nPath('f').write_text('x')\nE\n", True, True), ("python3 -c \"def f():\n  open('f','w')\"", True, False),
     ("if true; then git commit -m x; fi", True, False), ("git commit -m x &", True, False), ("false || git commit -m x", True, False), ("exit 0; git commit -m x", True, False), ("git commit -m x", False, True), ("ls; git commit -m x", False, False), ("", True, False),
+    ("git commit -m --help", True, True), ("git commit -m x -- --dry-run", True, True), ("git --verbose commit -m x", True, False), ("git -C commit", True, False), ("echo \"$(a \"b (c\")\"; git commit -m x", True, True), ("echo $(a (b)); git commit -m x", True, True), ("git commit -m $(date)", True, False), ("sed -i -z s/a/b/ f", True, False), ("cat f 2>g", True, False),
 ]
 
 

@@ -26,6 +26,7 @@ LINE_TAGS = ["system-reminder", "local-command-caveat", "local-command-stdout",
 ROLLOUT_TAGS = [
     *LINE_TAGS, "environment_context", "permissions", "turn_aborted", "subagent_notification", "recommended-plugin", "in-app-browser-context", "codex_internal_context", "goal_context", "user_shell_command", "recommended_plugins", "skill", "bash-input", "bash-stdout", "bash-stderr", "model_switch", "personality_spec", "token_budget",
 ]
+LEADING_TAGS = ["environment_context", "permissions", "turn_aborted", "subagent_notification", "codex_internal_context", "goal_context", "user_shell_command"]
 SHELLS = {"sh", "bash", "zsh", "fish", "pwsh", "powershell", "powershell.exe", "cmd", "cmd.exe"}
 CALLS = {"function_call", "custom_tool_call", "local_shell_call", "tool_search_call", "web_search_call"}
 OUTPUTS = {"function_call_output", "custom_tool_call_output", "tool_search_output"}
@@ -258,14 +259,30 @@ def workspace_path(document: Column) -> Column:
 
 # Rollouts -------------------------------------------------------------------------------
 
+#: What is cut from a rollout's text, in order; both engines of regular expressions read them alike.
+_ROLLOUT_CUTS = [
+    *[rf"(?is)<{tag}\b[^>]*>.*?</{tag}>" for tag in ROLLOUT_TAGS],
+    r"(?is)<(external_[A-Za-z0-9_:-]+)\b[^>]*>.*?</\1>",
+    r"(?i)<external_[A-Za-z0-9_:-]+\b[^>]*/>",
+    r"(?is)\A# AGENTS\.md instructions[^\n]*\r?\n\s*\r?\n<INSTRUCTIONS>.*?</INSTRUCTIONS>\s*",
+    r"(?s)\A# AGENTS\.md instructions[^\n]*\r?\n.*?(?:\r?\n){2}",
+]
+#: A text that still begins so is not the user's.
+_ROLLOUT_LEFT = rf"(?i)\A\s*(?:# AGENTS\.md instructions|<(?:{'|'.join(LEADING_TAGS)}|external_[A-Za-z0-9_:-]+)\b)"
+
+
 def clean_rollout_text(text: str) -> str:
-    for tag in ROLLOUT_TAGS:
-        text = re.sub(rf"<{tag}\b[^>]*>.*?</{tag}>", "", text, flags=re.S | re.I)
-    text = re.sub(r"<(external_[A-Za-z0-9_:-]+)\b[^>]*>.*?</\1>", "", text, flags=re.S | re.I)
-    text = re.sub(r"<external_[A-Za-z0-9_:-]+\b[^>]*/>", "", text, flags=re.I)
-    text = re.sub(r"\A# AGENTS\.md instructions[^\n]*\r?\n\s*\r?\n<INSTRUCTIONS>.*?</INSTRUCTIONS>\s*", "", text, flags=re.S | re.I)
-    text = re.sub(r"\A# AGENTS\.md instructions[^\n]*\r?\n.*?(?:\r?\n){2}", "", text, flags=re.S)
-    return "" if re.match(r"\s*# AGENTS\.md instructions", text, re.I) else text.strip()
+    for cut in _ROLLOUT_CUTS:
+        text = re.sub(cut, "", text)
+    return "" if re.match(_ROLLOUT_LEFT, text) else text.strip()
+
+
+def rollout_title(x: Column) -> Column:
+    """A title from the log of titles without injected parts; null where nothing usable is left."""
+    for cut in _ROLLOUT_CUTS:
+        x = F.regexp_replace(x, cut, "")
+    kept = F.regexp_replace(x, r"\A\s+|\s+\z", "")
+    return F.when(~x.rlike(_ROLLOUT_LEFT) & (kept != "") & ~kept.rlike(r"(?i)\A(?:<|Base directory for this skill:)"), kept)
 
 
 def flat_text(value: object) -> str:
@@ -434,13 +451,17 @@ def title_map(lines: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max_by("title", "line_no").alias("title"))
 
 
-def sessions_of(messages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """One row for each session: its title from the log, the title map, the first user text or the id; its project and times."""
+def sessions_of(messages: DataFrame, titles: DataFrame | None = None, rollouts: bool = False) -> DataFrame:
+    """One row for each session: its title from the log, the title map, the first user text or the id; its project and times.
+
+    Rollouts are named by the end of their id without dashes, and their titles in the map are cleaned.
+    """
     first = F.min_by("text", F.when((F.col("role") == "user") & (F.col("text") != ""), F.col("pos")))
     rows = messages.groupBy("path", "session_id").agg(F.first("title").alias("own"), F.first("cwd").alias("cwd"), F.first("started_at").alias("started_at"), F.first("ended_at").alias("ended_at"), first.alias("asked"), F.count("*").alias("turns"))
     rows = rows.join(titles, "session_id", "left") if titles is not None else rows.withColumn("title", F.lit(None).cast("string"))
-    short = F.substring("session_id", 1, 8)
-    title = F.coalesce(F.nullif("own", F.lit("")), F.nullif("title", F.lit("")), "asked", short)
+    short = F.coalesce(F.nullif(F.right(F.replace("session_id", F.lit("-")), F.lit(8)), F.lit("")), F.lit("untitled")) if rollouts else F.substring("session_id", 1, 8)
+    listed = rollout_title(F.col("title")) if rollouts else F.nullif("title", F.lit(""))
+    title = F.coalesce(F.nullif("own", F.lit("")), listed, "asked", short)
     return rows.select("path", "session_id", short.alias("short_id"), fn.project_slug_of_path(F.col("cwd")).alias("project"), F.col("cwd").alias("project_raw"), "started_at", "ended_at", "turns", fn.slug_and_display(title).alias("s")).select("*", F.col("s.slug").alias("name_slug"), F.col("s.display").alias("display_name")).drop("s")
 
 
