@@ -10,10 +10,13 @@ A radius that wide prunes nothing in one tree over all texts, so trees stand in
 have one order, that of their hashes with the common ones last; sets of similarity 4/5 share a
 shingle among the first n - ceil(4n/5) + 1 of each, so each of those is a bucket. In a small
 bucket all pairs that its BK-tree finds are candidates. In a large one (a common shingle: a
-group of copies, a shared line) each set is first paired with two centres; when those links are
-known, the buckets that are one group by then are done, and of the others only the sets outside
-the largest group search the shard trees for sets of other groups. Candidates are verified on
-their whole sets.
+group of copies, a shared line) each set is first paired with two centres, those with the fewest
+rare shingles; when those links are known, the buckets that are one group by then are done, and
+of the others only the sets outside the largest group search the shard trees for sets of other
+groups. A set that has a common shingle among its first has all its rare ones there too, so sets
+that share a rare one meet in its bucket; all others share no more than the smaller one's common
+shingles, which keeps edited copies of one text apart without a look at each pair's sets.
+Candidates are verified on their whole sets.
 
 Which shingles are common is learned from a hash sample of texts and bounded; it decides the
 cost, not the result. Copies of a set are one row. Rows are numbered and written once in buckets
@@ -43,7 +46,7 @@ SAMPLED, COMMON, MOST_COMMON = 8, 4, 200_000
 #: Sets in a bucket whose pairs are all searched at once, at most; tasks that a common shingle's sets are dealt to.
 SMALL, SALTS = 32, 64
 #: Pairs made at once, and set keys that a task remembers to skip copies.
-PAIRS, MEMO = 1 << 20, 1 << 20
+PAIRS, MEMO = 1 << 18, 1 << 20
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -87,9 +90,12 @@ def _common(dealt: DataFrame) -> np.ndarray:
 
 
 def _prefixes(dealt: DataFrame, common: np.ndarray) -> DataFrame:
-    """(shingle, salt, key, fp, n, pos): the buckets of each set, its fingerprint and size, and the shingle's place; salt 0 if not common."""
+    """(shingle, salt, key, fp, n, pos, most): the buckets of each set, its fingerprint and size, and the shingle's place.
+
+    salt is 0 if the shingle isn't common; most: what the set can share with one that meets it here and in no bucket of a rare shingle.
+    """
     shared = dealt.sparkSession.sparkContext.broadcast(common)
-    schema = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    schema = pa.schema([("shingle", pa.int64()), ("salt", pa.int32()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("most", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
@@ -115,17 +121,18 @@ def _prefixes(dealt: DataFrame, common: np.ndarray) -> DataFrame:
                     sets[i] = np.concatenate((s[~often], s[often]))
             own, pos = expand(first)
             key = np.array(keys, np.int64)
-            salt = np.where(pos < rare[own], 0, 1 + key[own] % SALTS)
-            yield record(schema, [np.concatenate([s[:p] for s, p in zip(sets, first, strict=True)]).view(np.int64), salt.astype(np.int32), key[own], fp[own], n[own].astype(np.int32), pos.astype(np.int32)])
+            often = pos >= rare[own]
+            salt, most = np.where(often, 1 + key[own] % SALTS, 0), np.where(often, (n - rare)[own], n[own])
+            yield record(schema, [np.concatenate([s[:p] for s, p in zip(sets, first, strict=True)]).view(np.int64), salt.astype(np.int32), key[own], fp[own], n[own].astype(np.int32), pos.astype(np.int32), most.astype(np.int32)])
 
-    return dealt.select("text").mapInArrow(run, "shingle long, salt int, key long, fp long, n int, pos int")
+    return dealt.select("text").mapInArrow(run, "shingle long, salt int, key long, fp long, n int, pos int, most int")
 
 
-def _can(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _can(n: np.ndarray, pos: np.ndarray, most: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether the sizes and places of a shared shingle leave room for a similarity of 4/5."""
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
-    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-    return 9 * most >= 4 * (n[i] + n[j])
+    n, pos, most = n.astype(np.int64), pos.astype(np.int64), most.astype(np.int64)
+    room = np.minimum(np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]), np.minimum(most[i], most[j]))
+    return 9 * room >= 4 * (n[i] + n[j])
 
 
 def searched(group: np.ndarray, fp: np.ndarray, asks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -168,19 +175,19 @@ def _pair(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _met(prefixes: DataFrame) -> DataFrame:
-    """Candidates of small buckets (kind 0: a and b) and the rows of large ones (kind 1: shingle, key, fp, n, pos)."""
-    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    """Candidates of small buckets (kind 0: a and b) and the rows of large ones (kind 1: shingle, key, fp, n, pos, most)."""
+    schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("most", pa.int32())])
 
     def told(columns: list[np.ndarray], large: np.ndarray) -> Iterator[pa.RecordBatch]:
-        shingle, _, key, fp, n, pos = (c[large] for c in columns)
+        shingle, _, key, fp, n, pos, most = (c[large] for c in columns)
         if len(key):
-            yield record(schema, [np.ones(len(key), np.int32), shingle, key, fp, n, pos])
-        shingle, _, key, fp, n, pos = (c[~large] for c in columns)
+            yield record(schema, [np.ones(len(key), np.int32), shingle, key, fp, n, pos, most])
+        shingle, _, key, fp, n, pos, most = (c[~large] for c in columns)
         for i, j in searched(shingle, fp) if len(key) else ():
-            good = _can(n, pos, i, j)
+            good = _can(n, pos, most, i, j)
             u, v = _pair(key, i[good], j[good])
             none = np.zeros(len(u), np.int32)
-            yield record(schema, [none, u, v, np.zeros(len(u), np.int64), none, none])
+            yield record(schema, [none, u, v, np.zeros(len(u), np.int64), none, none, none])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows of the bucket that the last batch ended in; of one known to be large the last row only
@@ -210,36 +217,38 @@ def _met(prefixes: DataFrame) -> DataFrame:
 
     n = max(int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = prefixes.repartition(n, "shingle", "salt").sortWithinPartitions("shingle", "salt", "key")
-    return rows.mapInArrow(run, "kind int, a long, b long, fp long, n int, pos int")
+    return rows.mapInArrow(run, "kind int, a long, b long, fp long, n int, pos int, most int")
 
 
 def _centred(rows: DataFrame) -> DataFrame:
-    """Candidates (u, v): each set of a large bucket with the bucket's least and largest."""
-    one = F.struct("key", "fp", "n", "pos")
-    centres = rows.groupBy("shingle").agg(F.min(one).alias("low"), F.max(one).alias("high"))
-    both = rows.join(centres, "shingle").select("key", "fp", "n", "pos", F.explode(F.array("low", "high")).alias("c"))
-    most = F.least("pos", "c.pos") + F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos"))
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= RADIUS) & (9 * most >= 4 * (F.col("n") + F.col("c.n")))
+    """Candidates (u, v): each set of a large bucket with two of those that have the fewest rare shingles."""
+    rare = F.col("n") - F.col("most")
+    rest = [F.col(c) for c in ("key", "fp", "n", "pos", "most")]
+    centres = written(rows.groupBy("shingle").agg(F.min(F.struct(rare.alias("by"), *rest)).alias("low"), F.max(F.struct((-rare).alias("by"), *rest)).alias("high")), "centres")
+    both = rows.join(centres, "shingle").select(*rest, F.explode(F.array("low", "high")).alias("c"))
+    room = F.least(F.least("pos", "c.pos") + F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos")), "most", "c.most")
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("c.fp"))) <= RADIUS) & (9 * room >= 4 * (F.col("n") + F.col("c.n")))
     return both.where(near & (F.col("key") != F.col("c.key"))).select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v")).distinct()
 
 
 def _apart(rows: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Candidates (u, v) of different roots in large buckets; rows (shingle, key, fp, n, pos, root)."""
+    """Candidates (u, v) of different roots in large buckets; rows (shingle, key, fp, n, pos, most, root)."""
+    rows = written(rows, "labelled")
     roots = rows.groupBy("shingle", "root").agg(F.count("*").alias("size"))
     buckets = roots.groupBy("shingle").agg(F.sum("size").alias("all"), F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main"))
-    buckets = buckets.where("roots > 1").select("shingle", "main", F.ceil(F.col("all") / tree_rows).cast("int").alias("parts"))
-    rows = rows.join(buckets, "shingle").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    buckets = written(buckets.where("roots > 1").select("shingle", "main", F.ceil(F.col("all") / tree_rows).cast("int").alias("parts")), "buckets")
+    rows = written(rows.join(buckets, "shingle").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")), "contested")
     every: Column = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    columns = ["shingle", "key", "fp", "n", "pos", "root"]
+    columns = ["shingle", "key", "fp", "n", "pos", "most", "root"]
     # each part of the sets that ask meets each part of the tree's
     asking = rows.where("root <> main").select(*columns, "own", every, F.lit(True).alias("asks"))
     asked = rows.select(*columns, F.col("own").alias("__own"), every, F.lit(False).alias("asks")).select(*columns, F.col("other").alias("own"), F.col("__own").alias("other"), "asks")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def solve(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        bucket, key, fp, n, pos, root, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket, key, fp, n, pos, most, root, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
         for i, j in searched(bucket, fp, asks):
-            good = (root[i] != root[j]) & _can(n, pos, i, j)
+            good = (root[i] != root[j]) & _can(n, pos, most, i, j)
             u, v = _pair(key, i[good], j[good])
             yield record(schema, [u, v])
 
@@ -261,7 +270,7 @@ def _apart(rows: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
 
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     bucket = F.xxhash64("shingle", "own", "other").alias("bucket")
-    dealt = asking.unionByName(asked).select(bucket, "key", "fp", "n", "pos", "root", "asks").repartition(n, "bucket").sortWithinPartitions("bucket")
+    dealt = asking.unionByName(asked).select(bucket, "key", "fp", "n", "pos", "most", "root", "asks").repartition(n, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
@@ -295,7 +304,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("__doc").isNull().alias("none"), "__doc", RID)).alias("least")
     least = written(_keyed(dealt).groupBy("key").agg(first), "shingle-sets")
     met = written(_met(_prefixes(dealt, _common(dealt))), "met")
-    rows = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("key"), "fp", "n", "pos")
+    rows = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("key"), "fp", "n", "pos", "most")
     pairs = met.where("kind = 0").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(_centred(rows)).distinct()
     pairs = written(pairs, "pairs")
     links = _verified(dealt, least, pairs)

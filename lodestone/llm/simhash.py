@@ -35,7 +35,7 @@ SEED, WIDTH, RADIUS = 42, 4, 4
 #: Fingerprints in one BK-tree at most; larger buckets become several shard trees.
 TREE_ROWS = 20_000
 #: (query, node) pairs followed at once.
-FRONT = 1 << 20
+FRONT = 1 << 18
 
 _LANES = np.uint64(0x0101010101010101)
 

@@ -340,7 +340,8 @@ def removals(dealt: DataFrame, length: int = LENGTH) -> DataFrame:
         solved.append(kinds.where(only & (F.col("n") > 1)).select("key", "content", F.array(size).alias("ranges")))
         solved.append(_ranges(_cut_out(kinds.where(~hot & ~(only & (F.col("n") > 1))), dealt, length), length))
         places.append(found.select("key", "content", RID, "pos"))
-        hot_keys = kinds.where(hot).select("key").distinct()
+        # one key for more than HOT kinds: Spark sees the size of the written table and deals the fragments out only if it is large
+        hot_keys = written(kinds.where(hot).select("key").distinct(), "hot-keys")
         if not gram or hot_keys.isEmpty():
             break
         found = written(_refined(found.join(hot_keys, "key").select(RID, "pos"), dealt, length, gram), "fragments")
