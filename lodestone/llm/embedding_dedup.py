@@ -6,11 +6,15 @@ and whose centres are more than the radius apart. Two trees are descended togeth
 nodes goes when the distance of the centres less both covering radii exceeds the threshold's
 distance, and the vectors of two leaves are compared exactly, in double precision.
 
-Equal vectors are one kind with a count. Labels are dealt into cells of about ``CELL`` kinds by
-hash, and each pair of cells of a label is one group of at most two cells, so that a label of
-any size spreads over many tasks. A group emits for each kind its number of links and one
-spanning link; pairs are never emitted. (Exact links of one label need every pair of its cells
-to be looked at; what the bounds save is the work inside.)
+Equal vectors (128 bits of two hashes) are one kind with a count. A label whose kinds exceed one
+cell (``CELL_BYTES``) gets a level of its own above the trees: at most ``PIVOTS`` pivots over all
+labels, in proportion to their sizes, each kind in the cell of its nearest pivot, with the cell's
+covering radius. Pairs of cells that the radii keep apart go before a row is copied; cells that
+are still too large are cut by hash. What is left are groups of two cut cells at most, so that a
+label of any size spreads over many tasks. A group emits for each kind its number of links and
+one spanning link; pairs are never emitted. How much the radii part depends on the vectors:
+random ones in many dimensions lie all equally far apart, and exact links then need every pair of
+cells.
 
 Defined results: a vector that is null, empty, zero, or holds null or a non-finite component,
 or has a null label, links with nothing and is its own component; null ids are kept and are
@@ -27,12 +31,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, join_labels, record, written
+from .common import components, join_labels, record, release_memory, written
 
 COSINE = 0.93
-CELL = 2048
+#: Bytes of the vectors of a cell, about; pivots over all labels, and bytes of their vectors, at most.
+CELL_BYTES = 4 << 20
+PIVOTS, PIVOT_BYTES = 1024, 32 << 20
 LEAF = 16
+#: Centres looked for at once.
+AHEAD = 64
 #: Room for rounding in the bounds; the comparison of two vectors has none.
 SLACK = 1e-7
 
@@ -65,13 +74,19 @@ class CoverTree:
         if len(rows) <= LEAF or half <= 0.02:
             return node
         groups = []
+        near = far <= half
+        groups.append((centre, rows[near], far[near]))
+        rows = rows[~near]
         while len(rows):
-            near = far <= half
-            groups.append((centre, rows[near], far[near]))
-            rows = rows[~near]
-            if len(rows):
-                centre = int(rows[0])
-                far = self._far(centre, rows)
+            # the distances of many rows at once; those among them that no earlier one covers are centres
+            ahead = np.sqrt(np.maximum(2 - 2 * (self.unit[rows[:AHEAD]] @ self.unit[rows].T), 0))
+            left = np.ones(len(rows), bool)
+            for i in range(len(ahead)):
+                if left[i]:
+                    near = np.flatnonzero(left & (ahead[i] <= half))
+                    groups.append((int(rows[i]), rows[near], ahead[i][near]))
+                    left[near] = False
+            rows = rows[left]
         self.children[node] = [self._grow(c, r, f, half) for c, r, f in groups]
         return node
 
@@ -100,14 +115,14 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def group_links(unit: np.ndarray, side: np.ndarray, count: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each row, weighted by the other's count; smallest row of its set) among rows of one cell (side 0 alone) or between two."""
+def group_links(unit: np.ndarray, side: np.ndarray, count: np.ndarray, cosine: float, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each row, weighted by the other's count; smallest row of its set) among rows of one cell (alone) or between two."""
     links, label = np.zeros(len(unit), np.int64), np.arange(len(unit))
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(first):
+    if not len(first) or not (alone or len(second)):
         return links, label
     a = CoverTree(unit[first])
-    b, other = (CoverTree(unit[second]), second) if len(second) else (a, first)
+    b, other = (a, first) if alone else (CoverTree(unit[second]), second)
     for i, j in _dual(a, b, cosine):
         p, q = first[i], other[j]
         if b is a:
@@ -119,20 +134,99 @@ def group_links(unit: np.ndarray, side: np.ndarray, count: np.ndarray, cosine: f
     return links, label
 
 
-def _kinds(vectors: DataFrame) -> DataFrame:
-    """(kid, label, v, n, least): each different vector that can link."""
-    good = "label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)"
-    kinds = vectors.where(good).groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
-    return written(kinds.withColumn("kid", F.monotonically_increasing_id()), "kinds")
+def _hashed(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, label, h1, h2, v): h1 and h2 name a vector that can link; both are null for one that can't."""
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    good = F.expr("label is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+    h = [F.when(good, F.xxhash64("v", *[F.lit(i)] * i)).alias(f"h{i + 1}") for i in range(2)]
+    return rows.select("vec_id", "label", *h, "v")
 
 
-def _links(kinds: DataFrame, cosine: float, cell: int) -> DataFrame:
+def _kinds(rows: DataFrame) -> DataFrame:
+    """(kid, label, width, h1, h2, v, n, least): each different vector that can link."""
+    kinds = rows.where("h1 is not null").groupBy("label", "h1", "h2").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    return written(kinds.withColumns({"kid": F.monotonically_increasing_id(), "width": F.size("v")}), "kinds")
+
+
+def _pivots(kinds: DataFrame, sizes: DataFrame, cell_bytes: int) -> dict[tuple, np.ndarray]:
+    """Unit pivots of the largest labels (label, width) with more than one cell, in proportion to their bytes."""
+    large = [(r.label, r.width, r.n, r.n * r.width * 8) for r in sizes.orderBy(F.desc(F.col("n") * F.col("width")), "label", "width").limit(PIVOTS).collect()]
+    large = [x for x in large if x[3] > cell_bytes]
+    whole = sum(x[3] for x in large)
+    most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * max((x[1] for x in large), default=1))))
+    wanted = {(x[0], x[1]): min(-(-x[3] // cell_bytes), most * x[3] // whole) for x in large}
+    wanted = {k: n for k, n in wanted.items() if n > 1}
+    if not wanted:
+        return {}
+    size = {(x[0], x[1]): x[2] for x in large}
+    share = kinds.sparkSession.createDataFrame([(*k, min(1.0, 4 * n / size[k])) for k, n in wanted.items()], kinds.select("label", "width", F.lit(0.0).alias("share")).schema)
+    picked = F.pmod(F.xxhash64("h1", F.lit(1)), F.lit(1_000_000)) < F.col("share") * 1e6
+    found: dict[tuple, list] = {}
+    for r in kinds.join(F.broadcast(share), ["label", "width"]).where(picked).select("label", "width", "h1", "v").collect():
+        found.setdefault((r.label, r.width), []).append((r.h1, r.v))
+    return {k: _unit(np.array([v for _, v in sorted(rows)[: wanted[k]]], float)) for k, rows in found.items() if len(rows) > 1}
+
+
+def _in_cells(kinds: DataFrame, pivots: dict[tuple, np.ndarray]) -> DataFrame:
+    """``kinds`` with the cell of the nearest pivot and the distance to it; one cell where a label has no pivots."""
+    shared = kinds.sparkSession.sparkContext.broadcast(pivots)
+    kind = T.StructType([*kinds.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
+        for batch in batches:
+            cell, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            of: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("width").to_pylist(), strict=True)):
+                if key in pivots:
+                    of.setdefault(key, []).append(i)
+            for key, at in of.items():
+                rows = _unit(batch.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
+                d = 2 - 2 * (rows @ pivots[key].T)
+                cell[at] = d.argmin(1)
+                far[at] = np.sqrt(np.maximum(d.min(1), 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[f.name for f in kind])
+
+    if not pivots:
+        return kinds.withColumns({"cell": F.lit(0), "far": F.lit(0.0)})
+    return written(kinds.mapInArrow(run, kind), "cells")
+
+
+def _near_cells(cells: DataFrame, pivots: dict[tuple, np.ndarray], cosine: float) -> DataFrame:
+    """(label, width, a, b): pairs of cells, a <= b, that the covering radii don't keep apart; every cell beside itself."""
+    own = cells.select("label", "width", F.col("cell").alias("a"), F.col("cell").alias("b"))
+    if not pivots:
+        return own
+    reach = math.sqrt(2 - 2 * cosine) + SLACK
+    with_pivots = cells.sparkSession.createDataFrame([*pivots], cells.select("label", "width").schema)
+    radius: dict[tuple, dict[int, float]] = {}
+    for r in cells.join(F.broadcast(with_pivots), ["label", "width"]).select("label", "width", "cell", "radius").collect():  # one row a pivot
+        radius.setdefault((r.label, r.width), {})[r.cell] = r.radius
+    parts = []
+    for key, of in radius.items():
+        cell = np.array(sorted(of))
+        r = np.array([of[c] for c in cell])
+        far = np.sqrt(np.maximum(2 - 2 * (pivots[key][cell] @ pivots[key][cell].T), 0))
+        i, j = np.nonzero(np.triu(far - r[:, None] - r[None] <= reach, 1))
+        parts += [(*key, int(a), int(b)) for a, b in zip(cell[i], cell[j], strict=True)]
+    return own.unionByName(cells.sparkSession.createDataFrame(parts, own.schema)) if parts else own
+
+
+def _links(kinds: DataFrame, cosine: float, cell_bytes: int) -> DataFrame:
     """(kid, links, root) for each kind that links in a group of cells."""
-    sizes = kinds.groupBy("label", F.size("v").alias("width")).agg(F.ceil(F.count("*") / cell).cast("int").alias("cells"))
-    rows = kinds.withColumn("width", F.size("v")).join(sizes, ["label", "width"]).withColumn("own", F.pmod(F.xxhash64("kid"), F.col("cells")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    rows = rows.select(F.xxhash64("label", "width", low, high).alias("group"), (F.col("own") > F.col("other")).cast("int").alias("side"), "kid", "n", "v")
+    sizes = kinds.groupBy("label", "width").agg(F.count("*").alias("n"))
+    pivots = _pivots(kinds, sizes, cell_bytes)
+    rows = _in_cells(kinds, pivots)
+    cells = written(rows.groupBy("label", "width", "cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") * F.col("width") * 8 / cell_bytes).cast("int").alias("parts")), "cell-sizes")
+    near = _near_cells(cells, pivots, cosine)
+    part = lambda c, out: cells.select("label", "width", F.col("cell").alias(c), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(out))
+    groups = near.join(part("a", "x"), ["label", "width", "a"]).join(part("b", "y"), ["label", "width", "b"]).where("a < b or x <= y")
+    rows = rows.join(cells.select("label", "width", "cell", "parts"), ["label", "width", "cell"]).withColumn("part", F.pmod(F.xxhash64("kid"), F.col("parts")).cast("int"))
+    rows = rows.select("label", "width", "cell", "part", "kid", "n", "v")
+    by = ["label", "width", "a", "b", "x", "y"]
+    first = rows.withColumnsRenamed({"cell": "a", "part": "x"}).join(groups, ["label", "width", "a", "x"]).withColumn("side", F.lit(0))
+    second = rows.withColumnsRenamed({"cell": "b", "part": "y"}).join(groups.where("a < b or x < y"), ["label", "width", "b", "y"]).withColumn("side", F.lit(1))
+    both = first.unionByName(second)
     n = max(int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     schema = pa.schema([("kid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
@@ -142,7 +236,8 @@ def _links(kinds: DataFrame, cosine: float, cell: int) -> DataFrame:
         vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
         unit = _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1))
         kid = np.asarray(whole["kid"])
-        links, label = group_links(unit, np.asarray(whole["side"]), np.asarray(whole["n"]), cosine)
+        one = whole.slice(0, 1).to_pylist()[0]
+        links, label = group_links(unit, np.asarray(whole["side"]), np.asarray(whole["n"]), cosine, (one["a"], one["x"]) == (one["b"], one["y"]))
         some = np.flatnonzero(links)
         return record(schema, [kid[some], links[some], kid[label[some]]])
 
@@ -152,8 +247,8 @@ def _links(kinds: DataFrame, cosine: float, cell: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = np.asarray(batch.column("group"))
-            cuts = np.flatnonzero(np.append(last is not None and group[0] != last, group[1:] != group[:-1])).tolist()
+            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
+            cuts = [i for i, (x, y) in enumerate(zip([last, *keys], keys, strict=False)) if x != y and (i or last is not None)]
             at = 0
             for cut in cuts:
                 if cut > at:
@@ -161,24 +256,37 @@ def _links(kinds: DataFrame, cosine: float, cell: int) -> DataFrame:
                 yield solve(kept)
                 kept, at = [], cut
             kept.append(batch.slice(at))
-            last = group[-1]
+            last = keys[-1]
         if kept:
             yield solve(kept)
+        release_memory()
 
-    return rows.repartition(n, "group").sortWithinPartitions("group").mapInArrow(run, "kid long, links long, root long")
+    return both.select(*by, "side", "kid", "n", "v").repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, "kid long, links long, root long")
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, cell: int = CELL) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``embeddings`` (vec_id, embedding, label)."""
-    vectors = embeddings.select(F.col("vec_id").cast("long"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
-    kinds = _kinds(vectors)
-    found = written(_links(kinds, cosine, cell), "links")
+    rows = _hashed(embeddings)
+    kinds = _kinds(rows)
+    found = written(_links(kinds, cosine, cell_bytes), "links")
     roots = components(found.select(F.col("kid").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "kid")
     counted = found.groupBy("kid").agg(F.sum("links").alias("links"))
-    about = kinds.join(counted, "kid", "left").join(roots, "kid", "left").withColumn("root", F.coalesce("root", "kid"))
-    about = written(about.select("label", "v", "n", "least", "root", F.coalesce("links", F.lit(0)).alias("links")), "about")
+    about = kinds.drop("v").join(counted, "kid", "left").join(roots, "kid", "left").withColumn("root", F.coalesce("root", "kid"))
+    about = written(about.select("label", "h1", "h2", "n", "least", "root", F.coalesce("links", F.lit(0)).alias("links")), "about")
     least = about.groupBy("root").agg(F.min("least").alias("component"))
-    about = about.join(least, "root").select("label", "v", "n", "links", "component")
-    out = vectors.join(about, ["label", "v"], "left")
+    about = written(about.join(least, "root").select("label", "h1", "h2", "n", "links", "component"), "about")
+    # narrow rows on both sides: the join can be split where one vector is very frequent
+    out = rows.drop("v").join(about, ["label", "h1", "h2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+#: The same by every pair of a label and a walk along the links, for DuckDB.
+SQL = f"""WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ good AS (SELECT * FROM rows WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ links AS MATERIALIZED (SELECT a.r AS u, b.r AS w FROM good a JOIN good b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r WHERE list_cosine_similarity(a.v, b.v) >= {COSINE}),
+ reach AS (SELECT r AS s, r AS t FROM rows UNION SELECT reach.s, links.w FROM reach JOIN links ON links.u = reach.t),
+ least AS (SELECT s, min(o.vec_id) AS component FROM reach JOIN rows o ON o.r = t GROUP BY s),
+ counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(component, vec_id) AS kept
+FROM rows LEFT JOIN least ON least.s = rows.r LEFT JOIN counts ON counts.u = rows.r"""

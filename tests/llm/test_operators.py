@@ -308,8 +308,8 @@ def plain_links(rows, t=0.93):
     return sorted(((i, len(x) - 1, least[c], i == least[c]) for (i, *_), x, c in zip(rows, near, label, strict=True)), key=str)
 
 
-@pytest.mark.parametrize("cell", [2048, 10])
-def test_embedding_dedup(spark, cell):
+@pytest.mark.parametrize("cell_bytes", [1 << 20, 640])
+def test_embedding_dedup(spark, cell_bytes):
     r = np.random.default_rng(7)
     centres = r.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + r.normal(size=8) * 0.25).tolist(), int(i % 3 == 0)) for i in range(150)]
@@ -317,7 +317,27 @@ def test_embedding_dedup(spark, cell):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as kid", "2 as v", "3 as n")
     want = plain_links(rows)
     assert sum(w[1] for w in want) > 100
-    assert listed(embedding_dedup.near_duplicates(df, cell=cell)) == want
+    assert listed(embedding_dedup.near_duplicates(df, cell_bytes=cell_bytes)) == want
+
+
+def test_cells_apart_are_not_paired(spark):
+    r = np.random.default_rng(3)
+    centres = np.eye(8)
+    rows = [(i, (centres[i % 8] + r.normal(size=8) * 0.02).tolist(), 1) for i in range(400)]
+    kinds = embedding_dedup._kinds(embedding_dedup._hashed(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")))
+    pivots = embedding_dedup._pivots(kinds, kinds.groupBy("label", "width").agg(embedding_dedup.F.count("*").alias("n")), 800)
+    cells = embedding_dedup._in_cells(kinds, pivots).groupBy("label", "width", "cell").agg(embedding_dedup.F.max("far").alias("radius"))
+    n, near = cells.count(), embedding_dedup._near_cells(cells, pivots, 0.93).count()
+    assert n >= 16 and near < 0.4 * n * (n + 1) / 2
+
+
+def test_embedding_sql(spark):
+    import duckdb
+
+    duckdb.sql("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
+    want = duckdb.sql(embedding_dedup.SQL).fetchall()
+    got = embedding_dedup.near_duplicates(table(spark, "/root/testdata/sf0.01", "embeddings"))
+    assert listed(got) == sorted(want, key=str)
 
 
 def test_embedding_odd_rows(spark):
