@@ -4,14 +4,15 @@ Fingerprint: lower-cased (A-Z) words, shingles of ``width`` words, XXH64 with se
 is 1 if it is set in over half the hashes. Two fingerprints link at ``radius`` or fewer
 differing bits.
 
-Links: 64 bits fall into ``radius + 1`` blocks. Fingerprints within the radius agree on one
-block at least, so each (block, value) is a bucket that is searched on its own: its distinct
-fingerprints form BK-trees whose children are keyed by their Hamming distance to the parent,
-and a search follows only the edges whose key is within the radius of the distance just
-measured. A bucket over ``TREE_ROWS`` is cut into shard trees, and every member is sent to
-each of them, so that a task's tree stays bounded. Each task joins what it links and emits a
-spanning star, not pairs. Equal fingerprints are one row from the start, with the smallest
-document id. Components come from the written star links.
+Links: 64 bits fall into ``radius + 2`` blocks. Fingerprints within the radius agree on two
+blocks at least, so each pair of blocks with its values (some 21 bits) is a bucket that is
+searched on its own: its distinct fingerprints form BK-trees whose children are keyed by their
+Hamming distance to the parent, and a search follows only the edges whose key is within the
+radius of the distance just measured. A bucket over ``TREE_ROWS``, as counted in a hash sample,
+is cut into shard trees; they are not broadcast to all workers, as together they grow with the
+input, but every member is sent to each of its bucket's, so that a task's tree stays bounded.
+Each task joins what it links and emits a spanning star, not pairs. Equal fingerprints are one
+row from the start, with the smallest document id. Components come from the written star links.
 
 Defined results: null and empty text, and text of white space only, have fingerprint 0 and
 link like any other; null ids are kept, and count as larger than any id in a component's
@@ -21,6 +22,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ from .common import components, expand, join_labels, record, slices, texts, writ
 SEED, WIDTH, RADIUS = 42, 4, 4
 #: Fingerprints in one BK-tree at most; larger buckets become several shard trees.
 TREE_ROWS = 20_000
+#: One of so many fingerprints is counted to find large buckets.
+SAMPLED = 16
 #: (query, node) pairs followed at once.
 FRONT = 1 << 18
 
@@ -76,17 +80,17 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, tag, fp): a hash and the fingerprint of each row's whole text, the latter as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, fp): the fingerprint of each row's whole text, as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             hashes = [shingle_hashes(t, width) for t in texts(batch)]
             counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
             flat = np.fromiter((h for x in hashes for h in x), np.uint64, int(counts.sum()))
-            yield record(schema, [batch.column("doc_id"), batch.column("tag"), majority(flat, counts).view(np.int64)])
+            yield record(schema, [batch.column("doc_id"), majority(flat, counts).view(np.int64)])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tag"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, tag long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 class BKForest:
@@ -149,14 +153,20 @@ def _bucket_links(group: np.ndarray, member: np.ndarray, fp: np.ndarray, radius:
 
 def links(distinct: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
     """Links (u, v) among distinct fingerprints ``fp``; their components are those of all pairs within the radius."""
-    cuts = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    rows = distinct.select("fp", F.inline(blocks))
-    # at most (radius + 1) * 2^13 buckets exist, whatever the input
-    shards = rows.groupBy("block", "value").agg(F.ceil(F.count("*") / tree_rows).cast("int").alias("shards"))
-    shard = F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int")
-    rows = rows.join(F.broadcast(shards), ["block", "value"]).select("fp", "block", "value", shard.alias("own"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("tree"))
-    rows = rows.select("fp", F.xxhash64("block", "value", "tree").alias("bucket"), F.col("own").eqNullSafe(F.col("tree")).alias("member"))
+    cuts = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
+    value = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in itertools.pairwise(cuts)]
+    width = [b - a for a, b in itertools.pairwise(cuts)]
+    pairs = itertools.combinations(range(radius + 2), 2)
+    bucket = F.array(*[F.shiftleft(F.shiftleft(value[i], width[j]).bitwiseOR(value[j]), 16).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(pairs)])
+    rows = distinct.select("fp", F.explode(bucket).alias("bucket"))
+    # buckets too large for one tree, by a sample: their number sets the cost and not the result
+    thin = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).select(F.explode(bucket).alias("bucket"))
+    large = thin.groupBy("bucket").agg(F.ceil(F.count("*") * SAMPLED / tree_rows).cast("int").alias("shards")).where("shards > 1")
+    large = written(large, "large-buckets")
+    rows = rows.join(large, "bucket", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    shard = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("shards")).cast("int")
+    rows = rows.select("fp", "bucket", shard.alias("own"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("tree"))
+    rows = rows.select("fp", F.xxhash64("bucket", "tree").alias("bucket"), F.col("own").eqNullSafe(F.col("tree")).alias("member"))
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -184,36 +194,15 @@ def links(distinct: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS)
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _grouped(marked: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct fingerprints with their least (null flag, doc_id, tag), and (fp, root) of those that link."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
-    distinct = marked.groupBy("fp").agg(first.alias("least"))
-    return distinct, written(components(links(distinct, radius)).withColumnRenamed("node", "fp"), "roots")
-
-
-def first_rows(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the ``first`` (null flag, doc_id, tag) of a group, each once."""
-    first = first.select(F.col("first.none").alias("__none"), F.coalesce("first.doc_id", F.lit(0)).alias("__doc"), F.col("first.tag").alias("__tag"))
-    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
-    rows = docs.select(whole, F.col("doc_id").isNull().alias("__none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__doc"), F.xxhash64("text").alias("__tag"))
-    # the join has dealt the rows by this key already; repeated rows are all that is left to drop
-    return rows.join(first, ["__none", "__doc", "__tag"], "left_semi").dropDuplicates(["__none", "__doc", "__tag"]).select("row.*")
-
-
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs`` (doc_id, text)."""
     marked = written(fingerprints(docs, width), "fingerprints")
-    distinct, root = _grouped(marked, radius)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
+    distinct = written(marked.groupBy("fp").agg(least), "distinct")
+    root = written(components(links(distinct, radius)).withColumnRenamed("node", "fp"), "roots")
     # only fingerprints whose component is not their own smallest id need a join
-    least = distinct.join(root, "fp").groupBy("root").agg(F.min("least").alias("first"))
-    moved = root.join(least, "root").select("fp", "first")
-    own = distinct.join(moved, "fp", "left").select("fp", F.coalesce("first.doc_id", "least.doc_id").alias("component_id"))
+    first = distinct.join(root, "fp").groupBy("root").agg(F.min("least").alias("first"))
+    moved = root.join(first, "root").select("fp", "first")
+    # a table, so that the join below can be split where one fingerprint has very many documents
+    own = written(distinct.join(moved, "fp", "left").select("fp", F.coalesce("first.doc_id", "least.doc_id").alias("component_id")), "components")
     return marked.join(own, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def kept_documents(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component, with the same columns: that of the smallest id."""
-    marked = written(fingerprints(docs, width), "fingerprints")
-    distinct, root = _grouped(marked, radius)
-    first = distinct.join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("first"))
-    return first_rows(docs, first)
