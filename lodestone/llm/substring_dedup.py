@@ -11,8 +11,8 @@ document with the same least hash form one fragment (some 280 bytes), keyed by t
    others go into a Bloom filter of bounded size (``BLOOM_BYTES``), which lets most other
    fragments go before they are written; past that size it lets more through, and exact counts
    drop them.
-3. Equal fragments become one kind with a count. Where a key has one kind, all its windows repeat
-   if it is counted twice. A key with more than ``HOT`` kinds (a common line in many contexts) is
+3. Equal fragments become one kind with a count. Where all kinds of a key are counted twice, all
+   their windows repeat. A key with more than ``HOT`` kinds (a common line in many contexts) is
    cut up further: its windows are keyed by longer grams, at last by all their bytes.
 4. One text of each other kind is cut from its row, the kinds of a key come together in a shard,
    and the shard's suffix array (induced sorting) and permuted common prefixes show which windows
@@ -235,12 +235,12 @@ def _refined(places: DataFrame, dealt: DataFrame, length: int, gram: int) -> Dat
 
 
 def _kinds(found: DataFrame) -> DataFrame:
-    """Each different fragment whose key is seen twice: how often it occurs, a place of it, and how many kinds its key has."""
+    """Each different fragment whose key is seen twice: how often it occurs, a place of it, how many kinds its key has, and whether all of them occur twice."""
     kinds = found.groupBy("key", "content").agg(F.count("*").alias("n"), F.max(F.col("twice").cast("int")).alias("twice"), F.min(F.struct(RID, "pos")).alias("rep"))
     kinds = written(kinds, "kinds")
-    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), (F.sum("n") + F.max("twice")).alias("seen")).where("seen > 1")
-    out = written(kinds.join(keys, "key").select("key", "content", "n", "rep", "kinds"), "kinds")
-    discard(kinds)
+    keys = written(kinds.groupBy("key").agg(F.count("*").alias("kinds"), (F.sum("n") + F.max("twice")).alias("seen"), F.min("n").alias("least")).where("seen > 1"), "keys")
+    out = written(kinds.join(keys, "key").select("key", "content", "n", "rep", "kinds", (F.col("least") > 1).alias("copied")), "kinds")
+    discard(kinds, keys)
     return out
 
 
@@ -333,12 +333,12 @@ def removals(dealt: DataFrame, length: int = LENGTH) -> DataFrame:
     places, solved = [], []
     for gram in [*GRAMS[1:], None]:
         kinds = _kinds(found)
-        # all windows of an only kind repeat as it does
-        only = F.col("kinds") == 1
-        hot = (F.col("kinds") > HOT) if gram else F.lit(False)
+        # where all kinds of a key are copied, so are all their windows
+        copied = F.col("copied")
+        hot = ~copied & (F.col("kinds") > HOT) if gram else F.lit(False)
         size = F.col("rep.pos").bitwiseAND(F.lit(0xFFFF)).cast("int")
-        solved.append(kinds.where(only & (F.col("n") > 1)).select("key", "content", F.array(size).alias("ranges")))
-        solved.append(_ranges(_cut_out(kinds.where(~hot & ~(only & (F.col("n") > 1))), dealt, length), length))
+        solved.append(kinds.where(copied).select("key", "content", F.array(size).alias("ranges")))
+        solved.append(_ranges(_cut_out(kinds.where(~hot & ~copied), dealt, length), length))
         places.append(found.select("key", "content", RID, "pos"))
         # one key for more than HOT kinds: Spark sees the size of the written table and deals the fragments out only if it is large
         hot_keys = written(kinds.where(hot).select("key").distinct(), "hot-keys")

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_ZERO = np.zeros(1, np.int64)
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -39,60 +38,61 @@ class _Buckets:
         self.chars = np.flatnonzero(self.count)
         self.end = np.cumsum(self.count)
         self.start = self.end - self.count
-        lms = self.small.copy()
-        lms[0] = False
-        lms[1:] &= ~self.small[:-1]
-        self.lms = np.flatnonzero(lms).astype(np.int32)
-
-    def _groups(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions by first character, in the given order inside each; the characters, where each begins, and counts."""
-        first = self.text[at]
-        order = np.argsort(first, kind="stable")
-        at, first = at[order], first[order]
-        cuts = np.concatenate((_ZERO, np.flatnonzero(first[1:] != first[:-1]) + 1))
-        n = np.empty_like(cuts)
-        n[:-1] = cuts[1:] - cuts[:-1]
-        n[-1] = len(at) - cuts[-1]
-        return at, first[cuts], cuts, n
+        # whether the suffix one before each is larger, or smaller, than its next; neither at the start
+        self.larger_before = np.append(False, ~self.small[:-1])
+        self.smaller_before = np.append(False, self.small[:-1])
+        self.lms = np.flatnonzero(self.small & self.larger_before).astype(np.int32)
+        # characters that stand twice in a row, by the type of the first
+        twice = text[1:] == text[:-1]
+        self.larger_runs = np.bincount(text[1:][twice & self.larger_before[1:]], minlength=len(self.count)) > 0
+        self.smaller_runs = np.bincount(text[1:][twice & self.smaller_before[1:]], minlength=len(self.count)) > 0
 
     def induce(self, lms: np.ndarray) -> np.ndarray:
         """All suffixes, given the LMS suffixes in order (or in any order, to sort LMS substrings)."""
-        text, small = self.text, self.small
-        out = np.full(len(text), -1, np.int32)
-        at, chars, cuts, n = self._groups(lms)
-        head, tail, steps = self.start.copy(), self.end.copy(), np.arange(len(text), dtype=np.int32)
-        sown = dict(zip(chars.tolist(), np.split(at, cuts[1:]), strict=True))
-
-        def put(source: np.ndarray, larger: bool) -> None:
-            """Places the suffixes one before ``source`` that are of the wanted type."""
-            prior = source - 1
-            prior = prior[(small[prior] != larger) & (prior >= 0)]
+        text, larger_before, smaller_before = self.text, self.larger_before, self.smaller_before
+        out, steps, buckets = np.full(len(text), -1, np.int32), np.arange(len(text), dtype=np.int32), len(self.count)
+        first = text[lms]
+        order = np.argsort(first, kind="stable")
+        sown = np.split(lms[order], np.cumsum(np.bincount(first, minlength=buckets))[:-1])
+        head, tail = self.start.copy(), self.end.copy()
+
+        def larger(source: np.ndarray) -> None:
+            """Places the suffixes one before ``source`` that are larger than their next, from the heads of their buckets."""
+            prior = source[larger_before[source]] - 1
+            if not len(prior):
+                return
+            first = text[prior]
+            n = np.bincount(first, minlength=buckets)
+            out[np.repeat(head - n.cumsum() + n, n) + steps[: len(prior)]] = prior[first.argsort(kind="stable")]
+            np.add(head, n, out=head)
+
+        def smaller(source: np.ndarray) -> None:
+            """Places those that are smaller, from the tails."""
+            prior = source[smaller_before[source]] - 1
             if not len(prior):
                 return
-            at, chars, cuts, n = self._groups(prior)
-            if larger:
-                out[np.repeat(head[chars] - cuts, n) + steps[: len(at)]] = at
-                head[chars] += n
-            else:
-                out[np.repeat(tail[chars] - 1 + cuts, n) - steps[: len(at)]] = at
-                tail[chars] -= n
-
-        for c in self.chars.tolist():
-            done = int(self.start[c])
-            while done < head[c]:
+            first = text[prior]
+            n = np.bincount(first, minlength=buckets)
+            out[np.repeat(tail - 1 + n.cumsum() - n, n) - steps[: len(prior)]] = prior[first.argsort(kind="stable")]
+            np.subtract(tail, n, out=tail)
+
+        chars, start, end = self.chars.tolist(), self.start.tolist(), self.end.tolist()
+        larger_runs, smaller_runs = self.larger_runs.tolist(), self.smaller_runs.tolist()
+        for c in chars:
+            done = start[c]
+            while larger_runs[c] and done < head[c]:
                 part = out[done : head[c]]
                 done = int(head[c])
-                put(part, True)
-            if c in sown:
-                put(sown[c], True)
-        larger_end = head.copy()
-        for c in self.chars.tolist()[::-1]:
-            done = int(self.end[c])
-            while done > tail[c]:
+                larger(part)
+            larger(np.concatenate((out[done : head[c]], sown[c])))
+        larger_end = head.tolist()
+        for c in chars[::-1]:
+            done = end[c]
+            while smaller_runs[c] and done > tail[c]:
                 part = out[tail[c] : done][::-1]
                 done = int(tail[c])
-                put(part, False)
-            put(out[self.start[c] : larger_end[c]][::-1], False)
+                smaller(part)
+            smaller(np.concatenate((out[tail[c] : done][::-1], out[start[c] : larger_end[c]][::-1])))
         out[0] = len(text) - 1  # the end of the text is smaller than anything
         return out
 
