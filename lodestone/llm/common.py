@@ -10,13 +10,14 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes, so that a worker's arrays stay small.
@@ -110,6 +111,24 @@ def restored(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     return rows.select(*[changed[n].cast(docs.schema[n].dataType).alias(n) if n in changed else c for n, c in of.items()])
 
 
+def labelled_sample(docs: DataFrame, known: DataFrame, sample: dict[int, int]) -> tuple[list[tuple[int, int, str]], dict[int, float]]:
+    """At most ``sample[y]`` different rows (doc_id, label, text) of each class of ``known`` (doc_id, y), by hash over all of them.
+
+    Also how many labelled rows each of a class stands for. Repeated rows are one.
+    """
+    of = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    part = F.lit(0.0)
+    for y, n in of.items():
+        part = F.when(F.col("y") == y, 1.1e6 * min(1.0, sample[y] / n)).otherwise(part)
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part).distinct()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "y", "text"])
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text"))
+    most = F.create_map(*[F.lit(x) for y in of for x in (y, sample[y])]) if of else F.create_map(F.lit(0), F.lit(0))
+    found = [(r.doc_id, r.y, r.text) for r in rows.withColumn("place", place).where(F.col("place") <= max(sample.values())).where(F.col("place") <= most[F.col("y")]).collect()]
+    got = Counter(y for _, y, _ in found)
+    return found, {y: of[y] / got[y] for y in got}
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32 of an id as text, modulo ``n``; null ids count as remainder 0."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n)), F.lit(0))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record, slices, texts
+from .common import labelled_sample, record, slices, texts
 
 #: Labelled rows of each class that the model is fitted on, at most.
 SAMPLE = 1500
@@ -44,7 +44,10 @@ def _repeats(ids: np.ndarray) -> int:
     if len(ids) < 3:
         return 0
     base = int(ids.max()) + 1
-    code = (ids[:-2] * base + ids[1:-1]) * base + ids[2:]
+    pair = ids[:-1] * base + ids[1:]
+    if base >= 1 << 20:  # three numbers don't fit 63 bits: the pairs get numbers first
+        pair = np.unique(pair, return_inverse=True)[1]
+    code = pair[:-1] * base + ids[2:]
     _, inverse, count = np.unique(code, return_inverse=True, return_counts=True)
     twice = count[inverse] >= 2
     if not twice.any():
@@ -142,14 +145,9 @@ def fit(sample: list[tuple[int, bytes]], rounds: int = 60) -> Model | None:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y"))
-    of = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0.0)
-    for y, n in of.items():
-        share = F.when(F.col("y") == y, 1e6 * min(1.0, sample / n)).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).distinct()
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
-    return fit([(r.y, r.text.encode()) for r in rows])
+    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
+    rows, _ = labelled_sample(docs.where("text is not null"), known, {0: sample, 1: sample})
+    return fit([(y, text.encode()) for _, y, text in rows])
 
 
 def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

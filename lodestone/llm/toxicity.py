@@ -1,23 +1,24 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the first 4 and 5 letters of longer words, lower-cased. All terms of a
-bounded, class-stratified sample of labelled rows count, by IDF times the cube of how far the
-share of toxic rows among those with the term (``PRIOR`` rows of the sample's share added) is
-from the sample's share, which doesn't depend on the sample's size; examples are vectors of unit
-length over them. The examples form an inverted index whose postings are cut into blocks of ``BLOCK`` consecutive examples, with
-the largest weight of each term in each block. A query bounds each block by those maxima,
-scores the most promising blocks exactly, and then only the blocks whose bound still exceeds
-the k-th best cosine: the k nearest examples are exact. Neighbours vote with their cosine
-squared, weighted back to the classes' true shares; the vote is calibrated by a monotone table
-(pool adjacent violators) of leave-one-out votes of the examples. The evidence is the ids and
-cosines of the nearest examples.
+Terms are words and the first 4 letters of longer words, lower-cased. All terms of a bounded,
+class-stratified sample of labelled rows count, by TF-IDF times how far the share of toxic rows
+among those with the term (``PRIOR`` rows of the sample's share added) is from the sample's
+share, which doesn't depend on the sample's size; examples are vectors of unit length over them.
+The examples form an inverted index whose postings are cut into blocks of ``BLOCK`` consecutive
+examples, with the largest weight of each term in each block. A query reads its terms in falling
+order of what they can add, only in blocks that those maxima leave in question, until few examples
+are left, whose cosines are taken whole: the k nearest examples are exact. Neighbours vote with
+their cosine squared, weighted back to the classes' true shares; the vote is calibrated by a
+monotone table (pool adjacent violators) of leave-one-out votes of the examples. The evidence is
+the ids and cosines of the nearest examples. (Weights and terms were chosen by cross-validation
+inside the rows that are learned from.)
 
 The index is bounded (``SAMPLE`` rows) and broadcast; every text is scored whole.
 
 Defined results: a text without a known term (null, empty) scores the calibrated share of
 toxic rows among examples without one; ties between cosines go to the smaller example id;
 labels of null ids or null values are not learned from; repeated rows are scored as often as
-they come; other columns are ignored; an empty table gives an empty result; without labels of
+they come and learned from once; other columns are ignored; an empty table gives an empty result; without labels of
 both classes the score is 0.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, expand, record, slices
+from .common import crc_mod, labelled_sample, record, slices
 
 #: Labelled rows of each class in the index, at most; rows added to a term's own.
 SAMPLE = {1: 1500, 0: 3000}
@@ -47,11 +48,12 @@ _WORD = re.compile(r"\w+")
 
 
 def chunk_terms(chunk: str) -> list[str]:
-    """Terms of a run without white space: words, and the first letters of longer words."""
+    """Terms of a run without white space: words, and the first four letters of longer words."""
     out = []
     for w in _WORD.findall(chunk):
         out.append(w)
-        out += [f"{w[:n]}*" for n in (4, 5) if len(w) > n]
+        if len(w) > 4:
+            out.append(f"{w[:4]}*")
     return out
 
 
@@ -79,18 +81,23 @@ class Index:
         self.vote = np.array([vote[int(y)] for y in label])
         n, t = len(ids), len(number)
         self.blocks = max(1, -(-n // BLOCK))
-        owner = np.repeat(np.arange(n), [len(r) for r in rows])
-        term = np.fromiter((x for r in rows for x in r), np.int64, len(owner))
-        weight = np.concatenate([self.unit(r)[1] for r in rows]) if len(owner) else np.zeros(0)
-        order = np.lexsort((owner, term))
-        self.owner, self.weight = owner[order], weight[order]
-        cell = term[order] * self.blocks + self.owner // BLOCK
-        # cells (term, block) that hold postings, by term, and where each begins
+        self.block = np.arange(n) // BLOCK
+        # by example: terms and weights; by term: postings, in cells (term, block) with their largest weight
+        self.rows = np.cumsum([0, *map(len, rows)])
+        self.term = np.fromiter((x for r in rows for x in r), np.int32, int(self.rows[-1]))
+        self.of_row = np.concatenate([self.unit(r)[1] for r in rows]) if len(self.term) else np.zeros(0)
+        owner = np.repeat(np.arange(n), np.diff(self.rows))
+        order = np.lexsort((owner, self.term))
+        self.owner, self.weight = owner[order].astype(np.int32), self.of_row[order].astype(np.float32)
+        cell = self.term[order].astype(np.int64) * self.blocks + self.owner // BLOCK
         self.cell, first = np.unique(cell, return_index=True)
         self.begin = np.append(first, len(cell))
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.cells = np.searchsorted(self.cell, np.arange(t + 1) * self.blocks)
-        self.empty = np.array([not r for r in rows])
+        self.top = np.maximum.reduceat(self.most, self.cells[:-1]) if len(first) else np.zeros(t)
+        self.cell_block, self.most32 = (self.cell % self.blocks).astype(np.int32), self.most.astype(np.float32)
+        self.asked, self.steps = np.zeros(t), np.arange(n * 64, dtype=np.int32)
+        self.read = 0
         self.cuts, self.values = np.zeros(0), np.zeros(1)
 
     def unit(self, row: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -98,43 +105,62 @@ class Index:
         w = (1 + np.log(np.fromiter(row.values(), float, len(row)))) * self.idf[term]
         return term, w / math.sqrt(float(w @ w)) if w.any() else w
 
-    @property
-    def start(self) -> np.ndarray:
-        """Where the postings of each (term, block) begin."""
-        return self.begin[np.searchsorted(self.cell, np.arange(len(self.number) * self.blocks + 1))]
-
-    def _exact(self, cell: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, nth = expand(self.begin[cell + 1] - self.begin[cell])
-        at = self.begin[cell[own]] + nth
-        dot = np.bincount(self.owner[at], weights=self.weight[at] * q[own], minlength=len(self.ids))
-        found = np.flatnonzero(dot)
-        return found, dot[found]
+    def _ranges(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The places of ranges, one after the other."""
+        ends = n.cumsum()
+        total = int(ends[-1]) if len(ends) else 0
+        if total > len(self.steps):
+            self.steps = np.arange(2 * total, dtype=np.int32)
+        return np.repeat((start - ends + n).astype(np.int32), n) + self.steps[:total]
+
+    def _whole(self, found: np.ndarray, term: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The cosines of some examples, each over all its terms."""
+        self.asked[term] = q
+        n = self.rows[found + 1] - self.rows[found]
+        at = self._ranges(self.rows[found], n)
+        part = np.cumsum(np.append(0.0, self.of_row[at] * self.asked[self.term[at]]))
+        self.asked[term] = 0
+        ends = n.cumsum()
+        return part[ends] - part[ends - n]
 
     def nearest(self, row: Counter, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (over 0), best first, and the cosines."""
+        """The k examples of largest cosine (over 0), best first, and the cosines.
+
+        Terms are read in falling order of what they can add, some at a time and only in blocks that
+        may still hold one of the k best; the block maxima of the terms not read yet bound the rest.
+        When few examples are left, their cosines are taken whole.
+        """
         term, q = self.unit(row)
-        own, nth = expand(self.cells[term + 1] - self.cells[term])
-        cell, q = self.cells[term[own]] + nth, q[own]
-        block = self.cell[cell] % self.blocks
-        bound = np.bincount(block, weights=q * self.most[cell], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for part in (order[:8], order[8:]):
-            if len(best) >= k:
-                part = part[bound[part] >= cosine[k - 1] - 1e-12]
-            if not len(part):
-                continue
-            asked = np.zeros(self.blocks, bool)
-            asked[part] = True
-            asked = asked[block]
-            found, dot = self._exact(cell[asked], q[asked])
-            if without is not None:
-                dot, found = dot[found != without], found[found != without]
-            best, cosine = np.append(best, found), np.append(cosine, dot)
-            top = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
-            best, cosine = best[top], cosine[top]
-        return best, cosine
+        order = np.argsort(-q * self.top[term], kind="stable")
+        term, q = term[order], q[order]
+        counts = self.cells[term + 1] - self.cells[term]
+        cell, ends = self._ranges(self.cells[term], counts), np.cumsum(counts)
+        block, weight = self.cell_block[cell], np.repeat(q.astype(np.float32), counts)
+        bound = weight * self.most32[cell]
+        rest = np.bincount(block, weights=bound, minlength=self.blocks)
+        partial, left = np.zeros(len(self.ids)), (rest > 0)[self.block]
+        if without is not None:
+            left[without] = False
+        alive, at, step = rest > 0, 0, 16
+        while at < len(term) and left.sum() > 3 * k:
+            a, b = ends[at - 1] if at else 0, ends[min(at + step, len(term)) - 1]
+            at, step = at + step, step * 2
+            part = alive[block[a:b]].nonzero()[0] + a
+            start = self.begin[cell[part]]
+            n = self.begin[cell[part] + 1] - start
+            place = self._ranges(start, n)
+            self.read += len(place)
+            partial += np.bincount(self.owner[place], weights=self.weight[place] * np.repeat(weight[part], n), minlength=len(partial))
+            rest -= np.bincount(block[a:b], weights=bound[a:b], minlength=self.blocks)
+            some = partial[left]
+            least = np.partition(some, len(some) - k)[len(some) - k] if len(some) > k else 0.0
+            left &= partial + rest[self.block] >= least - 1e-5  # postings are rounded to 32 bits
+            alive = np.bincount(self.block[left], minlength=self.blocks) > 0
+        found = np.flatnonzero(left)
+        cosine = self._whole(found, term, q)
+        found, cosine = found[cosine > 1e-12], cosine[cosine > 1e-12]
+        best = np.lexsort((self.ids[found], -np.round(cosine, 12)))[:k]
+        return found[best], cosine[best]
 
     def votes(self, best: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine**2 * self.vote[best]
@@ -170,7 +196,7 @@ def fit(sample: list[tuple[int, int, str]], share: dict[int, float]) -> Index |
     number = {t: i for i, t in enumerate(sorted(seen[0] | seen[1]))}
     toxic, clean = (np.fromiter((seen[y][t] for t in number), float, len(number)) for y in (1, 0))
     lean = (toxic + PRIOR * base) / (toxic + clean + PRIOR) - base
-    idf = np.log(1 + n / (toxic + clean)) * np.abs(lean) ** 3
+    idf = np.log(1 + n / (toxic + clean)) * np.abs(lean)
     seen.clear()
     counter = Terms(number)
     rows = [counter.count(text) for _, _, text in sample]
@@ -185,14 +211,8 @@ def learn(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] | None = Non
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("y"))
     if fold:
         known = known.where(crc_mod("doc_id", fold[0]) != fold[1])
-    of = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    part = F.lit(0.0)
-    for y, n in of.items():
-        part = F.when(F.col("y") == y, 1e6 * min(1.0, sample[y] / n)).otherwise(part)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part).distinct()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").collect()
-    got = Counter(r.y for r in rows)
-    return fit([(r.doc_id, r.y, r.text) for r in rows], {y: of[y] / got[y] for y in got})
+    rows, share = labelled_sample(docs, known, sample)
+    return fit(rows, share)
 
 
 def score(docs: DataFrame, index: Index | None, threshold: float = THRESHOLD, evidence: int = 3) -> DataFrame:
