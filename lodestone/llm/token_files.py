@@ -7,7 +7,8 @@ each value in a packed array and the rest as a unary bit string of at most 2n bi
 position of every 256th one-bit; ``select`` finds value i from those, without a table of
 64-bit offsets.
 
-Rows are dealt out by ranges of (doc_id, text hash), so shards in order hold ascending ids and
+A task closes a shard after some ten thousand documents (``SHARD_DOCS``, ``SHARD_IDS``), so that what
+it holds in memory doesn't grow with its share of the input. Rows are dealt out by ranges of (doc_id, text hash), so shards in order hold ascending ids and
 equal ids may fall into several shards. File names carry the task attempt: only the shards
 named by the returned manifest count, and a lost attempt leaves nothing that is read. The
 files are in the folder the machines share and are written and read through Arrow's file
@@ -36,6 +37,8 @@ from .common import fresh_path, record, slices, texts
 
 MAGIC = b"LSIDS1\0\0"
 SAMPLE = 256
+#: Documents and ids after which a task closes a shard and opens the next.
+SHARD_DOCS, SHARD_IDS = 1 << 16, 1 << 26
 
 
 class EliasFano:
@@ -146,36 +149,56 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, vocabulary:
     tokenizer = tokenizer or tokens.default_path()
     width = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
     end = struct.pack("<I", end_id)
-    schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+    schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
+    class Open:
+        """A shard under way: its ids are written as they come, its boundaries at the end."""
+
+        def __init__(self, nth: int):
+            task = TaskContext.get()
+            self.shard = task.partitionId() << 32 | nth
+            self.name = f"{path}/shard-{task.partitionId():06d}-{nth:04d}-{task.taskAttemptId()}"
+            self.fs, self.at = pyarrow.fs.FileSystem.from_uri(self.name)
+            self.fs.create_dir(self.at.rpartition("/")[0], recursive=True)
+            self.file = self.fs.open_output_stream(f"{self.at}.ids")
+            self.lengths: list[np.ndarray] = []
+            self.ids: list[pa.Array] = []
+            self.docs = self.tokens = 0
+
+        def add(self, ids: pa.Array, found: list[bytes]) -> None:
+            self.lengths.append(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+            self.ids.append(ids)
+            flat = np.frombuffer(b"".join(found), "<u4")
+            if len(flat) and int(flat.max()) >= 1 << 8 * width:
+                raise ValueError("an id does not fit the shard's width")
+            self.file.write(flat.astype(f"<u{width}").tobytes())
+            self.docs += len(found)
+            self.tokens += len(flat)
+
+        def close(self) -> pa.RecordBatch:
+            self.file.close()
+            ends = np.cumsum(np.concatenate(self.lengths)) if self.lengths else np.zeros(0, np.int64)
+            doc_ids = pa.chunked_array(self.ids, pa.int64())
+            known = doc_ids.drop_null().to_numpy()
+            least = int(known[0]) if len(known) else 0
+            with self.fs.open_output_stream(f"{self.at}.ef") as f:
+                f.write(MAGIC + struct.pack("<QqQ", width, least, doc_ids.null_count) + EliasFano.of(ends).dump() + EliasFano.of(known - least).dump())
+            return record(schema, [[self.shard], [self.name], [self.docs], [self.tokens]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        name = f"{path}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
-        fs, at = pyarrow.fs.FileSystem.from_uri(name)
-        fs.create_dir(at.rpartition("/")[0], recursive=True)
-        encode = tokens.encoder(tokenizer).encode
-        lengths: list[np.ndarray] = []
-        ids: list[pa.Array] = []
-        with fs.open_output_stream(f"{at}.ids") as f:
-            for batch in slices(batches, "text"):
-                found = [x + end for x in encode(texts(batch))]
-                lengths.append(np.fromiter(map(len, found), np.int64, len(found)) // 4)
-                ids.append(batch.column("doc_id"))
-                flat = np.frombuffer(b"".join(found), "<u4")
-                if len(flat) and int(flat.max()) >= 1 << 8 * width:
-                    raise ValueError("an id does not fit the shard's width")
-                f.write(flat.astype(f"<u{width}").tobytes())
-        ends = np.cumsum(np.concatenate(lengths)) if lengths else np.zeros(0, np.int64)
-        doc_ids = pa.chunked_array(ids, pa.int64())
-        known = doc_ids.drop_null().to_numpy()
-        least = int(known[0]) if len(known) else 0
-        with fs.open_output_stream(f"{at}.ef") as f:
-            f.write(MAGIC + struct.pack("<QqQ", width, least, doc_ids.null_count) + EliasFano.of(ends).dump() + EliasFano.of(known - least).dump())
-        yield record(schema, [[task.partitionId()], [name], [len(ends)], [int(ends[-1]) if len(ends) else 0]])
+        encode, nth = tokens.encoder(tokenizer).encode, 0
+        shard = Open(nth)
+        for batch in slices(batches, "text"):
+            shard.add(batch.column("doc_id"), [x + end for x in encode(texts(batch))])
+            if shard.docs >= SHARD_DOCS or shard.tokens >= SHARD_IDS:
+                yield shard.close()
+                nth += 1
+                shard = Open(nth)
+        yield shard.close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return sorted(rows.select("doc_id", "text").mapInArrow(run, "shard int, file string, n_docs long, n_ids long").collect())
+    return sorted(rows.select("doc_id", "text").mapInArrow(run, "shard long, file string, n_docs long, n_ids long").collect())
 
 
 def read(spark: SparkSession, manifest: list) -> DataFrame:
