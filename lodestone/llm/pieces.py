@@ -38,6 +38,8 @@ from .common import record, slices, texts
 MARKER = "▁".encode()
 UNKNOWN = 10.0
 MEMO = 500_000
+#: A text that every normaliser but the identity would change.
+PROBE = "  a  \uff21 \ufb01\u00bd e\u0301\tb "
 _PARTS = re.compile(rb" *[^ \n]+|\n| +")
 
 
@@ -132,6 +134,8 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model.normalize(PROBE) != f"▁{PROBE}".replace(" ", "▁"):
+            raise ValueError("the model changes texts before it encodes them: only models without normalisation are supported")
         n = model.get_piece_size()
         ids = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         raw = [model.get_score(i) for i in range(n)]
