@@ -10,7 +10,7 @@ from ..functions import text as fn
 from ..operators import archive, lint, merge, pages, ranking
 from ..sources import stores, transcripts
 from .proxies import NOW, view, with_views
-from .queries import _EXPIRED, ASKED, Query, _lambdas
+from .queries import _EXPIRED, ASKED, Query, _lambdas, plan_sql
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -213,6 +213,12 @@ def api_prepare(spark, d):
     return api.prepare(rows, _mem(spark, d), view(spark, d, "SKIPS"), "src3").select("session_id", "signals.insight")
 
 
+_DAY = "try_cast({x} AS DATE)"
+_CLASH = f"""safe AS MATERIALIZED (SELECT l.* FROM mem l LEFT JOIN overlay o ON o.id = l.id WHERE NOT CASE WHEN o.id IS NULL THEN false WHEN {_DAY.format(x='o.updated_at')} IS NULL OR {_DAY.format(x='l.updated_at')} IS NULL THEN true
+ WHEN {_DAY.format(x='o.updated_at')} <> {_DAY.format(x='l.updated_at')} THEN {_DAY.format(x='o.updated_at')} > {_DAY.format(x='l.updated_at')} ELSE l.status IS DISTINCT FROM o.status OR l.title IS DISTINCT FROM o.title END), """
+ORACLES["API_memory_archive"] = _lambdas(with_views("MEM", "OVERLAY", "USAGE", "SESSIONS").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _CLASH + plan_sql("safe"))
+
+
 @query("API_memory_archive")
 def api_archive(spark, d):
     return api.memory_archive(_mem(spark, d), view(spark, d, "OVERLAY"), view(spark, d, "USAGE"), view(spark, d, "SESSIONS"), NOW, ["status", "title"])

@@ -307,9 +307,15 @@ def jn08(spark, d):
     return merge.known_sessions(cited, view(spark, d, "SESSIONS"))
 
 
-_JACCARD = f"""SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, CAST(round(length(list_intersect(a.w, b.w)) / (length(a.w) + length(b.w) - length(list_intersect(a.w, b.w))), 9) AS DOUBLE) AS similarity
-FROM (SELECT *, {_TOK.format(x="concat_ws(' ', title, summary)")} AS w FROM mem WHERE status = 'active') a JOIN (SELECT *, {_TOK.format(x="concat_ws(' ', title, summary)")} AS w FROM mem WHERE status = 'active') b
-ON a.type = b.type AND a.scope = b.scope AND a.project IS NOT DISTINCT FROM b.project AND a.seq < b.seq AND length(list_intersect(a.w, b.w)) >= 0.6 * (length(a.w) + length(b.w) - length(list_intersect(a.w, b.w))) AND length(a.w) + length(b.w) > 0"""
+def jaccard_sql(least: float, statuses: str, rows: str = "mem") -> str:
+    words = f"(SELECT *, {_TOK.format(x="concat_ws(' ', title, summary)")} AS w FROM {rows} WHERE status IN ({statuses}))"
+    both = "length(list_intersect(a.w, b.w))"
+    return f"""SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, a.seq AS seq_a, b.seq AS seq_b, CAST(round({both} / (length(a.w) + length(b.w) - {both}), 9) AS DOUBLE) AS similarity
+FROM {words} a JOIN {words} b ON a.type = b.type AND a.scope = b.scope AND a.project IS NOT DISTINCT FROM b.project AND a.seq < b.seq AND length(a.w) >= {least} * length(b.w) AND length(b.w) >= {least} * length(a.w)
+ AND {both} >= {least} * (length(a.w) + length(b.w) - {both}) AND length(a.w) + length(b.w) > 0"""
+
+
+_JACCARD = f"SELECT a, b, similarity FROM ({jaccard_sql(0.6, "'active'")})"
 
 
 @query("JN09_near_duplicates", _JACCARD, "MEM")
@@ -434,7 +440,12 @@ def prm01(spark, d):
     return primer.ranked(_mem(spark, d), "src2", NOW).where("place <= 12").select("id", "place", F.col("of").alias("total"))
 
 
-@query("PRM02_primer_text")
+_SECTIONS = "CASE type WHEN 'core' THEN 1 WHEN 'semantic' THEN 2 ELSE 3 END AS nth, CASE type WHEN 'core' THEN 'Core rules' WHEN 'semantic' THEN 'Project facts' ELSE 'Procedures & gotchas' END AS name"
+
+
+@query("PRM02_primer_text", f"""SELECT CASE WHEN count(*) = 0 THEN '' ELSE '# Project memory: src2' || chr(10) || chr(10) || '> Auto-generated primer. The agent should treat this as already-known project context.' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY nth) END AS primer
+FROM (SELECT nth, '## ' || name || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place) || CASE WHEN max(total) > count(*) THEN chr(10) || '- _…and ' || (max(total) - count(*)) || ' more_' ELSE '' END || chr(10) AS part
+ FROM (SELECT place, total, {_SECTIONS}, '- **' || title || '**' || CASE WHEN confidence < 0.5 THEN ' _(tentative)_' ELSE '' END || ' — ' || summary AS line FROM ({_PRIMER}) p JOIN mem USING (id)) GROUP BY nth, name)""", "MEM")
 def prm02(spark, d):
     return primer.render(_mem(spark, d), "src2", NOW)
 
@@ -524,14 +535,40 @@ def lnt16(spark, d):
     return lint.fixes(lint.expired(_mem(spark, d), NOW), NOW).select("target_key", "proposal_id", "action")
 
 
-@query("LNT_report")
-def lnt_report(spark, d):
+def _findings() -> str:
+    """Every check of the report as one row a finding: check, severity, layer, id, refs (joined by blanks)."""
+    sourced = "type <> 'core' AND status <> 'pinned'"
+    text = "title || chr(10) || summary"
+    row = lambda check, severity, layer, refs, rest: f"SELECT '{check}' AS \"check\", '{severity}' AS severity, '{layer}' AS layer, id, {refs} AS refs {rest}"
+    parts = [
+        row("malformed-date", "warning", "memory", "''", "FROM mem WHERE status = 'active' AND valid_to IS NOT NULL AND try_cast(valid_to AS DATE) IS NULL"),
+        row("expired", "warning", "memory", "''", f"FROM mem WHERE status = 'active' AND {_EXPIRED}"),
+        row("dangling-supersedes", "error", "memory", "supersedes", "FROM mem WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT id FROM mem)"),
+        row("superseded-conflict", "error", "memory", "supersedes", "FROM mem m WHERE EXISTS (SELECT 1 FROM mem t WHERE t.id = m.supersedes AND t.status = 'active')"),
+        row("missing-provenance", "warning", "memory", "''", f"FROM mem WHERE {sourced} AND len(source_sessions) + len(source_commits) + len(source_files) = 0"),
+        *[row("leaky-content", "warning", "memory", "''", f"FROM mem WHERE regexp_matches({text}, '{pattern}')") for pattern in ("(?i)(^|[^A-Za-z0-9_])(/(Users|home)/[^/\\s''\")]+|[A-Za-z]:\\\\Users\\\\)", "(^|[^A-Za-z0-9_])(sk-[A-Za-z0-9_-]{16,}|ghp_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[a-z]-[A-Za-z0-9-]{10,}|AKIA[0-9A-Z]{16})($|[^A-Za-z0-9_])|eyJ[A-Za-z0-9_=-]{5,}\\.[A-Za-z0-9_=-]{5,}\\.[A-Za-z0-9_=-]+|-----BEGIN [A-Z ]*PRIVATE KEY-----", "(?i)(^|[^A-Za-z0-9_])[0-9a-f]{40}($|[^A-Za-z0-9_])", "(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}", "(?i)(^|[^A-Za-z0-9_])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}($|[^A-Za-z0-9_])")],
+        row("malformed-date", "warning", "memory", "''", "FROM mem WHERE status = 'active' AND type = 'episodic' AND try_cast(updated_at AS DATE) IS NULL"),
+        row("duplicate-like", "info", "memory", "id || ' ' || b", f"FROM (SELECT a AS id, b FROM ({_JACCARD}))"),
+        *[row(f"{layer}-{check}", "warning", layer, "r", f"FROM (SELECT id, unnest({column}) AS r FROM {layer}) WHERE r NOT IN (SELECT id FROM {there})") for layer in ("entity", "qa") for check, column, there in (("dangling-sourceMemoryId", "source_memory_ids", "mem"), ("unknown-relatedEntity", "related_entities", "entity"))],
+        row("qa-scope-leak", "error", "qa", "''", "FROM qa WHERE (CASE WHEN starts_with(scope, 'project:') THEN substr(scope, 9) END) IS DISTINCT FROM project"),
+        row("promotion-candidate", "info", "memory", "array_to_string(ids, ' ')", "FROM (SELECT DISTINCT ids, ids[1] AS id FROM (SELECT list_sort(list(DISTINCT id)) AS ids FROM (SELECT id, coalesce(project, '_global') AS p, unnest(entities) AS e FROM mem WHERE status = 'active' AND type = 'episodic') WHERE e IS NOT NULL GROUP BY p, lower(e)) WHERE len(ids) >= 2)"),
+        row("stale-provenance", "warning", "memory", "array_to_string(source_sessions, ' ')", f"FROM mem m WHERE {sourced} AND len(source_sessions) > 0 AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(m.source_sessions) AS session_id) c WHERE {_KNOWN})"),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _report(spark, d):
     return lint.report(_mem(spark, d), view(spark, d, "ENTITY"), view(spark, d, "QA"), view(spark, d, "SESSIONS"), NOW)
 
 
-@query("AGG15_lint_counts")
+@query("LNT_report", _findings(), "MEM", "ENTITY", "QA", "SESSIONS")
+def lnt_report(spark, d):
+    return _report(spark, d).select("check", "severity", "layer", "id", F.array_join("refs", " ").alias("refs"))
+
+
+@query("AGG15_lint_counts", f"SELECT count(*) FILTER (\"check\" <> 'promotion-candidate') AS issues, count(*) FILTER (\"check\" = 'promotion-candidate') AS suggestions FROM ({_findings()})", "MEM", "ENTITY", "QA", "SESSIONS")
 def agg15(spark, d):
-    return lint.counts(lnt_report(spark, d))
+    return lint.counts(_report(spark, d))
 
 
 # Lifecycle ------------------------------------------------------------------------------
@@ -544,7 +581,24 @@ def lcy01(spark, d):
     return archive.rule_reasons(_mem(spark, d), NOW, view(spark, d, "USAGE"))
 
 
-@query("LCY02_archive_plan")
+def plan_sql(rows: str = "mem") -> str:
+    """Rules and then near-duplicates, decided pair by pair in the order of their rows; after a WITH RECURSIVE."""
+    known = f"EXISTS (SELECT 1 FROM (SELECT unnest(m.source_sessions) AS session_id) c WHERE {_KNOWN})"
+    may = "(type <> 'core' AND status NOT IN ('pinned', 'archived'))"
+    return f"""rules AS MATERIALIZED (SELECT * FROM (SELECT id, CASE WHEN status = 'superseded' THEN 'superseded-cleanup' WHEN {_EXPIRED} THEN 'expired' WHEN type = 'episodic' AND {_AGE} > 90 THEN 'stale-episodic:>90d'
+  WHEN len(source_sessions) > 0 AND NOT known THEN 'stale-provenance' WHEN type IN ('semantic', 'procedural') AND n = 0 AND importance <= 2 AND {_AGE} > 60 THEN 'unused-low-value' END AS reason
+  FROM (SELECT m.*, coalesce(u.n, m.access_count) AS n, {known} AS known FROM {rows} m LEFT JOIN usage u ON u.id = m.id) WHERE {may}) WHERE reason IS NOT NULL),
+ about AS (SELECT id, importance, updated_at, {may} AS may_go, id IN (SELECT id FROM rules) AS gone FROM {rows}),
+ close AS (SELECT seq_a, seq_b, x.importance < y.importance OR (x.importance = y.importance AND x.updated_at <= y.updated_at) AS first, x.id AS x, y.id AS y, x.may_go AS may_x, y.may_go AS may_y, x.gone AS gone_x, y.gone AS gone_y
+  FROM ({jaccard_sql(0.8, "'active', 'pinned'", rows)}) p JOIN about x ON x.id = p.a JOIN about y ON y.id = p.b),
+ pairs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq_a, seq_b) AS nth, CASE WHEN first THEN x ELSE y END AS loser, CASE WHEN first THEN y ELSE x END AS winner, CASE WHEN first THEN may_x ELSE may_y END AS may_go, CASE WHEN first THEN gone_y ELSE gone_x END AS winner_gone FROM close),
+ fold AS (SELECT CAST(0 AS BIGINT) AS nth, CAST([] AS STRUCT(l VARCHAR, w VARCHAR)[]) AS chosen
+  UNION ALL SELECT p.nth, CASE WHEN NOT winner_gone AND may_go AND NOT list_contains(list_transform(chosen, c -> c.l), winner) THEN list_append(list_filter(chosen, c -> c.l <> loser), {{'l': loser, 'w': winner}}) ELSE chosen END FROM fold JOIN pairs p ON p.nth = fold.nth + 1),
+ near AS (SELECT c.l AS id, 'near-duplicate-of:' || c.w AS near FROM (SELECT unnest(chosen) AS c FROM (SELECT chosen FROM fold ORDER BY nth DESC LIMIT 1)))
+SELECT id, coalesce(near, reason) AS reason FROM rules FULL JOIN near USING (id)"""
+
+
+@_raw("LCY02_archive_plan", with_views("MEM", "USAGE", "SESSIONS").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + plan_sql())
 def lcy02(spark, d):
     return archive.plan(_mem(spark, d), NOW, view(spark, d, "USAGE"), view(spark, d, "SESSIONS"))
 

@@ -132,7 +132,18 @@ def agg10(spark, d):
     return aggregates.infer_project(hits).select("session_id", "project", "total_hits")
 
 
-@query("SNK02_render")
+_BLOCKS = """said AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn, role, text, role = 'assistant' AND turn % 4 = 1 AS commits, role = 'assistant' AND turn % 4 IN (1, 3) AS edits,
+  '### 🔧 tool_use: Edit' || chr(10) || chr(10) || '```json' || chr(10) || '/work/src' || conv_id || '/f' || turn % 4 || '.py' || chr(10) || '```' AS edit,
+  '### 🔧 tool_use: Bash' || chr(10) || chr(10) || '```json' || chr(10) || 'git commit -m "turn ' || turn || '"' || chr(10) || '```' AS tool FROM conversations),
+ blocks AS (SELECT *, '## ' || CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE role END || chr(10) || chr(10) || body AS block FROM (SELECT *, CASE WHEN commits THEN edit || chr(10) || chr(10) || tool WHEN edits THEN edit ELSE text END AS body FROM said) WHERE trim(body) <> ''),
+ placed AS (SELECT *, 1 + coalesce(sum(len(string_split(block, chr(10))) + 1) OVER (PARTITION BY session_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM blocks),
+ marked AS (SELECT *, CASE WHEN role = 'user' AND length(text) >= 50 THEN '🧑' ELSE '' END || CASE WHEN commits THEN '💾' ELSE '' END || CASE WHEN edits THEN '✏️' ELSE '' END || CASE WHEN role = 'assistant' AND length(text) >= 200 AND NOT edits THEN '🤖' ELSE '' END AS markers, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM placed),
+ table_rows AS (SELECT session_id, turn, '| ' || turn || ' | — | ' || markers || ' | ' || replace(CASE WHEN length(flat) > 100 THEN substr(flat, 1, 99) || '…' ELSE flat END, '|', chr(92) || '|') || ' | →L' || CAST(line AS BIGINT) || ' |' AS cell FROM marked WHERE markers <> ''),
+ toc AS (SELECT session_id, '# Table of Contents' || chr(10) || chr(10) || '| # | Time | Marker | Preview | Line |' || chr(10) || '|---|------|--------|---------|------|' || chr(10) || string_agg(cell, chr(10) ORDER BY turn) AS toc FROM table_rows GROUP BY session_id),
+ bodies AS (SELECT session_id, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS body FROM blocks GROUP BY session_id)"""
+
+
+@query("SNK02_render", f"WITH {_BLOCKS} SELECT session_id, concat_ws(chr(10) || chr(10), toc, body) AS markdown FROM bodies LEFT JOIN toc USING (session_id)")
 def snk02(spark, d):
     return digest.render(messages(spark, d))
 
