@@ -38,13 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import RID, components, discard, expand, numbered, record, restored, slices, texts, written
-from .simhash import SEED, TREE_ROWS, BKForest, majority, shingle_hashes
+from .simhash import SEED, BKForest, majority, shingle_hashes
 
 WIDTH, RADIUS = 5, 24
 #: One of so many texts is looked at for common shingles; a shingle in so many of those is common; at most so many are kept.
 SAMPLED, COMMON, MOST_COMMON = 8, 4, 200_000
 #: Sets in a bucket whose pairs are all searched at once, at most; tasks that a common shingle's sets are dealt to.
 SMALL, SALTS = 32, 64
+#: Sets in a shard tree of a contested bucket.
+PART = 1024
 #: Pairs made at once, and set keys that a task remembers to skip copies.
 PAIRS, MEMO = 1 << 18, 1 << 20
 
@@ -231,7 +233,7 @@ def _centred(rows: DataFrame) -> DataFrame:
     return both.where(near & (F.col("key") != F.col("c.key"))).select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v")).distinct()
 
 
-def _apart(rows: DataFrame, tree_rows: int = TREE_ROWS) -> DataFrame:
+def _apart(rows: DataFrame, tree_rows: int = PART) -> DataFrame:
     """Candidates (u, v) of different roots in large buckets; rows (shingle, key, fp, n, pos, most, root)."""
     rows = written(rows, "labelled")
     roots = rows.groupBy("shingle", "root").agg(F.count("*").alias("size"))
