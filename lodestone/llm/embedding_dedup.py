@@ -4,7 +4,8 @@ Vectors with the same label and number of components are compared by cosine. On
 the threshold is a distance, and a cover tree nests balls whose radii halve from level to level
 and whose centres are more than the radius apart. Two trees are descended together: a pair of
 nodes goes when the distance of the centres less both covering radii exceeds the threshold's
-distance, and the vectors of two leaves are compared exactly, in double precision.
+distance, links as a whole when the distance and both radii stay below it, and the vectors of two
+leaves are compared exactly, in double precision.
 
 Equal vectors (128 bits of two hashes) are one kind with a count. A label whose kinds exceed one
 cell (``CELL_BYTES``) gets a level of its own above the trees: at most ``PIVOTS`` pivots over all
@@ -33,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, join_labels, record, release_memory, written
+from .common import components, expand, join_labels, record, release_memory, written
 
 COSINE = 0.93
 #: Bytes of the vectors of a cell, about; pivots over all labels, and bytes of their vectors, at most.
 CELL_BYTES = 4 << 20
 PIVOTS, PIVOT_BYTES = 1024, 32 << 20
 LEAF = 16
-#: Centres looked for at once.
-AHEAD = 64
+#: Centres looked for at once, and pairs of rows compared at once.
+AHEAD, PAIRS = 64, 1 << 14
 #: Room for rounding in the bounds; the comparison of two vectors has none.
 SLACK = 1e-7
 
@@ -51,27 +52,31 @@ class CoverTree:
 
     def __init__(self, unit: np.ndarray):
         self.unit = unit
-        self.centre: list[int] = []
-        self.radius: list[float] = []
-        self.children: list[list[int]] = []
-        self.rows: list[np.ndarray] = []
+        self.children: list[np.ndarray] = []
+        self._centre: list[int] = []
+        self._radius: list[float] = []
+        self._range: list[tuple[int, int]] = []
+        self._rows: list[np.ndarray] = []
+        self._placed = 0
         rows = np.arange(len(unit))
-        self.root = self._grow(0, rows, self._far(0, rows), 2.0)
-
-    def _far(self, centre: int, rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(2 - 2 * (self.unit[rows] @ self.unit[centre]), 0))
+        self._grow(0, rows, np.sqrt(np.maximum(2 - 2 * (unit @ unit[0]), 0)), 2.0)
+        self.centre, self.radius, self.order = np.array(self._centre), np.array(self._radius), np.concatenate(self._rows)
+        self.first, self.end = np.array(self._range).T
+        self.leaf = np.fromiter((not len(c) for c in self.children), bool, len(self.children))
 
     def _grow(self, centre: int, rows: np.ndarray, far: np.ndarray, radius: float) -> int:
         """A node of ``rows`` within ``radius`` of the centre, split into balls of half of it."""
-        node = len(self.centre)
-        self.centre.append(centre)
-        self.radius.append(float(far.max()))
-        self.children.append([])
-        self.rows.append(rows)
+        node, start = len(self._centre), self._placed
+        self._centre.append(centre)
+        self._radius.append(float(far.max()))
+        self._range.append((start, start + len(rows)))
+        self.children.append(np.zeros(0, np.int64))
         half = radius / 2
-        while len(rows) > LEAF and half > 0.02 and self.radius[node] <= half:
+        while len(rows) > LEAF and half > 0.02 and self._radius[node] <= half:
             half /= 2  # a level on which nothing parts
         if len(rows) <= LEAF or half <= 0.02:
+            self._rows.append(rows)
+            self._placed += len(rows)
             return node
         groups = []
         near = far <= half
@@ -87,27 +92,51 @@ class CoverTree:
                     groups.append((int(rows[i]), rows[near], ahead[i][near]))
                     left[near] = False
             rows = rows[left]
-        self.children[node] = [self._grow(c, r, f, half) for c, r, f in groups]
+        self.children[node] = np.array([self._grow(c, r, f, half) for c, r, f in groups])
         return node
 
 
-def _dual(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (row of a, row of b) with cosine of at least the threshold, in parts."""
-    reach = math.sqrt(2 - 2 * cosine) + SLACK
-    work = [(a.root, b.root)]
+def _dual(a: CoverTree, b: CoverTree, cosine: float) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """What links, in parts: ("rows", rows of a, rows of b), or ("nodes", nodes of a, nodes of b), all of whose rows link.
+
+    Of a tree with itself each pair comes once, and a node beside itself stands for its pairs of different rows.
+    """
+    reach, one = math.sqrt(2 - 2 * cosine), a is b
+    work = [(0, 0)]
     while work:
         u, v = work.pop()
-        below_u, below_v = a.children[u] or [u], b.children[v] or [v]
-        if below_u == [u] and below_v == [v]:
-            x, y = a.rows[u], b.rows[v]
-            i, j = np.nonzero(a.unit[x] @ b.unit[y].T >= cosine)
-            if len(i):
-                yield x[i], y[j]
-            continue
-        x, y = np.array([a.centre[n] for n in below_u]), np.array([b.centre[n] for n in below_v])
-        bound = reach + np.array([a.radius[n] for n in below_u])[:, None] + np.array([b.radius[n] for n in below_v])[None]
-        i, j = np.nonzero(2 - 2 * (a.unit[x] @ b.unit[y].T) <= bound**2)
-        work += [(below_u[p], below_v[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+        below_u = a.children[u] if len(a.children[u]) else np.array([u])
+        below_v = b.children[v] if len(b.children[v]) else np.array([v])
+        centres = b.unit[b.centre[below_v]].T
+        for at in range(0, len(below_u), 4 * AHEAD):
+            nodes = below_u[at : at + 4 * AHEAD]
+            far = np.sqrt(np.maximum(2 - 2 * (a.unit[a.centre[nodes]] @ centres), 0))
+            covered = a.radius[nodes][:, None] + b.radius[below_v][None]
+            near = far - covered <= reach + SLACK
+            if one and u == v:
+                near &= np.arange(at, at + len(nodes))[:, None] <= np.arange(len(below_v))
+            i, j = np.nonzero(near)
+            whole = far[i, j] + covered[i, j] <= reach - SLACK
+            p, q = nodes[i], below_v[j]
+            if whole.any():
+                yield "nodes", p[whole], q[whole]
+            p, q = p[~whole], q[~whole]
+            leaf = a.leaf[p] & b.leaf[q]
+            work += zip(p[~leaf].tolist(), q[~leaf].tolist(), strict=True)
+            p, q = p[leaf], q[leaf]
+            wide = b.end[q] - b.first[q]
+            counts = (a.end[p] - a.first[p]) * wide
+            total, x = np.cumsum(counts), 0
+            while x < len(p):
+                y = max(x + 1, int(np.searchsorted(total, (total[x - 1] if x else 0) + PAIRS, side="right")))
+                own, nth = expand(counts[x:y])
+                r = a.order[a.first[p[x:y]][own] + nth // wide[x:y][own]]
+                s = b.order[b.first[q[x:y]][own] + nth % wide[x:y][own]]
+                good = np.einsum("ij,ij->i", a.unit[r], b.unit[s]) >= cosine
+                if one:
+                    good &= (p[x:y] != q[x:y])[own] | (r < s)
+                yield "rows", r[good], s[good]
+                x = y
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -123,14 +152,38 @@ def group_links(unit: np.ndarray, side: np.ndarray, count: np.ndarray, cosine: f
         return links, label
     a = CoverTree(unit[first])
     b, other = (a, first) if alone else (CoverTree(unit[second]), second)
-    for i, j in _dual(a, b, cosine):
-        p, q = first[i], other[j]
-        if b is a:
-            p, q = p[i != j], q[i != j]
-        np.add.at(links, p, count[q])
-        if b is not a:
+    trees = [(a, first), (b, other)]
+    # rows that link as whole nodes: sums over ranges of each tree's order
+    weight = [np.append(0, np.cumsum(count[rows[t.order]])) for t, rows in trees]
+    added = [np.zeros(len(rows) + 1, np.int64) for _, rows in trees]
+    less, joined = np.zeros(len(first) + 1, np.int64), [set(), set()]
+    for kind, x, y in _dual(a, b, cosine):
+        if kind == "rows":
+            p, q = first[x], other[y]
+            np.add.at(links, p, count[q])
             np.add.at(links, q, count[p])
-        label = join_labels(label, p, q)
+            label = join_labels(label, p, q)
+            continue
+        own = (x == y) if alone else np.zeros(len(x), bool)
+        for k, (t, n, w, wide) in enumerate(((a, x, b, y), (b, y, a, x))):
+            some = ~own if k else np.ones(len(n), bool)  # a node beside itself counts once
+            sums = weight[1 - k][w.end[wide[some]]] - weight[1 - k][w.first[wide[some]]]
+            np.add.at(added[k], t.first[n[some]], sums)
+            np.add.at(added[k], t.end[n[some]], -sums)
+        np.add.at(less, a.first[x[own]], 1)
+        np.add.at(less, a.end[x[own]], -1)
+        ends = []
+        for k, ((t, rows), n) in enumerate(zip(trees, (x, y), strict=True)):
+            new = [i for i in np.unique(n).tolist() if i not in joined[k]]
+            joined[k].update(new)
+            spans = [rows[t.order[t.first[i] : t.end[i]]] for i in new]
+            if spans:
+                label = join_labels(label, np.concatenate([r[:-1] for r in spans]), np.concatenate([r[1:] for r in spans]))
+            ends.append(rows[t.order[t.first[n]]])
+        label = join_labels(label, *ends)
+    for k, (t, rows) in enumerate(trees):
+        np.add.at(links, rows[t.order], np.cumsum(added[k][:-1]))
+    links[first[a.order]] -= np.cumsum(less[:-1]) * count[first[a.order]]
     return links, label
 
 

@@ -355,6 +355,20 @@ def test_embedding_dedup(spark, cell_bytes):
     assert listed(embedding_dedup.near_duplicates(df, cell_bytes=cell_bytes)) == want
 
 
+@pytest.mark.parametrize("alone", [True, False])
+def test_group_links_equal_all_pairs(alone):
+    r = np.random.default_rng(11)
+    rows = np.concatenate([r.normal(size=(1, 12)) + r.normal(size=(300, 12)) * s for s in (0.004, 0.05, 0.12, 0.3)] + [r.normal(size=(200, 12))])
+    unit = embedding_dedup._unit(rows)[r.permutation(len(rows))]
+    count, side = r.integers(1, 5, len(unit)), np.zeros(len(unit), int) if alone else np.arange(len(unit)) % 2
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    near &= alone | (side[:, None] != side[None])
+    links, label = embedding_dedup.group_links(unit, side, count, 0.93, alone)
+    assert (links == near @ count).all()
+    assert (label == smallest_reachable(unit, [np.append(np.flatnonzero(x), i) for i, x in enumerate(near)])).all()
+
+
 def test_cells_apart_are_not_paired(spark):
     r = np.random.default_rng(3)
     centres = np.eye(8)
