@@ -31,6 +31,15 @@ def prepare(sessions: DataFrame, memory: DataFrame, skips: DataFrame, project: s
     return rows.withColumn("signals", fn.session_signals(F.col("body"))).drop("body").orderBy("ended_at")
 
 
+def orchestrate(found: DataFrame, index: DataFrame, project: str | None = None) -> DataFrame:
+    """One row: what an import of the sessions found takes over, and what comes next; project None: all of them."""
+    of = aggregates.funnel_counts(aggregates.import_funnel(found, index, project))
+    count = lambda reason: F.coalesce(F.sum(F.when(F.col("reason") == reason, F.col("n"))), F.lit(0))
+    counts = [count(r).alias(n) for r, n in (("imported", "imported"), ("unchanged", "unchanged"), ("pseudo-project", "pseudo"), ("other-project", "other"), ("empty", "empty"))]
+    step = "run-fanout-then-finalize" if project is None else "run-prepare-then-digest"
+    return of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scanned"), *counts).select(F.lit("global" if project is None else "project").alias("mode"), F.lit(project).cast("string").alias("project"), "*", F.lit(step).alias("next_step"))
+
+
 def recall(memory: DataFrame, usage: DataFrame, q: ranking.Query, limit: int = 25, everything: bool = False, resolved: bool = True) -> tuple[DataFrame, DataFrame]:
     """(hits, cold hits). Without a resolved project the whole store is scored and cold storage stays closed."""
     rows = merge.with_usage(memory, usage)
@@ -40,6 +49,12 @@ def recall(memory: DataFrame, usage: DataFrame, q: ranking.Query, limit: int = 2
     return hits, cold if resolved else cold.limit(0)
 
 
+def overview(memory: DataFrame, q: ranking.Query) -> DataFrame:
+    """One row (primer): the primer of the project that is asked about without words, else an empty text."""
+    rows = primer.render(memory, q.project or "", q.now)
+    return rows if q.project and not q.text.strip() else rows.select(F.lit("").alias("primer"))
+
+
 def memory_query(memory: DataFrame, usage: DataFrame, q: ranking.Query) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(layered hits, conflicts, cold hits); an unknown type is no filter, and without a text the primer's order stands in."""
     q = q if q.type in KINDS["memory"] else ranking.Query(q.text, q.project, q.now, q.files, q.commits)
@@ -72,6 +87,20 @@ def memory_archive(memory: DataFrame, overlay: DataFrame, usage: DataFrame, sess
     return archive.plan(memory.join(clash, "id", "left_anti"), now, usage, sessions)
 
 
+def archive_counts(memory: DataFrame, overlay: DataFrame, chosen: DataFrame, malformed: DataFrame, compared: list[str] | None = None) -> DataFrame:
+    """One row: rows archived, and rows left out because they are malformed (id) or another device has them newer."""
+    clash = merge.overlay_conflicts(memory.join(malformed, "id", "left_anti"), overlay, compared)
+    one = lambda rows, name: rows.agg(F.count("*").alias(name))
+    return one(chosen, "archived").join(one(malformed, "malformed")).join(one(clash.where("conflict"), "in_conflict"))  # frames of one row
+
+
+def primers_touched(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(scope): the scopes whose primers a write changes; a global or user row touches every project's."""
+    columns = [c for c in before.columns if c != "id"]
+    both = before.select("id", F.struct(*columns).alias("old")).join(after.select("id", F.struct(*columns).alias("new")), "id", "full").where("not old <=> new")
+    return both.select(F.explode(F.array("old.scope", "new.scope")).alias("scope")).where("scope is not null").distinct()
+
+
 def memory_write(store: DataFrame, items: DataFrame, now: str, proposed: bool = False) -> DataFrame:
     """The store after a batch, which is refused whole if a row leaks or needs review (proposed: only rows that do pass)."""
     body = F.concat_ws("\n", "title", "summary", *[F.array_join(c, "\n") for c in ("source_files", "entities")])

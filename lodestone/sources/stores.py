@@ -65,9 +65,9 @@ def usage_rows(documents: DataFrame) -> DataFrame:
     return rows.select(F.col("key").alias("id"), F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.floor(n).cast("double"))).alias("n"), _text(F.col("entry"), "lastAccess").alias("last_access")).where("n is not null")
 
 
-def read_markdown(spark: SparkSession, root: str, leave_out: tuple[str, ...] = ("_primer", "entities", "qa")) -> DataFrame:
+def read_markdown(spark: SparkSession, root: str, leave_out: tuple[str, ...] = ("_primer", "entities", "qa"), pattern: str = "*.md") -> DataFrame:
     """(path, md) of the Markdown documents below ``root``, whose path there doesn't begin with a left-out folder."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     rel = F.regexp_replace("_metadata.file_path", r"^(file:)?/*", "/")
     at = F.substring_index(rel, root.split("://")[-1].rstrip("/") + "/", -1)
     return files.select(at.alias("path"), F.col("value").alias("md")).where(~F.split_part("path", F.lit("/"), F.lit(1)).isin(*leave_out))
