@@ -4,10 +4,12 @@ Terms are words and the first 4 letters of longer words, lower-cased. All terms
 class-stratified sample of labelled rows count, by TF-IDF times how far the share of toxic rows
 among those with the term (``PRIOR`` rows of the sample's share added) is from the sample's
 share, which doesn't depend on the sample's size; examples are vectors of unit length over them.
-The examples form an inverted index whose postings are cut into blocks of ``BLOCK`` consecutive
-examples, with the largest weight of each term in each block. A query reads its terms in falling
-order of what they can add, only in blocks that those maxima leave in question, until few examples
-are left, whose cosines are taken whole: the k nearest examples are exact. Neighbours vote with
+The examples form an inverted index over blocks of ``BLOCK`` consecutive ones, with the largest
+weight of each term in each block. Postings of the ``COLUMNS`` most frequent terms are kept as
+columns of their blocks, those of all others as lists. A query's lists and the block maxima bound
+each block; the ``FIRST`` most promising blocks are scored, and then only those whose bound
+reaches the k-th best, for ``BATCH`` queries at a time. The best are scored again in double
+precision over all their terms: the k nearest examples are exact. Neighbours vote with
 their cosine squared, weighted back to the classes' true shares; the vote is calibrated by a
 monotone table (pool adjacent violators) of leave-one-out votes of the examples. The evidence is
 the ids and cosines of the nearest examples. (Weights and terms were chosen by cross-validation
@@ -24,6 +26,7 @@ both classes the score is 0.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -39,12 +42,17 @@ from .common import crc_mod, labelled_sample, record, slices
 #: Labelled rows of each class in the index, at most; rows added to a term's own.
 SAMPLE = {1: 1500, 0: 3000}
 PRIOR = 4.0
-BLOCK = 64
+BLOCK = 32
+#: Terms whose postings are columns; blocks of a query that are scored at once; queries at a time.
+COLUMNS, FIRST, BATCH = 512, 16, 128
+#: Room for the rounding of 32-bit sums.
+SLACK = 1e-5
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 MEMO = 400_000
 
 _WORD = re.compile(r"\w+")
+Row = tuple[np.ndarray, np.ndarray]
 
 
 def chunk_terms(chunk: str) -> list[str]:
@@ -63,47 +71,54 @@ class Terms:
     def __init__(self, number: dict[str, int]):
         self.number, self.memo = number, {}
 
-    def count(self, text: str) -> Counter:
+    def count(self, text: str) -> Row:
+        """The known terms of a text and how often each stands in it."""
         memo, chunks = self.memo, text.lower().split()
         if len(memo) > MEMO:
             memo.clear()
         number = self.number
         for c in set(chunks).difference(memo):
             memo[c] = tuple(number[t] for t in chunk_terms(c) if t in number)
-        return Counter(t for found in map(memo.__getitem__, chunks) if found for t in found)
+        return np.unique(np.fromiter(itertools.chain.from_iterable(map(memo.__getitem__, chunks)), np.int64), return_counts=True)
 
 
 class Index:
     """Inverted index of unit TF-IDF examples with block maxima."""
 
-    def __init__(self, number: dict[str, int], idf: np.ndarray, ids: np.ndarray, label: np.ndarray, rows: list[Counter], vote: dict[int, float]):
+    def __init__(self, number: dict[str, int], idf: np.ndarray, ids: np.ndarray, label: np.ndarray, rows: list[Row], vote: dict[int, float]):
         self.number, self.idf, self.ids, self.label = number, idf, ids, label
         self.vote = np.array([vote[int(y)] for y in label])
         n, t = len(ids), len(number)
         self.blocks = max(1, -(-n // BLOCK))
-        self.block = np.arange(n) // BLOCK
-        # by example: terms and weights; by term: postings, in cells (term, block) with their largest weight
-        self.rows = np.cumsum([0, *map(len, rows)])
-        self.term = np.fromiter((x for r in rows for x in r), np.int32, int(self.rows[-1]))
-        self.of_row = np.concatenate([self.unit(r)[1] for r in rows]) if len(self.term) else np.zeros(0)
-        owner = np.repeat(np.arange(n), np.diff(self.rows))
-        order = np.lexsort((owner, self.term))
-        self.owner, self.weight = owner[order].astype(np.int32), self.of_row[order].astype(np.float32)
-        cell = self.term[order].astype(np.int64) * self.blocks + self.owner // BLOCK
-        self.cell, first = np.unique(cell, return_index=True)
-        self.begin = np.append(first, len(cell))
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(self.cell, np.arange(t + 1) * self.blocks)
-        self.top = np.maximum.reduceat(self.most, self.cells[:-1]) if len(first) else np.zeros(t)
-        self.cell_block, self.most32 = (self.cell % self.blocks).astype(np.int32), self.most.astype(np.float32)
+        # by example
+        self.rows = np.cumsum([0, *(len(term) for term, _ in rows)])
+        self.term = np.concatenate([term for term, _ in rows]).astype(np.int32)
+        self.of_row = np.concatenate([self.unit(r) for r in rows])
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.rows))
+        # columns of the most frequent terms by block, and their maxima
+        seen = np.bincount(self.term, minlength=t)
+        often = np.argsort(-seen, kind="stable")[:COLUMNS]
+        self.column = np.full(t, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        held = self.column[self.term] >= 0
+        dense[owner[held], self.column[self.term[held]]] = self.of_row[held]
+        self.dense = dense.reshape(self.blocks, BLOCK, len(often))
+        self.most = self.dense.max(1)
+        # lists of the others
+        order = np.flatnonzero(~held)
+        order = order[np.argsort(self.term[order], kind="stable")]
+        self.owner, self.weight = owner[order], self.of_row[order].astype(np.float32)
+        self.begin = np.searchsorted(self.term[order], np.arange(t + 1))
         self.asked, self.steps = np.zeros(t), np.arange(n * 64, dtype=np.int32)
-        self.read = 0
+        self.scored = self.bounded = 0
         self.cuts, self.values = np.zeros(0), np.zeros(1)
 
-    def unit(self, row: Counter) -> tuple[np.ndarray, np.ndarray]:
-        term = np.fromiter(row, np.int64, len(row))
-        w = (1 + np.log(np.fromiter(row.values(), float, len(row)))) * self.idf[term]
-        return term, w / math.sqrt(float(w @ w)) if w.any() else w
+    def unit(self, row: Row) -> np.ndarray:
+        """TF-IDF weights of unit length."""
+        term, n = row
+        w = (1 + np.log(n)) * self.idf[term]
+        return w / math.sqrt(float(w @ w)) if w.any() else w
 
     def _ranges(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The places of ranges, one after the other."""
@@ -123,44 +138,47 @@ class Index:
         ends = n.cumsum()
         return part[ends] - part[ends - n]
 
-    def nearest(self, row: Counter, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (over 0), best first, and the cosines.
-
-        Terms are read in falling order of what they can add, some at a time and only in blocks that
-        may still hold one of the k best; the block maxima of the terms not read yet bound the rest.
-        When few examples are left, their cosines are taken whole.
-        """
-        term, q = self.unit(row)
-        order = np.argsort(-q * self.top[term], kind="stable")
-        term, q = term[order], q[order]
-        counts = self.cells[term + 1] - self.cells[term]
-        cell, ends = self._ranges(self.cells[term], counts), np.cumsum(counts)
-        block, weight = self.cell_block[cell], np.repeat(q.astype(np.float32), counts)
-        bound = weight * self.most32[cell]
-        rest = np.bincount(block, weights=bound, minlength=self.blocks)
-        partial, left = np.zeros(len(self.ids)), (rest > 0)[self.block]
-        if without is not None:
-            left[without] = False
-        alive, at, step = rest > 0, 0, 16
-        while at < len(term) and left.sum() > 3 * k:
-            a, b = ends[at - 1] if at else 0, ends[min(at + step, len(term)) - 1]
-            at, step = at + step, step * 2
-            part = alive[block[a:b]].nonzero()[0] + a
-            start = self.begin[cell[part]]
-            n = self.begin[cell[part] + 1] - start
+    def nearest(self, rows: list[Row], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k examples of largest cosine (over 0), best first, and the cosines; without: an example for each to leave out."""
+        size, wide = self.blocks * BLOCK, self.dense.shape[2]
+        listed, asked = np.zeros((len(rows), size), np.float32), np.zeros((len(rows), wide), np.float32)
+        units = [self.unit(r) for r in rows]
+        for i, ((term, _), q) in enumerate(zip(rows, units, strict=True)):
+            column = self.column[term]
+            held = column >= 0
+            asked[i, column[held]] = q[held]
+            rare = term[~held]
+            start = self.begin[rare]
+            n = self.begin[rare + 1] - start
             place = self._ranges(start, n)
-            self.read += len(place)
-            partial += np.bincount(self.owner[place], weights=self.weight[place] * np.repeat(weight[part], n), minlength=len(partial))
-            rest -= np.bincount(block[a:b], weights=bound[a:b], minlength=self.blocks)
-            some = partial[left]
-            least = np.partition(some, len(some) - k)[len(some) - k] if len(some) > k else 0.0
-            left &= partial + rest[self.block] >= least - 1e-5  # postings are rounded to 32 bits
-            alive = np.bincount(self.block[left], minlength=self.blocks) > 0
-        found = np.flatnonzero(left)
-        cosine = self._whole(found, term, q)
-        found, cosine = found[cosine > 1e-12], cosine[cosine > 1e-12]
-        best = np.lexsort((self.ids[found], -np.round(cosine, 12)))[:k]
-        return found[best], cosine[best]
+            listed[i] = np.bincount(self.owner[place], weights=self.weight[place] * np.repeat(q[~held].astype(np.float32), n), minlength=size)
+            if without is not None:
+                listed[i, without[i]] = -9.0
+        bound = asked @ self.most.T + listed.reshape(len(rows), self.blocks, BLOCK).max(2)
+        total = np.full((len(rows), size), -1.0, np.float32)
+
+        def score(blocks: np.ndarray) -> np.ndarray:
+            """Scores the chosen blocks of each query; the k-th best of each so far."""
+            for b in np.flatnonzero(blocks.any(0)).tolist():
+                at, span = np.flatnonzero(blocks[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                total[at, span] = listed[at, span] + asked[at] @ self.dense[b].T
+            return np.partition(total, size - k, axis=1)[:, size - k] if size > k else np.full(len(rows), -1.0)
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST], True, axis=1)
+        least = score(first)
+        rest = ~first & (bound >= least[:, None] - SLACK)
+        least = score(rest)
+        self.scored += int(first.sum() + rest.sum())
+        self.bounded += bound.size
+        out = []
+        for i, ((term, _), q) in enumerate(zip(rows, units, strict=True)):
+            found = np.flatnonzero(total[i] >= max(least[i] - SLACK, 1e-7))
+            cosine = self._whole(found, term, q)
+            found, cosine = found[cosine > 1e-12], cosine[cosine > 1e-12]
+            best = np.lexsort((self.ids[found], -np.round(cosine, 12)))[:k]
+            out.append((found[best], cosine[best]))
+        return out
 
     def votes(self, best: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine**2 * self.vote[best]
@@ -201,7 +219,8 @@ def fit(sample: list[tuple[int, int, str]], share: dict[int, float]) -> Index |
     counter = Terms(number)
     rows = [counter.count(text) for _, _, text in sample]
     index = Index(number, idf, np.array([i for i, _, _ in sample]), np.array([float(y) for _, y, _ in sample]), rows, share)
-    index.calibrate(np.array([index.votes(*index.nearest(r, without=i)) for i, r in enumerate(rows)]))
+    raw = [index.votes(*found) for a in range(0, len(rows), BATCH) for found in index.nearest(rows[a : a + BATCH], without=list(range(a, min(a + BATCH, len(rows)))))]
+    index.calibrate(np.array(raw))
     return index
 
 
@@ -223,18 +242,16 @@ def score(docs: DataFrame, index: Index | None, threshold: float = THRESHOLD, ev
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        counter = Terms(index.number if index else {})
+        counter, none = Terms(index.number if index else {}), np.zeros(0, np.int64)
         for batch in slices(batches, "text"):
-            rows, known = [], {}
-            for text in batch.column("text").to_pylist():
-                key = text or ""
-                if key not in known:
-                    found = counter.count(key) if index else Counter()
-                    best, cosine = index.nearest(found) if found else (np.zeros(0, np.int64), np.zeros(0))
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            different, known = list(dict.fromkeys(texts)), {}
+            for a in range(0, len(different), BATCH):
+                part = different[a : a + BATCH]
+                for text, (best, cosine) in zip(part, index.nearest([counter.count(t) for t in part]) if index else [(none, none)] * len(part), strict=True):
                     value = index.score(index.votes(best, cosine)) if index else 0.0
-                    known[key] = value, int(value >= threshold), [{"doc_id": int(index.ids[b]), "toxic": int(index.label[b]), "cosine": float(c)} for b, c in zip(best[:evidence], cosine[:evidence], strict=True)]
-                rows.append(known[key])
-            yield record(schema, [batch.column("doc_id"), *map(list, zip(*rows, strict=True))])
+                    known[text] = value, int(value >= threshold), [{"doc_id": int(index.ids[b]), "toxic": int(index.label[b]), "cosine": float(c)} for b, c in zip(best[:evidence], cosine[:evidence], strict=True)]
+            yield record(schema, [batch.column("doc_id"), *map(list, zip(*[known[t] for t in texts], strict=True))])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, toxic: int, cosine: double>>")
 
