@@ -180,12 +180,10 @@ def restore_instruction(id_: Column, source: Column, device: Column) -> Column:
 
 
 def leaks(x: Column) -> Column:
-    """ARRAY<STRUCT<kind, severity, sample>>: one entry for each category found."""
-    found = []
-    for kind, severity, pattern in LEAK_PATTERNS:
-        sample = F.lit("[redacted]") if kind == "secret" else F.substring(F.regexp_extract(x, f"({pattern})", 1), 1, 60)
-        found.append(F.when(x.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), sample.alias("sample"))))
-    return F.array_compact(F.array(*found))
+    """ARRAY<STRUCT<kind, severity, sample>>: one entry for each category found; each pattern runs once."""
+    found = [F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.regexp_extract(x, f"({pattern})", 1).alias("sample")) for kind, severity, pattern in LEAK_PATTERNS]
+    shown = lambda h: F.when(h.kind == "secret", F.lit("[redacted]")).otherwise(F.substring(h["sample"], 1, 60))
+    return F.transform(F.filter(F.array(*found), lambda h: h["sample"] != ""), lambda h: F.struct(h.kind.alias("kind"), h.severity.alias("severity"), shown(h).alias("sample")))
 
 
 def has_blocking_leak(x: Column) -> Column:

@@ -1,8 +1,9 @@
-"""Incremental ingest of transcript files as a stream of micro-batches.
+"""Incremental ingest of transcript files as a stream of micro-batches, and the files that change later.
 
-The file source finds new files; a file whose (path, hash) is known is left out, and changed
-files are parsed whole again, since these logs are edited or appended to in place. Each batch is
-written under its own number, so that a batch that is run again after a failure replaces itself.
+The file source finds each new file once. Logs are also appended to or edited in place, which it
+doesn't see: ``refresh`` compares hashes and parses changed files whole again. Each batch is
+written under its own number, so that a batch that is run again after a failure replaces itself:
+its messages, and then the files that it read, of which some may hold no message.
 """
 
 from __future__ import annotations
@@ -13,23 +14,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Batches of changed files are numbered from here; each is later than any in which a file is new.
+CHANGED = 1 << 40
+
+
+def _files(raw: DataFrame) -> DataFrame:
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.sha2(F.col("value").cast("binary"), 256).alias("sha"), "value").where("length(value) > 0")
+
+
+def _write(files: DataFrame, parse: Callable[[DataFrame], DataFrame], out: str, number: int) -> None:
+    # the same file can come twice in a batch if it changed meanwhile: the newest counts
+    newest = files.groupBy("path").agg(F.max_by(F.struct("sha", "value"), F.struct("mtime_ms", "sha")).alias("f")).select("path", "f.*")
+    lines = newest.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    parse(lines).join(newest.select("path", "sha"), "path", "left").write.mode("overwrite").parquet(f"{out}/messages/batch={number}")
+    newest.select("path", "sha").write.mode("overwrite").parquet(f"{out}/files/batch={number}")
+
 
 def ingest(spark: SparkSession, root: str, parse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, pattern: str = "*.jsonl") -> StreamingQuery:
-    """Parses the files below ``root`` that are new or changed, once, into ``out``/batch=N."""
-    files = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.sha2(F.col("value").cast("binary"), 256).alias("sha"), "value").where("length(value) > 0")
+    """Parses the files below ``root`` that are new, once, into ``out``/messages/batch=N and ``out``/files/batch=N."""
+    raw = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return _files(raw).writeStream.foreachBatch(lambda batch, number: _write(batch, parse, out, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _last(spark: SparkSession, out: str) -> DataFrame:
+    """(path, batch, sha) of the last batch in which each file came."""
+    last = F.max(F.struct("batch", "sha")).alias("last")
+    return spark.read.parquet(f"{out}/files").groupBy("path").agg(last).select("path", "last.batch", "last.sha")
 
-    def write(batch: DataFrame, number: int) -> None:
-        # the same file can come twice in a batch if it changed meanwhile: the newest counts
-        newest = batch.groupBy("path").agg(F.max_by(F.struct("sha", "value"), F.struct("mtime_ms", "sha")).alias("f")).select("path", "f.*")
-        lines = newest.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-        parse(lines).join(newest.select("path", "sha"), "path", "left").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def refresh(spark: SparkSession, root: str, parse: Callable[[DataFrame], DataFrame], out: str, pattern: str = "*.jsonl") -> int:
+    """Parses the known files below ``root`` whose contents have changed, as one batch; how many there are."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
+    known = _last(spark, out)
+    changed = _files(raw).join(known.select("path", F.col("sha").alias("had")), "path").where("sha <> had").drop("had")
+    count = changed.count()
+    if count:
+        number = known.agg(F.greatest(F.max("batch") + 1, F.lit(CHANGED))).first()[0]
+        _write(changed, parse, out, number)
+    return count
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    """Messages of the last batch in which each file came."""
-    rows = spark.read.parquet(out)
-    last = rows.groupBy("path").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["path", "batch"])
+    """Messages of the last batch in which each file came; none where its newest version holds none."""
+    return spark.read.parquet(f"{out}/messages").join(_last(spark, out).select("path", "batch"), ["path", "batch"])

@@ -9,7 +9,7 @@ from lodestone.functions import text as fn
 from lodestone.operators import archive, evidence, merge, primer, ranking, similarity
 from lodestone.operators.evaluate import case_results, report
 from lodestone.sources import stores, transcripts
-from lodestone.streaming.ingest import current, ingest
+from lodestone.streaming.ingest import current, ingest, refresh
 
 NOW = "2026-06-12"
 MEM = "id string, type string, scope string, project string, title string, summary string, status string, importance double, confidence double, updated_at string, valid_to string, supersedes string, entities array<string>, source_sessions array<string>, source_files array<string>, source_commits array<string>, trust string, access_count double, archived_reason string, seq long"
@@ -174,6 +174,17 @@ def test_streamed_ingest_equals_batch(spark, tmp_path):
     assert current(spark, str(tmp_path / "out")).count() == 3
     read = transcripts.read_lines(spark, str(src))
     assert transcripts.parse_lines(read).count() == 3
+    (src / "c.jsonl").write_text('{"type":"summary"}')
+    run()
+    files = spark.read.parquet(str(tmp_path / "out" / "files"))
+    assert files.count() == 3 and current(spark, str(tmp_path / "out")).count() == 3
+    again = lambda: refresh(spark, str(src), transcripts.parse_lines, str(tmp_path / "out"))
+    assert again() == 0
+    (src / "a.jsonl").write_text("\n".join([line] * 5))
+    (src / "b.jsonl").write_text('{"type":"summary"}')
+    assert again() == 2 and again() == 0 and current(spark, str(tmp_path / "out")).count() == 5
+    (src / "a.jsonl").write_text(line)
+    assert again() == 1 and current(spark, str(tmp_path / "out")).count() == 1
 
 
 def test_leaks(spark):
