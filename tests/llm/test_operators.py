@@ -13,6 +13,7 @@ import xxhash
 
 from lodestone.llm import embedding_dedup, language, packing, pieces, pii, quality, simhash, substring_dedup, suffix, token_files, tokens, toxicity
 from lodestone.llm.common import numbered, table
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, "a b c d e f", "en", "x", 1), (1, "a b c d e f", "en", "x", 1), (None, None, None, None, None), (2, "", None, "x", 0), (3, " \n\t ", "en", None, 3), (4, "Zoë said 日本語 <|endoftext|> it's fine" * 40, "fr", "x", 5), (None, "x" * 300, "en", "x", 6), (5, "12345 !!!", "en", "x", 7), (6, "z" * 300, "en", "x", 8)]
@@ -324,6 +325,23 @@ def test_field_adds_spans_and_keeps_base(docs, odd):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_added_spans_on_texts_of_other_making():
+    """Sentences written by hand, not by the training generator: what the field should add, and what it should leave."""
+    data = {
+        "please ring (020) 555 0173 before noon": "(020) 555 0173",
+        "her number: 456-555-2186, ask for Zoe": "456-555-2186",
+        "reach me on 456.555.2186 today": "456.555.2186",
+        "write to ann.lee [at] example [dot] org for help": "ann.lee [at] example [dot] org",
+        "contact tom (at) site4 (dot) net soon": "tom (at) site4 (dot) net",
+        "fax (456) 555-0199 is out of order": "(456) 555-0199",
+    }
+    clean = ["order 4521 shipped on 2024-05-06", "version 10.2.1 needs 512 MB", "see pages 100-200, 310 and 415", "room 12 at 9:30, floor 3", "it cost 1,234.50 in total", "isbn 978 0 306", "at the dot com boom", "the score was 21-15, 18-21, 21-19", "chapter 3.4.5.6.7 of the book", "call me maybe"]
+    field = pii.train()
+    added = {t: [t[a:b] for _, a, b in pii.spans_of(t, field)[1]] for t in [*data, *clean]}
+    hit = sum(any(want in got or got in want for got in added[t]) for t, want in data.items())
+    assert hit >= 0.6 * len(data) and sum(bool(added[t]) for t in clean) <= 1
+
+
 # op8 --------------------------------------------------------------------------------------
 def plain_links(rows, t=0.93):
     ok = lambda v: v is not None and len(v) > 0 and all(c is not None and np.isfinite(c) for c in v) and any(v)
@@ -501,7 +519,14 @@ def test_quality(spark, rows, odd):
     assert quality.rules(docs.limit(0), labels).count() == 0
 
 
-def test_quality_verdicts_agree_with_labels(spark):
-    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels").withColumnRenamed("quality", "good")
-    rows = quality.rules(docs, labels.withColumnRenamed("good", "quality")).join(labels, "doc_id").where("not base_failed").collect()
-    assert sum(r.kept == (r.good == 1) for r in rows) >= 0.95 * len(rows)
+def test_quality_verdicts_on_rows_held_out(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = quality.learn(docs, labels.where("doc_id % 3 <> 0"))
+    rows = quality.judge(docs, model).join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id").where("doc_id % 3 = 0 and not base_failed and good in (0, 1)").collect()
+    good, bad = ([r.kept for r in rows if r.good == y] for y in (1, 0))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad) and len(bad) > 20
+
+
+def test_very_many_different_words():
+    ids = np.concatenate([np.arange(1_200_000), np.arange(1_200_000 - 3, 1_200_000), [5, 6, 7]])
+    assert quality._repeats(ids) == 6 + 6 and quality._repeats(ids[:1_200_000]) == 0
