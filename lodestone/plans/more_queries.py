@@ -52,9 +52,9 @@ def fn05(spark, d):
     return ranking.eligible(_mem(spark, d), ranking.Query("", "src5", NOW, type="semantic")).select("id")
 
 
-@query("FN20_content_hits", "SELECT count(*) AS n FROM mem WHERE list_contains(source_files, 'src/f1.py')", "MEM")
+@query("FN20_content_hits", "SELECT id FROM mem WHERE list_contains(source_files, 'src/f1.py')", "MEM")
 def fn20(spark, d):
-    return ranking.rank(_mem(spark, d), ranking.Query("", None, NOW, ["src/f1.py"])).where(ranking.is_content_hit()).agg(F.count("*").alias("n"))
+    return ranking.rank(_mem(spark, d), ranking.Query("", None, NOW, ["src/f1.py"])).where(ranking.is_content_hit()).select("id")
 
 
 @query("FN23_list_fields", "SELECT id, len(entities) AS n, CASE WHEN seq % 3 = 0 THEN 0 ELSE 2 END AS fixed FROM (SELECT id, seq, list_filter(list_transform(string_split(replace(array_to_string(entities, ','), ';', ''), ','), e -> trim(e)), e -> e <> '') AS entities FROM mem)", "MEM")
@@ -143,10 +143,10 @@ def lnt15(spark, d):
     return lint.corrupt(rows).select("check", "layer", "detail")
 
 
-@query("LCY06_07_review", "SELECT count(*) FILTER (gated) AS proposed, count(*) FILTER (NOT gated) AS written FROM (SELECT m.type IN ('core', 'procedural') OR m.status = 'pinned' OR coalesce(t.type IN ('core', 'procedural') OR t.status = 'pinned', false) AS gated FROM mem m LEFT JOIN mem t ON t.id = m.supersedes)", "MEM")
+@query("LCY06_07_review", "SELECT m.id, m.type IN ('core', 'procedural') OR m.status = 'pinned' OR coalesce(t.type IN ('core', 'procedural') OR t.status = 'pinned', false) AS gated FROM mem m LEFT JOIN mem t ON t.id = m.supersedes", "MEM")
 def lcy06(spark, d):
     mem = _mem(spark, d)
-    return archive.gate(mem, mem).agg(F.count_if("gated").alias("proposed"), F.count_if(~F.col("gated")).alias("written"))
+    return archive.gate(mem, mem).select("id", "gated")
 
 
 @query("LCY09_approve", "SELECT id, CASE WHEN seq = 7 THEN 'approved' ELSE title END AS title FROM mem", "MEM")
@@ -156,10 +156,13 @@ def lcy09(spark, d):
     return api.memory_approve(mem, queue, "7", NOW)[0].select("id", "title")
 
 
-@query("LCY11_qa_write", "SELECT count(*) AS n, count(DISTINCT id) AS ids, count(*) FILTER (scope = 'global' AND project IS NULL) AS global FROM (SELECT 'qa/' || CASE WHEN starts_with(scope, 'project:') THEN substr(scope, 9) ELSE '_global' END || lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) AS id, scope, CASE WHEN starts_with(scope, 'project:') THEN substr(scope, 9) END AS project FROM qa)", "QA")
+_ASKED = "trim(regexp_replace(regexp_replace(question, '[\\x00-\\x1F\\x{7F}-\\x{9F}]', ' ', 'g'), '[\\s\\x{00A0}\\x{FEFF}]+', ' ', 'g'))"
+
+
+@query("LCY11_qa_write", f"SELECT DISTINCT scope, CASE WHEN starts_with(scope, 'project:') THEN substr(scope, 9) END AS project, {_ASKED} AS question, 'qa/' || CASE WHEN starts_with(scope, 'project:') THEN substr(scope, 9) ELSE '_global' END AS folder FROM qa", "QA")
 def lcy11(spark, d):
     rows = pages.qa_writes(view(spark, d, "QA"), NOW).where("defect is null")
-    return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if((F.col("scope") == "global") & F.col("project").isNull()).alias("global"))
+    return rows.select("scope", "project", "question", F.regexp_extract("id", "^(qa/[^/]+)/", 1).alias("folder")).distinct()
 
 
 @query("LCY11_entity_write", "SELECT id, CASE WHEN p % 2 = 0 THEN 'new' ELSE title END AS title FROM (SELECT *, CAST(string_split(id, '/')[-1] AS BIGINT) AS p FROM entity)", "ENTITY")
@@ -177,10 +180,10 @@ def snk07(spark, d):
     return pages.parse(docs, plain, quoted, lists).select("id", "scope", "project", "kind", F.size("tags").cast("long").alias("n_tags"), F.element_at("related_entities", 1).alias("first_entity"))
 
 
-@query("SNK10_payload", "SELECT count(*) AS n FROM mem WHERE status = 'archived'", "MEM")
+@query("SNK10_payload", "SELECT id, title, importance FROM mem WHERE status = 'archived'", "MEM")
 def snk10(spark, d):
-    lines = api.payload(_mem(spark, d).where("status = 'archived'").select("id", "title"))
-    return lines.where(F.get_json_object("value", "$.id").isNotNull()).agg(F.count("*").alias("n"))
+    lines = api.payload(_mem(spark, d).where("status = 'archived'").select("id", "title", "importance"))
+    return lines.select(F.from_json("value", "id string, title string, importance double").alias("v")).select("v.*")
 
 
 @query("SRC06_prefer_state_logs", "SELECT session_id, conv_id % 3 = 0 AS state FROM sessions", "SESSIONS")
