@@ -167,16 +167,17 @@ def batch_top(memory: DataFrame, queries: DataFrame, now: str, k: int = 5) -> Da
     flat = base.where("id is not null").withColumns({n: c for n, c in fixed.items() if n not in ("keyword_hits", "scope_points")})
     body = F.concat_ws(" ", "title", "summary", F.array_join(fn.as_array(F.col("entities")), " "))
     flat = flat.select("id", "scope", (F.col("pinned_points") + F.col("recency_points") + F.least("importance_value", F.lit(3.0)) + F.col("usage_points")).alias("rest"), fn.tokens(body).alias("words"))
-    docs = flat.select("id", F.explode("words").alias("word"))
-    asked = queries.select("query_id", F.explode(fn.tokens(F.col("q"))).alias("word"))
-    hits = asked.join(docs, "word").groupBy("query_id", "id").agg(F.count("*").alias("keyword_hits"))
+    reach = queries.select("query_id", "q", F.explode(F.array(F.lit("global"), F.lit("user"), F.concat(F.lit("project:"), "project"))).alias("scope"))
+    # words meet inside the scopes that a query reaches only
+    docs = flat.select("id", "scope", F.explode("words").alias("word"))
+    asked = reach.select("query_id", "scope", F.explode(fn.tokens(F.col("q"))).alias("word"))
+    hits = asked.join(docs, ["word", "scope"]).groupBy("query_id", "id").agg(F.count("*").alias("keyword_hits"))
     plain = flat.drop("words")
     matched = hits.join(plain, "id")
     # best rows without a match: for the project, and for global and user rows
     place = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("rest"), F.collate("id", "UNICODE")))
     spare = plain.withColumn("n", place).where(F.col("n") <= k).drop("n")
-    reach = queries.select("query_id", F.explode(F.array(F.lit("global"), F.lit("user"), F.concat(F.lit("project:"), "project"))).alias("scope"))
-    others = reach.join(spare, "scope").withColumn("keyword_hits", F.lit(0).cast("long")).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    others = reach.drop("q").join(spare, "scope").withColumn("keyword_hits", F.lit(0).cast("long")).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
     columns = ["query_id", "id", "scope", "rest", "keyword_hits"]
     both = matched.select(columns).unionByName(others.select(columns)).join(queries.select("query_id", "project"), "query_id")
     own = F.col("scope") == F.concat(F.lit("project:"), "project")
