@@ -530,3 +530,45 @@ def test_quality_verdicts_on_rows_held_out(spark):
 def test_very_many_different_words():
     ids = np.concatenate([np.arange(1_200_000), np.arange(1_200_000 - 3, 1_200_000), [5, 6, 7]])
     assert quality._repeats(ids) == 6 + 6 and quality._repeats(ids[:1_200_000]) == 0
+
+
+def test_results_of_odd_rows(spark, odd, ids):
+    """Nulls, blanks, repeats and clashing columns: what each operator returns for them, row by row."""
+    texts = [(r[0], r[1] or "") for r in ODD]
+    none = hashlib.sha256(b"").hexdigest()
+    found = pii.find(odd).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    assert listed(found) == sorted([(i, 0, 0, 0, 0, none, "") for i, _ in texts], key=str)
+    stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert listed(quality.rules(odd, spark.createDataFrame([], "doc_id long, quality int")).select("doc_id", *stats)) == sorted([(i, *quality.statistics(t.encode())[1]) for i, t in texts], key=str)
+    pieces_of = pieces.vocabulary(pieces.default_path())
+    assert listed(pieces.decode(pieces.encode(odd))) == sorted(texts, key=str)
+    assert all(len(pieces_of.encode(t.encode())) == 0 for _, t in texts if not t)
+    assert listed(token_files.write_and_read(odd).select("doc_id", "n_tokens")) == sorted([(i, len(x)) for (i, _), x in zip(texts, ids([t for _, t in texts]), strict=True)], key=str)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert listed(toxicity.scored(odd, labels).select("doc_id", "score", "predicted")) == sorted([(i, 0.0, 0) for i, _ in texts], key=str)
+
+
+def test_very_long_texts(spark, ids):
+    """A text of three million characters is read to its end by every operator."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(4000)]
+    long = " ".join(r.choices(words, k=450_000)) + " ann.lee@site4.example.org"
+    rows = [(1, long), (2, "short one"), (3, long[-50_000:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(long) > 2_500_000
+    spans = {x.doc_id: (x.n_email, x.spans) for x in pii.find(df).collect()}
+    at = long.index("ann.lee@")
+    assert spans[1][0] == 1 and f"email:{at}:{len(long)}" in spans[1][1] and spans[2][0] == 0
+    stats = {x.doc_id: x for x in quality.judge(df, None).collect()}
+    assert stats[1].n_words == 450_001 and stats[1].word_chars == len(long) - 450_000
+    assert all(x.exact for x in pieces.digests(df).collect())
+    tokens_of = {x.doc_id: x.n_tokens for x in token_files.write_and_read(df).collect()}
+    assert tokens_of == {i: len(x) for (i, _), x in zip(rows, ids([t for _, t in rows]), strict=True)}
+    gone = {x.doc_id: (x.n_removed, x.n_spans) for x in substring_dedup.digests(df).collect()}
+    assert gone == {1: (50_000, 1), 2: (0, 0), 3: (50_000, 1)}
+    assert {x.fingerprint for x in simhash.near_duplicates(df.where("doc_id = 1")).collect()} == {format(plain_fingerprint(long), "016x")}
+    labels = spark.createDataFrame([(10 + i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    known = spark.createDataFrame([(10 + i, f"{'scum' if i % 2 else 'fine'} alpha beta gamma") for i in range(40)], "doc_id long, text string")
+    index = toxicity.learn(known, labels)
+    scores = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame([(1, long + " scum" * 9000), (2, long)], df.schema), index).collect()}
+    assert scores[1] > 0.9 > scores[2]
