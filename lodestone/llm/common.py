@@ -98,6 +98,7 @@ RID = "__rid"
 def numbered(docs: DataFrame, *more: Column) -> DataFrame:
     """Every row of ``docs`` under a number of its own, in buckets of that number: joins by it shuffle no texts.
 
+    ``docs`` should be a table, so that a task that runs again numbers the same rows alike.
     Columns: the number, the text (null as empty), whether it was null, the other columns as one, and ``more``.
     """
     rest = [F.col(f"`{n}`") for n in docs.columns if n != "text"]

@@ -465,6 +465,37 @@ def test_language(spark, odd):
     assert kept.columns == odd.columns and kept.where("text is null or trim(text) = ''").count() == 0
 
 
+def test_kernel_ridge_equals_plain_formulas():
+    """Kernels as set overlaps, the landmark features and the ridge solution, each written out plainly."""
+    r = random.Random(6)
+    sample = [(x, " ".join("".join(r.choices(a, k=r.randint(2, 8))) for _ in range(r.randint(3, 40))).encode()) for x, a in (("aa", "abcde"), ("bb", "defgh"), ("cc", "ghijk")) for _ in range(60)]
+    model = language.fit(sample)
+
+    def grams(text):
+        ends = np.array([0, len(text)])
+        return set(np.flatnonzero(language.presence(np.frombuffer(text, np.uint8), ends)[0]).tolist())
+
+    rows = sorted(sample)
+    names = sorted({x for x, _ in rows})
+    marks = [grams(t) for x in names for t in [t for y, t in rows if y == x][: language.LANDMARKS]]
+    kernel = lambda x, y: len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1))
+    among = np.array([[kernel(x, y) for y in marks] for x in marks])
+    value, vector = np.linalg.eigh(among)
+    some = value > 1e-6 * value.max()
+    root = vector[:, some] / np.sqrt(value[some])
+    phi = np.array([[kernel(grams(t), m) for m in marks] for _, t in rows]) @ root
+    target = np.array([[1.0 if x == n else -1.0 for n in names] for x, _ in rows])
+    bias = target.mean(0)
+    solved = np.linalg.solve(phi.T @ phi + language.RIDGE * len(rows) / 100 * np.eye(phi.shape[1]), phi.T @ (target - bias))
+    texts = [t for _, t in sample[::7]]
+    ends = np.cumsum([0, *map(len, texts)])
+    k = model.of_texts(np.frombuffer(b"".join(texts), np.uint8), ends)
+    plain = np.array([[kernel(grams(t), m) for m in marks] for t in texts])
+    assert np.allclose(k, plain, atol=1e-6)
+    assert np.allclose(k @ model.weights + model.bias, plain @ root @ solved + bias, atol=1e-3)
+    assert [names[i] for i in model.probabilities(k).argmax(1)] == [x for x, _ in sample[::7]]
+
+
 def test_language_of_very_long_texts(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     model = language.learn(docs)
