@@ -61,7 +61,7 @@ def src02(spark, d):
     value = F.concat(F.lit('{"type":"'), "role", F.lit('","sessionId":"s-'), c, F.lit('","cwd":"/work/x","message":'), F.to_json(F.struct(F.col("text").alias("content"))), F.lit("}"))
     name = F.concat(F.when(F.col("conv_id") % 6 == 0, F.lit("subagents-")).otherwise(F.lit("talk-")), c)
     root = _files(_talk(spark, d), name, "turn", value, _folder(spark))
-    lines = transcripts.read_lines(spark, root, "*.txt", skip="/file=subagents-")
+    lines = transcripts.read_log(spark, root, "*.txt", skip="/file=subagents-")
     return transcripts.parse_lines(lines).select("session_id", "role", "text")
 
 

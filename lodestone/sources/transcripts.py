@@ -41,6 +41,18 @@ def read_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl", skip: s
     return files.select("path", "mtime_ms", "sha", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
 
 
+def read_log(spark: SparkSession, root: str, pattern: str = "*.jsonl", skip: str = r"/subagents/") -> DataFrame:
+    """(path, line_no, mtime_ms, value): as ``read_lines``, for logs whose lines stand alone.
+
+    Files are read in splits and by the line, so that no row holds a file; lines are numbered by
+    where their split begins and their order in it. There is no hash of the whole file.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"), "value")
+    line = F.row_number().over(Window.partitionBy("path").orderBy("at", "nth")) - 1
+    return rows.where(~F.col("path").rlike(skip)).select("path", line.alias("line_no"), "mtime_ms", "value")
+
+
 def clean_line_text(x: Column) -> Column:
     """Message text without injected parts; short rests and error notices become empty."""
     s = F.coalesce(x, F.lit(""))

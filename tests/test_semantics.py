@@ -208,3 +208,14 @@ def test_saves_are_seen_whole_or_not_at_all(spark, tmp_path):
     assert versions.current(spark, root) == first and versions.load(spark, root, "b", second).count() == 3
     with pytest.raises(ValueError, match="no version"):
         versions.roll_back(spark, root, "gone")
+
+
+def test_logs_by_line_equal_whole_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.jsonl").write_text("\n".join(json.dumps({"n": i, "k": k, "pad": "x" * (k % 400)}) for k in range(900 * i + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = sorted(map(tuple, transcripts.read_log(spark, str(tmp_path)).select("path", "line_no", "value").collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(map(tuple, transcripts.read_lines(spark, str(tmp_path)).select("path", "line_no", "value").collect()))
