@@ -376,3 +376,12 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+
+
+_SQL_LUHN = "list_sum(list_transform(range(length({d})), lambda i: CASE WHEN i % 2 = 0 THEN CAST(reverse({d})[i + 1] AS INTEGER) ELSE (2 * CAST(reverse({d})[i + 1] AS INTEGER)) % 10 + (2 * CAST(reverse({d})[i + 1] AS INTEGER)) // 10 END)) % 10 = 0"
+_SQL_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+#: The counts of base spans alone, for DuckDB.
+BASE_SQL = rf"""SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+ CAST(len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(p, 3) AS INTEGER) > 255)) = 0)) AS BIGINT) AS n_ip,
+ CAST(len(list_filter(list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: {_SQL_DIGITS}), lambda x: length(x) BETWEEN 13 AND 19 AND {_SQL_LUHN.format(d="x")})) AS BIGINT) AS n_card,
+ CAST(len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length({_SQL_DIGITS}) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""

@@ -52,6 +52,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op 9 that SQL can say."""
+    return op9_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op 6 that SQL can say."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_pieces": op2_pieces,
@@ -63,5 +73,7 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "quality_base": quality_base,
+    "pii_base": pii_base,
 }
-ORACLES: dict[str, str] = {"op8_embedding_dedup": embedding_dedup.SQL}
+ORACLES: dict[str, str] = {"op3_substring_dedup": substring_dedup.SQL, "op8_embedding_dedup": embedding_dedup.SQL, "quality_base": quality.BASE_SQL, "pii_base": pii.BASE_SQL}

@@ -412,3 +412,16 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     changed = {"n_chars": F.when(~F.col("__null"), F.length("text"))} if "n_chars" in docs.columns else {}
     return restored(rows.mapInArrow(run, kind), docs, **changed)
+
+
+#: What ``digests`` returns, by every window of every text, for DuckDB.
+SQL = """WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(encode(text), ''::BLOB) AS b FROM documents),
+ windows AS (SELECT r, i, b[i + 1:i + 200] AS w FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS i FROM texts WHERE octet_length(b) >= 200)),
+ twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+ starts AS (SELECT r, i, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) > 200 AS new FROM windows SEMI JOIN twice USING (w)),
+ spans AS (SELECT r, min(i) AS a, max(i) + 200 AS e FROM (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS n FROM starts) GROUP BY r, n),
+ stays AS (SELECT r, a AS place, b[coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) + 1:a] AS piece FROM spans JOIN texts USING (r) UNION ALL SELECT r, 1000000000, b[max(e) + 1:octet_length(b)] FROM spans JOIN texts USING (r) GROUP BY r, b),
+ kept AS (SELECT r, string_agg(hex(piece), '' ORDER BY place) AS h FROM stays GROUP BY r),
+ sums AS (SELECT r, sum(e - a) AS n, count(*) AS k FROM spans GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(CASE WHEN h IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM texts LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)"""

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from lodestone.llm import embedding_dedup, language, packing, pieces, pii, quality, simhash, substring_dedup, suffix, token_files, tokens, toxicity
+from lodestone.llm import queries as corpus
 from lodestone.llm.common import numbered, table
 from pyspark.sql import functions as F
 
@@ -398,15 +399,6 @@ def test_cells_apart_are_not_paired(spark):
     assert n >= 16 and near < 0.4 * n * (n + 1) / 2
 
 
-def test_embedding_sql(spark):
-    import duckdb
-
-    duckdb.sql("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
-    want = duckdb.sql(embedding_dedup.SQL).fetchall()
-    got = embedding_dedup.near_duplicates(table(spark, "/root/testdata/sf0.01", "embeddings"))
-    assert listed(got) == sorted(want, key=str)
-
-
 def test_embedding_odd_rows(spark):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (None, [1.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [float("nan"), 1.0], 1), (6, [1.0, None], 1), (7, [1.0, 0.0], None), (8, [1.0, 0.0, 0.0], 1), (9, [], 1), (10, [1.0, 0.0], 2), (None, [0.0, 1.0], 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
@@ -603,3 +595,14 @@ def test_very_long_texts(spark, ids):
     index = toxicity.learn(known, labels)
     scores = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame([(1, long + " scum" * 9000), (2, long)], df.schema), index).collect()}
     assert scores[1] > 0.9 > scores[2]
+
+
+@pytest.mark.parametrize("name", sorted(corpus.ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.01"
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    found = con.sql(corpus.ORACLES[name])
+    assert listed(corpus.QUERIES[name](spark, sf).select(*found.columns)) == sorted(found.fetchall(), key=str)
