@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,9 +105,13 @@ def fn48(spark, d):
     return pages.clean(view(spark, d, "QA"), ["tags"]).select("id", "question", F.size("tags").cast("long").alias("n"))
 
 
-@query("JN14_resolve_project", "SELECT 'src3' AS project")
+_LOOKUPS = [("src3", "/x"), ("nowhere", "/work/src3"), ("nowhere", "/none"), ("src4", "/work/src5"), ("root", "/work/src1")]
+
+
+@query("JN14_resolve_project", f"SELECT slug, cwd, (SELECT arg_min(project, CASE WHEN project = slug THEN '0' ELSE '1' END || project) FROM sessions WHERE project = slug OR project_raw = cwd) AS project FROM (VALUES {', '.join(map(repr, _LOOKUPS))}) AS t(slug, cwd)", "SESSIONS")
 def jn14(spark, d):
-    return merge.resolve_project(view(spark, d, "SESSIONS"), "nowhere", "/work/src3")
+    found = [merge.resolve_project(view(spark, d, "SESSIONS"), *x).select(F.lit(x[0]).alias("slug"), F.lit(x[1]).alias("cwd"), "project") for x in _LOOKUPS]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("JN15_proposals", "SELECT m.id, CASE WHEN t.id IS NULL THEN 'null' ELSE t.status END AS before FROM mem m LEFT JOIN mem t ON t.id = m.supersedes WHERE m.supersedes IS NOT NULL AND CASE WHEN t.id IS NULL THEN 'null' ELSE t.status END <> m.status", "MEM")
@@ -136,10 +142,11 @@ def lnt17(spark, d):
     return lint.human(lint.expired(_mem(spark, d), NOW)).select("line")
 
 
-@query("LNT15_corrupt_index", "SELECT 'corrupt-index' AS \"check\", 'qa' AS layer, 'not JSON' AS detail")
+@query("LNT15_corrupt_index", "SELECT 'corrupt-index' AS \"check\", id AS layer, CASE seq % 5 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'unknown version' WHEN 3 THEN 'entries is not an object' END AS detail FROM mem WHERE seq % 5 IN (1, 2, 3)", "MEM")
 def lnt15(spark, d):
-    states = spark.createDataFrame([("memory", '{"version":1,"entries":{}}'), ("qa", "{"), ("entity", None)], "layer string, value string")
-    rows = states.select("layer", stores.load_state(F.col("value")).alias("s")).select("layer", "s.*")
+    r, entry = F.col("seq") % 5, F.concat(F.lit('{"a":'), F.to_json(F.struct("id", "title")), F.lit("}"))
+    document = F.when(r == 0, F.concat(F.lit('{"version":1,"entries":'), entry, F.lit("}"))).when(r == 1, F.concat(F.lit('{"version":1,"entries":'), entry)).when(r == 2, F.concat(F.lit('{"version":2,"entries":'), entry, F.lit("}"))).when(r == 3, F.concat(F.lit('{"version":1,"entries":['), entry, F.lit("]}")))
+    rows = _mem(spark, d).select(F.col("id").alias("layer"), stores.load_state(document).alias("s")).select("layer", "s.*")
     return lint.corrupt(rows).select("check", "layer", "detail")
 
 

@@ -352,6 +352,24 @@ def evd06(spark, d):
     return evidence.shell_evidence(spark.createDataFrame([(c, ok) for c, ok, _ in _COMMANDS], "command string, ok boolean")).select("command", "ok", "mutation")
 
 
+#: Shell texts around a number n, whether each changes files, and the text for DuckDB.
+_MADE = [
+    ("git commit -m 'turn {n}'", True), ("git commit --dry-run -m 'turn {n}'", False), ("cd /w/{n} && git -C a commit -F note{n}", True), ("git --odd{n} commit -m x", False),
+    ("cat > f{n} <<'E'\nline {n}\nE", True), ("cat f{n} 2> g", False), ("sed -i 's/a/{n}/' f", True), ("sed 's/a/{n}/' f", False), ("python3 -c \"open('f{n}', 'w')\"", True), ("python3 -c \"if {n}: open('f', 'w')\"", False),
+    ("echo \"$(a {n} \"(\")\"; git commit -m {n}", True), ("echo {n} | git commit -F -", False), ("false || git commit -m {n}", False),
+]
+
+
+@query("EVD07_made_commands", f"SELECT conv_id, turn, CASE turn % {len(_MADE)} " + " ".join(f"WHEN {i} THEN {str(m).lower()}" for i, (_, m) in enumerate(_MADE)) + " END AS mutation FROM conversations")
+def evd07(spark, d):
+    n = F.concat(F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    text = F.lit(None).cast("string")
+    for i, (made, _) in enumerate(_MADE):
+        text = F.when(F.col("turn") % len(_MADE) == i, F.replace(F.lit(made), F.lit("{n}"), n)).otherwise(text)
+    rows = _talk(spark, d).select("conv_id", "turn", text.alias("command"), F.lit(True).alias("ok"))
+    return rows.join(evidence.shell_evidence(rows), ["command", "ok"]).select("conv_id", "turn", "mutation")
+
+
 @query("EVD01_05_gate", "SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id % 4 = 0 OR conv_id % 4 = 1 AS block FROM (SELECT DISTINCT conv_id FROM conversations)")
 def evd05(spark, d):
     c = F.col("conv_id") % 4
