@@ -53,11 +53,12 @@ def plan(memory: DataFrame, now: str, usage: DataFrame | None = None, sessions:
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         chosen: dict[str, str] = {}
         for r in pdf.sort_values(["seq_a", "seq_b"]).itertuples():
-            if not r.winner_gone and r.winner not in chosen and r.may_go:
+            if r.winner not in chosen:
                 chosen[r.loser] = f"near-duplicate-of:{r.winner}"
         return pd.DataFrame({"id": pd.Series(list(chosen), dtype=object), "near": pd.Series(list(chosen.values()), dtype=object)})
 
-    near = rows.groupBy("block").applyInPandas(fold, "id string, near string")
+    # the other pairs decide nothing
+    near = rows.where("may_go and not winner_gone").groupBy("block").applyInPandas(fold, "id string, near string")
     return rules.join(near, "id", "full").select("id", F.coalesce("near", "reason").alias("reason"))
 
 
