@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestone.llm import embedding_dedup, language, packing, pieces, pii, quality, simhash, substring_dedup, suffix, token_files, tokens, toxicity
+from lodestone.llm import embedding_dedup, language, near_copies, packing, pieces, pii, quality, simhash, substring_dedup, suffix, token_files, tokens, toxicity
 from lodestone.llm import queries as corpus
 from lodestone.llm.common import numbered, table
 from pyspark.sql import functions as F
@@ -606,3 +606,20 @@ def test_queries_equal_their_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.sql(corpus.ORACLES[name])
     assert listed(corpus.QUERIES[name](spark, sf).select(*found.columns)) == sorted(found.fetchall(), key=str)
+
+
+def test_one_key_on_half_the_rows(spark):
+    """A text, a passage and a vector that half of all rows share."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, passage if i % 2 else " ".join(word() for _ in range(40)) + (f" {passage}" if i % 4 == 0 else "")) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_duplicates(df).collect()}
+    assert {found[i] for i in range(1, 1200, 2)} == {(format(plain_fingerprint(passage), "016x"), 1)}
+    removed = {x.doc_id: x.n_removed for x in substring_dedup.digests(df).collect()}
+    assert all(removed[i] == len(passage) for i in range(1, 1200, 2)) and all(removed[i] >= len(passage) for i in range(0, 1200, 4)) and not any(removed[i] for i in range(2, 1200, 4))
+    assert sorted(x.doc_id for x in near_copies.kept_documents(df).select("doc_id").collect()) == sorted([1, *range(0, 1200, 2)])
+    vectors = spark.createDataFrame([(i, [1.0, 2.0, 3.0] if i % 2 else [float(i), 1.0, -float(i)], 1) for i in range(400)], "vec_id long, embedding array<double>, label int")
+    links = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_duplicates(vectors).collect()}
+    assert {links[i] for i in range(1, 400, 2)} == {(199, 1)}
