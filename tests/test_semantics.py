@@ -219,3 +219,13 @@ def test_logs_by_line_equal_whole_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == sorted(map(tuple, transcripts.read_lines(spark, str(tmp_path)).select("path", "line_no", "value").collect()))
+
+
+def test_alike_ids_and_equal_rows(spark):
+    ids = spark.range(4000).select(F.concat(F.lit("session-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("session_id"))
+    cited = ids.where("substr(session_id, -1) = '7'").union(ids.limit(3).select(F.concat("session_id", F.lit("-more")))).union(ids.limit(1).select(F.lit("session-0000")))
+    assert merge.known_sessions(cited, ids).count() == cited.distinct().count()
+    assert merge.known_sessions(ids.select(F.concat(F.lit("x-"), "session_id").alias("session_id")), ids).count() == 0
+    rows = memory(spark, *[dict(id=f"r{i:03}", title="the same words again and again", seq=i) for i in range(60)], dict(id="z", title="other things", seq=60))
+    got = similarity.near_duplicate_pairs(rows, 0.8).select("a", "b", "similarity", "seq_a", "seq_b").collect()
+    assert len(got) == 60 * 59 // 2 and all(r.a < r.b and r.similarity == 1.0 and r.seq_a < r.seq_b for r in got)
