@@ -36,7 +36,7 @@ def text_of(x: Column | str) -> Column:
 
 def tokens(x: Column) -> Column:
     """Distinct lower-case word tokens of more than one character."""
-    return F.array_distinct(F.filter(F.split(F.lower(x), "[^a-z0-9_]+"), lambda t: F.length(t) > 1))
+    return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9_]{2,}"), F.lit(0)))
 
 
 def finite(x: Column, default: float = 0.0) -> Column:

@@ -18,13 +18,13 @@ def near_duplicate_pairs(memory: DataFrame, threshold: float = 0.8, statuses: tu
     """
     rows = memory.where(F.col("status").isin(*statuses) & F.col("id").isNotNull())
     block = F.xxhash64("type", "scope", F.coalesce("project", F.lit("_global")), F.col("project").isNull())
-    words = F.array_sort(fn.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))))
+    words = F.sort_array(fn.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))))
     rows = rows.select("id", "seq", block.alias("block"), words.alias("words"))
     members = rows.select("id", "seq", "block", F.sha2(F.array_join("words", " ").cast("binary"), 256).alias("kind"), "words")
     kinds = members.groupBy("block", "kind").agg(F.first("words").alias("words")).where("size(words) > 0")
     each = kinds.select("block", "kind", F.size("words").alias("n"), F.explode("words").alias("word"))
     rarity = each.groupBy("block", "word").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, ["block", "word"]).groupBy("block", "kind", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("ranked"))
+    ranked = each.join(rarity, ["block", "word"]).groupBy("block", "kind", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"))
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
     keyed = ranked.select("block", "kind", "n", F.explode(F.slice("ranked", F.lit(1), prefix)).alias("word")).select("block", "kind", "n", "word.word")
     a, b = keyed.alias("a"), keyed.alias("b")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import spread
+
 NOW = "2026-06-12"
 
 _TYPE = "CASE {d} % 4 WHEN 0 THEN 'semantic' WHEN 1 THEN 'episodic' WHEN 2 THEN 'procedural' ELSE 'core' END"
@@ -120,5 +122,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         for word in (f"FROM {t}", f"JOIN {t}"):
             if word in sql:
                 sql = sql.replace(word, word.replace(t, f"{{{t}}}"))
-                used[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+                path = f"{sf_dir}/{t}.parquet"
+                used[t] = spread(spark, path, "doc_id") if t == "documents" else spark.read.parquet(path)
     return spark.sql(sql, **used)
