@@ -212,7 +212,7 @@ def _pivots(kinds: DataFrame, sizes: DataFrame, cell_bytes: int) -> dict[tuple,
     if not wanted:
         return {}
     size = {(x[0], x[1]): x[2] for x in large}
-    share = kinds.sparkSession.createDataFrame([(*k, min(1.0, 4 * n / size[k])) for k, n in wanted.items()], kinds.select("label", "width", F.lit(0.0).alias("share")).schema)
+    share = kinds.sparkSession.createDataFrame([(*k, min(1.0, 2 * n / size[k])) for k, n in wanted.items()], kinds.select("label", "width", F.lit(0.0).alias("share")).schema)
     picked = F.pmod(F.xxhash64("h1", F.lit(1)), F.lit(1_000_000)) < F.col("share") * 1e6
     found: dict[tuple, list] = {}
     for r in kinds.join(F.broadcast(share), ["label", "width"]).where(picked).select("label", "width", "h1", "v").collect():

@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import spread
 from . import embedding_dedup, language, packing, pieces, pii, quality, simhash, substring_dedup, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scored(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digests(table(spark, sf_dir, "documents"))
+    return pieces.digests(_documents(spark, sf_dir))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,15 +34,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(_documents(spark, sf_dir))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(_documents(spark, sf_dir))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "documents"))
+    return language.identify(_documents(spark, sf_dir))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +50,11 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.rules(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
