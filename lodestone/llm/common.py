@@ -190,6 +190,67 @@ def expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits stirred."""
+    h = h ^ (h >> np.uint64(32))
+    h *= M2
+    return h ^ (h >> np.uint64(29))
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64; kept for the next call."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        inverse = np.uint64(pow(int(M1), -1, 1 << 64))
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (M1, inverse)]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+#: Bytes of a key filter at most; past some 22 million keys it lets more others through.
+FILTER_BYTES = 32 << 20
+
+
+def key_filter(keys: DataFrame) -> tuple[int, bytes | None]:
+    """A Bloom filter of the column ``key``: log2 of its bits, and a bitmap with three bits for each key (without a key none)."""
+    n = keys.count()
+    if not n:
+        return 0, None
+    log = min(max(16, (12 * n - 1).bit_length()), (8 * FILTER_BYTES).bit_length() - 1)
+    parts = 1 << max(0, log - 20)  # parts of 2^20 bits, made by different tasks
+    bits = F.array(*[F.shiftrightunsigned("key", i * 18).bitwiseAND(F.lit((1 << log) - 1)) for i in range(3)])
+    spots = keys.select(F.explode(bits).alias("bit")).select(F.shiftright("bit", min(log, 20)).cast("int").alias("part"), F.col("bit").bitwiseAND(F.lit((1 << min(log, 20)) - 1)).cast("int").alias("bit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, bit = np.asarray(batch.column("part")), np.asarray(batch.column("bit"))
+            for p in np.unique(part).tolist():
+                maps.setdefault(p, np.zeros(1 << min(log, 20), np.uint8))[bit[part == p]] = 1
+        if maps:
+            yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m, bitorder="little").tobytes() for m in maps.values()])], names=["part", "bits"])
+
+    found = {r.part: bytes(r.bits) for r in spots.repartition(min(parts, 64), "part").mapInArrow(run, "part int, bits binary").collect()}
+    empty = bytes((1 << min(log, 20)) // 8)
+    return log, b"".join(found.get(p, empty) for p in range(parts))
+
+
+def in_filter(bloom: tuple[int, bytes | None], key: np.ndarray) -> np.ndarray:
+    """Which keys a filter holds, and perhaps some more."""
+    log, raw = bloom
+    if raw is None:
+        return np.zeros(len(key), bool)
+    bits, kept = np.frombuffer(raw, np.uint8), np.ones(len(key), bool)
+    for i in range(3):
+        bit = (key >> np.uint64(18 * i)) & np.uint64((1 << log) - 1)
+        kept &= (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return kept
+
+
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (each the smallest index of its set) after the links a-b are added."""
     while len(a):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import spread
-from . import embedding_dedup, language, packing, pieces, pii, quality, simhash, substring_dedup, token_files, toxicity
+from . import debruijn, embedding_dedup, fill_in_middle, language, packing, pieces, pii, quality, resampling, simhash, substring_dedup, token_files, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(_documents(spark, sf_dir))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digests(table(spark, sf_dir, "documents"))
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op 9 that SQL can say."""
     return op9_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -78,7 +90,10 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_resampling": op12_resampling,
+    "op13_debruijn_dedup": op13_debruijn_dedup,
     "quality_base": quality_base,
     "pii_base": pii_base,
 }
-ORACLES: dict[str, str] = {"op3_substring_dedup": substring_dedup.SQL, "op8_embedding_dedup": embedding_dedup.SQL, "quality_base": quality.BASE_SQL, "pii_base": pii.BASE_SQL}
+ORACLES: dict[str, str] = {"op3_substring_dedup": substring_dedup.SQL, "op8_embedding_dedup": embedding_dedup.SQL, "op11_fill_in_middle": fill_in_middle.SQL, "op12_resampling": resampling.SQL, "op13_debruijn_dedup": debruijn.SQL, "quality_base": quality.BASE_SQL, "pii_base": pii.BASE_SQL}

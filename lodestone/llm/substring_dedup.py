@@ -8,7 +8,7 @@ document with the same least hash form one fragment (some 280 bytes), keyed by t
 1. The rows get numbers and are written once, in buckets of that number, so that no later step
    shuffles texts. Fragments are counted by key.
 2. Keys seen once hold no repeat (a fragment in which its gram occurs again counts twice). The
-   others go into a Bloom filter of bounded size (``BLOOM_BYTES``), which lets most other
+   others go into a Bloom filter of bounded size (``FILTER_BYTES``), which lets most other
    fragments go before they are written; past that size it lets more through, and exact counts
    drop them.
 3. Equal fragments become one kind with a count. Where all kinds of a key are counted twice, all
@@ -41,14 +41,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RID, discard, expand, numbered, record, release_memory, restored, slices, texts, utf8, written
+from .common import M1, M2, RID, discard, expand, in_filter, key_filter, mix, numbered, powers, record, release_memory, restored, slices, texts, utf8, written
 from .suffix import common_prefixes, suffix_array
 
 LENGTH = 200
 #: Bytes of the grams that key windows, level by level; the last is a whole window.
 GRAMS = (32, 128, 200)
 SHARD_BYTES = 2 << 20
-BLOOM_BYTES = 32 << 20
 #: Different contents of a key above which its windows are keyed by longer grams.
 HOT = 2048
 #: The columns of placed fragments: pos is start << 16 | windows.
@@ -58,24 +57,15 @@ _SEPARATOR = 255  # in no UTF-8 text, and stays 255 when 1 is added to the other
 
 #: Bits of a position in its gram's order.
 _PLACE = np.uint64((1 << 24) - 1)
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h *= _M2
-    return h ^ (h >> np.uint64(29))
-
-
 def _grams(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the ``size`` bytes at each position; size is a multiple of 8."""
     n = len(data) - size + 1
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
     h = np.full(n, np.uint64(size), np.uint64)
     for j in range(0, size, 8):
-        h = (h ^ words[j : j + n]) * _M1
+        h = (h ^ words[j : j + n]) * M1
         h ^= h >> np.uint64(31)
-    return _mix(h)
+    return mix(h)
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -101,23 +91,12 @@ def least_hashes(data: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0], b
     return chosen, first != last
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number and of its inverse, modulo 2^64; kept for the next call."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        inverse = np.uint64(pow(int(_M1), -1, 1 << 64))
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (_M1, inverse)]
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def _contents(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each range of at least 8 bytes: differences of a running polynomial of mixed 8-byte words."""
-    digits = _mix(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel() * _M1)
-    power, inverse = _powers(len(digits))
+    digits = mix(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel() * M1)
+    power, inverse = powers(len(digits))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digits * power, dtype=np.uint64)))
-    return _mix((total[start + size - 7] - total[start]) * inverse[start] ^ size.astype(np.uint64) * _M2)
+    return mix((total[start + size - 7] - total[start]) * inverse[start] ^ size.astype(np.uint64) * M2)
 
 
 def fragments_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0], both: bool = False, within: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -149,30 +128,6 @@ def fragments_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0], b
     return chosen[start], start, size, found[start + size] > found[start]
 
 
-def _bloom(keys: DataFrame) -> tuple[int, bytes | None]:
-    """(log2 of the bits, a bitmap with three bits for each key); without a key no bitmap."""
-    n = keys.count()
-    if not n:
-        return 0, None
-    log = min(max(16, (12 * n - 1).bit_length()), (8 * BLOOM_BYTES).bit_length() - 1)
-    parts = 1 << max(0, log - 20)  # parts of 2^20 bits, made by different tasks
-    bits = F.array(*[F.shiftrightunsigned("key", i * 18).bitwiseAND(F.lit((1 << log) - 1)) for i in range(3)])
-    spots = keys.select(F.explode(bits).alias("bit")).select(F.shiftright("bit", min(log, 20)).cast("int").alias("part"), F.col("bit").bitwiseAND(F.lit((1 << min(log, 20)) - 1)).cast("int").alias("bit"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps: dict[int, np.ndarray] = {}
-        for batch in batches:
-            part, bit = np.asarray(batch.column("part")), np.asarray(batch.column("bit"))
-            for p in np.unique(part).tolist():
-                maps.setdefault(p, np.zeros(1 << min(log, 20), np.uint8))[bit[part == p]] = 1
-        if maps:
-            yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([np.packbits(m, bitorder="little").tobytes() for m in maps.values()])], names=["part", "bits"])
-
-    found = {r.part: bytes(r.bits) for r in spots.repartition(min(parts, 64), "part").mapInArrow(run, "part int, bits binary").collect()}
-    empty = bytes((1 << min(log, 20)) // 8)
-    return log, b"".join(found.get(p, empty) for p in range(parts))
-
-
 def _fragments(dealt: DataFrame, length: int, bloom: tuple[int, bytes | None] | None = None) -> DataFrame:
     """The fragments of all texts: their keys (twice that of one that may repeat itself), or, with a filter, those in it with their places."""
     full = bloom is not None
@@ -180,8 +135,6 @@ def _fragments(dealt: DataFrame, length: int, bloom: tuple[int, bytes | None] |
     kind = _PLACED if full else pa.schema([("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log, raw = shared.value or (0, None)
-        bits = np.frombuffer(raw, np.uint8) if raw else None
         for batch in slices(batches, "text", 1 << 17):  # whose arrays stay in a core's cache
             data, ends = utf8(batch.column("text"))
             raw, ends = data[ends[0] : ends[-1]], ends - ends[0]
@@ -197,12 +150,7 @@ def _fragments(dealt: DataFrame, length: int, bloom: tuple[int, bytes | None] |
             if not full:
                 yield record(kind, [np.append(key, key[twice]).view(np.int64)])
                 continue
-            if bits is None:
-                continue
-            kept = np.ones(len(key), bool)
-            for i in range(3):
-                bit = (key >> np.uint64(18 * i)) & np.uint64((1 << log) - 1)
-                kept &= (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            kept = in_filter(shared.value, key)
             key, start, size, twice = key[kept], start[kept], size[kept], twice[kept]
             if len(key):
                 owner = np.searchsorted(ends, start, side="right") - 1
@@ -328,7 +276,7 @@ def _ranges(shards: DataFrame, length: int) -> DataFrame:
 def removals(dealt: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, spans): for each row with repeated windows their ranges of window starts, start << 16 | length, in order."""
     keys = written(_fragments(dealt, length).groupBy("key").agg(F.count("*").alias("seen")).where("seen > 1").select("key"), "keys")
-    found = written(_fragments(dealt, length, _bloom(keys)), "fragments")
+    found = written(_fragments(dealt, length, key_filter(keys)), "fragments")
     discard(keys)
     places, solved = [], []
     for gram in [*GRAMS[1:], None]:
