@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..sources.scratch import written
 from .merge import stale_provenance, with_usage
-from .similarity import near_duplicate_pairs
+from .similarity import classes, kinds, pairs_of
 
 
 def rule_reasons(memory: DataFrame, now: str, usage: DataFrame | None = None, sessions: DataFrame | None = None, episodic_days: int = 90, unused_days: int = 60, unused_importance: float = 2.0) -> DataFrame:
@@ -32,33 +32,101 @@ def rule_reasons(memory: DataFrame, now: str, usage: DataFrame | None = None, se
     return rows.select("id", reason.alias("reason")).where("reason is not null")
 
 
+def running(rows: DataFrame, group: str, order: list[Column], **values: Column) -> DataFrame:
+    """``rows`` with, for each of ``values``, its maximum over the rows before in the order of their group (nulls are left out).
+
+    Rows are sorted in ranges, so that a group of any size is dealt to many tasks; what the ranges
+    before hold of a group is a table of one row for each range and group.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    at = rows.withColumns({f"__{k}": v for k, v in values.items()}).repartitionByRange(n, F.col(group), *order)
+    at = written(at.withColumn("__part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy("__part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = at.withColumns({f"__in_{k}": F.max(f"__{k}").over(before) for k in values})
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = at.groupBy(group, "__part").agg(*[F.max(f"__{k}").alias(k) for k in values])
+    parts = parts.select(group, "__part", *[F.max(k).over(earlier).alias(f"__by_{k}") for k in values])
+    return inside.join(parts, [group, "__part"]).select(*rows.columns, *[F.greatest(f"__in_{k}", f"__by_{k}").alias(k) for k in values])
+
+
+def _cliques(rows: DataFrame) -> DataFrame:
+    """(id, winner) of rows (group, id, seq, importance, ms, may_go, gone) whose groups hold nothing but near-duplicates of one another.
+
+    The pairs of such a group need not be made. Let the best row be the one of most importance, then
+    the newest, then of the largest id; a row that a rule archives wins no pair, and a pinned row
+    loses none. In the order of their rows, pairs before the best row remove all that precedes it
+    and every later row falls to it. So the last pair that a row loses is with the last better row,
+    if the best one comes after it, and else with the best; pinned rows stay to the end and count
+    wherever they lie, and a pinned row before has removed whatever it is better than by then.
+    """
+    better = [F.col("importance").desc(), F.col("ms").desc(), F.col("id").desc()]
+    worth = F.struct("importance", "ms", "id")
+    place = F.struct("seq", "id")
+    wins, stays = ~F.col("gone"), ~F.col("may_go")
+    rows = running(rows, "group", better, loose=F.when(wins & ~stays, place), pinned=F.when(wins & stays, place))
+    rows = written(running(rows, "group", [F.col("seq")], held=F.when(wins & stays, F.struct("importance", "ms", "id", "loose"))), "placed")
+    best = rows.where(wins).groupBy("group").agg(F.max_by(place, worth).alias("best"), F.max(worth).alias("worth"))
+    rows = rows.where("may_go").join(best, "group").where(F.col("worth") > worth)
+    above = F.when(F.struct("held.importance", "held.ms", "held.id") > worth, F.col("held.loose")).otherwise(F.col("loose"))
+    winner = F.when(F.col("best.seq") > F.col("seq"), F.greatest(above, "pinned")).otherwise(F.greatest("pinned", "best"))
+    return rows.select("id", winner["id"].alias("winner"))
+
+
+def _rounds(pairs: DataFrame) -> DataFrame:
+    """(id, winner) after pairs (loser, winner, at) in the order ``at``: one counts unless its winner has lost a pair that counts before.
+
+    Rounds decide all pairs side by side: one falls if its winner has lost an earlier pair that
+    counts, and counts if no earlier undecided pair could still remove its winner. The first
+    undecided pair is decided in each round, so the rounds end; each is a written table.
+    """
+    open_pairs = written(pairs, "pairs")
+    counted = None
+    while not open_pairs.isEmpty():
+        may = open_pairs.groupBy(F.col("loser").alias("winner")).agg(F.min("at").alias("may"))
+        rows = open_pairs.join(may, "winner", "left")
+        if counted is None:
+            rows = rows.withColumn("lost", F.lit(None).cast(open_pairs.schema["at"].dataType))
+        else:
+            rows = rows.join(counted.groupBy(F.col("loser").alias("winner")).agg(F.min("at").alias("lost")), "winner", "left")
+        falls = F.col("lost") < F.col("at")
+        counts = ~F.coalesce(falls, F.lit(False)) & F.coalesce(F.col("may") > F.col("at"), F.lit(True))
+        rows = written(rows.select("loser", "winner", "at", F.when(falls, F.lit(False)).when(counts, F.lit(True)).alias("counts")), "pairs")
+        done = rows.where("counts").drop("counts")
+        open_pairs, counted = rows.where("counts is null").drop("counts"), done if counted is None else counted.unionByName(done)
+    if counted is None:
+        return pairs.select(F.col("loser").alias("id"), "winner").limit(0)
+    return counted.groupBy(F.col("loser").alias("id")).agg(F.max_by("winner", "at").alias("winner"))
+
+
 def plan(memory: DataFrame, now: str, usage: DataFrame | None = None, sessions: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
     """(id, reason): rules, then near-duplicates, of which the less important or older row goes.
 
     A pair counts only while its winner stays, so pairs are decided in the order of their rows.
-    That order binds pairs of one block only: each block with pairs is folded on its own.
+    Groups in which all rows are near-duplicates of one another, copies above all, need no pairs;
+    the pairs of other groups, and of groups with a row without a date, are decided in rounds.
     """
-    rules = rule_reasons(memory, now, usage, sessions)
-    pairs = near_duplicate_pairs(memory, threshold, ("active", "pinned"))
+    rules = written(rule_reasons(memory, now, usage, sessions), "rules")
+    members, links = kinds(memory, threshold, ("active", "pinned"))
+    members, links = written(members, "members"), written(links, "kind-links")
     about = memory.select("id", F.when(~F.isnan("importance"), F.col("importance")).alias("importance"), fn.epoch_ms(F.col("updated_at")).alias("ms"), (~fn.holds(F.col("type") == "core") & ~fn.holds(F.col("status").isin("pinned", "archived"))).alias("may_go"))
-    side = lambda x: about.select(F.col("id").alias(x), F.struct("importance", "ms", "may_go").alias(f"of_{x}")).join(rules.select(F.col("id").alias(x), F.lit(True).alias(f"gone_{x}")), x, "left")
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    rows = rows.select("block", "a", "b", "seq_a", "seq_b", *[F.col(f"of_{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("importance", "ms", "may_go")], *[F.coalesce(f"gone_{x}", F.lit(False)).alias(f"gone_{x}") for x in "ab"])
-    rows = rows.where("importance_a is not null and importance_b is not null and (importance_a <> importance_b or (ms_a is not null and ms_b is not null))")
-    lower = F.when(F.col("importance_a") != F.col("importance_b"), F.col("importance_a") < F.col("importance_b")).otherwise(F.col("ms_a") <= F.col("ms_b"))
-    rows = rows.withColumn("a_loses", lower)
-    pick = lambda yes, no: F.when(F.col("a_loses"), F.col(yes)).otherwise(F.col(no))
-    rows = rows.select("block", "seq_a", "seq_b", pick("a", "b").alias("loser"), pick("b", "a").alias("winner"), pick("may_go_a", "may_go_b").alias("may_go"), pick("gone_b", "gone_a").alias("winner_gone"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: dict[str, str] = {}
-        for r in pdf.sort_values(["seq_a", "seq_b"]).itertuples():
-            if r.winner not in chosen:
-                chosen[r.loser] = f"near-duplicate-of:{r.winner}"
-        return pd.DataFrame({"id": pd.Series(list(chosen), dtype=object), "near": pd.Series(list(chosen.values()), dtype=object)})
-
-    # the other pairs decide nothing
-    near = rows.where("may_go and not winner_gone").groupBy("block").applyInPandas(fold, "id string, near string")
+    about = about.where("importance is not null").join(rules.select("id", F.lit(True).alias("gone")), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    group = classes(members, links).select("kind", F.col("class").alias("group"), (F.col("links") == F.col("kinds") * (F.col("kinds") - 1) / 2).alias("whole"))
+    rows = written(members.join(group, "kind").join(about, "id"), "grouped")
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"), F.bool_and("whole").alias("whole"), F.bool_and(F.col("ms").isNotNull()).alias("dated"), F.bool_or("may_go").alias("may")).where("n > 1 and may")
+    sizes = written(sizes.select("group", (F.col("whole") & F.col("dated")).alias("whole")), "groups")
+    rows = written(rows.drop("whole").join(sizes, "group"), "grouped")
+    found = _cliques(rows.where("whole").select("group", "id", "seq", "importance", "ms", "may_go", "gone"))
+    rest = rows.where("not whole")
+    if not rest.isEmpty():
+        side = lambda x: rest.select(F.col("id").alias(x), F.struct("importance", "ms", "may_go", "gone").alias(f"of_{x}"))
+        met = pairs_of(rest.select("id", "seq", "block", "kind"), links).join(side("a"), "a").join(side("b"), "b")
+        a, b = F.col("of_a"), F.col("of_b")
+        met = met.where((a["importance"] != b["importance"]) | (a["ms"].isNotNull() & b["ms"].isNotNull()))
+        a_loses = F.when(a["importance"] != b["importance"], a["importance"] < b["importance"]).otherwise(a["ms"] <= b["ms"])
+        pick = lambda yes, no: F.when(a_loses, yes).otherwise(no)
+        met = met.where(pick(a["may_go"], b["may_go"]) & ~pick(b["gone"], a["gone"]))
+        found = found.unionByName(_rounds(met.select(pick(F.col("a"), F.col("b")).alias("loser"), pick(F.col("b"), F.col("a")).alias("winner"), F.struct("seq_a", "seq_b").alias("at"))))
+    near = found.select("id", F.concat(F.lit("near-duplicate-of:"), "winner").alias("near"))
     return rules.join(near, "id", "full").select("id", F.coalesce("near", "reason").alias("reason"))
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
 from ..operators.ranking import Query as Asked
 from ..sources import stores, transcripts, versions
+from ..sources.scratch import fresh_path
 from .proxies import NOW, view, with_views
 from .queries import _ELIG, _PARTS, ASKED, Query, _lambdas
 from .queries import ORACLES as BASE
@@ -36,13 +34,8 @@ def _mem(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all machines share; a local one in local mode only, where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        at = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    return f"{at.rstrip('/')}/lodestone-files/{uuid.uuid4().hex}"
+    """A new folder that all machines share; it goes when the driver ends."""
+    return fresh_path(spark, "files")
 
 
 def _files(rows: DataFrame, name: Column, order: str, value: Column, folder: str) -> str:

@@ -123,5 +123,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             if word in sql:
                 sql = sql.replace(word, word.replace(t, f"{{{t}}}"))
                 path = f"{sf_dir}/{t}.parquet"
-                used[t] = spread(spark, path, "doc_id") if t == "documents" else spark.read.parquet(path)
+                used[t] = spread(spark, path) if t == "documents" else spark.read.parquet(path)
     return spark.sql(sql, **used)

@@ -157,7 +157,7 @@ _LINES = "string_split(text, chr(10))"
 @query("SNK04_shortened", f"""SELECT doc_id, CASE WHEN {_BYTES} <= 20480 THEN text WHEN len({_LINES}) <= 50 THEN substr(text, 1, 4000) || chr(10) || chr(10) || '[... truncated: ' || {_KB} || ' KB total, showing first 4000 + last 1000 chars ...]' || chr(10) || chr(10) || right(text, 1000)
  ELSE array_to_string({_LINES}[:30], chr(10)) || chr(10) || chr(10) || '[... truncated: ' || {_KB} || ' KB output, omitting ' || (len({_LINES}) - 40) || ' middle lines ...]' || chr(10) || chr(10) || array_to_string({_LINES}[-10:], chr(10)) END AS shown FROM documents""")
 def snk04(spark, d):
-    return spread(spark, f"{d}/documents.parquet", "doc_id").select("doc_id", fn.shortened(F.col("text")).alias("shown"))
+    return spread(spark, f"{d}/documents.parquet").select("doc_id", fn.shortened(F.col("text")).alias("shown"))
 
 
 @query("SNK05_yaml", "SELECT id, CASE WHEN regexp_full_match(title, '[A-Za-z0-9_\\x{4E00}-\\x{9FFF}\\x{3000}-\\x{303F} -]+') AND title = trim(title, ' ') THEN title ELSE '''' || replace(title, '''', '''''') || '''' END AS quoted FROM mem", "MEM")
