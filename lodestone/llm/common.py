@@ -1,4 +1,4 @@
-"""Shared pieces of the corpus operators: Arrow text access, shared tables, graph components.
+"""Shared pieces of the corpus operators: Arrow text access, hashes and filters, samples.
 
 Nothing here knows a particular operator. Python code runs only inside ``mapInArrow``;
 every joined, grouped or deduplicated set stays a DataFrame.
@@ -6,13 +6,9 @@ every joined, grouped or deduplicated set stays a DataFrame.
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
-from weakref import WeakKeyDictionary
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import bucketed, components, discard, fresh_path, settled, shared_dir, written  # noqa: F401  for the operators
+
 #: Texts are handled in slices of about this many bytes, so that a worker's arrays stay small.
 SLICE_BYTES = 4 << 20
 
@@ -28,69 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``; where it is unset, in local mode only, a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        app = spark.sparkContext.applicationId
-        at = _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='lodestone-')}")
-    return at.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def _at_exit(spark: SparkSession, work: Callable[[], object]) -> None:
-    def run() -> None:
-        if spark.sparkContext._jsc is not None:
-            work()
-
-    atexit.register(run)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    _at_exit(spark, lambda: _delete(spark, path))
-    return path
-
-
-_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes ``written`` tables that nothing reads any more."""
-    for t in tables:
-        _delete(t.sparkSession, _PATHS.pop(t))
-
-
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder in buckets of ``key``, as many as shuffle partitions: joins by the key don't deal it out again."""
-    spark = df.sparkSession
-    path, n = fresh_path(spark, name), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    view = f"lodestone_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).option("compression", "zstd").saveAsTable(view)
-    _at_exit(spark, lambda: spark.sql(f"drop table if exists {view}"))
-    return spark.table(view)
-
-
 #: The number of a row in a ``numbered`` table.
 RID = "__rid"
 
@@ -266,29 +201,3 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 break
             label = up
     return label
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of links (u, v): one row (node, root) for each linked node, root the smallest node.
-
-    Large-star and small-star steps alternate until nothing changes. A node's smallest
-    neighbour is a pre-aggregated minimum; its neighbours are dealt out again by a join,
-    which can be split, so that a hub needs no single task. Each step is a written table.
-    Nulls are ignored; an empty input gives an empty result.
-    """
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        before, edges = edges, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        discard(before)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
-    node = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return node.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

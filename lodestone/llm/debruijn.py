@@ -8,9 +8,10 @@ without its last to the words without its first.
    shuffles texts. The windows of a document in a row that share their least ``GRAM``-word hash
    form a fragment (some five windows); fragments are counted by that key, and keys of a single
    document go: exactly, after a bounded Bloom filter has spared most of them from being written.
-2. Equal fragments become one kind with its first place and last document. A key with one kind
-   gives one compound edge; the windows of other kinds become edges of their own. Equal edges
-   meet in a pre-aggregated minimum; those of a single document go.
+2. Equal fragments become one kind with its first and last document. A key with one kind gives
+   one compound edge, read where it first stands in its first document; the windows of other kinds
+   become edges of their own. Equal edges meet in a pre-aggregated minimum; those of a single
+   document go.
 3. Edges and the counts of edges that end and start at their nodes are joined: a path runs on
    where one edge ends and one starts. An edge's first place is the colour of a path, and edges of
    one colour lie in a row in the first document, so paths are compacted along its coordinates.
@@ -40,7 +41,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RID, discard, expand, key_filter, in_filter, mix, numbered, powers, record, restored, slices, texts, written
@@ -93,12 +94,17 @@ def _runs(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def gram_windows(window: int, gram: int = GRAM) -> int:
+    """How many windows in a row one gram can serve."""
+    return window - gram + 1
+
+
 def fragments_of(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, first window, windows, content) of the fragments of some texts: windows in a row of one text with the same least gram."""
     n = len(words.hash) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams, width = _runs(words.hash, gram), window - gram + 1
+    grams, width = _runs(words.hash, gram), gram_windows(window, gram)
     least = grams[:n].copy()
     for j in range(1, width):
         np.minimum(least, grams[j : j + n], out=least)
@@ -129,14 +135,11 @@ def _keys(dealt: DataFrame, window: int) -> DataFrame:
     return dealt.select("doc", "text").mapInArrow(run, "key long, doc long")
 
 
-#: pos is the place of a fragment's first window in its text, windows how many it has.
-_FRAGMENT = "key long, content long, doc long, rid long, pos long, windows int"
-
-
 def _found(dealt: DataFrame, keys: DataFrame, window: int) -> DataFrame:
-    """The fragments whose key may be in ``keys``."""
+    """The fragments whose key may be in ``keys``; place is that of the first window in its text, times 256, plus the number of windows."""
     shared = dealt.sparkSession.sparkContext.broadcast(key_filter(keys))
-    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64()), ("windows", pa.int32())])
+    names = ("key", "content", "doc", "rid", "place")
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -145,45 +148,64 @@ def _found(dealt: DataFrame, keys: DataFrame, window: int) -> DataFrame:
             kept = np.flatnonzero(in_filter(shared.value, key))
             if len(kept):
                 at = words.owner[start[kept]]
-                yield record(schema, [key[kept].view(np.int64), content[kept].view(np.int64), np.asarray(batch.column("doc"))[at], np.asarray(batch.column(RID))[at], words.place[start[kept]], size[kept].astype(np.int32)])
+                yield record(schema, [key[kept].view(np.int64), content[kept].view(np.int64), np.asarray(batch.column("doc"))[at], np.asarray(batch.column(RID))[at], words.place[start[kept]] << 8 | size[kept]])
 
-    return dealt.select("doc", RID, "text").mapInArrow(run, _FRAGMENT)
+    return dealt.select("doc", RID, "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _kinds(found: DataFrame) -> DataFrame:
-    """Each different fragment of a key of several documents: its first place (doc, rid, pos), its last document, and whether its key has others."""
-    kinds = written(found.groupBy("key", "content").agg(F.min(F.struct("doc", "rid", "pos", "windows")).alias("at"), F.max("doc").alias("last")), "kinds")
-    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("at.doc").alias("least"), F.max("last").alias("most")).where("least < most")
-    keys = written(keys.select("key", (F.col("kinds") > 1).alias("several")), "keys")
-    out = written(kinds.join(keys, "key").select("key", "content", "at.*", "last", "several"), "kinds")
-    discard(kinds, keys)
+    """Each different fragment of a key of several documents: its first document, a row of that, its last document, and whether its key has others."""
+    kinds = written(found.groupBy("key", "content").agg(F.min_by("rid", "doc").alias("rid"), F.min("doc").alias("doc"), F.max("doc").alias("last")), "kinds")
+    keys = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("doc").alias("least"), F.max("last").alias("most")).where("least < most")
+    out = written(kinds.join(keys.select("key", (F.col("kinds") > 1).alias("several")), "key"), "kinds")
+    discard(kinds)
     return out
 
 
-def _cut(kinds: DataFrame, dealt: DataFrame, window: int) -> DataFrame:
-    """The edges of each kind, read from its first place: one compound edge, or one for each window where its key has several kinds.
+_EDGE = ("key", "content", "edge", "u", "v", "doc", "last", "rid", "pos")
 
-    Columns: key, edge (its hash), u and v (hashes of its two nodes), content, doc, rid, pos, step (edge's place in the kind), windows, last.
+
+def _edges(kinds: DataFrame, dealt: DataFrame, window: int, known: tuple[int, bytes | None] | None) -> DataFrame:
+    """The edges of each kind, read where it first stands in its row: one for each window, or a compound one where its key has no other kind.
+
+    With a filter: those of its windows' edges that it holds, and all compound ones. Columns: key,
+    content, edge (its hash), u and v (hashes of its two nodes), doc, last, rid, pos, step (the
+    edge's place in the kind), windows, several (it is a window of a key with other kinds).
     """
-    wanted = kinds.groupBy(F.col("rid").alias(RID)).agg(F.collect_list(F.struct("key", "content", "doc", "pos", "windows", "last", "several")).alias("cuts"))
-    names = ("key", "edge", "u", "v", "content", "doc", "rid", "pos", "last")
-    schema = pa.schema([*[(n, pa.int64()) for n in names], ("step", pa.int32()), ("windows", pa.int32())])
+    wanted = kinds.groupBy(F.col("rid").alias(RID)).agg(F.collect_list(F.struct("key", "content", "doc", "last", "several")).alias("cuts"))  # as many as the row has windows, at most
+    shared = dealt.sparkSession.sparkContext.broadcast(known)
+    schema = pa.schema([*[(n, pa.int64()) for n in _EDGE], ("step", pa.int32()), ("windows", pa.int32()), ("several", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             words = Words(texts(batch))
             cuts = batch.column("cuts")
-            c = {x.name: np.asarray(cuts.flatten().field(x.name)) if x.name != "several" else cuts.flatten().field(x.name).to_numpy(zero_copy_only=False) for x in cuts.type.value_type}
+            flat = cuts.flatten()
+            key, content, doc, last = (np.asarray(flat.field(n)) for n in ("key", "content", "doc", "last"))
+            several = flat.field("several").to_numpy(zero_copy_only=False)
             text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(cuts))
+            at, size = _first_places(words, window, text, key, content)
+            one, step = expand(np.where(several, size, 1))
+            size, several, at = np.where(several, 1, size)[one], several[one], at[one] + step
             nodes, edges = _runs(words.hash, window - 1), _runs(words.hash, window)
-            one, step = expand(np.where(c["several"], c["windows"], 1))
-            at = words.first[text[one]] + c["pos"][one] + step
-            size = np.where(c["several"], 1, c["windows"])[one]
-            edge = np.where(c["several"][one], edges[at].view(np.int64), c["content"][one])
-            rid = np.asarray(batch.column(RID))[text[one]]
-            yield record(schema, [c["key"][one], edge, nodes[at].view(np.int64), nodes[at + size].view(np.int64), c["content"][one], c["doc"][one], rid, c["pos"][one] + step, c["last"][one], step.astype(np.int32), size.astype(np.int32)])
+            edge = np.where(several, edges[at].view(np.int64), content[one])
+            columns = [key[one], content[one], edge, nodes[at].view(np.int64), nodes[at + size].view(np.int64), doc[one], last[one], np.asarray(batch.column(RID))[text[one]], words.place[at], step.astype(np.int32), size.astype(np.int32), several]
+            if shared.value is not None:
+                kept = ~several | in_filter(shared.value, edge.view(np.uint64))
+                columns = [c[kept] for c in columns]
+            yield record(schema, columns)
+
+    kind = ", ".join(f"{n} long" for n in _EDGE) + ", step int, windows int, several boolean"
+    return dealt.select(RID, "text").join(wanted, RID).select(RID, "text", "cuts").mapInArrow(run, kind)
 
-    return dealt.select(RID, "text").join(wanted, RID).select(RID, "text", "cuts").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", step int, windows int")
+
+def _first_places(words: Words, window: int, text: np.ndarray, key: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first window and the number of windows of the fragments (text, key, content)."""
+    k, start, size, c = fragments_of(words, window)
+    some = np.flatnonzero(np.isin(k.view(np.int64), key))[::-1]  # the first place of equal fragments is put in last
+    known = dict(zip(zip(words.owner[start[some]].tolist(), k[some].view(np.int64).tolist(), c[some].view(np.int64).tolist(), strict=True), some.tolist(), strict=True))
+    at = np.array([known[x] for x in zip(text.tolist(), key.tolist(), content.tolist(), strict=True)], np.int64)
+    return start[at], size[at]
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -201,26 +223,32 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 
 def graph(dealt: DataFrame, kinds: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The edges of all kinds, and the distinct ones of several documents with the path of each."""
-    cut = written(_cut(kinds, dealt, window), "edges")
-    edges = cut.groupBy("key", "edge").agg(F.min(F.struct("doc", "rid", "pos")).alias("at"), F.max("last").alias("last"), *[F.min(n).alias(n) for n in ("u", "v", "windows")])
-    edges = edges.where("at.doc < last").select("key", "edge", "u", "v", "windows", "at.*")
-    return cut, written(compacted(edges), "paths")
+    """The edges of several documents, kind by kind, and once each with the source and the path they lie on."""
+    alike = _edges(kinds.where("several"), dealt, window, None).groupBy("key", "edge").agg(F.min("doc").alias("least"), F.max("last").alias("most"))
+    shared = written(alike.where("least < most").select("key", "edge", "least"), "shared-edges")
+    rows = _edges(kinds, dealt, window, key_filter(shared.select(F.col("edge").alias("key"))))
+    cut = written(rows.join(shared, ["key", "edge"], "left").where("not several or least is not null").drop("last"), "edges")
+    discard(shared)
+    first = cut.where("not several or doc = least").groupBy("key", "edge", "several").agg(F.min(F.struct("doc", "rid", "pos")).alias("at"), *[F.min(n).alias(n) for n in ("u", "v", "windows")])
+    return cut, written(compacted(first.select("key", "edge", "several", "u", "v", "windows", "at.*")), "paths")
 
 
 def _stretches(cut: DataFrame, paths: DataFrame) -> DataFrame:
-    """(key, content, source document, source, path, shift, a, b): the windows a to b of a kind lie on a path, ``shift`` words on in its source."""
-    on = paths.select("key", "edge", F.col("doc").alias("source_doc"), F.col("rid").alias("source"), "path", F.col("pos").alias("there"))
-    rows = cut.select("key", "edge", "content", "step", "windows").join(on, ["key", "edge"])
+    """(key, content, source_doc, source, path, shift, a, b): the windows a to b - 1 of a kind lie on a path, ``shift`` words on in its source."""
+    on = paths.select("key", "edge", "several", "windows", F.col("doc").alias("source_doc"), F.col("rid").alias("source"), "path", F.col("pos").alias("there"))
+    rows = cut.where("several").select("key", "edge", "content", "step").join(on.where("several"), ["key", "edge"])
     shift = F.col("there") - F.col("step")
     # two windows of a kind on one shift of a source enclose words that are the source's own: so are the windows between them
-    return rows.groupBy("key", "content", "source_doc", "source", "path", shift.alias("shift")).agg(F.min("step").alias("a"), F.max(F.col("step") + F.col("windows")).alias("b"))
+    split = rows.groupBy("key", "content", "source_doc", "source", "path", shift.alias("shift")).agg(F.min("step").alias("a"), (F.max("step") + 1).alias("b"))
+    whole = on.where("not several").select("key", F.col("edge").alias("content"), "source_doc", "source", "path", F.col("there").alias("shift"), F.lit(0).alias("a"), F.col("windows").alias("b"))
+    return split.unionByName(whole)
 
 
 def _spans(found: DataFrame, stretches: DataFrame) -> DataFrame:
     """(rid, source, shift, a, b): the words a to b - 1 + window of a row are those ``shift`` words on in the source, an earlier document."""
     rows = found.join(stretches, ["key", "content"]).where("source_doc < doc")
-    rows = rows.select("rid", "source", "path", (F.col("shift") - F.col("pos")).alias("shift"), (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"))
+    pos = F.shiftright("place", 8)
+    rows = rows.select("rid", "source", "path", (F.col("shift") - pos).alias("shift"), (pos + F.col("a")).alias("a"), (pos + F.col("b")).alias("b"))
     same = Window.partitionBy("rid", "source", "path", "shift").orderBy("a", "b")
     past = F.max("b").over(same.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("new", F.when(past >= F.col("a"), 0).otherwise(1)).withColumn("nth", F.sum("new").over(same))
@@ -259,17 +287,16 @@ def _verified(spans: DataFrame, dealt: DataFrame, window: int) -> DataFrame:
 
     read = written(dealt.select(RID, "text").join(wanted, RID).select(RID, "text", "points").mapInArrow(run, "source long, point long, one long, two long"), "fingerprints")
 
-    def at(place: Column, name: str) -> tuple[DataFrame, list[Column]]:
-        return read.select("source", F.col("point").alias(name), F.struct("one", "two").alias(f"f_{name}")), ["source", name]
-
     rows = spans.withColumn("before", F.col("a") + F.col("shift")).withColumn("after", F.col("b") + F.col("shift") + window - 1)
     for name in ("before", "after"):
-        rows = rows.join(*at(F.col(name), name))
+        rows = rows.join(read.select("source", F.col("point").alias(name), F.struct("one", "two").alias(f"f_{name}")), ["source", name])
     return rows
 
 
 def removals(dealt: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, spans): for each row with repeated windows their ranges of words (a, b) with what must be their fingerprints."""
+    if not 0 < gram_windows(window) < 256:
+        raise ValueError(f"a window has {GRAM} to {GRAM + 254} words")
     keys = written(_keys(dealt, window).groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("key"), "keys")
     found = written(_found(dealt, keys, window), "fragments")
     discard(keys)

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark, f"{sf_dir}/documents.parquet", "doc_id")
+    return spread(spark, f"{sf_dir}/documents.parquet")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
