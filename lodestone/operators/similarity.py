@@ -44,7 +44,7 @@ def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] =
     words = F.sort_array(fn.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))))
     rows = rows.select("id", "seq", block.alias("block"), words.alias("words"))
     members = rows.withColumn("kind", F.sha2(F.concat_ws("\n", "block", F.array_join("words", " ")).cast("binary"), 256)).where(F.size("words") > 0)
-    own = members.groupBy("block", "kind").agg(F.first("words").alias("words"))
+    own = written(members.groupBy("block", "kind").agg(F.first("words").alias("words")), "kind-words")
     each = own.select("block", "kind", F.size("words").alias("n"), F.explode("words").alias("word"))
     rarity = each.groupBy("block", "word").agg(F.count("*").alias("df"))
     flips = [F.bit_xor(F.expr(f"if(pmod(xxhash64(word), {MAPS}) = {i}, shiftleft(1L, cast(pmod(xxhash64(word) div {MAPS}, 64) as int)), 0L)")).alias(f"map{i}") for i in range(MAPS)]

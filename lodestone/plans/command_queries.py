@@ -13,8 +13,6 @@ from .proxies import NOW, view, with_views
 from .queries import _ELIG, _PARTS, ASKED, Query, _lambdas
 from .queries import ORACLES as BASE
 from .session_queries import _KEPT, _TEXT, _documents, _talk
-from .session_queries import ORACLES as SESSION_ORACLES
-from .session_queries import QUERIES as SESSION_QUERIES
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -154,8 +152,6 @@ QUERIES["RNK14_overview"] = lambda spark, d: api.overview(_mem(spark, d), Asked(
 ORACLES["RNK14_overview"] = BASE["PRM02_primer_text"]
 QUERIES["RNK14_with_words"] = lambda spark, d: api.overview(_mem(spark, d), Asked("the", "src2", NOW))
 ORACLES["RNK14_with_words"] = "SELECT '' AS primer"
-QUERIES["API10_retro_gate"] = SESSION_QUERIES["EVD01_05_gate"]
-ORACLES["API10_retro_gate"] = SESSION_ORACLES["EVD01_05_gate"]
 
 
 @query("API11_entity_query", "SELECT id, kind FROM entity WHERE kind = 'api' AND (scope = 'global' OR scope = 'project:src2')", "ENTITY")

@@ -339,18 +339,36 @@ def src36(spark, d):
 
 
 # Evidence -------------------------------------------------------------------------------
+#: Shell texts around a number n, whether they succeeded, and whether they surely changed files.
 _COMMANDS = [
-    ("git commit -m 'a b'", True, True), ("git commit --dry-run -m x", True, False), ("cd x && git commit -m x", True, True), ("cd x && git commit -m x; ls", True, False),
-    ("cat > f.txt <<EOF\nhi\nEOF\n", True, True), ("cat > /dev/null", True, False), ("echo hi | cat > f", True, False), ("sed -i s/a/b/ f", True, True), ("sed s/a/b/ f", True, False),
-    ("python3 -c \"open('f', 'w').write('x')\"", True, True), ("python3 - <<'E'\nfrom pathlib import Path\nPath('f').write_text('x')\nE\n", True, True), ("python3 -c \"def f():\n  open('f','w')\"", True, False),
-    ("if true; then git commit -m x; fi", True, False), ("git commit -m x &", True, False), ("false || git commit -m x", True, False), ("exit 0; git commit -m x", True, False), ("git commit -m x", False, True), ("ls; git commit -m x", False, False), ("", True, False),
-    ("git commit -m --help", True, True), ("git commit -m x -- --dry-run", True, True), ("git --verbose commit -m x", True, False), ("git -C commit", True, False), ("echo \"$(a \"b (c\")\"; git commit -m x", True, True), ("echo $(a (b)); git commit -m x", True, True), ("git commit -m $(date)", True, False), ("sed -i -z s/a/b/ f", True, False), ("cat f 2>g", True, False),
+    ("git commit -m 'a {n}'", True, True), ("git commit --dry-run -m x{n}", True, False), ("cd x{n} && git commit -m x", True, True), ("cd x && git commit -m x{n}; ls", True, False),
+    ("cat > f{n}.txt <<EOF\nhi\nEOF\n", True, True), ("cat {n} > /dev/null", True, False), ("echo {n} | cat > f", True, False), ("sed -i s/a/{n}/ f", True, True), ("sed s/a/{n}/ f", True, False),
+    ("python3 -c \"open('f{n}', 'w').write('x')\"", True, True), ("python3 - <<'E'\nfrom pathlib import Path\nPath('f{n}').write_text('x')\nE\n", True, True), ("python3 -c \"def f{n}():\n  open('f','w')\"", True, False),
+    ("if test {n}; then git commit -m x; fi", True, False), ("git commit -m {n} &", True, False), ("false || git commit -m {n}", True, False), ("exit {n}; git commit -m x", True, False), ("git commit -m {n}", False, True), ("ls {n}; git commit -m x", False, False), ("echo {n}", True, False),
+    ("git commit -m --help -F {n}", True, True), ("git commit -m {n} -- --dry-run", True, True), ("git --verbose commit -m {n}", True, False), ("git -C commit{n}", True, False), ("echo \"$(a \"b {n}(c\")\"; git commit -m x", True, True), ("echo $(a (b {n})); git commit -m x", True, True), ("git commit -m $(date {n})", True, False), ("sed -i -z s/a/{n}/ f", True, False), ("cat f{n} 2>g", True, False),
+    ("A={n}\ncat > f", True, True), ("set -euo pipefail\ncat >> f{n}", True, True), ("set -o vi; cat > f{n}", True, False), ("make {n} && cat > f && git commit -m x", True, True), ("make {n} && cat > f | tee g", True, False), ("make {n} || true; make && git commit -m x;", True, True), ("python3 - <<E\nopen('$f{n}', 'w')\nE", True, False), ("python3 -c \"with open('{n}', mode='a') as f: pass\"", True, True),
+    ("sed -i '' -e s/a/{n}/ f", True, True), ("sed -i -- s/a/{n}/ f", True, False), ("cat > 'f{n}", True, False), ("f{n}() { cat > x; }", True, False), ("exec make {n}; cat > f", True, False), ("git -C /w{n} --no-pager commit -am x", True, True), ("cat {n} >&2", True, False), ("# {n}\ngit commit -m x", True, True), ("cat > f{n} && ls", False, True), ("python{n} -c \"open('f', 'w')\"", True, False),
 ]
 
 
-@query("EVD06_08_shell", "SELECT * FROM (VALUES " + ", ".join(f"('{c.replace(chr(39), chr(39) * 2)}', {str(ok).lower()}, {str(m).lower()})" for c, ok, m in _COMMANDS) + ") AS t(command, ok, mutation)")
+def _made(spark, d: str, shapes: list[tuple[str, bool, bool]]) -> DataFrame:
+    """(conv_id, turn, command, ok): a shell text for each row of the conversations, the shapes in turn."""
+    n = F.concat(F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    text, ok = F.lit(None).cast("string"), F.lit(True)
+    at = (F.col("conv_id") + F.col("turn")) % len(shapes)
+    for i, (made, good, _) in enumerate(shapes):
+        text, ok = F.when(at == i, F.replace(F.lit(made), F.lit("{n}"), n)).otherwise(text), F.when(at == i, F.lit(good)).otherwise(ok)
+    return _talk(spark, d).select("conv_id", "turn", text.alias("command"), ok.alias("ok"))
+
+
+def _known(shapes: list[tuple[str, bool, bool]]) -> str:
+    return f"CASE (conv_id + turn) % {len(shapes)} " + " ".join(f"WHEN {i} THEN {str(m).lower()}" for i, (*_, m) in enumerate(shapes)) + " END"
+
+
+@query("EVD06_08_shell", f"SELECT conv_id, turn, {_known(_COMMANDS)} AS mutation FROM conversations")
 def evd06(spark, d):
-    return evidence.shell_evidence(spark.createDataFrame([(c, ok) for c, ok, _ in _COMMANDS], "command string, ok boolean")).select("command", "ok", "mutation")
+    rows = _made(spark, d, _COMMANDS)
+    return rows.join(evidence.shell_evidence(rows), ["command", "ok"]).select("conv_id", "turn", "mutation")
 
 
 #: Shell texts around a number n, whether each changes files, and the text for DuckDB.
@@ -371,13 +389,69 @@ def evd07(spark, d):
     return rows.join(evidence.shell_evidence(rows), ["command", "ok"]).select("conv_id", "turn", "mutation")
 
 
-@query("EVD01_05_gate", "SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id % 4 = 0 OR conv_id % 4 = 1 AS block FROM (SELECT DISTINCT conv_id FROM conversations)")
-def evd05(spark, d):
-    c = F.col("conv_id") % 4
-    none, no = F.lit(None), F.lit(False)
-    row = lambda idx, kind, **of: F.struct(F.lit(idx).alias("idx"), F.lit(kind).alias("kind"), *[of.get(n, none).cast(t).alias(n) for n, t in (("call_id", "string"), ("name", "string"), ("command", "string"), ("skill", "string"), ("error", "boolean"), ("interrupted", "boolean"), ("denied", "boolean"), ("output", "string"), ("committed", "boolean"), ("exit_code", "int"), ("background", "boolean"))])
-    one, two = F.lit("1"), F.lit("2")
-    name = F.when(c == 1, "Bash").otherwise("Edit")
-    rows = F.array(row(0, "call", call_id=F.lit("0"), name=F.lit("Edit")), row(1, "result", call_id=F.lit("0"), error=no), row(2, "user"), row(3, "call", call_id=one, name=name, command=F.lit("git commit -m x")), row(4, "result", call_id=one, error=c == 3, exit_code=F.lit(0)), row(5, "call", call_id=two, name=F.when(c == 2, "Skill").otherwise("Read"), skill=F.lit("x:x-retro")), row(6, "result", call_id=two, error=no))
+#: What a session did after its last request (call and result, by name of the field), and whether the gate blocks.
+_REPORT = '{"paths":["m.md"],"written":1,"superseded":0}'
+_TURNS: list[tuple[dict, dict, bool]] = [
+    ({"name": "Edit"}, {"error": False}, True),
+    ({"name": "Bash", "command": "git commit -m x"}, {"error": False, "exit_code": 0}, True),
+    ({"name": "Skill", "skill": "x:x-retro"}, {"error": False}, False),
+    ({"name": "Edit"}, {"error": True}, False),
+    ({"name": "Bash", "command": "git commit -m x"}, {"error": False, "exit_code": 1}, True),
+    ({"name": "Bash", "command": "make; git commit -m x"}, {"error": False, "exit_code": 1}, False),
+    ({"name": "Write"}, {"error": False, "denied": True}, False),
+    ({"name": "Write"}, {"error": True, "output": "The user doesn't want to proceed"}, False),
+    ({"name": "Bash", "command": "git commit -m x", "background": True}, {"error": False}, False),
+    ({"name": "Bash", "command": "git commit -m x", "background": True}, {"error": False, "exit_code": 0}, True),
+    ({"name": "Bash", "command": "make", "committed": True}, {"error": False, "committed": True}, True),
+    ({"name": "Read"}, {"error": False}, False),
+    ({"name": "NotebookEdit"}, {"error": False, "interrupted": True}, False),
+    ({"name": "MultiEdit"}, {"error": False}, True),
+]
+#: What it did besides a file that it changed; the gate stays open where that is a capture, or one that was refused.
+_BESIDES: list[tuple[dict, dict, bool]] = [
+    ({"name": "Read"}, {"error": False}, True),
+    ({"name": "Bash", "command": "lodestone memory-write --input x"}, {"error": False, "exit_code": 0, "output": _REPORT}, False),
+    ({"name": "Bash", "command": "lodestone memory-write --input x"}, {"error": False, "exit_code": 0, "output": '{"paths":["m.md"],"written":0,"superseded":0}'}, True),
+    ({"name": "Bash", "command": "lodestone memory-write --input x"}, {"error": False, "exit_code": 0, "output": "done"}, True),
+    ({"name": "Bash", "command": "echo lodestone memory-write"}, {"error": False, "exit_code": 0, "output": _REPORT}, True),
+    ({"name": "Bash", "command": "lodestone memory-propose --input x"}, {"error": False, "exit_code": 0, "output": '{"paths":["p.md"],"proposed":1,"targetKeys":["k"],"proposedEntryIds":["e"]}'}, False),
+    ({"name": "Bash", "command": "lodestone memory-propose --input x"}, {"error": False, "exit_code": 0, "output": '{"paths":["p.md"],"proposed":1,"targetKeys":[""],"proposedEntryIds":["e"]}'}, True),
+    ({"name": "Bash", "command": "lodestone memory-write --input x"}, {"error": True, "denied": True}, False),
+    ({"name": "Skill", "skill": "a-retro"}, {"error": False}, False),
+    ({"name": "Skill", "skill": "a-retro"}, {"error": True}, True),
+    ({"name": "Skill", "skill": "a-retro"}, {"interrupted": True}, False),
+    ({"name": "Skill", "skill": "retro-x"}, {"error": False}, True),
+]
+_ROW = {"call_id": "string", "name": "string", "command": "string", "skill": "string", "error": "boolean", "interrupted": "boolean", "denied": "boolean", "output": "string", "committed": "boolean", "exit_code": "int", "background": "boolean"}
+
+
+def _gated(spark, d: str, turns: list[tuple[dict, dict, bool]], more: tuple[dict, dict] | None = None) -> DataFrame:
+    """Rows of a session for each conversation: an edit, a request, and then one of ``turns`` (and ``more``)."""
+
+    def row(idx: int, kind: str, of: dict):
+        return F.struct(F.lit(idx).alias("idx"), F.lit(kind).alias("kind"), *[F.lit(of.get(n)).cast(t).alias(n) for n, t in _ROW.items()])
+
+    def calls(at: int, turn: tuple[dict, dict]):
+        return [row(at, "call", {"call_id": str(at), **turn[0]}), row(at + 1, "result", {"call_id": str(at), **turn[1]})]
+
+    before = [*calls(0, ({"name": "Edit"}, {"error": False})), row(2, "user", {})]
+    rows = None
+    for i, (call, result, _) in enumerate(turns):
+        one = F.array(*before, *calls(3, (call, result)), *(calls(5, more) if more else []))
+        rows = one if rows is None else F.when(F.col("conv_id") % len(turns) == i, one).otherwise(rows)
     talk = _talk(spark, d).select("conv_id").distinct()
     return evidence.decide(talk.select(F.col("conv_id").cast("string").alias("session_id"), F.inline(rows)))
+
+
+def _blocks(turns: list[tuple[dict, dict, bool]]) -> str:
+    return f"SELECT CAST(conv_id AS VARCHAR) AS session_id, CASE conv_id % {len(turns)} " + " ".join(f"WHEN {i} THEN {str(b).lower()}" for i, (*_, b) in enumerate(turns)) + " END AS block FROM (SELECT DISTINCT conv_id FROM conversations)"
+
+
+@query("EVD01_05_gate", _blocks(_TURNS))
+def evd05(spark, d):
+    return _gated(spark, d, _TURNS)
+
+
+@query("API10_retro_gate", _blocks(_BESIDES))
+def api10(spark, d):
+    return _gated(spark, d, _BESIDES, ({"name": "Edit"}, {"error": False}))
