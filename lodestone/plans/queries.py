@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import aggregates, archive, evaluate, lint, merge, primer, ranking, similarity
+from ..sources.scratch import written
 from ..sources.tables import spread
 from .proxies import NOW, view, with_views
 
@@ -416,11 +417,10 @@ FROM cases c LEFT JOIN (SELECT query_id, count(*) AS n FROM gold GROUP BY 1) g U
 def _cases(spark, d):
     queries, mem = view(spark, d, "QUERIES"), _mem(spark, d)
     answers = ranking.batch_top(mem, queries, NOW).select(F.col("query_id").alias("case_id"), "id", "place", (F.col("keyword_hits") > 0).alias("content_hit"))
-    whole = F.concat_ws(" ", "title", "summary")
-    gold = evaluate.containing(mem.select("id", whole.alias("whole")), F.col("whole"), queries.select("query_id", "q")).groupBy("query_id").agg(F.collect_list("id").alias("gold"))
-    empty = F.array().cast("array<string>")
-    cases = queries.join(gold, "query_id", "left").select(F.col("query_id").alias("case_id"), F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"), F.coalesce("gold", empty).alias("gold"), empty.alias("excluded"), F.col("gold").isNull().alias("abstain"))
-    return evaluate.case_results(cases, answers)
+    gold = written(evaluate.containing(mem, ["id"], F.concat_ws(" ", "title", "summary"), queries.select(F.col("query_id").alias("case_id"), "q")).select("case_id", "id"), "gold")
+    abstain = queries.select(F.col("query_id").alias("case_id")).join(gold.select("case_id").distinct(), "case_id", "left_anti").withColumn("abstain", F.lit(True))
+    cases = queries.select(F.col("query_id").alias("case_id"), F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category")).join(abstain, "case_id", "left").withColumn("abstain", F.coalesce("abstain", F.lit(False)))
+    return evaluate.case_results(cases, answers, gold, gold.limit(0))
 
 
 @_raw("AGG12_eval_cases", _EVAL)

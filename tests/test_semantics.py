@@ -99,12 +99,14 @@ def test_primer_text(spark):
 
 
 def test_evaluation_leaves_abstention_out_of_means(spark):
-    cases = spark.createDataFrame([("1", "m", ["a"], ["x"], False), ("2", "m", [], [], True), ("3", "m", ["a", "z"], ["b"], False)], "case_id string, category string, gold array<string>, excluded array<string>, abstain boolean")
+    cases = spark.createDataFrame([("1", "m", False), ("2", "m", True), ("3", "m", False)], "case_id string, category string, abstain boolean")
+    gold = spark.createDataFrame([("1", "a"), ("3", "a"), ("3", "z")], "case_id string, id string")
+    excluded = spark.createDataFrame([("1", "x"), ("3", "b")], "case_id string, id string")
     answers = spark.createDataFrame([("1", "c", 1, True), ("1", "a", 2, True), ("2", "q", 1, False), ("3", "a", 1, True), ("3", "b", 2, True)], "case_id string, id string, place int, content_hit boolean")
-    got = {r.case_id: r for r in case_results(cases, answers).collect()}
+    got = {r.case_id: r for r in case_results(cases, answers, gold, excluded).collect()}
     assert (got["1"].recall, got["1"].precision, got["1"].mrr, got["1"].passed) == (1, 0.5, 0.5, True)
     assert got["2"].passed and not got["3"].exclusion_ok and not got["3"].passed and got["3"].recall == 0.5
-    r = report(case_results(cases, answers)).first()
+    r = report(case_results(cases, answers, gold, excluded)).first()
     assert (r.cases, r.passed, r.scored, r.mean_recall, r.abstention_accuracy) == (3, 2, 2, 0.75, 1)
 
 
