@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -155,34 +156,68 @@ def score_entities(rows: DataFrame, q: Query) -> DataFrame:
     return score_named(rows, q, ["title", "aliases", "related_entities"], "name")
 
 
-def batch_top(memory: DataFrame, queries: DataFrame, now: str, k: int = 5) -> DataFrame:
-    """The k best rows for each of many queries (query_id, q, project).
+#: Postings of the largest block that a query reads to find its first k good rows.
+SEED = 256
 
-    Matches come from a join of distinct tokens, counted before it is joined further; rows that
-    match no token can still be ranked by scope, recency and the rest, so the k best of those for
-    each project stand in for all of them.
+
+def _hits(pairs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, scope, rest, keyword_hits) of distinct (query_id, id): the words they share, counted once."""
+    both = pairs.join(rows, "id").join(asked.select("query_id", "asked"), "query_id")
+    return both.select("query_id", "id", "scope", "rest", F.size(F.array_intersect("asked", "words")).alias("keyword_hits"))
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.collate("id", "UNICODE")))
+    return scored.withColumn("place", place).where(F.col("place") <= k)
+
+
+def batch_top(memory: DataFrame, queries: DataFrame, now: str, k: int = 5, seed: int = SEED) -> DataFrame:
+    """The k best rows for each of many queries (query_id, q, project), exactly.
+
+    What a row scores without a query's words and project (rest) orders the postings of a word in a
+    scope: a block holds those of one step of rest. A query takes its words rarest first. Rows
+    that are best without any word, and the first blocks of its rarest words (of ``seed`` postings
+    at most, until there are some for k rows), give each query a score that its k best rows reach
+    at least. A row whose rarest word is the i-th of n shares n - i + 1 words at most, so of the
+    i-th word only blocks are read that this and their rest can bring up to that score; blocks are
+    chosen by their counts, before any posting is joined. Of a query's last word, with which a row
+    shares nothing else, the k best postings of each scope do.
     """
     base = eligible(memory, Query("", None, now))
     fixed = memory_parts(F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(now), [], [])
     flat = base.where("id is not null").withColumns({n: c for n, c in fixed.items() if n not in ("keyword_hits", "scope_points")})
     body = F.concat_ws(" ", "title", "summary", F.array_join(fn.as_array(F.col("entities")), " "))
-    flat = flat.select("id", "scope", (F.col("pinned_points") + F.col("recency_points") + F.least("importance_value", F.lit(3.0)) + F.col("usage_points")).alias("rest"), fn.tokens(body).alias("words"))
-    reach = queries.select("query_id", "q", F.explode(F.array(F.lit("global"), F.lit("user"), F.concat(F.lit("project:"), "project"))).alias("scope"))
-    # words meet inside the scopes that a query reaches only
-    docs = flat.select("id", "scope", F.explode("words").alias("word"))
-    asked = reach.select("query_id", "scope", F.explode(fn.tokens(F.col("q"))).alias("word"))
-    hits = asked.join(docs, ["word", "scope"]).groupBy("query_id", "id").agg(F.count("*").alias("keyword_hits"))
-    plain = flat.drop("words")
-    matched = hits.join(plain, "id")
-    # best rows without a match: for the project, and for global and user rows
-    place = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("rest"), F.collate("id", "UNICODE")))
-    spare = plain.withColumn("n", place).where(F.col("n") <= k).drop("n")
-    others = reach.drop("q").join(spare, "scope").withColumn("keyword_hits", F.lit(0).cast("long")).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    columns = ["query_id", "id", "scope", "rest", "keyword_hits"]
-    both = matched.select(columns).unionByName(others.select(columns)).join(queries.select("query_id", "project"), "query_id")
-    own = F.col("scope") == F.concat(F.lit("project:"), "project")
-    both = both.where(own | F.col("scope").isin("global", "user"))
-    score = 5 * F.col("keyword_hits") + F.when(own, 4).otherwise(2) + F.col("rest")
-    ranked = both.withColumn("score", score.cast("double"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.collate("id", "UNICODE")))
-    return ranked.withColumn("place", place).where(F.col("place") <= k).select("query_id", "id", "keyword_hits", "score", "place")
+    rows = flat.select("id", "scope", (F.col("pinned_points") + F.col("recency_points") + F.least("importance_value", F.lit(3.0)) + F.col("usage_points")).alias("rest"), fn.tokens(body).alias("words"))
+    rows = written(rows, "ranked-rows")
+    asked = written(queries.select("query_id", "project", fn.tokens(F.col("q")).alias("asked")), "asked")
+    reach = asked.select("query_id", F.inline(F.array(*[F.struct(scope.alias("scope"), F.lit(points).alias("points")) for scope, points in ((F.lit("global"), 2), (F.lit("user"), 2), (F.concat(F.lit("project:"), "project"), 4))]))).where("scope is not null")
+    # postings of the words that are asked for, in blocks
+    step = F.floor(F.col("rest") * 2).cast("int").alias("step")
+    words = asked.select(F.explode("asked").alias("word")).distinct()
+    postings = written(rows.select("id", "scope", step, "rest", F.explode("words").alias("word")).join(words, "word", "left_semi"), "postings")
+    blocks = written(postings.groupBy("scope", "word", "step").agg(F.count("*").alias("n")), "blocks")
+    # a query's words in the order of how many rows in its scopes have them
+    mine = reach.join(asked.select("query_id", F.explode("asked").alias("word")), "query_id").join(blocks, ["scope", "word"])
+    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("df", "word"))
+    mine = mine.withColumn("df", F.sum("n").over(Window.partitionBy("query_id", "word"))).withColumn("rank", rank)
+    mine = written(mine.withColumn("left", F.max("rank").over(Window.partitionBy("query_id")) - F.col("rank")), "asked-blocks")
+    # rows that are the best of a scope without a word, and the first postings
+    spare = rows.drop("words").withColumn("nth", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("rest"), F.collate("id", "UNICODE")))).where(F.col("nth") <= k)
+    others = reach.join(spare, "scope").select("query_id", "id")
+    read = F.sum("n").over(Window.partitionBy("query_id").orderBy("rank", F.desc("step"), "scope"))
+    first = mine.where(F.col("n") <= seed).withColumn("read", read - F.col("n")).where(F.col("read") < 8 * k)
+    seeds = first.join(postings, ["scope", "word", "step"]).select("query_id", "id")
+    last = mine.where(F.col("left") == 0).select("scope", "word").distinct()
+    ends = postings.join(last, ["scope", "word"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("scope", "word").orderBy(F.desc("rest"), F.collate("id", "UNICODE")))).where(F.col("nth") <= k)
+    ends = mine.where(F.col("left") == 0).select("query_id", "scope", "word").distinct().join(ends, ["scope", "word"]).select("query_id", "id")
+    score = (5 * F.col("keyword_hits") + F.col("points") + F.col("rest")).cast("double")
+    known = _hits(others.unionByName(seeds).unionByName(ends).distinct(), rows, asked).join(reach, ["query_id", "scope"]).withColumn("score", score)
+    known = written(known.select("query_id", "id", "keyword_hits", "score"), "first-answers")
+    floor = _best(known, k).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+    # the blocks that can still hold one of the k best
+    most = 5 * (F.col("left") + 1) + F.col("points") + (F.col("step") + 1) / 2
+    need = mine.where("left > 0").join(floor, "query_id", "left").where(F.col("least").isNull() | (most >= F.col("least")))
+    more = need.select("query_id", "scope", "word", "step").join(postings, ["scope", "word", "step"]).select("query_id", "id").distinct()
+    more = more.join(known.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    rest = _hits(more, rows, asked).join(reach, ["query_id", "scope"]).withColumn("score", score).select("query_id", "id", "keyword_hits", "score")
+    return _best(known.unionByName(rest), k).select("query_id", "id", F.col("keyword_hits").cast("long").alias("keyword_hits"), "score", "place")
