@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..operators.ranking import Query as Asked
-from ..sources import stores, transcripts, versions
+from ..sources import ranges, stores, transcripts, versions
 from ..sources.scratch import fresh_path
 from .proxies import NOW, view, with_views
 from .queries import _ELIG, _PARTS, ASKED, Query, _lambdas
@@ -67,6 +67,15 @@ def src13(spark, d):
     return transcripts.parse_rollouts(transcripts.read_lines(spark, root, "*.txt")).select("session_id", "role", "text")
 
 
+@query("SRC36_tail", "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) FILTER (text <> '') AS n FROM (SELECT conv_id, text, row_number() OVER w AS nth, sum(octet_length(encode(text)) + 1) OVER w - octet_length(encode(text)) AS begins, sum(octet_length(encode(text)) + 1) OVER (PARTITION BY conv_id) AS size FROM (SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) WHERE size <= 1500 OR begins - 1 > size - 1500 GROUP BY conv_id HAVING count(*) FILTER (text <> '') > 0")
+def src36(spark, d):
+    """The last 1500 bytes of each file: the line that the range begins in is left out."""
+    value = F.replace("text", F.lit("\n"), F.lit(" "))
+    root = _files(_talk(spark, d), F.concat(F.lit("talk-"), F.col("conv_id").cast("string")), "turn", value, _folder(spark))
+    rows = ranges.tails(spark, root, 1500, "*.txt")
+    return rows.groupBy(F.regexp_extract("path", r"talk-(\d+)/", 1).alias("session_id")).agg(F.count("*").alias("n"))
+
+
 @query("SRC29_markdown_files", "SELECT id, status, coalesce(trust, 'unknown') AS trust FROM mem WHERE type <> 'core'", "MEM")
 def src29(spark, d):
     """Documents below the folders of the types; those of a left-out folder aren't read."""

@@ -332,12 +332,6 @@ def src18(spark, d):
     return transcripts.one_file_per_session(a.unionByName(b)).select("session_id", "path")
 
 
-@query("SRC36_tail", "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS n FROM (SELECT conv_id, sum(octet_length(encode(text)) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS after FROM conversations) WHERE after <= 2000 GROUP BY conv_id")
-def src36(spark, d):
-    lines = _lines(_talk(spark, d), F.col("text"))
-    return transcripts.tail(lines, 2000).groupBy(F.regexp_extract("path", r"(\d+)\.jsonl$", 1).alias("session_id")).agg(F.count("*").alias("n"))
-
-
 # Evidence -------------------------------------------------------------------------------
 #: Shell texts around a number n, whether they succeeded, and whether they surely changed files.
 _COMMANDS = [

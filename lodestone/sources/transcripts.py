@@ -475,9 +475,3 @@ def sessions_of(messages: DataFrame, titles: DataFrame | None = None, rollouts:
     listed = rollout_title(F.col("title")) if rollouts else F.nullif("title", F.lit(""))
     title = F.coalesce(F.nullif("own", F.lit("")), listed, "asked", short)
     return rows.select("path", "session_id", short.alias("short_id"), fn.project_slug_of_path(F.col("cwd")).alias("project"), F.col("cwd").alias("project_raw"), "started_at", "ended_at", "turns", fn.slug_and_display(title).alias("s")).select("*", F.col("s.slug").alias("name_slug"), F.col("s.display").alias("display_name")).drop("s")
-
-
-def tail(lines: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """The whole lines within the last ``most`` bytes of each file."""
-    after = F.sum(F.octet_length("value") + 1).over(Window.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return lines.withColumn("after", after).where(F.col("after") - 1 <= most).drop("after")
