@@ -163,7 +163,7 @@ SEED = 256
 def _hits(pairs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, id, scope, rest, keyword_hits) of distinct (query_id, id): the words they share, counted once."""
     both = pairs.join(rows, "id").join(asked.select("query_id", "asked"), "query_id")
-    return both.select("query_id", "id", "scope", "rest", F.size(F.array_intersect("asked", "words")).alias("keyword_hits"))
+    return both.select("query_id", "id", "scope", "rest", F.coalesce(F.size(F.array_intersect("asked", "words")), F.lit(0)).alias("keyword_hits"))
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -189,12 +189,15 @@ def batch_top(memory: DataFrame, queries: DataFrame, now: str, k: int = 5, seed:
     body = F.concat_ws(" ", "title", "summary", F.array_join(fn.as_array(F.col("entities")), " "))
     rows = flat.select("id", "scope", (F.col("pinned_points") + F.col("recency_points") + F.least("importance_value", F.lit(3.0)) + F.col("usage_points")).alias("rest"), fn.tokens(body).alias("words"))
     rows = written(rows, "ranked-rows")
-    asked = written(queries.select("query_id", "project", fn.tokens(F.col("q")).alias("asked")), "asked")
+    said = queries.select("query_id", "project", F.explode_outer(fn.tokens(F.col("q"))).alias("word"))
+    # words go by numbers from here on
+    words = written(said.select("word").where("word is not null").distinct().withColumn("w", F.monotonically_increasing_id()), "words")
+    asked = written(said.join(words, "word", "left").groupBy("query_id", "project").agg(F.collect_list("w").alias("asked")), "asked")
     reach = asked.select("query_id", F.inline(F.array(*[F.struct(scope.alias("scope"), F.lit(points).alias("points")) for scope, points in ((F.lit("global"), 2), (F.lit("user"), 2), (F.concat(F.lit("project:"), "project"), 4))]))).where("scope is not null")
     # postings of the words that are asked for, in blocks
     step = F.floor(F.col("rest") * 2).cast("int").alias("step")
-    words = asked.select(F.explode("asked").alias("word")).distinct()
-    postings = written(rows.select("id", "scope", step, "rest", F.explode("words").alias("word")).join(words, "word", "left_semi"), "postings")
+    postings = written(rows.select("id", "scope", step, "rest", F.explode("words").alias("word")).join(words, "word").drop("word").withColumnRenamed("w", "word"), "postings")
+    rows = rows.drop("words").join(postings.groupBy("id").agg(F.collect_list("word").alias("words")), "id", "left")  # as many as the row has
     blocks = written(postings.groupBy("scope", "word", "step").agg(F.count("*").alias("n")), "blocks")
     # a query's words in the order of how many rows in its scopes have them
     mine = reach.join(asked.select("query_id", F.explode("asked").alias("word")), "query_id").join(blocks, ["scope", "word"])

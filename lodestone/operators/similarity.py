@@ -19,7 +19,7 @@ MAPS = 4
 
 
 class Kinds(NamedTuple):
-    """members: (id, seq, block, kind) of every row; links: (block, x, y, similarity) of kinds at the threshold, x < y."""
+    """members: (id, seq, block, kind) of every row, kinds by number; links: (x, y, similarity) of kinds at the threshold, x < y."""
 
     members: DataFrame
     links: DataFrame
@@ -33,25 +33,29 @@ def _overlap(threshold: float, n: Column, m: Column) -> Column:
 def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] = ("active",)) -> Kinds:
     """The kinds of rows and the links between them: a Jaccard overlap of at least the threshold.
 
-    Kinds at the threshold share one of each set's first ``n - ceil(t n) + 1`` tokens, rarest first
-    in the block, so only those that meet on such a token are candidates. A candidate goes before
-    any token list is fetched if its sizes are too far apart, if what follows the token in either
-    list is too short for the overlap (the pair's first common token passes), or if more bits of
-    the two parity maps (each token flips one) differ than tokens may.
+    A row's tokens are made once and written. Kinds at the threshold share one of each set's first
+    ``n - ceil(t n) + 1`` tokens, rarest first in the block, so only those that meet on such a token
+    are candidates. A candidate goes before any token list is fetched if its sizes are too far
+    apart, if what follows the token in either list is too short for the overlap (the pair's first
+    common token passes), or if more bits of the two parity maps (each token flips one) differ than
+    tokens may.
     """
     rows = memory.where(F.col("status").isin(*statuses) & F.col("id").isNotNull())
     block = F.to_json(F.struct("type", "scope", "project"))
     words = F.sort_array(fn.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))))
     rows = rows.select("id", "seq", block.alias("block"), words.alias("words"))
-    members = rows.withColumn("kind", F.sha2(F.concat_ws("\n", "block", F.array_join("words", " ")).cast("binary"), 256)).where(F.size("words") > 0)
-    own = written(members.groupBy("block", "kind").agg(F.first("words").alias("words")), "kind-words")
-    each = own.select("block", "kind", F.size("words").alias("n"), F.explode("words").alias("word"))
-    rarity = each.groupBy("block", "word").agg(F.count("*").alias("df"))
-    flips = [F.bit_xor(F.expr(f"if(pmod(xxhash64(word), {MAPS}) = {i}, shiftleft(1L, cast(pmod(xxhash64(word) div {MAPS}, 64) as int)), 0L)")).alias(f"map{i}") for i in range(MAPS)]
-    ranked = each.join(rarity, ["block", "word"]).groupBy("block", "kind", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"), *flips)
+    rows = rows.where(F.size("words") > 0).withColumn("key", F.sha2(F.concat_ws("\n", "block", F.array_join("words", " ")).cast("binary"), 256))
+    rows = written(rows, "tokens")
+    own = written(rows.groupBy("key").agg(F.first("block").alias("block"), F.first("words").alias("words")).withColumn("kind", F.monotonically_increasing_id()), "kind-words")
+    members = rows.join(own.select("key", "kind"), "key").select("id", "seq", "block", "kind")
+    # candidates meet on hashes: a collision makes one more, and the lists themselves decide
+    each = own.select("kind", F.size("words").alias("n"), "block", F.explode("words").alias("word")).select("kind", "n", F.xxhash64("block", "word").alias("word"))
+    rarity = each.groupBy("word").agg(F.count("*").alias("df"))
+    flips = [F.bit_xor(F.expr(f"if(pmod(word, {MAPS}) = {i}, shiftleft(1L, cast(pmod(word div {MAPS}, 64) as int)), 0L)")).alias(f"map{i}") for i in range(MAPS)]
+    ranked = each.join(rarity, "word").groupBy("kind", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"), *flips)
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
     maps = [f"map{i}" for i in range(MAPS)]
-    keyed = ranked.select("block", "kind", "n", *maps, F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias("at", "word")).select("block", "kind", "n", *maps, "at", "word.word")
+    keyed = ranked.select("kind", "n", *maps, F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias("at", "word")).select("kind", "n", *maps, "at", "word.word")
     a, b = keyed.alias("a"), keyed.alias("b")
     least = _overlap(threshold, F.col("a.n"), F.col("b.n"))
     differ = F.lit(0)
@@ -60,23 +64,24 @@ def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] =
     sized = (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9)
     reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least
     near = sized & reach & (differ <= F.col("a.n") + F.col("b.n") - 2 * least)
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.kind") < F.col("b.kind")) & near)
-    met = met.select("a.block", F.col("a.kind").alias("x"), F.col("b.kind").alias("y")).distinct()
-    side = lambda k, w: own.select("block", F.col("kind").alias(k), F.col("words").alias(w))
-    met = met.join(side("x", "wx"), ["block", "x"]).join(side("y", "wy"), ["block", "y"])
-    common = F.size(F.array_intersect("wx", "wy"))
-    links = met.select("block", "x", "y", (common / (F.size("wx") + F.size("wy") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
-    return Kinds(members.select("id", "seq", "block", "kind"), links)
+    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.kind") < F.col("b.kind")) & near)
+    met = met.select(F.col("a.kind").alias("x"), F.col("b.kind").alias("y")).distinct()
+    side = lambda k: own.select(F.col("kind").alias(k), F.struct("block", "words").alias(f"of_{k}"))
+    met = met.join(side("x"), "x").join(side("y"), "y").where("of_x.block = of_y.block")
+    common = F.size(F.array_intersect("of_x.words", "of_y.words"))
+    links = met.select("x", "y", (common / (F.size("of_x.words") + F.size("of_y.words") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    return Kinds(members, links)
 
 
 def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
     """(a, b, seq_a, seq_b, block, similarity): every pair of linked rows, those of one kind too; a < b by id, seq_a < seq_b."""
-    same = members.select("block", F.col("kind").alias("x"), F.col("kind").alias("y"), F.lit(1.0).alias("similarity")).distinct()
-    member = lambda k, s: members.select("block", F.col("kind").alias(k), F.struct("id", "seq").alias(s))
-    pairs = links.unionByName(same).join(member("x", "p"), ["block", "x"]).join(member("y", "q"), ["block", "y"])
+    kept = members.select("kind").distinct()
+    same = kept.select(F.col("kind").alias("x"), F.col("kind").alias("y"), F.lit(1.0).alias("similarity"))
+    member = lambda k, s: members.select(F.col("kind").alias(k), F.struct("id", "seq", "block").alias(s))
+    pairs = links.unionByName(same).join(member("x", "p"), "x").join(member("y", "q"), "y")
     pairs = pairs.where((F.col("x") != F.col("y")) | (F.col("p.seq") < F.col("q.seq")))
     first, last = (F.when(F.col("p.seq") < F.col("q.seq"), F.col(u)).otherwise(F.col(v)) for u, v in (("p", "q"), ("q", "p")))
-    return pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), first["seq"].alias("seq_a"), last["seq"].alias("seq_b"), "block", "similarity")
+    return pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), first["seq"].alias("seq_a"), last["seq"].alias("seq_b"), "p.block", "similarity")
 
 
 def near_duplicate_pairs(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] = ("active",)) -> DataFrame:
@@ -85,14 +90,13 @@ def near_duplicate_pairs(memory: DataFrame, threshold: float = 0.8, statuses: tu
 
 
 def classes(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(block, kind, class, kinds, links): the component of each kind, how many kinds it has and how many links between them."""
-    links = written(links.select("block", "x", "y"), "kind-links")
+    """(kind, class, kinds, links): the component of each kind, how many kinds it has and how many links between them. Both are tables."""
     root = components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).select(F.col("node").alias("kind"), F.col("root").alias("class"))
     sizes = root.groupBy("class").agg(F.count("*").alias("kinds"))
     counts = links.join(root, links["x"] == root["kind"]).groupBy("class").agg(F.count("*").alias("links"))
     linked = root.join(sizes, "class").join(counts, "class")
-    own = members.select("block", "kind").distinct().join(linked, "kind", "left")
-    return own.select("block", "kind", F.coalesce("class", "kind").alias("class"), F.coalesce("kinds", F.lit(1)).alias("kinds"), F.coalesce("links", F.lit(0)).alias("links"))
+    own = members.select("kind").distinct().join(linked, "kind", "left")
+    return own.select("kind", F.coalesce("class", "kind").alias("class"), F.coalesce("kinds", F.lit(1)).alias("kinds"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_duplicate_classes(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] = ("active",)) -> DataFrame:
@@ -103,11 +107,11 @@ def near_duplicate_classes(memory: DataFrame, threshold: float = 0.8, statuses:
     """
     members, links = kinds(memory, threshold, statuses)
     members, links = written(members, "members"), written(links, "kind-links")
-    of = written(members.groupBy("block", "kind").agg(F.min("id").alias("representative"), F.count("*").alias("copies")), "kinds")
+    of = written(members.groupBy("kind").agg(F.min("id").alias("representative"), F.count("*").alias("copies")), "kinds")
     both = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     near = both.join(of.select(F.col("kind").alias("y"), F.col("copies").alias("others")), "y").groupBy(F.col("x").alias("kind")).agg(F.sum("others").alias("others"))
     group = classes(members, links).select("kind", "class")
     least = group.join(of, "kind").groupBy("class").agg(F.min("representative").alias("class_id"))
-    kind = of.drop("block").join(group, "kind").join(least, "class").join(near, "kind", "left")
+    kind = of.join(group, "kind").join(least, "class").join(near, "kind", "left")
     kind = kind.select("kind", "representative", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "class_id")
     return members.select("id", "kind").join(kind, "kind").drop("kind")

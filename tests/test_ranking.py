@@ -19,8 +19,8 @@ def asked_of(seed, n=25):
     return [(i, " ".join(r.choices(["zz", "none", *[f"w{j}" for j in range(40)]], k=r.choice([0, 1, 1, 2, 5, 9]))), r.choice(["a", "b", "c", None])) for i in range(n)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("few", [1, 8, 256])
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("few", [1, 256])
 def test_batch_top_equals_single_queries(spark, seed, few):
     rows, asked = memory(spark, *rows_of(seed)), asked_of(seed)
     got = {}
