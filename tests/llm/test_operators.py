@@ -205,6 +205,42 @@ def test_packing(docs, rows, odd, ids):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_harmonic_bins(seed):
+    r = random.Random(seed)
+    capacity, last = r.choice([8, 16, 64, 4096]), seed % 2 == 0
+    sizes = np.array([r.choice([1, r.randint(1, capacity // 2), r.randint(1, capacity), r.randint(1, 3 * capacity)]) for _ in range(r.choice([0, 1, 5, 80]))], np.int64)
+    found = packing.harmonic(sizes, capacity, last)
+    seen, sequences, later = [np.zeros(n, int) for n in sizes], collections.defaultdict(list), 0
+    for item, start, length, sequence, offset in zip(*(x.tolist() for x in found[:5]), strict=True):
+        seen[item][start : start + length] += 1
+        if sequence < 0:
+            later += length
+        else:
+            sequences[sequence].append((offset, length))
+    assert all((x == 1).all() for x in seen) and sorted(sequences) == list(range(found.sequences)) and (later == 0 if last else later < capacity)
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end == capacity or (last and end & (end - 1) == 0)
+
+
+def test_classes_keep_their_counts():
+    """Items of one class fill bins uncut, as many in each as the class has, where others fill the space."""
+    sizes = np.array([1000] * 8 + [4096 - 4000] * 2)
+    found = packing.harmonic(sizes, 4096)
+    whole = [(i, q) for i, n, q in zip(found.item, found.length, found.sequence, strict=True) if n == sizes[i] == 1000]
+    assert [sum(q == x for _, q in whole) for x in (0, 1)] == [4, 4]
+
+
+def test_few_documents_are_cut(spark):
+    got = packing.pack(table(spark, "/root/testdata/sf0.01", "documents"))
+    n, tokens_of = got.count(), got.agg(F.sum("length"), F.max("sequence_id") + 1).first()
+    assert n < 1.5 * 1000 + tokens_of[0] / 4096 and tokens_of[1] <= 1.02 * tokens_of[0] / 4096 + 100
+
+
 # op2 --------------------------------------------------------------------------------------
 def test_pieces(docs, rows, odd):
     words = pieces.vocabulary(pieces.default_path())
@@ -602,7 +638,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con, sf = duckdb.connect(), "/root/testdata/sf0.01"
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = con.sql(corpus.ORACLES[name])
     assert listed(corpus.QUERIES[name](spark, sf).select(*found.columns)) == sorted(found.fetchall(), key=str)
