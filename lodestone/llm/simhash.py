@@ -4,13 +4,16 @@ Fingerprint: lower-cased (A-Z) words, shingles of ``width`` words, XXH64 with se
 is 1 if it is set in over half the hashes. Two fingerprints link at ``radius`` or fewer
 differing bits.
 
-Links: 64 bits fall into ``radius + 2`` blocks. Fingerprints within the radius agree on two
-blocks at least, so each pair of blocks with its values (some 21 bits) is a bucket that is
-searched on its own: its distinct fingerprints form BK-trees whose children are keyed by their
-Hamming distance to the parent, and a search follows only the edges whose key is within the
-radius of the distance just measured. A bucket over ``TREE_ROWS``, as counted in a hash sample,
-is cut into shard trees; they are not broadcast to all workers, as together they grow with the
-input, but every member is sent to each of its bucket's, so that a task's tree stays bounded.
+Links: 64 bits fall into ``radius + j`` blocks. Fingerprints within the radius agree on j blocks
+at least, so each choice of j blocks with its values is a bucket that is searched on its own: its
+distinct fingerprints form a BK-tree whose children are keyed by their Hamming distance to the
+parent, and a search follows only the edges whose key is within the radius of the distance just
+measured. j is the least that leaves ``BUCKET`` fingerprints in a bucket on average: 1 up to some
+two million (13 bits), 2 up to some five hundred million (21 bits), and so on, so that trees keep
+their size and rows are sent to few buckets, whatever the table's size. A bucket over
+``TREE_ROWS``, as counted in a hash sample, is cut into shard trees; they are not broadcast to all
+workers, as together they grow with the input, but every member is sent to each of its bucket's,
+so that a task's tree stays bounded.
 Each task joins what it links and emits a spanning star, not pairs. Equal fingerprints are one
 row from the start, with the smallest document id. Components come from the written star links.
 
@@ -36,6 +39,8 @@ from .common import components, expand, join_labels, record, slices, texts, writ
 SEED, WIDTH, RADIUS = 42, 4, 4
 #: Fingerprints in one BK-tree at most; larger buckets become several shard trees.
 TREE_ROWS = 20_000
+#: Fingerprints in a bucket on average, at most.
+BUCKET = 256
 #: One of so many fingerprints is counted to find large buckets.
 SAMPLED = 16
 #: (query, node) pairs followed at once.
@@ -117,6 +122,8 @@ class BKForest:
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         order = np.argsort(key, kind="stable")
         self.key, self.node = key[order], (np.concatenate(nodes) if nodes else key)[order]
+        #: Edges that searches have followed, and those that they have left out.
+        self.followed = self.skipped = 0
 
     def links(self, group: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, node) index pairs within the radius, in parts; a query searches the tree of its group."""
@@ -134,6 +141,8 @@ class BKForest:
             low = np.searchsorted(self.key, v * 65 + np.maximum(d - radius, 0))
             high = np.searchsorted(self.key, v * 65 + np.minimum(d + radius, 64), side="right")
             own, nth = expand(high - low)
+            self.followed += len(own)
+            self.skipped += int((np.searchsorted(self.key, v * 65 + 64, side="right") - np.searchsorted(self.key, v * 65)).sum()) - len(own)
             q, v = q[own], self.node[low[own] + nth]
             stack += [(q[a : a + FRONT], v[a : a + FRONT]) for a in range(0, len(q), FRONT)]
 
@@ -151,13 +160,24 @@ def _bucket_links(group: np.ndarray, member: np.ndarray, fp: np.ndarray, radius:
     return fp[moved].view(np.int64), fp[label[moved]].view(np.int64)
 
 
+def agreeing(n: int, radius: int = RADIUS) -> int:
+    """On how many of ``radius + j`` blocks n fingerprints must agree, so that ``BUCKET`` share a bucket on average at most."""
+    return next((j for j in range(1, 5) if n >> 64 * j // (radius + j) <= BUCKET), 5)
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, tree_rows: int = TREE_ROWS) -> DataFrame:
     """Links (u, v) among distinct fingerprints ``fp``; their components are those of all pairs within the radius."""
-    cuts = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
+    agree = agreeing(distinct.count(), radius)
+    cuts = [round(64 * i / (radius + agree)) for i in range(radius + agree + 1)]
     value = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in itertools.pairwise(cuts)]
     width = [b - a for a, b in itertools.pairwise(cuts)]
-    pairs = itertools.combinations(range(radius + 2), 2)
-    bucket = F.array(*[F.shiftleft(F.shiftleft(value[i], width[j]).bitwiseOR(value[j]), 16).bitwiseOR(F.lit(k)) for k, (i, j) in enumerate(pairs)])
+    choices = []
+    for k, blocks in enumerate(itertools.combinations(range(radius + agree), agree)):
+        key = F.lit(0).cast("long")
+        for i in blocks:
+            key = F.shiftleft(key, width[i]).bitwiseOR(value[i])
+        choices.append(F.shiftleft(key, 16).bitwiseOR(F.lit(k)))
+    bucket = F.array(*choices)
     rows = distinct.select("fp", F.explode(bucket).alias("bucket"))
     # buckets too large for one tree, by a sample: their number sets the cost and not the result
     thin = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).select(F.explode(bucket).alias("bucket"))

@@ -75,6 +75,38 @@ def test_simhash(spark, docs, rows, odd, tree_rows, monkeypatch):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_trees_of_the_buckets_leave_edges_out(docs):
+    """In the buckets of a given table, searches follow tree edges, and leave others out."""
+    big = table(docs.sparkSession, "/root/testdata/sf0.01", "documents")
+    fp = np.unique(np.array([r.fp for r in simhash.fingerprints(big).select("fp").collect()], np.int64).view(np.uint64))
+    assert simhash.agreeing(len(fp)) == 1 and simhash.agreeing(30_000_000) == 2 and simhash.agreeing(10**10) == 3
+    group = (fp & np.uint64((1 << 6) - 1)).astype(np.int64)
+    order = np.lexsort((fp, group))
+    forest = simhash.BKForest(group[order], fp[order])
+    got = {(int(a), int(b)) for q, v in forest.links(group, fp, 4) for a, b in zip(fp[q], forest.fp[v], strict=True)}
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    assert got == {(int(fp[i]), int(fp[j])) for i, j in zip(*np.nonzero(near & (group[:, None] == group[None, :])), strict=True)}
+    assert forest.followed > 0 and forest.skipped > 0
+
+
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_links_for_any_number_of_agreeing_blocks(spark, agree, monkeypatch):
+    monkeypatch.setattr(simhash, "agreeing", lambda n, radius=4: agree)
+    r = random.Random(agree)
+    base = [r.getrandbits(64) for _ in range(150)]
+    fps = sorted({b ^ sum(1 << i for i in r.sample(range(64), r.choice([0, 1, 3, 4, 5]))) for b in base for _ in range(3)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = simhash.components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")))
+    label = smallest_reachable(fps, [[j for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 4] for i in range(len(fps))])
+    groups = collections.defaultdict(set)
+    for x, g in zip(signed, label, strict=True):
+        groups[g].add(x)
+    found = collections.defaultdict(set)
+    for x in got.collect():
+        found[x.root].add(x.node)
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(g) for g in found.values()}
+
+
 def test_bk_forest_finds_all_links():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
