@@ -9,6 +9,7 @@ from .. import api
 from ..operators.ranking import Query as Asked
 from ..sources import ranges, stores, transcripts, versions
 from ..sources.scratch import fresh_path
+from ..streaming import ingest
 from .proxies import NOW, view, with_views
 from .queries import _ELIG, _PARTS, ASKED, Query, _lambdas
 from .queries import ORACLES as BASE
@@ -56,6 +57,17 @@ def src02(spark, d):
     return transcripts.parse_lines(lines).select("session_id", "role", "text")
 
 
+@query("JN13_followed_files", f"SELECT 's-' || conv_id AS session_id, turn AS pos, role, {_TEXT} AS text FROM conversations WHERE role IN ('user', 'assistant') AND {_KEPT}")
+def jn13_followed(spark, d):
+    """Files are followed: read once, and not again while they stay as they are."""
+    c = F.col("conv_id").cast("string")
+    value = F.concat(F.lit('{"type":"'), "role", F.lit('","sessionId":"s-'), c, F.lit('","message":'), F.to_json(F.struct(F.col("text").alias("content"))), F.lit("}"))
+    root, out = _files(_talk(spark, d), F.concat(F.lit("talk-"), c), "turn", value, _folder(spark)), _folder(spark)
+    for _ in range(2):
+        ingest.follow(spark, root, transcripts.parse_lines, transcripts.line_head, out, "*.txt")
+    return ingest.followed(spark, out, transcripts.line_settled).select("session_id", F.col("pos").cast("long").alias("pos"), "role", "text")
+
+
 @query("SRC13_rollout_files", f"SELECT 'r' || conv_id AS session_id, role, {_TEXT} AS text FROM conversations WHERE role IN ('user', 'assistant') AND {_TEXT} <> ''")
 def src13(spark, d):
     c = F.col("conv_id").cast("string")

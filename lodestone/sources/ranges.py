@@ -21,6 +21,11 @@ def listed(spark: SparkSession, root: str, pattern: str = "*.jsonl", skip: str =
     return files.where(~F.col("path").rlike(skip)).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read(ranges: DataFrame) -> DataFrame:
     """``ranges`` (path, start, size and more) with ``bytes``: what the file holds from ``start`` to ``size``; null for a file that is gone."""
     kind = StructType([*ranges.schema.fields, StructField("bytes", BinaryType())])

@@ -91,6 +91,22 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.select("path", "session_id", F.lit("").alias("title"), "cwd", "started_at", "ended_at", F.col("line_no").cast("int").alias("pos"), F.col("kind").alias("role"), "text", "reasoning", "ts", "blocks")
 
 
+def line_head(lines: DataFrame) -> DataFrame:
+    """(path, value): one line a file that says what its lines say of the whole file; heads of earlier lines count as lines."""
+    j = lambda p: F.get_json_object("value", p)
+    rows = lines.select("path", "line_no", j("$.sessionId").alias("sid"), j("$.cwd").alias("cwd"), j("$.timestamp").alias("ts"), F.coalesce(j("$.lastTimestamp"), j("$.timestamp")).alias("end"))
+    first = lambda c: F.min_by(c, F.when(F.col(c) != "", F.col("line_no")))
+    found = rows.groupBy("path").agg(first("sid").alias("sid"), first("cwd").alias("cwd"), F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("line_no"))).alias("ts"), F.max_by("end", F.when(F.col("end").isNotNull(), F.col("line_no"))).alias("end"))
+    return found.select("path", F.to_json(F.struct(F.lit("head").alias("type"), F.col("sid").alias("sessionId"), "cwd", F.col("ts").alias("timestamp"), F.col("end").alias("lastTimestamp"))).alias("value"))
+
+
+def line_settled(rows: DataFrame) -> DataFrame:
+    """Messages with what the ``head`` of their file says of it."""
+    j = lambda p: F.get_json_object("head", p)
+    session = F.coalesce(j("$.sessionId"), F.regexp_extract("path", r"([^/]+?)(?:\.jsonl)?$", 1))
+    return rows.withColumns({"session_id": session, "cwd": F.coalesce(j("$.cwd"), F.lit("")), "started_at": F.coalesce(j("$.timestamp"), F.lit(EPOCH)), "ended_at": F.coalesce(j("$.lastTimestamp"), F.lit(EPOCH))})
+
+
 def _clean(text: str, tags: list[str]) -> str:
     for tag in tags:
         text = re.sub(rf"<{tag}>.*?</{tag}>", "", text, flags=re.S)

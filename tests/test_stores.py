@@ -1,11 +1,14 @@
 """Saves of two writers, retention, and byte ranges of files."""
 
+import json
+import os
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.sources import ranges, versions
+from lodestone.sources import ranges, transcripts, versions
+from lodestone.streaming import ingest
 
 
 def test_the_second_of_two_savers_is_refused(spark, tmp_path):
@@ -61,3 +64,45 @@ def test_tails_read_no_more_than_they_may(spark, tmp_path):
     assert max(len(r.bytes) for r in ranges.read(files).collect()) == 20
     (tmp_path / "a.jsonl").unlink()
     assert [r.bytes for r in ranges.read(spark.createDataFrame([(f"file://{tmp_path}/a.jsonl", 0, 9)], "path string, start long, size long")).collect()] == [None]
+
+
+def test_appended_lines_are_all_that_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "CHUNK", 500)
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    line = lambda i, **more: json.dumps({"type": "user" if i % 2 else "assistant", "message": {"content": f"a text of some length, number {i} é"}, **more}) + "\n"
+    clock = iter(range(1_700_000_000, 1_800_000_000, 10))
+
+    def put(name, text, mode="w"):
+        with open(src / name, mode) as f:
+            f.write(text)
+        at = next(clock)
+        os.utime(src / name, (at, at))
+
+    def step():
+        got = ingest.follow(spark, str(src), transcripts.parse_lines, transcripts.line_head, out)
+        names = ["session_id", "cwd", "started_at", "ended_at", "pos", "role", "text"]
+        whole = transcripts.parse_lines(transcripts.read_lines(spark, str(src))).select(names)
+        assert sorted(map(str, ingest.followed(spark, out, transcripts.line_settled).select(names).collect())) == sorted(map(str, whole.collect()))
+        return got
+
+    put("a.jsonl", "".join(line(i, timestamp=f"t{i:03}") for i in range(60)))
+    put("b.jsonl", line(0, sessionId="s", cwd="/w"))
+    size = sum(p.stat().st_size for p in src.iterdir())
+    assert step() == (2, size)
+    assert step() == (0, 0)
+    more = line(61, timestamp="t999", sessionId="late")
+    put("a.jsonl", more, "a")
+    n, read = step()
+    assert n == 1 and read <= ingest.ANCHOR + len(more.encode())
+    put("a.jsonl", '{"type":"summary"}\n', "a")
+    put("b.jsonl", line(5, cwd="/else") + line(6), "a")
+    put("c.jsonl", line(7))
+    assert step()[0] == 3
+    put("a.jsonl", line(9, timestamp="t5"))
+    put("b.jsonl", "x" * 9000 + "\n" + line(3))
+    assert step()[0] == 2
+    put("b.jsonl", line(8)[:-1], "a")
+    assert ingest.follow(spark, str(src), transcripts.parse_lines, transcripts.line_head, out)[0] == 1
+    put("b.jsonl", "\n", "a")
+    assert step()[0] == 1
