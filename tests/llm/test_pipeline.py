@@ -7,6 +7,7 @@ import pytest
 import corpus_pipeline
 from lodestone.llm import near_copies, pii
 from lodestone.llm.common import table, written
+from lodestone.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,7 +42,7 @@ def test_odd_rows_and_empty_tables(spark):
         assert {r.doc_id: r.doc_tokens for r in pieces} == {i: sum(r.length for r in pieces if r.doc_id == i) for i in kept}
 
 
-def test_run_equals_its_stages_and_leaves_only_its_result(spark, tmp_path):
+def test_run_equals_its_stages_and_leaves_only_its_result(spark, tmp_path, monkeypatch):
     """The rows of the stages one after another; of what was written on the way, the result alone is left."""
     from pyspark.sql import functions as F
 
@@ -49,11 +50,8 @@ def test_run_equals_its_stages_and_leaves_only_its_result(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), name)
     pieces = lambda df: sorted(map(tuple, df.groupBy("doc_id", "doc_tokens").agg(F.sum("length"), F.min("start")).collect()))
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        got = corpus_pipeline.run(spark, SF)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+    got = corpus_pipeline.run(spark, SF)
     assert pieces(got) == pieces(docs)
     assert [p.name.rpartition("-")[0] for p in (tmp_path / "lodestone").iterdir()] == ["pipeline-packing"]
     assert not spark.sql("show tables").where("tableName like 'lodestone%'").count()
