@@ -171,8 +171,16 @@ ORACLES["API09_memory_primer"] = BASE["PRM02_primer_text"]
 #: A query without words about a project is answered by its primer too.
 QUERIES["RNK14_overview"] = lambda spark, d: api.overview(_mem(spark, d), Asked("  ", "src2", NOW))
 ORACLES["RNK14_overview"] = BASE["PRM02_primer_text"]
-QUERIES["RNK14_with_words"] = lambda spark, d: api.overview(_mem(spark, d), Asked("the", "src2", NOW))
-ORACLES["RNK14_with_words"] = "SELECT '' AS primer"
+ORACLES["RNK14_with_words"] = f"SELECT false AS asked, primer FROM ({BASE['PRM02_primer_text']}) UNION ALL SELECT true, ''"
+
+
+def _rnk14(spark, d):
+    """The primer stands in for an answer where nothing is asked, and only there."""
+    answer = lambda text: api.overview(_mem(spark, d), Asked(text, "src2", NOW)).select(F.lit(bool(text.strip())).alias("asked"), "primer")
+    return answer(" ").unionByName(answer("the"))
+
+
+QUERIES["RNK14_with_words"] = _rnk14
 
 
 @query("API11_entity_query", "SELECT id, kind FROM entity WHERE kind = 'api' AND (scope = 'global' OR scope = 'project:src2')", "ENTITY")

@@ -12,7 +12,8 @@ from ..functions import text as fn
 from ..operators import archive, lint, merge, pages, ranking
 from ..sources import stores, transcripts
 from .proxies import NOW, view, with_views
-from .queries import _EXPIRED, ASKED, Query, _lambdas, plan_sql
+from .queries import _EXPIRED, ASKED, COLD, Query, _lambdas, plan_sql
+from .queries import ORACLES as BASE
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -131,10 +132,16 @@ def rnk13b(spark, d):
     return pages.next_step(_mem(spark, d).where("status = 'archived' and seq % 3 = 1").withColumn("source", F.lit("overlay")))
 
 
-@query("RNK09_unresolved", "SELECT count(*) AS n FROM (SELECT 1 WHERE false)")
-def rnk09(spark, d):
-    q = ranking.Query("onre", None, NOW)
-    return api.recall(_mem(spark, d), view(spark, d, "USAGE"), q, resolved=False)[1].agg(F.count("*").alias("n"))
+ORACLES["RNK09_unresolved"] = f"SELECT true AS resolved, count(*) AS n FROM ({BASE['RNK08_cold_pass']}) UNION ALL SELECT false, 0"
+
+
+def _rnk09(spark, d):
+    """Cold rows are counted where the project is known, and there are none where it isn't."""
+    cold = lambda known: api.recall(_mem(spark, d), view(spark, d, "USAGE").limit(0), COLD, resolved=known)[1].agg(F.count("*").alias("n")).select(F.lit(known).alias("resolved"), "n")
+    return cold(True).unionByName(cold(False))
+
+
+QUERIES["RNK09_unresolved"] = _rnk09
 
 
 @query("LNT17_human", f"SELECT '[warning] expired ' || id || ': active memory expired at validTo=' || valid_to || ' (now {NOW})' AS line FROM mem WHERE status = 'active' AND {_EXPIRED}", "MEM")
