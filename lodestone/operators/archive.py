@@ -175,6 +175,12 @@ def upsert(store: DataFrame, items: DataFrame, now: str) -> DataFrame:
     return both.select("id", *[value[c].alias(c) for c in fields], *united)
 
 
+def upsert_changes(store: DataFrame, items: DataFrame, now: str) -> DataFrame:
+    """The rows of ``upsert`` that a batch of writes makes or changes: those that it names, and those that it supersedes."""
+    touched = items.select("id").union(items.where("length(supersedes) > 0").select("supersedes")).distinct()
+    return upsert(store.join(touched, "id", "left_semi"), items, now)
+
+
 def keep_last(items: DataFrame, key: str, order: str = "order") -> DataFrame:
     """The last item of each key."""
     names = [c for c in items.columns if c != key]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..operators.ranking import Query as Asked
-from ..sources import ranges, stores, transcripts, versions
+from ..sources import layers, ranges, stores, transcripts, versions
 from ..sources.scratch import fresh_path
 from ..streaming import ingest
 from .proxies import NOW, view, with_views
@@ -126,6 +126,15 @@ def lcy14(spark, d):
     return versions.load(spark, root, "memory")
 
 
+@query("LCY05_layers", "SELECT id, CASE WHEN seq % 10 = 4 THEN 'second' ELSE title END AS title FROM mem", "MEM")
+def lcy05_layers(spark, d):
+    """Changed rows are written alone, and merged where they are read."""
+    mem, root = _mem(spark, d), _folder(spark)
+    layers.save_whole(root, "memory", mem.select("id", "title"))
+    layers.save_changes(root, "memory", mem.where("seq % 10 = 4").select("id", F.lit("second").alias("title")))
+    return layers.load(spark, root, "memory")
+
+
 @query("LCY10_primers_touched", "SELECT DISTINCT scope FROM mem WHERE seq % 97 = 0", "MEM")
 def lcy10(spark, d):
     mem = _mem(spark, d)

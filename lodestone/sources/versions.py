@@ -33,7 +33,8 @@ def _entries(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(x.getPath().getName()) for x in fs.listStatus(log) if x.getPath().getName().isdigit()) if fs.exists(log) else []
 
 
-def _named(spark: SparkSession, root: str, entry: int) -> str:
+def named(spark: SparkSession, root: str, entry: int) -> str:
+    """The version that an entry names."""
     return spark.read.text(f"{root}/{LOG}/{entry:020}", wholetext=True).first().value
 
 
@@ -69,7 +70,7 @@ def head(spark: SparkSession, root: str) -> int:
 def current(spark: SparkSession, root: str) -> str | None:
     """The version that readers see; None before the first save."""
     at = head(spark, root)
-    return _named(spark, root, at) if at else None
+    return named(spark, root, at) if at else None
 
 
 def save(root: str, /, after: int | None = None, **tables: DataFrame) -> str:
@@ -97,7 +98,7 @@ def update(spark: SparkSession, root: str, change: Callable[[str | None], dict[s
     for left in reversed(range(tries)):
         after = head(spark, root)
         try:
-            return save(root, after=after, **change(_named(spark, root, after) if after else None))
+            return save(root, after=after, **change(named(spark, root, after) if after else None))
         except Conflict:
             if not left:
                 raise
@@ -113,8 +114,8 @@ def retain(spark: SparkSession, root: str, entries: int) -> list[str]:
         raise ValueError("the current version stays")
     found = _entries(spark, root)
     old, kept = found[:-entries], found[-entries:]
-    names = {_named(spark, root, x) for x in kept}
-    gone = sorted({_named(spark, root, x) for x in old} - names)
+    names = {named(spark, root, x) for x in kept}
+    gone = sorted({named(spark, root, x) for x in old} - names)
     for name in gone:
         fs, place = _at(spark, f"{root}/{name}")
         fs.delete(place, True)

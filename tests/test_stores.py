@@ -7,7 +7,10 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.sources import ranges, transcripts, versions
+from test_semantics import NOW, memory
+
+from lodestone.operators import archive
+from lodestone.sources import layers, ranges, transcripts, versions
 from lodestone.streaming import ingest
 
 
@@ -106,3 +109,35 @@ def test_appended_lines_are_all_that_is_read(spark, tmp_path, monkeypatch):
     assert ingest.follow(spark, str(src), transcripts.parse_lines, transcripts.line_head, out)[0] == 1
     put("b.jsonl", "\n", "a")
     assert step()[0] == 1
+
+
+def test_small_tables_are_dealt_out_evenly(spark, tmp_path):
+    """Half of the rows have one id, and it makes no difference."""
+    from lodestone.sources.tables import spread
+
+    path = f"file://{tmp_path}/t.parquet"
+    spark.range(4000).selectExpr("if(id % 2 = 0, 7, id) as doc_id", "repeat('x', 50) as text").coalesce(1).write.parquet(path)
+    rows = spread(spark, path)
+    sizes = [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) <= 1.1 * min(sizes)
+    assert "hashpartitioning" not in rows._jdf.queryExecution().toString()
+
+
+def test_changes_are_written_alone_and_merged_when_read(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    store = memory(spark, *[dict(id=f"m{i:03}", title=f"t{i}", source_files=[f"f{i}"]) for i in range(200)])
+    layers.save_whole(root, "memory", store)
+    want = store
+    for turn in range(3):
+        items = memory(spark, *[dict(id=f"m{i:03}", title=f"new {turn}", seq=i, source_files=["g"], supersedes="m007" if i == 190 + turn else None) for i in range(190 + turn, 200 + turn)]).withColumn("order", F.col("seq"))
+        now = f"2026-07-0{turn + 1}"
+        version = layers.save_changes(root, "memory", archive.upsert_changes(layers.load(spark, root, "memory"), items, now))
+        assert spark.read.parquet(f"{root}/{version}/memory").count() == 11  # ten, and the one that is superseded
+        want = archive.upsert(want, items, now)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(layers.load(spark, root, "memory")) == rows(want.select(store.columns))
+    at = versions.head(spark, root)
+    layers.compact(spark, root, "memory")
+    assert rows(layers.load(spark, root, "memory")) == rows(want.select(store.columns))
+    with pytest.raises(versions.Conflict):
+        layers.save_changes(root, "memory", store.limit(1), after=at)
