@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import api
 from ..operators.ranking import Query as Asked
-from ..sources import layers, ranges, stores, transcripts, versions
+from ..sources import datasource, layers, ranges, stores, transcripts, versions
 from ..sources.scratch import fresh_path
 from ..streaming import ingest
 from .proxies import NOW, view, with_views
@@ -57,6 +59,15 @@ def src02(spark, d):
     return transcripts.parse_lines(lines).select("session_id", "role", "text")
 
 
+@query("SRC01_registered_source", "SELECT CAST(conv_id AS VARCHAR) AS talk, count(*) AS n, sum(length(replace(text, chr(10), ' '))) AS chars FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def src01_source(spark, d):
+    """The lines of files that the registered source finds and reads in ranges."""
+    root = _files(_talk(spark, d), F.concat(F.lit("talk-"), F.col("conv_id").cast("string")), "turn", F.replace("text", F.lit("\n"), F.lit(" ")), _folder(spark))
+    spark.dataSource.register(datasource.Transcripts)
+    rows = spark.read.format("lodestone_transcripts").option("roots", json.dumps({"any": root})).option("pattern", "*.txt").option("rangeBytes", 4096).load()
+    return rows.groupBy(F.regexp_extract("path", r"talk-(\d+)/", 1).alias("talk")).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
 @query("JN13_followed_files", f"SELECT 's-' || conv_id AS session_id, turn AS pos, role, {_TEXT} AS text FROM conversations WHERE role IN ('user', 'assistant') AND {_KEPT}")
 def jn13_followed(spark, d):
     """Files are followed: read once, and not again while they stay as they are."""
