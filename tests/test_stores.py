@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from test_semantics import NOW, memory
+from test_semantics import memory
 
 from lodestone.operators import archive
 from lodestone.sources import layers, ranges, transcripts, versions
