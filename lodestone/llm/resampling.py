@@ -1,7 +1,9 @@
 """Importance resampling of documents towards a target distribution of hashed features.
 
 1. The sparse document-by-bucket count matrix of the corpus is written once, in CSR blocks: a
-   row is a block of documents with their ids, row starts, buckets and counts.
+   row is a block of documents with their ids, row starts, buckets and counts. Blocks are small
+   (``BLOCK_BYTES``, or one document), because Spark reads and hands over rows by their number: a
+   task holds some thousand blocks at once, however large its part of the table is.
 2. Column sums of the blocks, added up in each task before they are shuffled, are the corpus's
    distribution; those of the target table's matrix are the target's. Both have as many entries
    as there are buckets, whatever the tables' size.
@@ -38,8 +40,8 @@ from .common import expand, record, slices, texts, written
 BUCKETS, RUN, SEED, PERCENT, LEAST_WORDS = 10_000, 1, 2024, 10, 20
 #: Features whose buckets a worker remembers; it starts anew when that many are known.
 MEMO = 500_000
-#: Bytes of texts that make a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of texts that make a block, and about as many as a batch of blocks is made of.
+BLOCK_BYTES, BATCH_BYTES = 4 << 10, 1 << 20
 
 #: Upper-case letters in lower case, digits, lower-case letters and non-ASCII bytes as they are, all others blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -74,27 +76,29 @@ def matrix(docs: DataFrame, buckets: int = BUCKETS, run: int = RUN) -> DataFrame
     """CSR blocks of the count matrix of ``docs`` (doc_id, text); the row i of a block has the entries start[i] to start[i + 1]."""
     schema = pa.schema([("doc_id", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("start", pa.list_(pa.int32())), ("bucket", pa.list_(pa.int32())), ("count", pa.list_(pa.int32()))])
 
-    def solid(x: pa.Array | np.ndarray, kind: pa.DataType) -> pa.Array:
-        values = x if isinstance(x, pa.Array) else pa.array(x, kind)
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
         entries: list[np.ndarray] = []
-        sizes, words = [], []
-        for text in texts(batch):
+        sizes, words, first, held = [], [], [0], 0
+        for i, text in enumerate(texts(batch)):
+            if held and held + len(text) > BLOCK_BYTES:
+                first.append(i)
+                held = 0
+            held += len(text)
             found = words_of(text)
             words.append(len(found))
             bucket, count = np.unique(_buckets(features(found, run), buckets, run), return_counts=True)
             entries.append(np.stack((bucket, count)))
             sizes.append(len(bucket))
-        flat = np.concatenate(entries, axis=1)
-        start = np.append(0, np.cumsum(sizes)).astype(np.int32)
-        ids = batch.column("doc_id")
-        return pa.RecordBatch.from_arrays([solid(ids, pa.int64()), solid(np.array(words, np.int32), pa.int32()), solid(start, pa.int32()), solid(flat[0].astype(np.int32), pa.int32()), solid(flat[1].astype(np.int32), pa.int32())], schema=schema)
+        flat = np.concatenate(entries, axis=1).astype(np.int32)
+        row = np.append(first, len(sizes)).astype(np.int32)
+        entry = np.append(0, np.cumsum(sizes)).astype(np.int32)
+        start = np.concatenate([entry[a : b + 1] - entry[a] for a, b in zip(row, row[1:], strict=False)])
+        listed = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+        return pa.RecordBatch.from_arrays([listed(row, batch.column("doc_id")), listed(row, np.array(words, np.int32)), listed(row + np.arange(len(row)), start), listed(entry[row], flat[0]), listed(entry[row], flat[1])], schema=schema)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", BLOCK_BYTES):
-            yield block(batch)
+        for batch in slices(batches, "text", BATCH_BYTES):
+            yield blocks(batch)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(go, _BLOCK)
 
@@ -135,17 +139,19 @@ def scores(blocks: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, words, start, bucket, count = (batch.column(c)[i].values for c in ("doc_id", "words", "start", "bucket", "count"))
-                size = np.diff(np.asarray(start))
-                owner, _ = expand(size)
-                count = np.asarray(count).astype(np.int64)
-                total, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-                np.add.at(total, owner, count * shared.value[np.asarray(bucket)])
-                np.add.at(n, owner, count)
-                weight = total // np.maximum(n, 1)
-                drawn = np.fromiter((noise(d, seed) for d in ids.to_pylist()), np.int64, len(ids))
-                yield record(schema, [ids, words, n, weight, weight + drawn])
+            if not batch.num_rows:
+                continue
+            ids, words, start, bucket, count = (batch.column(c).flatten() for c in ("doc_id", "words", "start", "bucket", "count"))
+            lengths = np.asarray(batch.column("start").value_lengths())
+            size = np.delete(np.diff(np.asarray(start)), np.cumsum(lengths)[:-1] - 1)  # not from a block's end to the next one's start
+            owner, _ = expand(size)
+            count = np.asarray(count).astype(np.int64)
+            total, n = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+            np.add.at(total, owner, count * shared.value[np.asarray(bucket)])
+            np.add.at(n, owner, count)
+            weight = total // np.maximum(n, 1)
+            drawn = np.fromiter((noise(d, seed) for d in ids.to_pylist()), np.int64, len(ids))
+            yield record(schema, [ids, words, n, weight, weight + drawn])
 
     return blocks.mapInArrow(run, "doc_id long, words int, n_features long, weight long, score long")
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_operators import ODD, SF, docs, listed, odd, rows  # noqa: F401
 
 from lodestone.llm import debruijn, fill_in_middle, resampling
@@ -122,6 +123,14 @@ def test_blocks_are_the_count_matrix(spark, docs, rows):  # noqa: F811
         assert b.start[-1] == len(b.bucket) == len(b["count"]) and len(b.start) == len(b.doc_id) + 1
 
 
+def test_a_task_holds_few_bytes_of_the_matrix_at_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{j}" for j in range(300))) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    blocks = resampling.matrix(docs).select(F.size("doc_id").alias("n"), (4 * (F.size("bucket") + F.size("count"))).alias("bytes")).collect()
+    assert sum(b.n for b in blocks) == 2000 and max(b.bytes for b in blocks) < 16 << 10  # 10,000 rows go to a worker at once
+    long = spark.createDataFrame([(1, "a " * 9000), (2, "b"), (3, None)], "doc_id long, text string").coalesce(1)
+    assert [(list(b.doc_id), list(b.start)) for b in resampling.matrix(long).collect()] == [([1], [0, 1]), ([2, 3], [0, 1, 1])]
+
+
 # op13 -------------------------------------------------------------------------------------
 def plain_words_kept(texts, n=13):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in texts]
