@@ -107,7 +107,6 @@ def plan(memory: DataFrame, now: str, usage: DataFrame | None = None, sessions:
     """
     rules = written(rule_reasons(memory, now, usage, sessions), "rules")
     members, links = kinds(memory, threshold, ("active", "pinned"))
-    members, links = written(members, "members"), written(links, "kind-links")
     about = memory.select("id", F.when(~F.isnan("importance"), F.col("importance")).alias("importance"), fn.epoch_ms(F.col("updated_at")).alias("ms"), (~fn.holds(F.col("type") == "core") & ~fn.holds(F.col("status").isin("pinned", "archived"))).alias("may_go"))
     about = about.where("importance is not null").join(rules.select("id", F.lit(True).alias("gone")), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     group = classes(members, links).select("kind", F.col("class").alias("group"), (F.col("links") == F.col("kinds") * (F.col("kinds") - 1) / 2).alias("whole"))

@@ -6,16 +6,23 @@ cost k rows and not their pairs. ``near_duplicate_pairs`` is the one answer that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..sources.scratch import components, written
+from ..sources.scratch import components, discard, written
 
 #: 64-bit words of a kind's parity map.
 MAPS = 4
+#: 64-bit words of the larger map that candidates are compared by before their tokens.
+WIDE = 32
+#: log2 of the counters that tell how rare a token is; tokens share them by hash.
+COUNTERS = 20
 
 
 class Kinds(NamedTuple):
@@ -30,46 +37,125 @@ def _overlap(threshold: float, n: Column, m: Column) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
 
 
+def _rarity(hashed: DataFrame) -> np.ndarray:
+    """How many lists ``hashed`` (hashes) have a token of each counter: a table of one size, added up by task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_counter(np.asarray(batch.column("hashes").flatten())), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["counter", "n"])
+
+    found = hashed.select("hashes").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTERS, np.int64)
+    out[np.asarray(found.column("counter"))] = np.asarray(found.column("n"))
+    return out
+
+
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _parities(word: np.ndarray, first: np.ndarray, maps: int) -> list[np.ndarray]:
+    """For each list that begins at one of ``first`` a map of so many 64-bit words, in which each token flips one bit."""
+    flip = np.uint64(1) << (word.view(np.uint64) & np.uint64(63))
+    part = (word.view(np.uint64) >> np.uint64(6)) % np.uint64(maps)
+    return [np.bitwise_xor.reduceat(np.where(part == i, flip, np.uint64(0)), first).view(np.int64) for i in range(maps)]
+
+
+def _wide(hashed: DataFrame) -> DataFrame:
+    """(kind, n, map) of each list of ``hashed`` (kind, hashes), with its parity map of ``WIDE`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column("hashes").value_lengths()).astype(np.int32)
+            if len(n):
+                parity = np.stack(_parities(np.asarray(batch.column("hashes").flatten()), np.cumsum(n) - n, WIDE), axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WIDE), pa.array(parity.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(n), lists], names=["kind", "n", "map"])
+
+    return hashed.mapInArrow(run, "kind long, n int, map array<long>")
+
+
+def _prefixes(hashed: DataFrame, threshold: float) -> DataFrame:
+    """(kind, n, map0.., at, word): the first ``n - ceil(t n) + 1`` tokens of each list of ``hashed`` (kind, hashes), rarest first.
+
+    Tokens of counters that one list has are left out, as no other list can meet on them.
+    """
+    shared = hashed.sparkSession.sparkContext.broadcast(_rarity(hashed))
+    maps = [f"map{i}" for i in range(MAPS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column("hashes").value_lengths()).astype(np.int64)
+            if not len(n):
+                continue
+            word = np.asarray(batch.column("hashes").flatten())
+            first = np.cumsum(n) - n
+            owner = np.repeat(np.arange(len(n)), n)
+            parity = _parities(word, first, MAPS)
+            met = shared.value[_counter(word)]
+            order = np.lexsort((word, met, owner))
+            at = np.arange(len(word)) - first[owner]
+            prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            kept = (at < prefix[owner]) & (met[order] > 1)
+            of = owner[kept]
+            kind = np.asarray(batch.column("kind"))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind[of], n[of].astype(np.int32), *[m[of] for m in parity], at[kept].astype(np.int32), word[order][kept])], names=["kind", "n", *maps, "at", "word"])
+
+    return hashed.mapInArrow(run, f"kind long, n int, {', '.join(f'{m} long' for m in maps)}, at int, word long")
+
+
 def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] = ("active",)) -> Kinds:
-    """The kinds of rows and the links between them: a Jaccard overlap of at least the threshold.
+    """The kinds of rows and the links between them, as tables: a Jaccard overlap of at least the threshold.
 
     A row's tokens are made once and written. Kinds at the threshold share one of each set's first
-    ``n - ceil(t n) + 1`` tokens, rarest first in the block, so only those that meet on such a token
-    are candidates. A candidate goes before any token list is fetched if its sizes are too far
-    apart, if what follows the token in either list is too short for the overlap (the pair's first
-    common token passes), or if more bits of the two parity maps (each token flips one) differ than
-    tokens may.
+    ``n - ceil(t n) + 1`` tokens in any one order of all tokens (here rarest first in the block, by
+    shared counters), so only those that meet on such a token are candidates. A candidate goes
+    before any token list is fetched if its sizes are too far apart, if what follows the token in
+    either list is too short for the overlap (the pair's first common token passes), or if more bits
+    of the two parity maps (each token flips one) differ than tokens may, small maps first and then
+    wide ones, that are fetched for the candidates left. Tokens (which hold no
+    blank) travel as one text a row. Tables that hold them are small on disk and large in memory:
+    the joins that fetch them are never broadcast.
     """
     rows = memory.where(F.col("status").isin(*statuses) & F.col("id").isNotNull())
     block = F.to_json(F.struct("type", "scope", "project"))
     words = F.sort_array(fn.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))))
-    rows = rows.select("id", "seq", block.alias("block"), words.alias("words"))
-    rows = rows.where(F.size("words") > 0).withColumn("key", F.sha2(F.concat_ws("\n", "block", F.array_join("words", " ")).cast("binary"), 256))
-    rows = written(rows, "tokens")
-    own = written(rows.groupBy("key").agg(F.first("block").alias("block"), F.first("words").alias("words")).withColumn("kind", F.monotonically_increasing_id()), "kind-words")
-    members = rows.join(own.select("key", "kind"), "key").select("id", "seq", "block", "kind")
+    rows = rows.select("id", "seq", block.alias("block"), F.array_join(words, " ").alias("words")).where("words <> ''")
+    rows = rows.withColumn("key", F.unhex(F.sha2(F.concat_ws("\n", "block", "words").cast("binary"), 256)))
+    tokens = written(rows, "tokens")
+    own = written(tokens.groupBy("key").agg(F.first("block").alias("block"), F.first("words").alias("words")).withColumn("kind", F.monotonically_increasing_id()), "kind-words")
+    members = written(tokens.join(own.select("key", "kind").hint("merge"), "key").select("id", "seq", "block", "kind"), "members")
+    discard(tokens)
     # candidates meet on hashes: a collision makes one more, and the lists themselves decide
-    each = own.select("kind", F.size("words").alias("n"), "block", F.explode("words").alias("word")).select("kind", "n", F.xxhash64("block", "word").alias("word"))
-    rarity = each.groupBy("word").agg(F.count("*").alias("df"))
-    flips = [F.bit_xor(F.expr(f"if(pmod(word, {MAPS}) = {i}, shiftleft(1L, cast(pmod(word div {MAPS}, 64) as int)), 0L)")).alias(f"map{i}") for i in range(MAPS)]
-    ranked = each.join(rarity, "word").groupBy("kind", "n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("ranked"), *flips)
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    maps = [f"map{i}" for i in range(MAPS)]
-    keyed = ranked.select("kind", "n", *maps, F.posexplode(F.slice("ranked", F.lit(1), prefix)).alias("at", "word")).select("kind", "n", *maps, "at", "word.word")
+    hashed = written(own.select("kind", F.transform(F.split("words", " "), lambda w: F.xxhash64("block", w)).alias("hashes")), "kind-hashes")
+    keyed, wide = written(_prefixes(hashed, threshold), "prefixes"), written(_wide(hashed), "maps")
+    discard(hashed)
     a, b = keyed.alias("a"), keyed.alias("b")
     least = _overlap(threshold, F.col("a.n"), F.col("b.n"))
     differ = F.lit(0)
-    for m in maps:
-        differ = differ + F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}")))
+    for i in range(MAPS):
+        differ = differ + F.bit_count(F.col(f"a.map{i}").bitwiseXOR(F.col(f"b.map{i}")))
     sized = (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9)
     reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least
     near = sized & reach & (differ <= F.col("a.n") + F.col("b.n") - 2 * least)
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.kind") < F.col("b.kind")) & near)
-    met = met.select(F.col("a.kind").alias("x"), F.col("b.kind").alias("y")).distinct()
-    side = lambda k: own.select(F.col("kind").alias(k), F.struct("block", "words").alias(f"of_{k}"))
-    met = met.join(side("x"), "x").join(side("y"), "y").where("of_x.block = of_y.block")
-    common = F.size(F.array_intersect("of_x.words", "of_y.words"))
-    links = met.select("x", "y", (common / (F.size("of_x.words") + F.size("of_y.words") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    met = a.join(b.hint("merge"), (F.col("a.word") == F.col("b.word")) & (F.col("a.kind") < F.col("b.kind")) & near)
+    met = written(met.select(F.col("a.kind").alias("x"), F.col("b.kind").alias("y")).distinct(), "candidates")
+    discard(keyed)
+    mapped = lambda k: wide.select(F.col("kind").alias(k), F.struct("n", "map").alias(f"at_{k}")).hint("merge")
+    apart = F.aggregate(F.zip_with("at_x.map", "at_y.map", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    sizes = F.col("at_x.n") + F.col("at_y.n")
+    before, met = met, written(met.join(mapped("x"), "x").join(mapped("y"), "y").where(apart <= sizes - 2 * _overlap(threshold, F.col("at_x.n"), F.col("at_y.n"))).select("x", "y"), "close-candidates")
+    discard(before, wide)
+    side = lambda k: own.select(F.col("kind").alias(k), F.struct("block", "words").alias(f"of_{k}")).hint("merge")
+    both = met.join(side("x"), "x").join(side("y"), "y").where("of_x.block = of_y.block")
+    both = both.select("x", "y", F.split("of_x.words", " ").alias("p"), F.split("of_y.words", " ").alias("q"))
+    common = F.size(F.array_intersect("p", "q"))
+    links = both.select("x", "y", (common / (F.size("p") + F.size("q") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    links = written(links, "kind-links")
+    discard(own, met)
     return Kinds(members, links)
 
 
@@ -78,7 +164,7 @@ def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
     kept = members.select("kind").distinct()
     same = kept.select(F.col("kind").alias("x"), F.col("kind").alias("y"), F.lit(1.0).alias("similarity"))
     member = lambda k, s: members.select(F.col("kind").alias(k), F.struct("id", "seq", "block").alias(s))
-    pairs = links.unionByName(same).join(member("x", "p"), "x").join(member("y", "q"), "y")
+    pairs = links.unionByName(same).join(member("x", "p").hint("merge"), "x").join(member("y", "q").hint("merge"), "y")
     pairs = pairs.where((F.col("x") != F.col("y")) | (F.col("p.seq") < F.col("q.seq")))
     first, last = (F.when(F.col("p.seq") < F.col("q.seq"), F.col(u)).otherwise(F.col(v)) for u, v in (("p", "q"), ("q", "p")))
     return pairs.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"), first["seq"].alias("seq_a"), last["seq"].alias("seq_b"), "p.block", "similarity")
@@ -89,6 +175,16 @@ def near_duplicate_pairs(memory: DataFrame, threshold: float = 0.8, statuses: tu
     return pairs_of(*kinds(memory, threshold, statuses))
 
 
+def count_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """One row (n): how many rows ``pairs_of`` has, which are not made."""
+    seqs = members.groupBy("kind", "seq").agg(F.count("*").alias("n"))
+    of = seqs.groupBy("kind").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("seq").isNotNull(), F.col("n"))), F.lit(0)).alias("placed"), F.coalesce(F.sum(F.when(F.col("seq").isNotNull(), F.col("n") * F.col("n"))), F.lit(0)).alias("alike"))
+    same = of.select(((F.col("placed") * F.col("placed") - F.col("alike")) / 2).cast("long").alias("n"))
+    side = lambda k, n: of.select(F.col("kind").alias(k), F.col("n").alias(n))
+    met = links.join(side("x", "p"), "x").join(side("y", "q"), "y").select((F.col("p") * F.col("q")).alias("n"))
+    return same.unionByName(met).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
 def classes(members: DataFrame, links: DataFrame) -> DataFrame:
     """(kind, class, kinds, links): the component of each kind, how many kinds it has and how many links between them. Both are tables."""
     root = components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).select(F.col("node").alias("kind"), F.col("root").alias("class"))
@@ -106,7 +202,6 @@ def near_duplicate_classes(memory: DataFrame, threshold: float = 0.8, statuses:
     n_links: the other rows at the threshold; class_id: the smallest id reachable by links.
     """
     members, links = kinds(memory, threshold, statuses)
-    members, links = written(members, "members"), written(links, "kind-links")
     of = written(members.groupBy("kind").agg(F.min("id").alias("representative"), F.count("*").alias("copies")), "kinds")
     both = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     near = both.join(of.select(F.col("kind").alias("y"), F.col("copies").alias("others")), "y").groupBy(F.col("x").alias("kind")).agg(F.sum("others").alias("others"))

@@ -99,3 +99,38 @@ def test_half_of_all_rows_alike(spark):
         archive.written = keep
     assert len(got) == 10_000 - 20 - 1 and len(sizes) == 2
     assert all(max(x) <= 3 * sorted(x)[len(x) // 2] for x in sizes)
+
+
+def test_pairs_are_counted_without_being_made(spark):
+    rows = memory(spark, *some_rows(5, n=120))
+    found = similarity.kinds(rows, 0.6)
+    assert similarity.count_pairs(*found).first().n == similarity.pairs_of(*found).count() > 0
+    odd = found.members.withColumn("seq", F.when(F.col("seq") % 5 > 1, F.col("seq") % 3))
+    assert similarity.count_pairs(odd, found.links).first().n == similarity.pairs_of(odd, found.links).count()
+
+
+def test_no_token_list_is_broadcast(spark, monkeypatch):
+    plans = []
+    kept = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or kept(df, name))
+    similarity.kinds(memory(spark, *some_rows(6)), 0.6)
+    assert {"candidates", "close-candidates", "kind-links"} <= {n for n, _ in plans} and not [n for n, p in plans if "Broadcast" in p]
+
+
+def test_tokens_are_fetched_for_few_pairs_that_are_none(spark, monkeypatch):
+    """Long rows fill a small parity map: the wide one decides before tokens are shuffled."""
+    r = random.Random(7)
+    common = [f"c{i}" for i in range(700)]
+    rows = [dict(id=f"m{i}", title=" ".join(r.sample(common, 250)), summary="", type="semantic", scope="user", project=None, status="active") for i in range(60)]
+    rows += [{**rows[i], "id": f"n{i}", "summary": "one more word"} for i in range(5)]
+    tables = {}
+    kept = similarity.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        tables[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "written", counted)
+    links = similarity.kinds(memory(spark, *rows), 0.6).links
+    assert links.count() == 5 == tables["close-candidates"] < tables["candidates"]
