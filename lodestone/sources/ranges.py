@@ -51,8 +51,9 @@ def tails(spark: SparkSession, root: str, most: int = 1 << 20, pattern: str = "*
     """(path, line_no, value): the whole lines in the last ``most`` bytes of each file, numbered from the first of them.
 
     At most that many bytes of a file are read. The first line is left out where the range doesn't
-    begin with the file, as it may be cut; empty lines are left out.
+    begin with the file, as it may be cut, inside a character too; empty lines are left out. Bytes
+    that are no UTF-8 become the replacement character.
     """
     ranges = listed(spark, root, pattern, skip).withColumn("start", F.greatest(F.col("size") - most, F.lit(0)))
-    lines = read(ranges).select("path", "start", F.posexplode(F.split(F.decode("bytes", "UTF-8"), "\n")).alias("line_no", "value"))
+    lines = read(ranges).select("path", "start", F.posexplode(F.split(F.make_valid_utf8(F.col("bytes").cast("string")), "\n")).alias("line_no", "value"))
     return lines.where("(start = 0 or line_no > 0) and value <> ''").drop("start")

@@ -141,3 +141,23 @@ def test_changes_are_written_alone_and_merged_when_read(spark, tmp_path):
     assert rows(layers.load(spark, root, "memory")) == rows(want.select(store.columns))
     with pytest.raises(versions.Conflict):
         layers.save_changes(root, "memory", store.limit(1), after=at)
+
+
+def test_tails_that_begin_inside_a_character(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes("ééééé\nlast é".encode() + b"\n\xff x\n")
+    for most in range(5, 20):
+        data = (tmp_path / "a.jsonl").read_bytes()
+        want = [x.decode(errors="replace") for x in data[-most:].split(b"\n")[most < len(data) :] if x]
+        assert [r.value for r in ranges.tails(spark, str(tmp_path), most).orderBy("line_no").collect()] == want
+
+
+def test_files_are_folded_one_after_another(spark):
+    rows = [(f"/l/{i}", n, json.dumps(x)) for i in range(40) for n, x in enumerate([{"type": "session_meta", "payload": {"id": f"s{i}", "cwd": "/w"}}, *[{"type": "event_msg", "payload": {"type": "user_message", "message": f"text {i} {k}"}} for k in range(7)]])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        lines = spark.createDataFrame(rows, "path string, line_no int, value string").repartition(6, "value")
+        made = transcripts.parse_rollouts(lines)
+        assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+        assert sorted((r.path, r.session_id, r.pos, r.text) for r in made.collect()) == sorted((f"/l/{i}", f"s{i}", k, f"text {i} {k}") for i in range(40) for k in range(7))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
