@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -232,6 +233,28 @@ def _stem(path: str) -> str:
     return re.sub(r"\.jsonl?$", "", path.rsplit("/", 1)[-1])
 
 
+def _by_file(lines: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """The messages that ``fold`` makes of the lines of each file, in order; files follow one another in a task, and none is a group of Spark's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last: object = object()
+        for pdf in batches:
+            paths, done, at = pdf["path"].tolist(), [], 0
+            for i, path in enumerate(paths):
+                if path != last:
+                    held += [pdf.iloc[at:i]] if i > at else []
+                    done += [fold(pd.concat(held))] if held else []
+                    held, at, last = [], i, path
+            held += [pdf.iloc[at:]] if paths else []
+            if done:
+                yield pd.concat(done)
+        if held:
+            yield fold(pd.concat(held))
+
+    return lines.select("path", "line_no", "value").repartition("path").sortWithinPartitions("path", "line_no").mapInPandas(run, MESSAGE)
+
+
 def parse_state_logs(lines: DataFrame) -> DataFrame:
     """Messages of state logs and of single-document logs (an object with ``requests``), file by file."""
 
@@ -247,7 +270,7 @@ def parse_state_logs(lines: DataFrame) -> DataFrame:
         stamps, messages = _requests(turns)
         return _frame(path, session or _stem(path), title, "", stamps, messages)
 
-    return lines.select("path", "line_no", "value").groupBy("path").applyInPandas(fold, MESSAGE)
+    return _by_file(lines, fold)
 
 
 def parse_event_logs(lines: DataFrame) -> DataFrame:
@@ -270,7 +293,7 @@ def parse_event_logs(lines: DataFrame) -> DataFrame:
                 messages += [m] if m["text"] or m["reasoning"] else []
         return _frame(path, session or _stem(path), "", "", stamps, messages)
 
-    return lines.select("path", "line_no", "value").groupBy("path").applyInPandas(fold, MESSAGE)
+    return _by_file(lines, fold)
 
 
 def prefer_state_logs(chats: DataFrame, events: DataFrame) -> DataFrame:
@@ -464,7 +487,7 @@ def parse_rollouts(lines: DataFrame) -> DataFrame:
         first = [header["timestamp"]] if header.get("timestamp") else []
         return _frame(path, header["id"], "", header.get("cwd") or "", [*first, *sorted(stamps)] if first else sorted(stamps), messages)
 
-    return lines.select("path", "line_no", "value").groupBy("path").applyInPandas(fold, MESSAGE)
+    return _by_file(lines, fold)
 
 
 def one_file_per_session(files: DataFrame) -> DataFrame:
