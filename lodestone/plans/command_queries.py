@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +43,24 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _files(rows: DataFrame, name: Column, order: str, value: Column, folder: str) -> str:
-    """Writes one text file (.txt, in a folder of its own) for each ``name``, with the values in order; returns ``folder``."""
+    """Writes one text file (``name``.txt) for each ``name``, with the values in order; returns ``folder``.
+
+    Each task writes its files where they belong: a writer of Spark's would make a folder for each
+    file, and the driver would move and list them one by one.
+    """
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), value.alias("value")))), lambda x: x["value"])
     whole = rows.groupBy(name.alias("file")).agg(F.array_join(lines, "\n").alias("value"))
-    whole.repartition("file").write.partitionBy("file").text(folder)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = fs.FileSystem.from_uri(folder)
+        system.create_dir(place, recursive=True)
+        for batch in batches:
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                with system.open_output_stream(f"{place}/{file}.txt") as f:
+                    f.write(f"{text}\n".encode())
+            yield batch.slice(0, 0).select(["file"])
+
+    whole.mapInArrow(put, "file string").write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -55,7 +72,7 @@ def src02(spark, d):
     value = F.concat(F.lit('{"type":"'), "role", F.lit('","sessionId":"s-'), c, F.lit('","cwd":"/work/x","message":'), F.to_json(F.struct(F.col("text").alias("content"))), F.lit("}"))
     name = F.concat(F.when(F.col("conv_id") % 6 == 0, F.lit("subagents-")).otherwise(F.lit("talk-")), c)
     root = _files(_talk(spark, d), name, "turn", value, _folder(spark))
-    lines = transcripts.read_log(spark, root, "*.txt", skip="/file=subagents-")
+    lines = transcripts.read_log(spark, root, "*.txt", skip="/subagents-")
     return transcripts.parse_lines(lines).select("session_id", "role", "text")
 
 
@@ -65,7 +82,7 @@ def src01_source(spark, d):
     root = _files(_talk(spark, d), F.concat(F.lit("talk-"), F.col("conv_id").cast("string")), "turn", F.replace("text", F.lit("\n"), F.lit(" ")), _folder(spark))
     spark.dataSource.register(datasource.Transcripts)
     rows = spark.read.format("lodestone_transcripts").option("roots", json.dumps({"any": root})).option("pattern", "*.txt").option("rangeBytes", 4096).load()
-    return rows.groupBy(F.regexp_extract("path", r"talk-(\d+)/", 1).alias("talk")).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+    return rows.groupBy(F.regexp_extract("path", r"talk-(\d+)\.txt", 1).alias("talk")).agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
 
 
 @query("JN13_followed_files", f"SELECT 's-' || conv_id AS session_id, turn AS pos, role, {_TEXT} AS text FROM conversations WHERE role IN ('user', 'assistant') AND {_KEPT}")
@@ -96,7 +113,7 @@ def src36(spark, d):
     value = F.replace("text", F.lit("\n"), F.lit(" "))
     root = _files(_talk(spark, d), F.concat(F.lit("talk-"), F.col("conv_id").cast("string")), "turn", value, _folder(spark))
     rows = ranges.tails(spark, root, 1500, "*.txt")
-    return rows.groupBy(F.regexp_extract("path", r"talk-(\d+)/", 1).alias("session_id")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.regexp_extract("path", r"talk-(\d+)\.txt", 1).alias("session_id")).agg(F.count("*").alias("n"))
 
 
 @query("SRC29_markdown_files", "SELECT id, status, coalesce(trust, 'unknown') AS trust FROM mem WHERE type <> 'core'", "MEM")
