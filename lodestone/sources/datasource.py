@@ -24,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 SCHEMA = "tool string, path string, mtime_ms long, at long, value string"
 #: Bytes of a file that one task reads, but for the end of its last line.
 RANGE_BYTES = 32 << 20
+#: So many tasks have a range each; of more ranges, tasks get several, which count as ``OPEN_BYTES`` and their own bytes.
+TASKS, OPEN_BYTES = 256, 64 << 10
 #: Bytes of lines in a batch.
 BATCH_BYTES = 4 << 20
 
@@ -31,7 +33,7 @@ _TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: op
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     tool: str
     path: str
     mtime_ms: int
@@ -39,6 +41,30 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Part(InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+
+def dealt(ranges: list[Range]) -> list[Part]:
+    """Ranges in order, dealt to tasks of about the same work: many small files are one task."""
+    if len(ranges) <= TASKS:
+        return [Part([r]) for r in ranges]
+    work = [OPEN_BYTES + r.end - r.start for r in ranges]
+    most = min(RANGE_BYTES, sum(work) // TASKS)
+    out: list[Part] = []
+    held = most
+    for r, w in zip(ranges, work, strict=True):
+        if held >= most:
+            out.append(Part([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += w
+    return out
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.roots = json.loads(options["roots"])
@@ -63,31 +89,32 @@ class Reader(DataSourceReader):
                     out.append(found)
         return sorted(out)
 
-    def partitions(self) -> list[Range]:
-        return [Range(tool, path, ms, at, min(at + self.size, size)) for tool, path, ms, size in self.discover() for at in range(0, size, self.size)]
+    def partitions(self) -> list[Part]:
+        return dealt([Range(tool, path, ms, at, min(at + self.size, size)) for tool, path, ms, size in self.discover() for at in range(0, size, self.size)])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        """The lines that begin in the range, whole."""
-        system, _ = fs.FileSystem.from_uri(self.roots[partition.tool])
-        rows: list[tuple[int, bytes]] = []
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        """The lines that begin in the ranges, whole."""
+        systems = {tool: fs.FileSystem.from_uri(self.roots[tool])[0] for tool in {r.tool for r in partition.ranges}}
+        rows: list[tuple[str, str, int, int, str]] = []
         held = 0
 
         def batch() -> pa.RecordBatch:
-            n = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array([partition.tool] * n, pa.string()), pa.array([partition.path] * n, pa.string()), pa.array([partition.mtime_ms] * n, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].decode(errors="replace") for r in rows], pa.string())], names=["tool", "path", "mtime_ms", "at", "value"])
-
-        with io.BufferedReader(system.open_input_file(partition.path), 1 << 20) as f:
-            at = max(partition.start - 1, 0)
-            f.seek(at)
-            if partition.start:
-                at += len(f.readline())  # up to the end of the line that begins before
-            while at < partition.end and (line := f.readline()):
-                rows.append((at, line.rstrip(b"\n")))
-                at += len(line)
-                held += len(line)
-                if held >= BATCH_BYTES:
-                    yield batch()
-                    rows, held = [], 0
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["tool", "path", "mtime_ms", "at", "value"])
+
+        for r in partition.ranges:
+            with io.BufferedReader(systems[r.tool].open_input_file(r.path), min(max(r.end - r.start, 4096), 1 << 20)) as f:
+                at = max(r.start - 1, 0)
+                f.seek(at)
+                if r.start:
+                    at += len(f.readline())  # up to the end of the line that begins before
+                while at < r.end and (line := f.readline()):
+                    rows.append((r.tool, r.path, r.mtime_ms, at, line.rstrip(b"\n").decode(errors="replace")))
+                    at += len(line)
+                    held += len(line)
+                    if held >= BATCH_BYTES:
+                        yield batch()
+                        rows, held = [], 0
         if rows:
             yield batch()
 

@@ -44,3 +44,14 @@ def test_filters_that_it_takes_and_leaves():
     reader = datasource.Pruning({"roots": "{}"})
     left = list(reader.pushFilters([datasource.EqualTo(("tool",), "x"), datasource.EqualTo(("value",), "x"), datasource.LessThan(("mtime_ms",), 5)]))
     assert [f.attribute for f in left] == [("value",)] and len(reader.filters) == 2 and reader.partitions() == []
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for i in range(600):
+        put(tmp_path, f"f{i}.jsonl", f"line {i}\nend\n" * (1 + i % 3), 1_700_000_000)
+    parts = datasource.Reader({"roots": json.dumps({"any": f"file://{tmp_path}"}), "rangeBytes": "16"}).partitions()
+    ranges = [r for p in parts for r in p.ranges]
+    assert len(ranges) > 600 and len(parts) <= 2 * datasource.TASKS and ranges == sorted(ranges, key=lambda r: (r.path, r.start))
+    spark.dataSource.register(datasource.Transcripts)
+    got = spark.read.format("lodestone_transcripts").option("roots", json.dumps({"any": f"file://{tmp_path}"})).option("rangeBytes", 16).load().collect()
+    assert sorted(r.value for r in got) == sorted(v for i in range(600) for v in [f"line {i}", "end"] * (1 + i % 3))
