@@ -6,7 +6,8 @@ cost k rows and not their pairs. ``near_duplicate_pairs`` is the one answer that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..sources.scratch import components, discard, written
+from ..sources.scratch import bucketed, components, discard, written
 
 #: 64-bit words of a kind's parity map.
 MAPS = 4
@@ -107,6 +108,24 @@ def _prefixes(hashed: DataFrame, threshold: float) -> DataFrame:
     return hashed.mapInArrow(run, f"kind long, n int, {', '.join(f'{m} long' for m in maps)}, at int, word long")
 
 
+def _in_rounds(pairs: DataFrame, load: Column, most: int, of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``of(pairs)`` as a table, made of so many parts of ``pairs`` (x, y and more), one after another, that the ``load`` of one is about ``most``.
+
+    Pairs grow with the square of the kinds, and each takes a map or a list of tokens along: what a
+    part moves is gone from disk before the next begins.
+    """
+    n = max(ceil((pairs.agg(F.sum(load)).first()[0] or 0) / max(most, 1)), 1)
+    if n == 1:
+        return written(of(pairs), name)
+    parts = [written(of(pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(n)) == i)), f"{name}-part") for i in range(n)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    whole = written(whole, name)
+    discard(*parts)
+    return whole
+
+
 def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] = ("active",)) -> Kinds:
     """The kinds of rows and the links between them, as tables: a Jaccard overlap of at least the threshold.
 
@@ -118,7 +137,8 @@ def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] =
     of the two parity maps (each token flips one) differ than tokens may, small maps first and then
     wide ones, that are fetched for the candidates left. Tokens (which hold no
     blank) travel as one text a row. Tables that hold them are small on disk and large in memory:
-    the joins that fetch them are never broadcast.
+    the joins that fetch them are never broadcast. Maps and tokens lie in buckets of their kinds and
+    are fetched in rounds, each of which moves no more words than all kinds have.
     """
     rows = memory.where(F.col("status").isin(*statuses) & F.col("id").isNotNull())
     block = F.to_json(F.struct("type", "scope", "project"))
@@ -126,13 +146,16 @@ def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] =
     rows = rows.select("id", "seq", block.alias("block"), F.array_join(words, " ").alias("words")).where("words <> ''")
     rows = rows.withColumn("key", F.unhex(F.sha2(F.concat_ws("\n", "block", "words").cast("binary"), 256)))
     tokens = written(rows, "tokens")
-    own = written(tokens.groupBy("key").agg(F.first("block").alias("block"), F.first("words").alias("words")).withColumn("kind", F.monotonically_increasing_id()), "kind-words")
-    members = written(tokens.join(own.select("key", "kind").hint("merge"), "key").select("id", "seq", "block", "kind"), "members")
+    numbered = written(tokens.groupBy("key").agg(F.first("block").alias("block"), F.first("words").alias("words")).withColumn("kind", F.monotonically_increasing_id()), "kind-words")
+    members = written(tokens.join(numbered.select("key", "kind").hint("merge"), "key").select("id", "seq", "block", "kind"), "members")
     discard(tokens)
+    own = bucketed(numbered.drop("key"), "kind", "kind-words")
+    discard(numbered)
     # candidates meet on hashes: a collision makes one more, and the lists themselves decide
     hashed = written(own.select("kind", F.transform(F.split("words", " "), lambda w: F.xxhash64("block", w)).alias("hashes")), "kind-hashes")
-    keyed, wide = written(_prefixes(hashed, threshold), "prefixes"), written(_wide(hashed), "maps")
+    keyed, wide = written(_prefixes(hashed, threshold), "prefixes"), bucketed(_wide(hashed), "kind", "maps")
     discard(hashed)
+    most = wide.agg(F.sum("n")).first()[0] or 0
     a, b = keyed.alias("a"), keyed.alias("b")
     least = _overlap(threshold, F.col("a.n"), F.col("b.n"))
     differ = F.lit(0)
@@ -147,14 +170,23 @@ def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] =
     mapped = lambda k: wide.select(F.col("kind").alias(k), F.struct("n", "map").alias(f"at_{k}")).hint("merge")
     apart = F.aggregate(F.zip_with("at_x.map", "at_y.map", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     sizes = F.col("at_x.n") + F.col("at_y.n")
-    before, met = met, written(met.join(mapped("x"), "x").join(mapped("y"), "y").where(apart <= sizes - 2 * _overlap(threshold, F.col("at_x.n"), F.col("at_y.n"))).select("x", "y"), "close-candidates")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(mapped("x"), "x").join(mapped("y"), "y")
+        return both.where(apart <= sizes - 2 * _overlap(threshold, F.col("at_x.n"), F.col("at_y.n"))).select("x", "y", F.col("at_x.n").alias("n"))
+
+    before, met = met, _in_rounds(met, F.lit(WIDE), most, close, "close-candidates")
     discard(before, wide)
     side = lambda k: own.select(F.col("kind").alias(k), F.struct("block", "words").alias(f"of_{k}")).hint("merge")
-    both = met.join(side("x"), "x").join(side("y"), "y").where("of_x.block = of_y.block")
-    both = both.select("x", "y", F.split("of_x.words", " ").alias("p"), F.split("of_y.words", " ").alias("q"))
-    common = F.size(F.array_intersect("p", "q"))
-    links = both.select("x", "y", (common / (F.size("p") + F.size("q") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
-    links = written(links, "kind-links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("x"), "x").join(side("y"), "y")
+        both = both.select("x", "y", (F.col("of_x.block") == F.col("of_y.block")).alias("met"), F.split("of_x.words", " ").alias("p"), F.split("of_y.words", " ").alias("q"))
+        common = F.size(F.array_intersect("p", "q"))
+        share = common / (F.size("p") + F.size("q") - common)  # the block is no key of the join, which would deal the buckets out anew
+        return both.select("x", "y", F.when(F.col("met"), share).alias("similarity")).where(F.col("similarity") >= threshold)
+
+    links = _in_rounds(met, F.col("n"), most, linked, "kind-links")
     discard(own, met)
     return Kinds(members, links)
 

@@ -134,3 +134,26 @@ def test_tokens_are_fetched_for_few_pairs_that_are_none(spark, monkeypatch):
     monkeypatch.setattr(similarity, "written", counted)
     links = similarity.kinds(memory(spark, *rows), 0.6).links
     assert links.count() == 5 == tables["close-candidates"] < tables["candidates"]
+
+
+def test_candidates_are_fetched_in_rounds(spark, monkeypatch):
+    """Pairs grow with the square of the rows: no round moves more words of maps or tokens than all rows have."""
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(700)]
+    rows = [dict(id=f"m{i:03d}", title=" ".join(r.sample(common, 300)), summary="", type="semantic", scope="user", project=None, status="active") for i in range(80)]
+    rows += [{**rows[i // 6], "id": f"n{i:03d}", "summary": f"more{i % 6}"} for i in range(120)]
+    plans, loads = [], {}
+    kept = similarity.written
+
+    def seen(df, name):
+        if name.startswith(("close-candidates", "kind-links")):
+            loads.setdefault(name.removesuffix("-part"), []).append(name)
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(similarity, "written", seen)
+    links = similarity.kinds(memory(spark, *rows), 0.6).links
+    assert links.count() == sum(close(a, b, 0.6) for i, a in enumerate(rows) for b in rows[:i])
+    assert len(loads["close-candidates"]) > 3 and len(loads["kind-links"]) > 2
+    # maps and tokens lie in buckets: only the pairs are dealt out, by x and by y
+    assert all(p.count("Exchange hashpartitioning") == 2 for n, p in plans if n.endswith("-part"))
