@@ -53,9 +53,12 @@ def _files(rows: DataFrame, name: Column, order: str, value: Column, folder: str
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, place = fs.FileSystem.from_uri(folder)
-        system.create_dir(place, recursive=True)
+        made = set()
         for batch in batches:
             for file, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if (parent := f"{place}/{file}".rpartition("/")[0]) not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with system.open_output_stream(f"{place}/{file}.txt") as f:
                     f.write(f"{text}\n".encode())
             yield batch.slice(0, 0).select(["file"])
@@ -122,9 +125,8 @@ def src29(spark, d):
     docs = stores.memory_markdown(_documents(spark, d)).select("id", "md")
     folder = _folder(spark)
     part = F.split_part("id", F.lit("/"), F.lit(1))
-    for kind in ("semantic", "episodic", "procedural", "core"):
-        one = docs.where(part == kind)
-        _files(one, F.replace("id", F.lit("/"), F.lit("~")), "id", F.col("md"), f"{folder}/{'_primer' if kind == 'core' else kind}")
+    below = F.lpad(F.hex(F.pmod(F.xxhash64("id"), F.lit(256))), 2, "0")  # so that no folder holds them all
+    _files(docs, F.concat_ws("/", F.when(part == "core", "_primer").otherwise(part), below, F.replace("id", F.lit("/"), F.lit("~"))), "id", F.col("md"), folder)
     rows = stores.read_markdown(spark, folder, pattern="*.txt")
     return stores.memory_documents(rows).select("id", "status", "trust")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from . import ranges
 
 TEXTS = ["id", "type", "scope", "project", "title", "summary", "path", "status", "createdAt", "updatedAt", "validFrom", "validTo", "supersedes", "trust", "originDevice", "lastAccess", "archivedAt", "archivedReason"]
 LISTS = ["sourceSessions", "sourceCommits", "sourceFiles", "entities"]
@@ -66,7 +67,12 @@ def usage_rows(documents: DataFrame) -> DataFrame:
 
 
 def read_markdown(spark: SparkSession, root: str, leave_out: tuple[str, ...] = ("_primer", "entities", "qa"), pattern: str = "*.md") -> DataFrame:
-    """(path, md) of the Markdown documents below ``root``, whose path there doesn't begin with a left-out folder."""
+    """(path, md) of the Markdown documents below ``root``, whose path there doesn't begin with a left-out folder.
+
+    Tasks list the folders and read the documents; where only Spark reaches the folder, its reader does.
+    """
+    if ranges.reachable(root):
+        return ranges.whole(ranges.walked(spark, root, pattern, leave_out), root).select("path", F.col("bytes").cast("string").alias("md"))
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     rel = F.regexp_replace("_metadata.file_path", r"^(file:)?/*", "/")
     at = F.substring_index(rel, root.split("://")[-1].rstrip("/") + "/", -1)

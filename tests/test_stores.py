@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_semantics import memory
 
 from lodestone.operators import archive
-from lodestone.sources import layers, ranges, transcripts, versions
+from lodestone.sources import layers, ranges, stores, transcripts, versions
 from lodestone.streaming import ingest
 
 
@@ -161,3 +161,17 @@ def test_files_are_folded_one_after_another(spark):
         assert sorted((r.path, r.session_id, r.pos, r.text) for r in made.collect()) == sorted((f"/l/{i}", f"s{i}", k, f"text {i} {k}") for i in range(40) for k in range(7))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_small_documents_are_few_tasks(spark, tmp_path):
+    """Documents are listed and read by tasks, by their bytes; names that Spark's reader hides count as well."""
+    for i in range(300):
+        at = tmp_path / ["semantic", "_primer", "semantic/_old"][i % 3] / f"{i % 4}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{'_' if i % 2 else ''}d {i}%.md").write_text(f"text {i}é\n")
+    (tmp_path / "semantic" / "x.txt").write_text("none")
+    (tmp_path / "empty.md").write_text("")
+    rows = stores.read_markdown(spark, f"file://{tmp_path}")
+    assert rows.rdd.getNumPartitions() == 1
+    want = {(f"{['semantic', '', 'semantic/_old'][i % 3]}/{i % 4}/{'_' if i % 2 else ''}d {i}%.md", f"text {i}é\n") for i in range(300) if i % 3 != 1}
+    assert {tuple(r) for r in rows.collect()} == want | {("empty.md", "")}
