@@ -36,7 +36,7 @@ def consumed(memory: DataFrame, skips: DataFrame) -> DataFrame:
 def dangling(rows: DataFrame, column: str, targets: DataFrame) -> DataFrame:
     """(id, ref): references of a text or array column to ids that aren't there."""
     ref = F.explode(column) if rows.schema[column].dataType.typeName() == "array" else F.col(column)
-    return rows.select("id", ref.alias("ref")).where("ref is not null").join(targets.select(F.col("id").alias("ref")).distinct(), "ref", "left_anti").select("id", "ref")
+    return rows.select("id", ref.alias("ref")).where("ref is not null").join(targets.select(F.col("id").alias("ref")).distinct().hint("merge"), "ref", "left_anti").select("id", "ref")
 
 
 def known_sessions(cited: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -46,11 +46,11 @@ def known_sessions(cited: DataFrame, sessions: DataFrame) -> DataFrame:
     ids which begin alike don't meet under one key.
     """
     ids = cited.select("session_id").distinct()
-    known = sessions.select(F.col("session_id").alias("known")).distinct()
+    known = sessions.select(F.col("session_id").alias("known")).distinct().hint("merge")
     starts = lambda x: F.explode(F.transform(F.sequence(F.lit(8), F.length(x)), lambda n: F.left(x, n)))
     exact = ids.join(known, ids.session_id == known.known, "left_semi")
     longer = ids.where(F.length("session_id") > 8).select("session_id", starts(F.col("session_id")).alias("start"))
-    shorter = known.where(F.length("known") > 8).select(starts(F.col("known")).alias("start")).distinct()
+    shorter = known.where(F.length("known") > 8).select(starts(F.col("known")).alias("start")).distinct().hint("merge")
     near = longer.join(known, longer.start == known.known, "left_semi").select("session_id")
     far = ids.where(F.length("session_id") >= 8).join(shorter, F.col("session_id") == F.col("start"), "left_semi")
     return exact.union(near).union(far).distinct()
@@ -59,7 +59,7 @@ def known_sessions(cited: DataFrame, sessions: DataFrame) -> DataFrame:
 def stale_provenance(memory: DataFrame, sessions: DataFrame) -> DataFrame:
     """Ids of rows that cite sessions of which none is known."""
     cited = memory.select("id", F.explode("source_sessions").alias("session_id"))
-    known = known_sessions(cited, sessions).withColumn("known", F.lit(1))
+    known = known_sessions(cited, sessions).withColumn("known", F.lit(1)).hint("merge")
     return cited.join(known, "session_id", "left").groupBy("id").agg(F.max("known").alias("known")).where("known is null").select("id")
 
 

@@ -212,7 +212,7 @@ def count_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     seqs = members.groupBy("kind", "seq").agg(F.count("*").alias("n"))
     of = seqs.groupBy("kind").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("seq").isNotNull(), F.col("n"))), F.lit(0)).alias("placed"), F.coalesce(F.sum(F.when(F.col("seq").isNotNull(), F.col("n") * F.col("n"))), F.lit(0)).alias("alike"))
     same = of.select(((F.col("placed") * F.col("placed") - F.col("alike")) / 2).cast("long").alias("n"))
-    side = lambda k, n: of.select(F.col("kind").alias(k), F.col("n").alias(n))
+    side = lambda k, n: of.select(F.col("kind").alias(k), F.col("n").alias(n)).hint("merge")
     met = links.join(side("x", "p"), "x").join(side("y", "q"), "y").select((F.col("p") * F.col("q")).alias("n"))
     return same.unionByName(met).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
@@ -221,9 +221,9 @@ def classes(members: DataFrame, links: DataFrame) -> DataFrame:
     """(kind, class, kinds, links): the component of each kind, how many kinds it has and how many links between them. Both are tables."""
     root = components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))).select(F.col("node").alias("kind"), F.col("root").alias("class"))
     sizes = root.groupBy("class").agg(F.count("*").alias("kinds"))
-    counts = links.join(root, links["x"] == root["kind"]).groupBy("class").agg(F.count("*").alias("links"))
-    linked = root.join(sizes, "class").join(counts, "class")
-    own = members.select("kind").distinct().join(linked, "kind", "left")
+    counts = links.join(root.hint("merge"), links["x"] == root["kind"]).groupBy("class").agg(F.count("*").alias("links"))
+    linked = root.join(sizes.hint("merge"), "class").join(counts.hint("merge"), "class")
+    own = members.select("kind").distinct().join(linked.hint("merge"), "kind", "left")
     return own.select("kind", F.coalesce("class", "kind").alias("class"), F.coalesce("kinds", F.lit(1)).alias("kinds"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
@@ -236,9 +236,9 @@ def near_duplicate_classes(memory: DataFrame, threshold: float = 0.8, statuses:
     members, links = kinds(memory, threshold, statuses)
     of = written(members.groupBy("kind").agg(F.min("id").alias("representative"), F.count("*").alias("copies")), "kinds")
     both = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    near = both.join(of.select(F.col("kind").alias("y"), F.col("copies").alias("others")), "y").groupBy(F.col("x").alias("kind")).agg(F.sum("others").alias("others"))
+    near = both.join(of.select(F.col("kind").alias("y"), F.col("copies").alias("others")).hint("merge"), "y").groupBy(F.col("x").alias("kind")).agg(F.sum("others").alias("others"))
     group = classes(members, links).select("kind", "class")
-    least = group.join(of, "kind").groupBy("class").agg(F.min("representative").alias("class_id"))
-    kind = of.join(group, "kind").join(least, "class").join(near, "kind", "left")
+    least = group.join(of.hint("merge"), "kind").groupBy("class").agg(F.min("representative").alias("class_id"))
+    kind = of.join(group.hint("merge"), "kind").join(least.hint("merge"), "class").join(near.hint("merge"), "kind", "left")
     kind = kind.select("kind", "representative", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "class_id")
-    return members.select("id", "kind").join(kind, "kind").drop("kind")
+    return members.select("id", "kind").join(kind.hint("merge"), "kind").drop("kind")

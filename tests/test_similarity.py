@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_semantics import NOW, memory
 
-from lodestone.operators import archive, similarity
+from lodestone.operators import archive, lint, merge, similarity
+from lodestone.sources import scratch
 
 
 def tokens(r):
@@ -157,3 +158,14 @@ def test_candidates_are_fetched_in_rounds(spark, monkeypatch):
     assert len(loads["close-candidates"]) > 3 and len(loads["kind-links"]) > 2
     # maps and tokens lie in buckets: only the pairs are dealt out, by x and by y
     assert all(p.count("Exchange hashpartitioning") == 2 for n, p in plans if n.endswith("-part"))
+
+
+def test_lint_counts_are_made_check_by_check(spark):
+    """The last plan reads counts and no rows: all checks in one plan took the driver more memory than all else."""
+    rows = memory(spark, *some_rows(3, 40, 3, valid_to=[None, "2026-01-01", "soon"], supersedes=[None, "gone"], source_sessions=[[], ["s1"]]))
+    pages = spark.createDataFrame([("e1", "global", None, ["gone"], ["e2"]), ("e2", "project:b", "a", [], ["e1"])], "id string, scope string, project string, source_memory_ids array<string>, related_entities array<string>")
+    sessions = spark.createDataFrame([("s2",)], "session_id string")
+    got = lint.report_counts(rows, pages, pages, sessions, NOW)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert got.first() == lint.counts(lint.report(rows, pages, pages, sessions, NOW)).first()
