@@ -18,7 +18,7 @@ def rule_reasons(memory: DataFrame, now: str, usage: DataFrame | None = None, se
         rows = with_usage(rows, usage)
     stale = F.lit(False)
     if sessions is not None:
-        rows = rows.join(stale_provenance(rows, sessions).withColumn("stale", F.lit(True)), "id", "left")
+        rows = rows.join(stale_provenance(rows, sessions).withColumn("stale", F.lit(True)).hint("merge"), "id", "left")
         stale = F.coalesce("stale", F.lit(False))
     age = fn.days_between(F.lit(now), F.col("updated_at"))
     unused = F.col("type").isin("semantic", "procedural") & (F.coalesce("access_count", F.lit(0.0)) == 0) & (F.col("importance") <= unused_importance) & (age > unused_days)
@@ -46,7 +46,7 @@ def running(rows: DataFrame, group: str, order: list[Column], **values: Column)
     earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = at.groupBy(group, "__part").agg(*[F.max(f"__{k}").alias(k) for k in values])
     parts = parts.select(group, "__part", *[F.max(k).over(earlier).alias(f"__by_{k}") for k in values])
-    return inside.join(parts, [group, "__part"]).select(*rows.columns, *[F.greatest(f"__in_{k}", f"__by_{k}").alias(k) for k in values])
+    return inside.join(parts.hint("merge"), [group, "__part"]).select(*rows.columns, *[F.greatest(f"__in_{k}", f"__by_{k}").alias(k) for k in values])
 
 
 def _cliques(rows: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def _cliques(rows: DataFrame) -> DataFrame:
     rows = running(rows, "group", better, loose=F.when(wins & ~stays, place), pinned=F.when(wins & stays, place))
     rows = written(running(rows, "group", [F.col("seq")], held=F.when(wins & stays, F.struct("importance", "ms", "id", "loose"))), "placed")
     best = rows.where(wins).groupBy("group").agg(F.max_by(place, worth).alias("best"), F.max(worth).alias("worth"))
-    rows = rows.where("may_go").join(best, "group").where(F.col("worth") > worth)
+    rows = rows.where("may_go").join(best.hint("merge"), "group").where(F.col("worth") > worth)
     above = F.when(F.struct("held.importance", "held.ms", "held.id") > worth, F.col("held.loose")).otherwise(F.col("loose"))
     winner = F.when(F.col("best.seq") > F.col("seq"), F.greatest(above, "pinned")).otherwise(F.greatest("pinned", "best"))
     return rows.select("id", winner["id"].alias("winner"))
@@ -83,11 +83,11 @@ def _rounds(pairs: DataFrame) -> DataFrame:
     counted = None
     while not open_pairs.isEmpty():
         may = open_pairs.groupBy(F.col("loser").alias("winner")).agg(F.min("at").alias("may"))
-        rows = open_pairs.join(may, "winner", "left")
+        rows = open_pairs.join(may.hint("merge"), "winner", "left")
         if counted is None:
             rows = rows.withColumn("lost", F.lit(None).cast(open_pairs.schema["at"].dataType))
         else:
-            rows = rows.join(counted.groupBy(F.col("loser").alias("winner")).agg(F.min("at").alias("lost")), "winner", "left")
+            rows = rows.join(counted.groupBy(F.col("loser").alias("winner")).agg(F.min("at").alias("lost")).hint("merge"), "winner", "left")
         falls = F.col("lost") < F.col("at")
         counts = ~F.coalesce(falls, F.lit(False)) & F.coalesce(F.col("may") > F.col("at"), F.lit(True))
         rows = written(rows.select("loser", "winner", "at", F.when(falls, F.lit(False)).when(counts, F.lit(True)).alias("counts")), "pairs")
@@ -104,20 +104,22 @@ def plan(memory: DataFrame, now: str, usage: DataFrame | None = None, sessions:
     A pair counts only while its winner stays, so pairs are decided in the order of their rows.
     Groups in which all rows are near-duplicates of one another, copies above all, need no pairs;
     the pairs of other groups, and of groups with a row without a date, are decided in rounds.
+    Tables of ids and groups grow with the rows and are several times smaller on disk than in
+    memory, so no join broadcasts them by their size on disk.
     """
     rules = written(rule_reasons(memory, now, usage, sessions), "rules")
     members, links = kinds(memory, threshold, ("active", "pinned"))
     about = memory.select("id", F.when(~F.isnan("importance"), F.col("importance")).alias("importance"), fn.epoch_ms(F.col("updated_at")).alias("ms"), (~fn.holds(F.col("type") == "core") & ~fn.holds(F.col("status").isin("pinned", "archived"))).alias("may_go"))
-    about = about.where("importance is not null").join(rules.select("id", F.lit(True).alias("gone")), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    about = about.where("importance is not null").join(rules.select("id", F.lit(True).alias("gone")).hint("merge"), "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     group = classes(members, links).select("kind", F.col("class").alias("group"), (F.col("links") == F.col("kinds") * (F.col("kinds") - 1) / 2).alias("whole"))
-    rows = written(members.join(group, "kind").join(about, "id"), "grouped")
+    rows = written(members.join(group.hint("merge"), "kind").join(about.hint("merge"), "id"), "grouped")
     sizes = rows.groupBy("group").agg(F.count("*").alias("n"), F.bool_and("whole").alias("whole"), F.bool_and(F.col("ms").isNotNull()).alias("dated"), F.bool_or("may_go").alias("may")).where("n > 1 and may")
     sizes = written(sizes.select("group", (F.col("whole") & F.col("dated")).alias("whole")), "groups")
-    rows = written(rows.drop("whole").join(sizes, "group"), "grouped")
+    rows = written(rows.drop("whole").join(sizes.hint("merge"), "group"), "grouped")
     found = _cliques(rows.where("whole").select("group", "id", "seq", "importance", "ms", "may_go", "gone"))
     rest = rows.where("not whole")
     if not rest.isEmpty():
-        side = lambda x: rest.select(F.col("id").alias(x), F.struct("importance", "ms", "may_go", "gone").alias(f"of_{x}"))
+        side = lambda x: rest.select(F.col("id").alias(x), F.struct("importance", "ms", "may_go", "gone").alias(f"of_{x}")).hint("merge")
         met = pairs_of(rest.select("id", "seq", "block", "kind"), links).join(side("a"), "a").join(side("b"), "b")
         a, b = F.col("of_a"), F.col("of_b")
         met = met.where((a["importance"] != b["importance"]) | (a["ms"].isNotNull() & b["ms"].isNotNull()))

@@ -169,3 +169,23 @@ def test_lint_counts_are_made_check_by_check(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "LocalRelation" not in plan
     assert got.first() == lint.counts(lint.report(rows, pages, pages, sessions, NOW)).first()
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    """Tables of ids and of references are small on disk: by their size there Spark would send them to the driver."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (archive, similarity):
+        monkeypatch.setattr(module, "written", lambda df, name, real=module.written: real(seen(df), name))
+    rows = memory(spark, *some_rows(5))
+    seen(archive.plan(rows, NOW))
+    members, links = similarity.kinds(rows)
+    seen(similarity.count_pairs(members, links))
+    ids = scratch.written(rows.select("id"), "ids")
+    seen(merge.dangling(rows, "supersedes", ids))
+    seen(merge.stale_provenance(rows, ids.select(F.col("id").alias("session_id"))))
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
