@@ -124,4 +124,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                 sql = sql.replace(word, word.replace(t, f"{{{t}}}"))
                 path = f"{sf_dir}/{t}.parquet"
                 used[t] = spread(spark, path) if t == "documents" else spark.read.parquet(path)
+                if t == "events":
+                    used[t] = used[t].hint("merge")  # numbers are small on disk, and there would be millions to broadcast
     return spark.sql(sql, **used)
