@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..sources.scratch import bucketed, components, discard, written
 
-#: 64-bit words of a kind's parity map.
+#: Least 64-bit words of a kind's parity map; it has 8 bits a token at least, and words by a power of two.
 MAPS = 4
-#: 64-bit words of the larger map that candidates are compared by before their tokens.
-WIDE = 32
-#: log2 of the counters that tell how rare a token is; tokens share them by hash.
-COUNTERS = 20
+#: Most words of maps, and most kinds, of a tile; a small table is cut finer, so that one block makes pairs of tiles for all cores.
+TILE_WORDS, TILE_KINDS, TILES = 1 << 17, 4096, 32
+#: Words of maps that the kernel compares at once, and pairs that it hands on at once.
+STEP, OUT = 1 << 16, 1 << 16
+#: A cell's maps are dealt out in so many ways to learn their tile, as a block can hold most rows.
+DEALS = 64
 
 
 class Kinds(NamedTuple):
@@ -38,74 +40,121 @@ def _overlap(threshold: float, n: Column, m: Column) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
 
 
-def _rarity(hashed: DataFrame) -> np.ndarray:
-    """How many lists ``hashed`` (hashes) have a token of each counter: a table of one size, added up by task first."""
+def _maps(hashed: DataFrame) -> DataFrame:
+    """(kind, block, n, width, map) of each list of ``hashed`` (kind, block, hashes): each token flips one bit of a map of ``width`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS, np.int64)
         for batch in batches:
-            total += np.bincount(_counter(np.asarray(batch.column("hashes").flatten())), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["counter", "n"])
-
-    found = hashed.select("hashes").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << COUNTERS, np.int64)
-    out[np.asarray(found.column("counter"))] = np.asarray(found.column("n"))
-    return out
-
-
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) >> np.uint64(64 - COUNTERS)).astype(np.int64)
-
-
-def _parities(word: np.ndarray, first: np.ndarray, maps: int) -> list[np.ndarray]:
-    """For each list that begins at one of ``first`` a map of so many 64-bit words, in which each token flips one bit."""
-    flip = np.uint64(1) << (word.view(np.uint64) & np.uint64(63))
-    part = (word.view(np.uint64) >> np.uint64(6)) % np.uint64(maps)
-    return [np.bitwise_xor.reduceat(np.where(part == i, flip, np.uint64(0)), first).view(np.int64) for i in range(maps)]
-
-
-def _wide(hashed: DataFrame) -> DataFrame:
-    """(kind, n, map) of each list of ``hashed`` (kind, hashes), with its parity map of ``WIDE`` words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.asarray(batch.column("hashes").value_lengths()).astype(np.int32)
-            if len(n):
-                parity = np.stack(_parities(np.asarray(batch.column("hashes").flatten()), np.cumsum(n) - n, WIDE), axis=1)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WIDE), pa.array(parity.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(n), lists], names=["kind", "n", "map"])
+            n = np.asarray(batch.column("hashes").value_lengths()).astype(np.int64)
+            if not len(n):
+                continue
+            word = np.asarray(batch.column("hashes").flatten()).view(np.uint64)
+            width = np.maximum(MAPS, 1 << np.ceil(np.log2(np.maximum(n, 8) / 8)).astype(np.int64))
+            ends = np.cumsum(width)
+            flat, owner = np.zeros(ends[-1], np.uint64), np.repeat(np.arange(len(n)), n)
+            at = (ends - width)[owner] + ((word >> np.uint64(6)) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+            np.bitwise_xor.at(flat, at, np.uint64(1) << (word & np.uint64(63)))
+            offsets = np.concatenate([[0], ends * 8]).astype(np.int32)
+            maps = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("block"), pa.array(n.astype(np.int32)), pa.array(width.astype(np.int32)), maps], names=["kind", "block", "n", "width", "map"])
 
-    return hashed.mapInArrow(run, "kind long, n int, map array<long>")
+    return hashed.mapInArrow(run, "kind long, block string, n int, width int, map binary")
 
 
-def _prefixes(hashed: DataFrame, threshold: float) -> DataFrame:
-    """(kind, n, map0.., at, word): the first ``n - ceil(t n) + 1`` tokens of each list of ``hashed`` (kind, hashes), rarest first.
+def _tiles(maps: DataFrame, words: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Tiles (tile, of: kinds with their maps) of at most about so many words in buckets, and a table of the pairs (x, y, load) of tiles that may hold links.
 
-    Tokens of counters that one list has are left out, as no other list can meet on them.
+    A tile's maps are of one block and width; a block's kinds of one width are a cell, dealt to its
+    tiles by hash. Cells whose sizes are too far apart are no pair.
+    """
+    cell = maps.groupBy("block", "width").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.max("n").alias("most"))
+    parts = F.greatest(F.ceil(F.col("kinds") * F.col("width") / words), F.ceil(F.col("kinds") / TILE_KINDS)).cast("int")
+    cells = written(cell.withColumn("parts", parts).withColumn("cell", F.monotonically_increasing_id()), "cells")
+    dealt = cells.select("block", "width", "cell", "parts", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
+    named = lambda c, i: F.concat_ws("/", c, i)
+    own = maps.withColumn("deal", F.pmod(F.xxhash64("kind"), F.lit(DEALS)).cast("int")).join(dealt.hint("merge"), ["block", "width", "deal"])
+    own = own.select(named("cell", F.pmod(F.hash("kind"), "parts")).alias("tile"), F.struct("kind", "n", "map").alias("one"))
+    tiles = bucketed(own.groupBy("tile").agg(F.collect_list("one").alias("of")), "tile", "maps")
+    a, b = cells.alias("a"), cells.alias("b")
+    sized = (F.col("a.most") >= F.lit(threshold) * F.col("b.least") - 1e-9) & (F.col("b.most") >= F.lit(threshold) * F.col("a.least") - 1e-9)
+    met = a.join(b.hint("merge"), (F.col("a.block") == F.col("b.block")) & (F.col("a.cell") <= F.col("b.cell")) & sized)
+    load = sum(F.col(f"{s}.kinds") * F.col(f"{s}.width") / F.col(f"{s}.parts") for s in "ab")
+    met = met.select(F.col("a.cell").alias("p"), F.col("b.cell").alias("q"), load.alias("load"), F.col("b.parts").alias("n"), F.explode(F.sequence(F.lit(0), F.col("a.parts") - 1)).alias("i"))
+    met = met.select("p", "q", "load", "i", F.explode(F.sequence(F.when(F.col("p") == F.col("q"), F.col("i")).otherwise(0), F.col("n") - 1)).alias("j"))
+    # either end comes first, so that no tile is the second of all its pairs
+    ends, turned = (named("p", "i"), named("q", "j")), F.pmod(F.xxhash64("p", "i", "q", "j"), F.lit(2)) == 0
+    pairs = met.select(*(F.when(turned, u).otherwise(v).alias(k) for k, u, v in (("x", *ends), ("y", *ends[::-1]))), "load")
+    pairs = written(pairs, "candidates")
+    discard(cells)
+    return tiles, pairs
+
+
+def _flips(maps: np.ndarray, width: int) -> np.ndarray:
+    """Parity maps (one a row) folded to ``width`` words, which is what maps of that width would be."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, width), axis=1)
+
+
+def _near(p: tuple[np.ndarray, ...], q: tuple[np.ndarray, ...], same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in p and q, each (kinds, sizes in order, maps), of pairs whose sizes and maps allow the threshold; in one tile each pair once.
+
+    A quarter of each map is compared first, then all of it.
     """
-    shared = hashed.sparkSession.sparkContext.broadcast(_rarity(hashed))
-    maps = [f"map{i}" for i in range(MAPS)]
+    (_, n, small), (_, m, large) = p, q
+    width = min(small.shape[1], large.shape[1])
+    few = max(width // 4, min(MAPS, width))
+    small, large = _flips(small, width), _flips(large, width)
+    first, second = _flips(small, few), np.ascontiguousarray(_flips(large, few).T)
+    kind = np.uint16 if few < 1024 else np.int32
+    i = 0
+    while i < len(n):
+        lo = max(np.searchsorted(m, threshold * n[i] - 1e-6), i + 1 if same else 0)
+        rows = max(STEP // (few * max(len(m) - lo, 1)), 1)
+        hi = np.searchsorted(m, (n[min(i + rows, len(n)) - 1] + 1e-6) / threshold, "right")
+        some, j = n[i : i + rows], m[lo:hi]
+        if len(j):
+            both = some[:, None] + j[None, :]
+            most = both - 2 * np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
+            differ = np.bitwise_count(first[i : i + rows, :, None] ^ second[None, :, lo:hi]).sum(axis=1, dtype=kind)
+            fit = (differ <= most) & (some[:, None] >= threshold * j - 1e-9) & (j >= threshold * some[:, None] - 1e-9)
+            if same:
+                fit &= np.arange(i, i + len(some))[:, None] < np.arange(lo, hi)
+            u, v = np.nonzero(fit)
+            if few < width and len(u):
+                kept = np.bitwise_count(small[i + u] ^ large[lo + v]).sum(axis=1, dtype=np.int32) <= most[u, v]
+                u, v = u[kept], v[kept]
+            if len(u):
+                yield i + u, lo + v
+        i += rows
+
+
+def _close(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, n) for ``pairs`` (same, at_x, at_y) of tiles: kinds x < y whose sizes and maps allow the threshold, and the size of x."""
+
+    def opened(tile: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        kind, n, maps = tile.values.flatten()
+        kind, n = np.asarray(kind), np.asarray(n).astype(np.int64)
+        order = np.argsort(n, kind="stable")
+        return kind[order], n[order], np.frombuffer(b"".join(maps.to_pylist()), np.uint64).reshape(len(n), -1)[order]
+
+    def out(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, b, n, m = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.where(a < b, n, m).astype(np.int32))], names=["x", "y", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.asarray(batch.column("hashes").value_lengths()).astype(np.int64)
-            if not len(n):
-                continue
-            word = np.asarray(batch.column("hashes").flatten())
-            first = np.cumsum(n) - n
-            owner = np.repeat(np.arange(len(n)), n)
-            parity = _parities(word, first, MAPS)
-            met = shared.value[_counter(word)]
-            order = np.lexsort((word, met, owner))
-            at = np.arange(len(word)) - first[owner]
-            prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            kept = (at < prefix[owner]) & (met[order] > 1)
-            of = owner[kept]
-            kind = np.asarray(batch.column("kind"))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind[of], n[of].astype(np.int32), *[m[of] for m in parity], at[kept].astype(np.int32), word[order][kept])], names=["kind", "n", *maps, "at", "word"])
-
-    return hashed.mapInArrow(run, f"kind long, n int, {', '.join(f'{m} long' for m in maps)}, at int, word long")
+            for same, x, y in zip(batch.column("same").to_pylist(), batch.column("at_x"), batch.column("at_y"), strict=True):
+                p, q = sorted((opened(x), opened(y)), key=lambda t: len(t[0]))
+                found, many = [], 0
+                for u, v in _near(p, q, same, threshold):
+                    found.append((p[0][u], q[0][v], p[1][u], q[1][v]))
+                    many += len(u)
+                    if many >= OUT:
+                        yield out(found)
+                        found, many = [], 0
+                if found:
+                    yield out(found)
+
+    return pairs.mapInArrow(run, "x long, y long, n int")
 
 
 def _in_rounds(pairs: DataFrame, load: Column, most: int, of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -129,21 +178,21 @@ def _in_rounds(pairs: DataFrame, load: Column, most: int, of: Callable[[DataFram
 def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] = ("active",)) -> Kinds:
     """The kinds of rows and the links between them, as tables: a Jaccard overlap of at least the threshold.
 
-    A row's tokens are made once and written. Kinds at the threshold share one of each set's first
-    ``n - ceil(t n) + 1`` tokens in any one order of all tokens (here rarest first in the block, by
-    shared counters), so only those that meet on such a token are candidates. A candidate goes
-    before any token list is fetched if its sizes are too far apart, if what follows the token in
-    either list is too short for the overlap (the pair's first common token passes), or if more bits
-    of the two parity maps (each token flips one) differ than tokens may, small maps first and then
-    wide ones, that are fetched for the candidates left. Tokens (which hold no
+    A row's tokens are made once and written. All kinds of a block are compared, but by parity maps
+    (each token flips one bit) of a few bits a token: a pair goes if its sizes are too far apart or
+    if more bits differ than tokens may. Maps lie in tiles of bounded size, and a task compares the
+    tiles of one pair after another, so that time alone grows with the pairs of kinds, by some
+    nanoseconds each, and only what the maps leave, few more than the links, is ever a row. Tokens (which hold no
     blank) travel as one text a row. Tables that hold them are small on disk and large in memory:
-    the joins that fetch them are never broadcast. Maps and tokens lie in buckets of their kinds and
-    are fetched in rounds, each of which moves no more words than all kinds have.
+    the joins that fetch them are never broadcast. Tiles and tokens lie in buckets and
+    are fetched in rounds, each of which moves no more words than all kinds have tokens.
     """
     rows = memory.where(F.col("status").isin(*statuses) & F.col("id").isNotNull())
     block = F.to_json(F.struct("type", "scope", "project"))
     words = F.sort_array(fn.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))))
-    rows = rows.select("id", "seq", block.alias("block"), F.array_join(words, " ").alias("words")).where("words <> ''")
+    # asked of the text, as a filter by ``words`` would make the tokens once more
+    some = F.lower(F.concat_ws(" ", "title", "summary")).rlike("[a-z0-9_]{2}")
+    rows = rows.where(some).select("id", "seq", block.alias("block"), F.array_join(words, " ").alias("words"))
     rows = rows.withColumn("key", F.unhex(F.sha2(F.concat_ws("\n", "block", "words").cast("binary"), 256)))
     tokens = written(rows, "tokens")
     numbered = written(tokens.groupBy("key").agg(F.first("block").alias("block"), F.first("words").alias("words")).withColumn("kind", F.monotonically_increasing_id()), "kind-words")
@@ -151,32 +200,19 @@ def kinds(memory: DataFrame, threshold: float = 0.8, statuses: tuple[str, ...] =
     discard(tokens)
     own = bucketed(numbered.drop("key"), "kind", "kind-words")
     discard(numbered)
-    # candidates meet on hashes: a collision makes one more, and the lists themselves decide
-    hashed = written(own.select("kind", F.transform(F.split("words", " "), lambda w: F.xxhash64("block", w)).alias("hashes")), "kind-hashes")
-    keyed, wide = written(_prefixes(hashed, threshold), "prefixes"), bucketed(_wide(hashed), "kind", "maps")
-    discard(hashed)
-    most = wide.agg(F.sum("n")).first()[0] or 0
-    a, b = keyed.alias("a"), keyed.alias("b")
-    least = _overlap(threshold, F.col("a.n"), F.col("b.n"))
-    differ = F.lit(0)
-    for i in range(MAPS):
-        differ = differ + F.bit_count(F.col(f"a.map{i}").bitwiseXOR(F.col(f"b.map{i}")))
-    sized = (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9)
-    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= least
-    near = sized & reach & (differ <= F.col("a.n") + F.col("b.n") - 2 * least)
-    met = a.join(b.hint("merge"), (F.col("a.word") == F.col("b.word")) & (F.col("a.kind") < F.col("b.kind")) & near)
-    met = written(met.select(F.col("a.kind").alias("x"), F.col("b.kind").alias("y")).distinct(), "candidates")
-    discard(keyed)
-    mapped = lambda k: wide.select(F.col("kind").alias(k), F.struct("n", "map").alias(f"at_{k}")).hint("merge")
-    apart = F.aggregate(F.zip_with("at_x.map", "at_y.map", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    sizes = F.col("at_x.n") + F.col("at_y.n")
+    # maps are made of hashes: a collision makes two lists more alike, and the lists themselves decide
+    maps = written(_maps(own.select("kind", "block", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("hashes"))), "maps")
+    most, words = (x or 0 for x in maps.agg(F.sum("n"), F.sum("width")).first())
+    tiles, met = _tiles(maps, max(min(TILE_WORDS, words // TILES), 1), threshold)
+    discard(maps)
+    tile = lambda k: tiles.select(F.col("tile").alias(k), F.col("of").alias(f"at_{k}")).hint("merge")
 
     def close(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(mapped("x"), "x").join(mapped("y"), "y")
-        return both.where(apart <= sizes - 2 * _overlap(threshold, F.col("at_x.n"), F.col("at_y.n"))).select("x", "y", F.col("at_x.n").alias("n"))
+        both = pairs.select("x", "y").join(tile("x"), "x").join(tile("y"), "y")
+        return _close(both.select((F.col("x") == F.col("y")).alias("same"), "at_x", "at_y"), threshold)
 
-    before, met = met, _in_rounds(met, F.lit(WIDE), most, close, "close-candidates")
-    discard(before, wide)
+    before, met = met, _in_rounds(met, F.col("load"), most, close, "close-candidates")
+    discard(before, tiles)
     side = lambda k: own.select(F.col("kind").alias(k), F.struct("block", "words").alias(f"of_{k}")).hint("merge")
 
     def linked(pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicate kinds, classes and archival against plain Python over all pairs."""
 
 import random
+from math import ceil
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +190,40 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
     seen(merge.dangling(rows, "supersedes", ids))
     seen(merge.stale_provenance(rows, ids.select(F.col("id").alias("session_id"))))
     assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_pairs_that_maps_refuse_are_never_rows(spark, monkeypatch, threshold):
+    """Kinds of one block meet in tiles: what is written is pairs of tiles and few more pairs of kinds than are links."""
+    r = random.Random(9)
+    common = [f"c{i}" for i in range(900)]
+    lists = [r.sample(common, 300) for _ in range(200)]
+    for n in (1, 2, 5, 31, 33, 64, 100, 130, 260, 410):  # sizes around the steps of a map's width, and links on both sides of the threshold
+        base = r.sample(common, n)
+        lists += [base[: ceil(n * r.uniform(0.5, 1))] + [f"d{n}{i}{k}" for k in range(r.randrange(max(n // 3, 1)))] for i in range(12)]
+    rows = [dict(id=f"m{i:03d}", title=" ".join(x), summary="", type="semantic", scope="user", project=None, status="active") for i, x in enumerate(lists)]
+    tables = {}
+    kept = similarity.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        tables[name] = out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "written", counted)
+    found = similarity.kinds(memory(spark, *rows), threshold)
+    n = len({tokens(x) for x in rows})
+    assert found.members.select("kind").distinct().count() == n
+    sets = list({tokens(x): x for x in rows}.values())
+    assert found.links.count() == sum(close(a, b, threshold) for i, a in enumerate(sets) for b in sets[:i]) > 20
+    assert tables["candidates"] < 1500 < n * (n - 1) // 20 and tables["close-candidates"] < 2 * found.links.count()
+
+
+def test_tokens_of_a_row_are_made_once(spark, monkeypatch):
+    """No filter makes the tokens again: that they are some is asked of the text."""
+    plans = {}
+    kept = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and kept(df, name))
+    rows = [dict(id=f"m{i}", title=x, summary="", type="semantic", scope="user", project=None, status="active") for i, x in enumerate(["a b c", "", "..", "Ab", "Kb", "é1", "_x"])]
+    assert {r.id for r in similarity.kinds(memory(spark, *rows), 0.6).members.collect()} == {"m3", "m4", "m6"}
+    assert plans["tokens"].count("regexp_extract_all") == 1
