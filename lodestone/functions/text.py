@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ SIGNAL_WORDS = {
     "evaluation": ["review", "evaluate", "score", "verdict", "assessment", "评估", "审查"],
 }
 DECISION = r"(?i)(我决定|我们决定|最后采用|最后用|let'?s go with|decided to|going with|ok merged|merged it|ship it as)"
+#: What a text must hold, in one of these spellings, for a leak pattern to be found in it.
+LEAK_MARKS = {"home-path": ("/", ":\\"), "secret": ("sk-", "ghp_", "github_pat_", "xox", "AKIA", "eyJ", "-----BEGIN "), "email": ("@",), "guid": ("-",)}
 MEMORY_TYPES = ["core", "semantic", "episodic", "procedural"]
 SLUG_UNSAFE = r"[\\/:*?\"<>|\s.,;!()\[\]{}@#$%^&+=`~]+"
 QUESTION_UNSAFE = r"[\\/:*?\"'<>|\s.,;!()\[\]{}@#$%^&+=`~]+"
@@ -180,8 +185,14 @@ def restore_instruction(id_: Column, source: Column, device: Column) -> Column:
 
 
 def leaks(x: Column) -> Column:
-    """ARRAY<STRUCT<kind, severity, sample>>: one entry for each category found; each pattern runs once."""
-    found = [F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.regexp_extract(x, f"({pattern})", 1).alias("sample")) for kind, severity, pattern in LEAK_PATTERNS]
+    """ARRAY<STRUCT<kind, severity, sample>>: one entry for each category found; each pattern runs once, and only on texts that hold one of its marks."""
+
+    def sample(kind: str, pattern: str) -> Column:
+        hit = F.regexp_extract(x, f"({pattern})", 1)
+        marked = [F.contains(x, F.lit(m)) for m in LEAK_MARKS.get(kind, ())]
+        return F.when(reduce(or_, marked), hit).otherwise(F.lit("")) if marked else hit
+
+    found = [F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), sample(kind, pattern).alias("sample")) for kind, severity, pattern in LEAK_PATTERNS]
     shown = lambda h: F.when(h.kind == "secret", F.lit("[redacted]")).otherwise(F.substring(h["sample"], 1, 60))
     return F.transform(F.filter(F.array(*found), lambda h: h["sample"] != ""), lambda h: F.struct(h.kind.alias("kind"), h.severity.alias("severity"), shown(h).alias("sample")))
 
